@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import packing, secret_scan, token_counts
+from tessera.llm import fingerprints, line_dedup, mixing, packing, quality, secret_scan, simhash, token_counts
 from tessera.llm._common import documents
 
 
@@ -17,9 +18,29 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", F.sha2("clean_text", 256).alias("kept_sha256"))
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_report(documents(spark, sf_dir))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "source", F.col("n_copies").cast("long").alias("n_copies"), F.col("copy").cast("long").alias("copy"), "shuffle_key")
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_packing, op9_token_counts)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_packing, op3_quality_rules, op4_line_dedup, op6_fingerprints, op7_mixing, op8_simhash, op9_token_counts)}
+ORACLE: dict[str, str] = {"op3_quality_rules": quality.QUALITY_ORACLE, "op4_line_dedup": line_dedup.LINE_ORACLE, "op7_mixing": mixing.MIX_ORACLE}
