@@ -1,6 +1,6 @@
 """Document fingerprints by a homomorphic multiset hash, in DataFrame functions only.
 
-A text is a multiset of paragraphs (lines), and each paragraph one of clauses. Four wide lanes sum a 62-bit hash of each
+A text is a multiset of paragraphs (lines), and each paragraph one of clauses (up to five words). Four wide lanes sum a 62-bit hash of each
 paragraph modulo 2^62: equal multisets have equal lanes whatever their order, and inserting or deleting a paragraph adds
 or subtracts its hash. 128 narrow lanes count, for each bit of two hashes of a clause, how often it is set, modulo 2^14;
 packed four to a long they add up at once. They add up the same way, and as random signs their differences estimate how
@@ -23,6 +23,8 @@ from tessera.llm._common import keyed_texts
 
 WIDE, WIDE_MASK = 4, (1 << 62) - 1
 SALT = 100
+#: Up to five words of a paragraph (parts of 40 characters of a longer one), counted from the paragraph's start.
+CLAUSE = "(?:[^ \\n]{1,40}+ ?+){1,5}+"
 #: Four lanes of 14 bits in a long, 16 bits apart, so that no sum leaves its lane or the long.
 LANE, LANES = 0x3FFF3FFF3FFF3FFF, 16
 ONE = 0x0001000100010001
@@ -34,7 +36,7 @@ def paragraphs(text: Column) -> Column:
 
 
 def clauses(text: Column) -> Column:
-    return F.filter(F.split(text, "[.,;:!?\n]+ *", -1), lambda c: c != "")
+    return F.regexp_extract_all(text, F.lit(CLAUSE), F.lit(0))
 
 
 def _hashes(items: Column, salt: int) -> Column:
@@ -91,26 +93,29 @@ def spelled(print_: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """From 0 to 1: 1 if all lanes are equal, else the estimated share of clauses that both have.
+    """From 0 to 1: 1 if all lanes are equal, else twice the multisets' inner product over the sum of their squares, as
+    estimated from the lanes. For sets that is the share of clauses they have in common.
 
-    With signs +1 and -1 the expected square of a difference of lane sums is the number of clauses that only one side has.
+    A lane with c of n bits set stands for the sum 2 c - n of random signs; products of two such sums have the inner product
+    as their mean.
     """
-    n = a["n"] - b["n"]
-    squares = F.lit(0).cast("long")
-    pairs = F.arrays_zip(a["narrow"].alias("x"), b["narrow"].alias("y"))
+    ab, aa, bb = F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(0).cast("long")
     for k in range(4):
-        squares = squares + F.aggregate(_lane_differences(pairs, k), F.lit(0).cast("long"), lambda acc, v: acc + (2 * v - n) * (2 * v - n))
-    apart = squares / F.lit(float(4 * LANES * HASHES))
-    return F.when(a == b, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - apart / F.greatest(a["n"] + b["n"], F.lit(1)))))
+        x, y = _signs(a, k), _signs(b, k)
+        ab, aa, bb = ab + _dot(x, y), aa + _dot(x, x), bb + _dot(y, y)
+    both = aa + bb
+    estimate = F.when(both == 0, F.lit(0.0)).otherwise(2 * ab / F.greatest(both, F.lit(1)))
+    return F.when(a == b, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), estimate)))
 
 
-def _lane_differences(pairs: Column, k: int) -> Column:
-    """x - y in the k-th lanes of pairs of longs, from -8192 to 8191."""
+def _dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda u, v: u * v), F.lit(0).cast("long"), lambda acc, v: acc + v)
 
-    def lane(v):
-        return F.call_function("shiftright", v, F.lit(16 * k)).bitwiseAND(F.lit(0x3FFF))
 
-    return F.transform(pairs, lambda z: F.pmod(lane(z["x"]) - lane(z["y"]) + 8192, F.lit(16384)) - 8192)
+def _signs(print_: Column, k: int) -> Column:
+    """Sums of signs in the k-th lanes; a lane is known modulo 2^14, the sum therefore from -2^14 to 2^14 - 1."""
+    lane = lambda v: F.call_function("shiftright", v, F.lit(16 * k)).bitwiseAND(F.lit(0x3FFF))
+    return F.transform(print_["narrow"], lambda v: F.pmod(2 * lane(v) - print_["n"] + 16384, F.lit(32768)) - 16384)
 
 
 def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:

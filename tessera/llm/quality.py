@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from tessera.llm._common import written
 from tessera.llm.lines import hashed_lines, lines, without, words
 
-FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_text")
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+FIGURES = (*BASE, "kept", "clean_text")
 
 
 def figures(docs: DataFrame) -> DataFrame:
@@ -31,7 +32,10 @@ def figures(docs: DataFrame) -> DataFrame:
     df = df.withColumn("word_chars", F.length(F.array_join("_w", "")).cast("long"))
     df = df.withColumn("n_symbols", F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long"))
     df = df.withColumn("n_dup_lines", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long")).drop("_w", "_l")
-    return with_repeats(df).drop("_h").withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    df = with_repeats(df).drop("_h").withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    # through a generator, as a filter on a figure would else be pushed down with all arrays written into its lambdas
+    own = [c for c in df.columns if c not in BASE]
+    return df.select(*own, F.explode(F.array(F.struct(*BASE))).alias("_x")).select(*own, "_x.*")
 
 
 def with_repeats(df: DataFrame) -> DataFrame:
@@ -74,7 +78,7 @@ def quality_rules(docs: DataFrame, share: float = 0.02, min_documents: int = 5,
     keyed = docs.drop(*FIGURES).withColumn("_host", F.xxhash64("source")).withColumn("_t", F.xxhash64(F.coalesce("text", F.lit(""))))
     lost = over_limit(keyed, share, min_documents)
     joined = figures(keyed).join(lost, ["_host", "_t"], "left")
-    verdict = ~F.col("base_failed") & (F.coalesce("_lost", F.lit(0)) <= depleted * F.col("n_words"))
+    verdict = F.when(F.col("base_failed"), F.lit(False)).otherwise(F.coalesce("_lost", F.lit(0)) <= depleted * F.col("n_words"))
     return joined.withColumn("kept", verdict).withColumn("clean_text", without(F.coalesce("text", F.lit("")), F.col("_gone"))).drop("_host", "_t", "_gone", "_lost")
 
 

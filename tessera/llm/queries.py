@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import fingerprints, line_dedup, mixing, packing, quality, secret_scan, simhash, token_counts
+from tessera.llm import fingerprints, line_dedup, mixing, packing, quality, secret_scan, simhash, suffix_dedup, token_counts
 from tessera.llm._common import documents
 
 
@@ -42,5 +42,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_packing, op3_quality_rules, op4_line_dedup, op6_fingerprints, op7_mixing, op8_simhash, op9_token_counts)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_packing, op3_quality_rules, op4_line_dedup, op6_fingerprints, op7_mixing, op8_simhash, op9_token_counts, op10_suffix_dedup)}
 ORACLE: dict[str, str] = {"op3_quality_rules": quality.QUALITY_ORACLE, "op4_line_dedup": line_dedup.LINE_ORACLE, "op7_mixing": mixing.MIX_ORACLE}
