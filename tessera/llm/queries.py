@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import fingerprints, line_dedup, mixing, packing, quality, secret_scan, simhash, suffix_dedup, token_counts
+from tessera.llm import fingerprints, line_dedup, mixing, packing, pii, quality, secret_scan, simhash, suffix_dedup, token_counts
 from tessera.llm._common import documents
 
 
@@ -26,6 +26,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", F.sha2("clean_text", 256).alias("kept_sha256"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_report(documents(spark, sf_dir))
 
@@ -46,5 +50,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeats(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_packing, op3_quality_rules, op4_line_dedup, op6_fingerprints, op7_mixing, op8_simhash, op9_token_counts, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_packing, op3_quality_rules, op4_line_dedup, op5_pii, op6_fingerprints, op7_mixing, op8_simhash, op9_token_counts, op10_suffix_dedup)}
 ORACLE: dict[str, str] = {"op3_quality_rules": quality.QUALITY_ORACLE, "op4_line_dedup": line_dedup.LINE_ORACLE, "op7_mixing": mixing.MIX_ORACLE}
