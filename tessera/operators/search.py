@@ -142,7 +142,7 @@ def rank_papers(papers: DataFrame, tags: DataFrame, units: DataFrame, text: str,
         "unit_points": F.least(flag("_units"), F.lit(3)),
         "required_points": F.lit(10 * len(required)),
     }
-    df = df.select("paper_id", "paper_key", "best_rank", *(v.cast("long").alias(k) for k, v in parts.items()))
+    df = df.select("paper_id", "paper_key", "title", "best_rank", *(v.cast("long").alias(k) for k, v in parts.items()))
     return df.withColumn("score", reduce(lambda a, b: a + b, map(F.col, parts)))
 
 

@@ -78,7 +78,7 @@ def exp_linear(x: Column, n: int) -> Column:
 
 
 def biot_savart(dx: Column, dy: Column, dz: Column, jx: Column, jy: Column, jz: Column) -> dict[str, Column]:
-    """MTH05: the field of a current element at the difference to its target."""
+    """MTH05: the field of a current element, by the difference from its target to it."""
     r3 = F.pow(dx * dx + dy * dy + dz * dz, 1.5)
     return {"bx": (jz * dy - jy * dz) / r3, "by": (jx * dz - jz * dx) / r3, "bz": (jy * dx - jx * dy) / r3}
 

@@ -39,7 +39,7 @@ def grf04(t):
     return t.documents.select(F.col("source").alias("src"), F.col("lang").alias("dst")).distinct()
 
 
-@query("set04_undefined", "SELECT source, array_to_string(list_sort(list(DISTINCT lang) FILTER (lang NOT IN ('en', 'fr'))), ',') AS missing FROM documents GROUP BY 1")
+@query("set04_undefined", "SELECT source, coalesce(array_to_string(list_sort(list(DISTINCT lang) FILTER (lang NOT IN ('en', 'fr'))), ','), '') AS missing FROM documents GROUP BY 1")
 def set04(t):
     used = t.documents.groupBy("source").agg(F.collect_set("lang").alias("u"))
     return used.select("source", F.array_join(F.sort_array(C.undefined(F.col("u"), F.array(F.lit("fr")), ["en"])), ",").alias("missing"))

@@ -81,7 +81,7 @@ def fts06(t):
     text, required = S.split_query(QUERY)
     found = S.best_units(S.bm25(units(t), S.query_phrases(t.spark, text)), 20)
     ranked = S.rank_papers(papers(t), tags(t), found, text, required, preferred=[(None, "good")], excluded=[("label", "toxic")])
-    return S.top(ranked, 20).drop("paper_key", "best_rank")
+    return S.top(ranked, 20).drop("paper_key", "title", "best_rank")
 
 
 @query(

@@ -59,7 +59,7 @@ def jon21(t):
 @query("jon22_biot_savart")
 def jon22(t):
     loop = V.ring(t.spark, 64)
-    kernel = lambda dx, dy, dz: V.biot_savart(-dx, -dy, -dz, F.col("jx"), F.col("jy"), F.col("jz"))
+    kernel = lambda dx, dy, dz: V.biot_savart(dx, dy, dz, F.col("jx"), F.col("jy"), F.col("jz"))
     targets = t.supplier.filter("s_suppkey <= 50").selectExpr("s_suppkey AS id", "0D AS x", "0D AS y", "s_suppkey / 10D AS z")
     return V.pairwise_sums(targets, loop, kernel, skip_self=False)
 
