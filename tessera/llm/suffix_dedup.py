@@ -92,21 +92,27 @@ def suffix_order(sym: np.ndarray) -> np.ndarray:
     s = np.zeros(n + 3, np.uint64)
     s[:n] = sym
     key = s[:n] << np.uint64(48) | s[1 : n + 1] << np.uint64(32) | s[2 : n + 2] << np.uint64(16) | s[3 : n + 3]
-    order = np.argsort(key)
-    sorted_key = key[order]
-    rank = np.zeros(n, np.int64)
-    first = np.r_[True, sorted_key[1:] != sorted_key[:-1]]
-    rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
-    step, slots = 4, np.flatnonzero(~(first & np.r_[first[1:], True]))
+    order = np.argsort(key).astype(np.int32)
+    key = key[order]
+    first = np.r_[True, key[1:] != key[:-1]]
+    del key, s
+    rank = np.zeros(n + 1, np.int64)  # 0 is behind the end; a suffix's rank is the place of its first equal, from 1
+    rank[order] = np.maximum.accumulate(np.where(first, np.arange(1, n + 1, dtype=np.int32), 0))
+    step, slots = 4, np.flatnonzero(~(first & np.r_[first[1:], True])).astype(np.int32)
+    bits = n.bit_length()
     while len(slots):
         at = order[slots]
-        ahead = at + step
-        k = rank[at] << 32 | np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
-        by = np.argsort(k)
-        at, k = at[by], k[by]
+        k = rank[at] << bits | rank[np.minimum(at + step, n)]
+        if 3 * bits <= 63:  # the suffix itself has room in the key: a plain sort is enough
+            k = np.sort(k << bits | at)
+            at = (k & ((1 << bits) - 1)).astype(np.int32)
+            k >>= bits
+        else:
+            by = np.argsort(k)
+            at, k = at[by], k[by]
         order[slots] = at
         new = np.r_[True, k[1:] != k[:-1]]
-        rank[at] = np.maximum.accumulate(np.where(new, slots, 0))
+        rank[at] = np.maximum.accumulate(np.where(new, slots + 1, 0))
         slots = slots[~(new & np.r_[new[1:], True])]
         step *= 2
     return order
@@ -119,25 +125,24 @@ def long_prefixes(sym: np.ndarray, order: np.ndarray, length: int) -> np.ndarray
     others, each a run of last-to-first positions; the end of each, if still unset, has a common prefix of `depth`.
     """
     n = len(sym)
-    before = sym[order - 1]  # the Burrows-Wheeler transform
-    lf = np.empty(n, np.int64)
-    lf[np.argsort(before, kind="stable")] = np.arange(n)
+    before = sym[order - 1].astype(np.uint16)  # the Burrows-Wheeler transform
+    lf = np.empty(n, np.int32)
+    lf[np.argsort(before, kind="stable")] = np.arange(n, dtype=np.int32)
+    front = sym[order].astype(np.uint16)
+    left = np.flatnonzero(np.r_[True, front[1:] != front[:-1]]).astype(np.int32)  # depth 0: one interval per symbol
+    right = np.r_[left[1:], n].astype(np.int32)
     unset = np.ones(n + 1, bool)
-    unset[0] = unset[n] = False
-    front = sym[order]
-    left, right = np.array([0]), np.array([n])
-    for _ in range(length):
+    unset[left] = unset[n] = False
+    for _ in range(1, length):
+        wide = right - left
         if not len(left):
             break
-        width = right - left
-        places = np.repeat(left - np.r_[0, np.cumsum(width)[:-1]], width) + np.arange(int(width.sum()))
-        owner = np.repeat(np.arange(len(left)), width)
-        to = lf[places]
-        by = np.argsort(to)
-        to, owner = to[by], owner[by]
-        cut = np.r_[True, (owner[1:] != owner[:-1]) | (to[1:] != to[:-1] + 1) | (front[to[1:]] != front[to[:-1]])]
-        left = to[cut]
-        right = to[np.r_[np.flatnonzero(cut)[1:] - 1, len(to) - 1]] + 1
+        ends = np.cumsum(wide)
+        places = np.repeat(left - (ends - wide), wide) + np.arange(int(ends[-1]), dtype=np.int32)
+        k = np.sort(lf[places].astype(np.int64) << 32 | np.repeat(np.arange(len(left), dtype=np.int32), wide))
+        to, owner = (k >> 32).astype(np.int32), k.astype(np.int32)
+        cut = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (to[1:] != to[:-1] + 1) | (front[to[1:]] != front[to[:-1]])])
+        left, right = to[cut], to[np.r_[cut[1:], len(to)] - 1] + np.int32(1)
         fresh = unset[right]
         left, right = left[fresh], right[fresh]
         unset[right] = False
@@ -180,10 +185,18 @@ def _cut_segments(held: DataFrame, length: int) -> DataFrame:
     return held.select("h", "sh", "off", "n", F.substring(F.encode("text", "utf-8"), (F.col("first") + 1).cast("int"), F.col("n") + F.lit(length - 1)).alias("seg"))
 
 
-def _compare(length: int):
+def _compare(length: int, batch: int):
+    """Ranges of repeated window starts of the classes in a shard. Groups are independent, so they are compared in batches of about `batch` segments."""
+
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates(["h", "sh"])  # a class may come from several parts of a split anchor
-        out = [(h, sh, a, b) for h, sh, flags in zip(rows["h"], rows["sh"], repeated_starts(rows["seg"].tolist(), length), strict=True) for a, b in runs(flags)]
+        rows = rows.sort_values("g", ignore_index=True)
+        sizes = rows.groupby("g", sort=True).size().to_numpy()
+        number = np.repeat((np.cumsum(sizes) - sizes) // batch, sizes)
+        out = []
+        for _, part in rows.groupby(number, sort=False):
+            part = part.drop_duplicates(["h", "sh"])  # a class may come from several parts of a split anchor
+            for h, sh, flags in zip(part["h"], part["sh"], repeated_starts(part["seg"].tolist(), length), strict=True):
+                out += [(h, sh, x, y) for x, y in runs(flags)]
         return pd.DataFrame(out, columns=["h", "sh", "a", "b"])
 
     return compare
@@ -215,7 +228,7 @@ def _split_groups(segs: DataFrame, length: int, most: int) -> tuple[list[DataFra
         nodes = parts.join(hot, key, "left_semi").select("h", "sh", "off", "n", "seg", "o", "size")
 
 
-def repeats(docs: DataFrame, length: int = 400, most: int = 1000, shard_rows: int = 6000) -> DataFrame:
+def repeats(docs: DataFrame, length: int = 400, most: int = 1000, shard_rows: int = 2500) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs.
 
     most: classes of an anchor that are compared without splitting; shard_rows: segments in a shard, about.
@@ -240,7 +253,7 @@ def repeats(docs: DataFrame, length: int = 400, most: int = 1000, shard_rows: in
         for part in to_compare:
             segs = segs.unionAll(part)
     shards = max(1, -(-rows // shard_rows))
-    compared = segs.withColumn("shard", F.pmod("g", F.lit(shards))).groupBy("shard").applyInPandas(lambda x: _compare(length)(x), "h long, sh long, a int, b int")
+    compared = segs.withColumn("shard", F.pmod("g", F.lit(shards))).groupBy("shard").applyInPandas(_compare(length, shard_rows), "h long, sh long, a int, b int")
     found.append(compared)
     ranges = found[0]
     for part in found[1:]:
