@@ -33,7 +33,7 @@ FEMALE = r"Mrs|Miss|Ms|Frau|Madame|Mme|Señora|г-жа"
 NAME = rf"(?<![\p{{L}}\p{{N}}-])(?:{MALE}|{FEMALE})\.? \p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+){{0,2}}"
 PATTERN = "|".join((EMAIL, IP, IBAN, CARD, SSN, PHONE, NAME))
 #: Whatever PATTERN finds holds one of these.
-HINT = rf"[0-9]{{2}}|@|[0-9]\.[0-9]|(?:{MALE}|{FEMALE})\.? \p{{Lu}}"
+HINT = rf"[0-9][ .-]?[0-9]|@|(?:{MALE}|{FEMALE})\.? \p{{Lu}}"
 #: Fixed parts of invented names, by script.
 PARTS = {"latin": ("ba", "der", "fel", "gor", "hal", "jen", "kor", "lin", "mar", "nor", "pol", "rus", "sel", "tam", "vel", "wes"), "cyrillic": ("ба", "вор", "гал", "дем", "жин", "зор", "кал", "лев", "мир", "нов", "пол", "рус", "сав", "тим", "чер", "юр")}
 MOST_ATTEMPTS = 64
