@@ -133,10 +133,9 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     if not n:
         starts, n = [0], 1
     table = F.array(*map(F.lit, starts))
-    at = F.lit(0)
-    for bit in reversed(range(n.bit_length())):  # binary search for the last start that isn't above the id
-        step = at + (1 << bit)
-        at = F.when((step < n) & (F.get(table, step) <= F.col("doc_id")), step).otherwise(at)
+    # binary search for the last start that isn't above the id
+    steps = F.array(*(F.lit(1 << bit) for bit in reversed(range(n.bit_length()))))
+    at = F.aggregate(steps, F.lit(0), lambda a, s: F.when((a + s < n) & (F.get(table, a + s) <= F.col("doc_id")), a + s).otherwise(a))
     own = texts.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(n - 1)).otherwise(at))
     first = F.get(table, F.col("range")) == F.col("doc_id")
     before = F.pmod(F.col("range") - 1, F.lit(n))
