@@ -57,7 +57,7 @@ def src13(t):
 )
 def tgf14(t):
     code = t.documents.filter("doc_id % 5 = 0").select("doc_id", F.posexplode(F.split(F.translate("text", ".,", "{}"), "\n")).alias("n", "line"))
-    return C.brace_depth(code, "doc_id", "n", "line").select("doc_id", "n", F.col("depth").cast("long").alias("depth"))
+    return C.brace_depth(code, "doc_id", "n", "line").select("doc_id", F.col("n").cast("long").alias("n"), F.col("depth").cast("long").alias("depth"))
 
 
 @query("str21_calls", "SELECT doc_id, len(list_distinct(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]*(?:(?:::|\\.)[A-Za-z_][A-Za-z0-9_]*)*)\\s*\\(', 1))) AS n FROM documents")

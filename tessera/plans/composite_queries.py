@@ -66,7 +66,7 @@ def tgf09(t):
     return C.parser_sections(t.part.select("p_partkey", F.lit(doc).alias("json")), "p_partkey").select("p_partkey", "path")
 
 
-@query("mth07_cross_product", "SELECT s_suppkey, 2.0 * 0 - s_suppkey * 1.0 AS x FROM supplier")
+@query("mth07_cross_product", "SELECT s_suppkey, (2.0 * 0 - s_suppkey * 1.0)::DOUBLE AS x FROM supplier")
 def mth07(t):
     a = F.array(F.lit(1.0), F.lit(2.0), F.col("s_suppkey").cast("double"))
     return t.supplier.select("s_suppkey", C.cross(a, F.array(F.lit(0.0), F.lit(1.0), F.lit(0.0)))[0].alias("x"))

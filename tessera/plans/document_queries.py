@@ -39,7 +39,7 @@ def tgf05(t):
     """SELECT doc_id, i AS ordinal, md5(substr(text, i * 800 + 1, 1000)) AS h FROM (SELECT doc_id, text, unnest(range(0, 1 + greatest(length(text) - 201, 0) // 800)) AS i FROM documents WHERE length(text) > 0)""",
 )
 def tgf06(t):
-    return D.character_chunks(t.documents, "doc_id").select("doc_id", "ordinal", F.md5("content").alias("h"))
+    return D.character_chunks(t.documents, "doc_id").select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), F.md5("content").alias("h"))
 
 
 @query(
@@ -77,7 +77,7 @@ def tgf16(t):
     return rows.select("source", F.array_join(F.transform("s", lambda x: F.concat(x["doc_id"].cast("string"), F.lit(": "), x["lang"])), "\n").alias("skeleton"))
 
 
-@query("tgf19_tag_rows", "SELECT c_custkey AS paper_id, c_mktsegment AS raw_name, CASE WHEN c_mktsegment = 'BUILDING' THEN 'construction' ELSE lower(c_mktsegment) END AS tag, CASE WHEN c_mktsegment = 'BUILDING' THEN 0.8 ELSE 0.7 END AS confidence FROM customer")
+@query("tgf19_tag_rows", "SELECT c_custkey AS paper_id, c_mktsegment AS raw_name, CASE WHEN c_mktsegment = 'BUILDING' THEN 'construction' ELSE lower(c_mktsegment) END AS tag, CAST(CASE WHEN c_mktsegment = 'BUILDING' THEN 0.8 ELSE 0.7 END AS DOUBLE) AS confidence FROM customer")
 def tgf19(t):
     tagged = t.customer.select(F.col("c_custkey").alias("paper_id"), F.lit("topic").alias("category"), F.col("c_mktsegment").alias("raw_name"))
     aliases = t.spark.sql("SELECT 'building' AS normalized_alias, 'topic' AS category, 'construction' AS tag")

@@ -191,7 +191,7 @@ def tgf18(t):
     return code.diff_files(t.customer.select("c_custkey", diff.alias("text")), "c_custkey", "text")
 
 
-@query("tgf20_method_rows", "SELECT p_partkey AS paper_id, CASE WHEN p_size > 25 THEN p_name ELSE 'unnamed' END AS name, CASE WHEN p_partkey % 2 = 0 THEN 0.9 ELSE 0.5 END AS confidence FROM part")
+@query("tgf20_method_rows", "SELECT p_partkey AS paper_id, CASE WHEN p_size > 25 THEN p_name ELSE 'unnamed' END AS name, CAST(CASE WHEN p_partkey % 2 = 0 THEN 0.9 ELSE 0.5 END AS DOUBLE) AS confidence FROM part")
 def tgf20(t):
     name = F.when(F.col("p_size") > 25, F.col("p_name"))
     source = t.part.filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("paper_id"), name.alias("name"), F.lit(0.9).alias("confidence"), F.array("p_type").alias("steps"))
@@ -223,7 +223,7 @@ def tgf22(t):
 def cmp17(t):
     lines = t.conversations.select("conv_id", F.col("turn").alias("n"), "text")
     added = lines.select("conv_id").distinct().select("conv_id", F.lit(1).cast("long").alias("n"), F.lit("doc").alias("text"))
-    return parsing.insert_lines(lines, added, "conv_id", "n", "text")
+    return parsing.insert_lines(lines, added, "conv_id", "n", "text").select("conv_id", F.col("n").cast("long").alias("n"), "text")
 
 
 @query("cmp05_match_scores", "SELECT paper_id, 1.0 / r AS match_score FROM (SELECT o_orderkey AS paper_id, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 30")

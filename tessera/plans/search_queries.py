@@ -71,8 +71,8 @@ counted AS (SELECT paper_id, count(*) AS n FROM (SELECT * FROM ranked ORDER BY r
 p AS (SELECT doc_id AS paper_id, contains(lower(split_part(split_part(text, chr(10), 1), '.', 1)), 'license') AS in_title, contains(lower(text), 'license') AS in_body,
   lang, coalesce(quality, 0) AS quality, coalesce(toxic, 0) AS toxic, coalesce(c.n, 0) AS n
   FROM documents LEFT JOIN labels USING (doc_id) LEFT JOIN counted c ON c.paper_id = doc_id),
-s AS (SELECT paper_id, CASE WHEN in_title THEN 5 ELSE 0 END AS title_points, CASE WHEN in_body THEN 2 ELSE 0 END AS body_points,
-  4 * quality AS preferred_points, 6 * quality AS user_points, least(n, 3) AS unit_points, 10 AS required_points FROM p WHERE lang = 'en' AND toxic = 0)
+s AS (SELECT paper_id, CASE WHEN in_title THEN 5 ELSE 0 END::BIGINT AS title_points, CASE WHEN in_body THEN 2 ELSE 0 END::BIGINT AS body_points,
+  (4 * quality)::BIGINT AS preferred_points, (6 * quality)::BIGINT AS user_points, least(n, 3) AS unit_points, 10::BIGINT AS required_points FROM p WHERE lang = 'en' AND toxic = 0)
 SELECT *, title_points + body_points + preferred_points + user_points + unit_points + required_points AS score FROM s ORDER BY score DESC, paper_id LIMIT 20"""
 
 

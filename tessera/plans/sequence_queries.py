@@ -65,11 +65,11 @@ def lines(t):
 @query("win12_context_lines", f"WITH l AS {LINES_SQL} SELECT DISTINCT l.doc_id, l.line_no FROM l JOIN l h ON l.doc_id = h.doc_id AND abs(l.line_no - h.line_no) <= 2 WHERE contains(h.line, 'icense')")
 def win12(t):
     rows = lines(t)
-    return S.around(rows, rows.filter(F.col("line").contains("icense")), "doc_id", "line_no", 2).select("doc_id", "line_no")
+    return S.around(rows, rows.filter(F.col("line").contains("icense")), "doc_id", "line_no", 2).select("doc_id", F.col("line_no").cast("long").alias("line_no"))
 
 
 @query("jon23_range_join", f"WITH l AS {LINES_SQL} SELECT l.doc_id, h.line_no AS first, count(*) AS n, sum(length(l.line))::BIGINT AS chars FROM l JOIN l h ON l.doc_id = h.doc_id AND l.line_no BETWEEN h.line_no AND h.line_no + 3 WHERE contains(h.line, 'icense') GROUP BY ALL")
 def jon23(t):
     rows = lines(t)
     spans = rows.filter(F.col("line").contains("icense")).select("doc_id", F.col("line_no").alias("first"), (F.col("line_no") + 3).alias("last"))
-    return S.within(rows, spans, "doc_id", "line_no").groupBy("doc_id", "first").agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("chars"))
+    return S.within(rows, spans, "doc_id", "line_no").groupBy("doc_id", F.col("first").cast("long").alias("first")).agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("chars"))
