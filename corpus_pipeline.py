@@ -14,6 +14,8 @@ from tessera.llm import line_dedup, mixing, packing, quality, simhash
 from tessera.llm._common import documents, written
 
 COLUMNS = ("doc_id", "text", "lang", "source")
+#: Stands for a missing doc_id in joins; the least long, which no document has.
+NO_ID = -(1 << 63)
 
 
 def _as_documents(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -32,11 +34,15 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least doc_id."""
+    """Of each group of near-duplicates the document with the least doc_id; a repeated row stays once.
+
+    Documents without an id stay if no document of their group has one, equal texts once.
+    """
     groups = simhash.near_duplicates(docs)
-    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
-    return _as_documents(kept.dropDuplicates(["doc_id"]))
+    key = F.coalesce("doc_id", F.lit(NO_ID))  # one plain key, so that the join and the repeated rows share a shuffle
+    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("_k")).distinct()
+    kept = docs.select(*COLUMNS, key.alias("_k"), F.xxhash64("text").alias("_t")).join(first, "_k", "left_semi")
+    return _as_documents(kept.dropDuplicates(["_k", "_t"]))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
