@@ -16,6 +16,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm._common import written
+
 #: Fixed by the construction of uniform numbers: 52 bits of a SHA-256.
 UNIFORM_BITS = 52
 
@@ -52,10 +54,12 @@ def cumulative(rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["all"])
 
 
-def with_counts(docs: DataFrame, temperature: float = 0.5, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: int = 11) -> DataFrame:
-    """docs with n_copies. The table of sources is joined by its size: Spark broadcasts it if small and splits a hot source if not."""
-    table = rates(docs, temperature, weights, epochs).select(F.col("source").alias("_source"), cumulative(F.col("rate")).alias("_cdf"))
-    joined = docs.join(table, F.col("source").eqNullSafe(F.col("_source")))
+def with_counts(docs: DataFrame, temperature: float = 0.5, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: int = 11, most_steps: int = 1_000_000) -> DataFrame:
+    """docs with n_copies. The written table of sources is broadcast if its distributions have at most most_steps numbers in
+    all; beyond that Spark joins it by shuffles and splits a hot source."""
+    table = written(rates(docs, temperature, weights, epochs).select(F.col("source").alias("_source"), cumulative(F.col("rate")).alias("_cdf")))
+    steps = table.agg(F.sum(F.size("_cdf"))).first()[0] or 0
+    joined = docs.join(F.broadcast(table) if steps <= most_steps else table, F.col("source").eqNullSafe(F.col("_source")))
     u = uniform(seed, "doc_id")
     return joined.withColumn("_u", u).withColumn("n_copies", F.size(F.filter("_cdf", lambda c: c < F.col("_u")))).drop("_source", "_cdf", "_u")
 

@@ -282,6 +282,8 @@ def test_mixing(spark, docs):
     for k in range(6):
         assert abs(counts[k] / total - math.exp(-2) * 2**k / math.factorial(k)) < 0.02
     assert mixing.mix(docs).count() == mixing.mix(docs).count()
+    few = mixing.with_counts(docs, most_steps=0).select("doc_id", "n_copies")
+    assert key(map(tuple, few.collect())) == key(map(tuple, mixing.with_counts(docs).select("doc_id", "n_copies").collect()))
     placed = [r.source for r in mixing.mix(big).collect()]
     assert 0.2 < np.mean([a == b for a, b in zip(placed, placed[1:])]) < 0.6
 
