@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import line_dedup, mixing, packing, quality, simhash
+from tessera.llm import line_dedup, mixing, near_text, packing, quality
 from tessera.llm._common import documents, written
 
 COLUMNS = ("doc_id", "text", "lang", "source")
@@ -36,12 +36,12 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the least doc_id; a repeated row stays once.
 
-    Documents without an id stay if no document of their group has one, equal texts once.
+    Texts are linked if the Jaccard similarity of their five-word shingles is 0.8 or more. Documents without an id stay if no
+    document of their group has one, equal texts once.
     """
-    groups = simhash.near_duplicates(docs)
-    key = F.coalesce("doc_id", F.lit(NO_ID))  # one plain key, so that the join and the repeated rows share a shuffle
-    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("_k")).distinct()
-    kept = docs.select(*COLUMNS, key.alias("_k"), F.xxhash64("text").alias("_t")).join(first, "_k", "left_semi")
+    groups = near_text.near_texts(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_k"), F.col("doc_id").isNull().alias("_none"), "component")
+    first = groups.groupBy("component").agg(F.min(F.struct("_none", "_k")).alias("_first")).select("_first._k").distinct()
+    kept = docs.select(*COLUMNS, F.coalesce("doc_id", F.lit(NO_ID)).alias("_k"), F.xxhash64("text").alias("_t")).join(first, "_k", "left_semi")
     return _as_documents(kept.dropDuplicates(["_k", "_t"]))
 
 
