@@ -34,14 +34,14 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least doc_id; a repeated row stays once.
+    """Of each group of near-duplicates the one row with the least doc_id, then the least hash of the text; null ids come last.
 
-    Texts are linked if the Jaccard similarity of their five-word shingles is 0.8 or more. Documents without an id stay if no
-    document of their group has one, equal texts once.
+    Texts are linked if the Jaccard similarity of their five-word shingles is 0.8 or more.
     """
-    groups = near_text.near_texts(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_k"), F.col("doc_id").isNull().alias("_none"), "component")
-    first = groups.groupBy("component").agg(F.min(F.struct("_none", "_k")).alias("_first")).select("_first._k").distinct()
-    kept = docs.select(*COLUMNS, F.coalesce("doc_id", F.lit(NO_ID)).alias("_k"), F.xxhash64("text").alias("_t")).join(first, "_k", "left_semi")
+    groups = near_text.near_texts(docs).withColumn("_none", F.col("doc_id").isNull())
+    first = groups.groupBy("component").agg(F.min(F.struct("_none", F.coalesce("doc_id", F.lit(NO_ID)).alias("_k"), F.col("t").alias("_t"))).alias("_first")).select("_first._k", "_first._t")
+    # plain keys, so that the join and the repeated rows share a shuffle
+    kept = docs.select(*COLUMNS, F.coalesce("doc_id", F.lit(NO_ID)).alias("_k"), F.xxhash64("text").alias("_t")).join(first, ["_k", "_t"], "left_semi")
     return _as_documents(kept.dropDuplicates(["_k", "_t"]))
 
 

@@ -78,3 +78,16 @@ def test_smoke_table(spark):
     for r in near_text.near_texts(docs).collect():
         groups.setdefault(r.component, set()).add(r.doc_id)
     assert sorted(map(sorted, groups.values())) == [[ids[i] for i in g] for g in brute_groups(texts)]
+
+
+def test_one_row_of_each_group_stays_with_null_and_repeated_ids(spark):
+    rng = random.Random(8)
+    base = [[f"w{rng.randrange(9999)}" for _ in range(100)] for _ in range(4)]
+    near = [" ".join(["other", *w[1:]]) for w in base]
+    text = list(map(" ".join, base))
+    rows = [(None, text[0]), (None, near[0]), (None, text[1]), (3, near[1]), (5, text[2]), (5, near[2]), (5, text[3]), (4, near[3])]
+    rows = [(d, t, None, "s", 0) for d, t in rows]
+    kept = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, SCHEMA), DATA).collect()
+    groups = [{text[i], near[i]} for i in range(4)]
+    assert sorted(i for r in kept for i in range(4) if r.text in groups[i]) == [0, 1, 2, 3]
+    assert {r.doc_id for r in kept if r.text in groups[1] | groups[3]} == {3, 4}
