@@ -29,8 +29,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without cross-site boilerplate."""
-    return _as_documents(line_dedup.line_dedup(docs.select(*COLUMNS)), "clean_text")
+    """All documents, without cross-site boilerplate; near-duplicates that mostly consist of it are left to the next stage."""
+    return _as_documents(line_dedup.line_dedup(docs.select(*COLUMNS), copies=near_text.copies), "clean_text")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 Each line's sites go into a HyperLogLog sketch; sketches merge by aggregation. A line whose estimate is clearly above the
 threshold is boilerplate; one whose estimate lies within the sketch's error of the threshold gets an exact distinct count.
 Boilerplate lines are removed from every document of which they are the smaller part; a document that consists mostly of
-such lines is a copy rather than a page with boilerplate, and is left whole for the near-duplicate stage.
+such lines is taken for a copy and left whole; given a test for copies, only if it is one, else it loses these lines too.
 
 A site is a source; a null source counts as one site. Null texts are empty. Repeated rows are treated alike, empty tables
 give no rows. Columns of docs named like the results (n_lines, n_removed, clean_text) are replaced.
@@ -12,6 +12,7 @@ give no rows. Columns of docs named like the results (n_lines, n_removed, clean_
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +31,12 @@ def spread_lines(held: DataFrame, min_sites: int, lg_k: int = 12, deviations: fl
     return rough.filter(F.col("sites") > min_sites + margin).select("h").unionAll(exact.select("h"))
 
 
-def line_dedup(docs: DataFrame, min_sites: int = 10, most: float = 0.5) -> DataFrame:
-    """docs with n_lines, n_removed and clean_text (without cross-site boilerplate)."""
+def line_dedup(docs: DataFrame, min_sites: int = 10, most: float = 0.5, copies: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """docs with n_lines, n_removed and clean_text (without cross-site boilerplate).
+
+    copies: of rows (doc_id, text) whose larger part is boilerplate the distinct doc_id and t (xxhash64 of the text) of those
+    that are copies and stay whole; without it all of them stay.
+    """
     keyed = docs.drop("n_lines", "n_removed", "clean_text").withColumn("_t", F.xxhash64(F.coalesce("text", F.lit(""))))
     rows = keyed.select("doc_id", "_t", F.xxhash64("source").alias("_site"), F.explode(F.filter(hashed_lines(F.coalesce("text", F.lit(""))), lambda x: x["h"].isNotNull())).alias("x"))
     held = written(rows.select("doc_id", "_t", "_site", "x.h", "x.words"))
@@ -40,8 +45,16 @@ def line_dedup(docs: DataFrame, min_sites: int = 10, most: float = 0.5) -> DataF
     joined = keyed.join(hits, keyed["doc_id"].eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_dt")), "left")
     text = F.coalesce("text", F.lit(""))
     total = F.aggregate(hashed_lines(text), F.lit(0).cast("long"), lambda a, x: a + x["words"])
-    gone = F.when(F.col("_gone").isNotNull() & (F.col("_lost") <= most * total), F.col("_gone"))
-    out = joined.withColumn("_gone", gone).withColumn("clean_text", without(text, F.col("_gone")))
+    crowded = F.coalesce(F.col("_lost") > most * total, F.lit(False))
+    if copies is None:
+        joined = joined.withColumn("_gone", F.when(~crowded, F.col("_gone")))
+    else:
+        marked = written(joined.withColumn("_crowded", crowded))
+        some = marked.filter("_crowded")
+        whole = copies(some.select("doc_id", "text")).select(F.col("doc_id").alias("_w"), F.col("t").alias("_wt"), F.lit(True).alias("_whole"))
+        some = some.join(whole, some["doc_id"].eqNullSafe(F.col("_w")) & (F.col("_t") == F.col("_wt")), "left").withColumn("_gone", F.when(F.col("_whole").isNull(), F.col("_gone")))
+        joined = marked.filter("NOT _crowded").unionByName(some.select(*marked.columns)).drop("_crowded")
+    out = joined.withColumn("clean_text", without(text, F.col("_gone")))
     n = F.size(lines(text)).cast("long")
     removed = F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size(F.filter(hashed_lines(text), lambda x: F.coalesce(F.array_contains(F.col("_gone"), x["h"]), F.lit(False)))))
     return out.withColumn("n_lines", n).withColumn("n_removed", removed.cast("long")).drop("_t", "_d", "_dt", "_gone", "_lost")

@@ -118,3 +118,9 @@ def near_texts(docs: DataFrame, size: int = 5, similarity: float = 0.8, seed: in
     rows = written(sets(docs, size, seed))
     trees = links(rows, similarity)
     return rows.select("doc_id", "t", "c").join(trees.select(F.col("a").alias("c"), "b"), "c", "left").select("doc_id", "t", F.coalesce("b", "c").alias("component"))
+
+
+def copies(docs: DataFrame) -> DataFrame:
+    """The distinct doc_id and t of the rows whose text is linked with another row's or equals it."""
+    found = written(near_texts(docs))
+    return found.join(found.groupBy("component").count().filter("count > 1").select("component"), "component").select("doc_id", "t").distinct()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.llm import near_text
 from tessera.llm._common import written
 from tests.conftest import DATA
-from tests.llm.test_llm import SCHEMA, hard_texts
+from tests.llm.test_llm import SCHEMA, hard_texts, word
 
 
 def brute_groups(texts, limit=0.8):
@@ -91,3 +91,13 @@ def test_one_row_of_each_group_stays_with_null_and_repeated_ids(spark):
     groups = [{text[i], near[i]} for i in range(4)]
     assert sorted(i for r in kept for i in range(4) if r.text in groups[i]) == [0, 1, 2, 3]
     assert {r.doc_id for r in kept if r.text in groups[1] | groups[3]} == {3, 4}
+
+
+def test_line_stage_removes_boilerplate_from_all_but_copies(spark):
+    passage = " ".join(word(7, k) for k in range(80))
+    page = "\n".join(" ".join(word(8, j, k) for k in range(40)) for j in range(2))
+    own = [" ".join(word(i, k) for k in range(60)) for i in range(12)]
+    rows = [(i, f"{passage}\n{own[i]}", None, f"s{i}", 0) for i in range(12)] + [(100 + i, page, None, f"s{i}", 0) for i in range(11)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, spark.createDataFrame(rows, SCHEMA), DATA).collect()}
+    assert all(got[100 + i] == page for i in range(11))  # copies, of which the next stage keeps one
+    assert [got[i] for i in range(12)] == own
