@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -79,21 +80,22 @@ def brace_depth(lines: DataFrame, group: str, order: str, line: str) -> DataFram
     return marked.withColumn("scope", F.coalesce(F.sum("_e").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_e")
 
 
-def closure(edges: DataFrame, start: DataFrame, most_rounds: int = 1000) -> DataFrame:
+def closure(edges: DataFrame, start: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """GRF01, GRF05: node, depth of all nodes reachable from the start nodes, at the least depth.
 
-    Each round joins only the nodes that are new, and is cut off from the rounds before by a checkpoint.
+    Rounds go on until one finds no new node; beyond most_rounds an error is raised, never a part of the closure returned. Each round joins only the nodes that are new, and is cut off from the rounds before by a checkpoint.
     """
     spark = edges.sparkSession
     keep = _checkpointed(spark)
     edges = edges.select("src", "dst").distinct()
     seen = new = keep(start.select(F.col("node")).distinct().withColumn("depth", F.lit(0)))
-    for depth in range(1, most_rounds):
+    for depth in count(1):
         new = keep(new.join(edges, new["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if new.isEmpty():
             return seen
+        if depth == most_rounds:
+            raise RuntimeError(f"new nodes are still found after {depth} rounds")
         seen = keep(seen.unionByName(new))
-    return seen
 
 
 def _checkpointed(spark):

@@ -111,6 +111,14 @@ def test_fuzzy_cascade_and_containment(spark):
     assert {(r.stem, r.match) for r in identity.by_containment(stems, keys).collect()} == {("a" * 40, "a" * 35), ("b", "b"), ("zz", None)}
 
 
+def test_closure_is_whole_or_an_error(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(4)], "src long, dst long")
+    start = spark.createDataFrame([(0,)], "node long")
+    with pytest.raises(RuntimeError):
+        code.closure(edges, start, most_rounds=2)
+    assert code.closure(edges, start, most_rounds=5).count() == 5 == code.closure(edges, start).count()
+
+
 def test_graph(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (8, 9)], "src long, dst long")
     start = spark.createDataFrame([(1,)], "node long")
