@@ -46,22 +46,39 @@ def poisson_steps(rate: float) -> int:
     return math.ceil(rate + 12 * math.sqrt(rate) + 40)
 
 
+#: exp(-rate) is a normal number up to here; beyond, distributions are built around their mode.
+MOST_PLAIN = 700.0
+
+
 def cumulative(rate: Column) -> Column:
-    """P(count <= k) for k = 0, 1, ... as an array that ends where a 52-bit uniform number can't reach."""
+    """P(count <= k) for k = first_count(rate) and on as an array that ends where a 52-bit uniform number can't reach."""
     last = F.ceil(rate + 12 * F.sqrt(rate) + 40).cast("int")
     start = F.struct(F.exp(-rate).alias("p"), F.array(F.exp(-rate)).alias("all"))
     step = lambda acc, k: F.struct((acc["p"] * rate / k).alias("p"), F.concat(acc["all"], F.array(F.element_at(acc["all"], -1) + acc["p"] * rate / k)).alias("all"))
-    return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["all"])
+    plain = F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["all"])
+    # probabilities in units of the mode's, then their sums divided by the whole sum
+    high = F.greatest(rate, F.lit(MOST_PLAIN))
+    mode = F.floor(high).cast("int")
+    none = F.struct(F.lit(1.0).alias("p"), F.array().cast("array<double>").alias("all"))
+    below = F.aggregate(F.sequence(mode, first_count(high, 0.0) + 1, F.lit(-1)), none, lambda acc, k: F.struct((acc["p"] * k / high).alias("p"), F.concat(F.array(acc["p"] * k / high), acc["all"]).alias("all")), lambda acc: acc["all"])
+    above = F.aggregate(F.sequence(mode + 1, F.ceil(high + 12 * F.sqrt(high) + 40).cast("int")), none, lambda acc, k: F.struct((acc["p"] * high / k).alias("p"), F.concat(acc["all"], F.array(acc["p"] * high / k)).alias("all")), lambda acc: acc["all"])
+    sums = F.aggregate(F.concat(below, F.array(F.lit(1.0)), above), F.array().cast("array<double>"), lambda acc, p: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0.0)) + p)), lambda acc: F.transform(acc, lambda x: x / F.element_at(acc, -1)))
+    return F.when(rate <= MOST_PLAIN, plain).otherwise(sums)
+
+
+def first_count(rate: Column, most_plain: float = MOST_PLAIN) -> Column:
+    """The count that cumulative() starts at; lesser ones have a probability below 2 ** -53."""
+    return F.when(rate <= most_plain, 0).otherwise(F.greatest(F.floor(rate - 12 * F.sqrt(rate) - 40), F.lit(0)).cast("int"))
 
 
 def with_counts(docs: DataFrame, temperature: float = 0.5, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: int = 11, most_steps: int = 1_000_000) -> DataFrame:
     """docs with n_copies. The written table of sources is broadcast if its distributions have at most most_steps numbers in
     all; beyond that Spark joins it by shuffles and splits a hot source."""
-    table = written(rates(docs, temperature, weights, epochs).select(F.col("source").alias("_source"), cumulative(F.col("rate")).alias("_cdf")))
+    table = written(rates(docs, temperature, weights, epochs).select(F.col("source").alias("_source"), cumulative(F.col("rate")).alias("_cdf"), first_count(F.col("rate")).alias("_from")))
     steps = table.agg(F.sum(F.size("_cdf"))).first()[0] or 0
     joined = docs.join(F.broadcast(table) if steps <= most_steps else table, F.col("source").eqNullSafe(F.col("_source")))
     u = uniform(seed, "doc_id")
-    return joined.withColumn("_u", u).withColumn("n_copies", F.size(F.filter("_cdf", lambda c: c < F.col("_u")))).drop("_source", "_cdf", "_u")
+    return joined.withColumn("_u", u).withColumn("n_copies", F.col("_from") + F.size(F.filter("_cdf", lambda c: c < F.col("_u")))).drop("_source", "_cdf", "_from", "_u")
 
 
 def mix(docs: DataFrame, temperature: float = 0.5, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: int = 11) -> DataFrame:
