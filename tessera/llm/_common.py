@@ -38,6 +38,12 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(table: DataFrame) -> None:
+    """Deletes a written table that no later plan reads; the disk is free before the session ends."""
+    for path in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        drop(table.sparkSession, path)
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Deletes a written table; does nothing once the session has ended."""
     if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():

@@ -1,21 +1,22 @@
 """Repeated passages: every byte covered by a string of LENGTH bytes that also starts elsewhere is removed.
 
-Which strings may be equal is found by content: each string (window) is represented by the least hash among its 32-byte
-grams, its anchor. Equal windows have equal anchors at equal offsets, so windows only meet within the group of an anchor.
-Neighbouring windows with the same anchor form a segment; equal segments form a class, whose members are counted before
-anything is compared. Anchors that occur once are done with.
+Which strings may be equal is found by content: each string (window) is represented by the least hash among its grams (at
+first about a third of its length), its anchor. Equal windows have equal anchors at equal offsets, so windows only meet
+within the group of an anchor. Neighbouring windows with the same anchor form a segment; equal segments form a class, whose
+members are counted before anything is compared. Anchors that occur once are done with, before wider rows are moved.
 
 The segments that are left are compared in shards by the threshold-bounded expansion of intervals: a suffix array and the
 Burrows-Wheeler transform of the shard's segments are built, and intervals are extended backward, breadth first, which sets
 the common prefixes of neighbouring suffixes by increasing value. It stops at LENGTH: what is still unset there is at
 least as long, and those suffixes are repeated.
 
-An anchor with very many classes is split before: its windows are halved by their offset to the anchor, and each half is
-grouped by the bytes that all its windows share, again and again; a single offset whose bytes are whole windows needs no
-comparison. Every window is compared with all equal ones, and no group grows beyond a parameter.
+An anchor with very many classes is not compared: its segments are anchored again by longer grams, which fewer windows
+share, and so on up to grams as long as a window, where a group is one class. Only the segments of such anchors carry bytes
+to the next level. Every window is compared with all equal ones, and no group grows beyond a parameter.
 
-Null texts are empty. Rows with the same doc_id and text count as separate occurrences of each other. Texts shorter than
-LENGTH keep all bytes. Empty tables give no rows. Very long texts are read in blocks of window starts.
+Null texts are empty. Rows with the same doc_id and text count as separate occurrences of each other; they get the same
+result each, as do ties of any kind: results depend on no order. Other columns of docs, whatever their names, aren't read.
+Texts shorter than LENGTH keep all bytes. Empty tables give no rows. Very long texts are read in blocks of window starts.
 """
 
 from __future__ import annotations
@@ -28,14 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import keyed_texts, record_batch, slices, written
+from tessera.llm._common import forget, keyed_texts, record_batch, slices, written
 
-GRAM = 32
+#: Length of the grams at each level, as shares of a window's.
+GRAMS = (0.32, 0.64, 0.88, 1.0)
 BLOCK = 1 << 18
 #: An odd base and its inverse modulo 2^64, for hashes of grams by differences of prefix sums.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
-ANCHORS = pa.schema([("k", pa.int64()), ("t", pa.int32()), ("h", pa.int64()), ("sh", pa.int64()), ("at", pa.int64()), ("first", pa.int64()), ("n", pa.int32())])
+ANCHORS = pa.schema([("k", pa.int64()), ("t", pa.int64()), ("h", pa.int64()), ("sh", pa.int64()), ("first", pa.int64()), ("n", pa.int32())])
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -46,10 +48,10 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(data)), out=sums[1:])
-    h = (sums[GRAM:] - sums[:-GRAM]) * powers(INVERSE, len(data) + 1)[: len(data) + 1 - GRAM]
+    h = (sums[gram:] - sums[:-gram]) * powers(INVERSE, len(data) + 1)[: len(data) + 1 - gram]
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(29))
@@ -66,24 +68,24 @@ def sliding_least(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def segments(data: bytes, length: int):
-    """(hash of the anchor, hash of the segment, anchor, first window start, number of window starts) of each segment."""
+def segments(data: bytes, length: int, gram: int | None = None) -> np.ndarray:
+    """A row for each segment: hash of the anchor, hash of the segment, anchor, first window start, number of window starts."""
     import xxhash
 
-    digest, out, width = xxhash.xxh64_intdigest, [], length - GRAM + 1
+    gram = gram or int(GRAMS[0] * length)
+    digest, out, width = xxhash.xxh64_intdigest, [np.zeros((0, 5), np.int64)], length - gram + 1
     low = np.uint64((1 << 20) - 1)
     for start in range(0, len(data) - length + 1, BLOCK):
         stop = min(start + BLOCK + length - 1, len(data))
-        h = gram_hashes(np.frombuffer(data, np.uint8, stop - start, start))
+        h = gram_hashes(np.frombuffer(data, np.uint8, stop - start, start), gram)
         least = sliding_least((h & ~low) | np.arange(len(h), dtype=np.uint64), width)  # of equal hashes the leftmost
         anchor = (least & low).astype(np.int64)
         first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
         n = np.diff(np.r_[first, len(anchor)])
         a = anchor[first]
-        for x, y, z, m in zip(h[a].view(np.int64).tolist(), (a + start).tolist(), (first + start).tolist(), n.tolist(), strict=True):
-            s = digest(data[z : z + m - 1 + length], y - z)
-            out.append((x, s - (1 << 64) if s >> 63 else s, y, z, m))
-    return out
+        sh = [digest(data[z : z + m], y) for y, z, m in zip((a - first).tolist(), (first + start).tolist(), (n - 1 + length).tolist(), strict=True)]
+        out.append(np.stack([h[a].view(np.int64), np.array(sh, np.uint64).view(np.int64), a + start, first + start, n], 1))
+    return np.concatenate(out)
 
 
 def suffix_order(sym: np.ndarray) -> np.ndarray:
@@ -171,18 +173,23 @@ def runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(edge == 1).tolist(), (np.flatnonzero(edge == -1) - 1).tolist(), strict=True))
 
 
-def _anchors(docs: DataFrame, length: int) -> DataFrame:
+def _anchors(rows: DataFrame, length: int, gram: int) -> DataFrame:
     def find(batches):
         for b in slices(batches):
-            rows = [(k, t, *s) for k, t, x in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True) for s in segments(x.encode(), length)]
-            yield record_batch(ANCHORS, list(map(list, zip(*rows, strict=True))) if rows else [[]] * 7)
+            found = [segments(x, length, gram) for x in b.column(2).to_pylist()]
+            keys = [np.repeat(b.column(i).to_numpy(), [len(f) for f in found]) for i in range(2)]
+            h, sh, _, first, n = np.concatenate(found).T if found else np.zeros((5, 0), np.int64)
+            yield record_batch(ANCHORS, [*keys, h, sh, first, n])
 
-    return docs.select("k", "t", "text").mapInArrow(find, "k long, t int, h long, sh long, at long, first long, n int")
+    return rows.select("k", "t", "data").mapInArrow(find, "k long, t long, h long, sh long, first long, n int")
 
 
-def _cut_segments(held: DataFrame, length: int) -> DataFrame:
-    """seg: the bytes of each class's representative."""
-    return held.select("h", "sh", "off", "n", F.substring(F.encode("text", "utf-8"), (F.col("first") + 1).cast("int"), F.col("n") + F.lit(length - 1)).alias("seg"))
+def _cut(classes: DataFrame, rows: DataFrame, length: int) -> DataFrame:
+    """h, sh, seg: the bytes of each class's representative. Lists are of one row's segments; repeated rows are read once."""
+    wanted = classes.groupBy("r.k", "r.t").agg(F.collect_list(F.struct("h", "sh", "r.first", "r.n")).alias("w"))
+    held = wanted.join(rows.groupBy("k", "t").agg(F.first("data").alias("data")), ["k", "t"])
+    cut = F.transform("w", lambda x: F.struct(x["h"].alias("h"), x["sh"].alias("sh"), F.substring(F.col("data"), (x["first"] + 1).cast("int"), x["n"] + F.lit(length - 1)).alias("seg")))
+    return held.select(F.inline(cut))
 
 
 def _compare(length: int, batch: int):
@@ -194,7 +201,6 @@ def _compare(length: int, batch: int):
         number = np.repeat((np.cumsum(sizes) - sizes) // batch, sizes)
         out = []
         for _, part in rows.groupby(number, sort=False):
-            part = part.drop_duplicates(["h", "sh"])  # a class may come from several parts of a split anchor
             for h, sh, flags in zip(part["h"], part["sh"], repeated_starts(part["seg"].tolist(), length), strict=True):
                 out += [(h, sh, x, y) for x, y in runs(flags)]
         return pd.DataFrame(out, columns=["h", "sh", "a", "b"])
@@ -202,65 +208,35 @@ def _compare(length: int, batch: int):
     return compare
 
 
-def _split_groups(segs: DataFrame, length: int, most: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Parts of anchors with too many classes: (rows to compare with their group g, ranges known to be repeated)."""
-    top = 1 << (length - GRAM).bit_length()
-    nodes = segs.withColumn("o", F.lit(0)).withColumn("size", F.lit(top))
-    to_compare, known, size = [], [], top
-    while True:
-        size //= 2
-        halves = F.explode(F.array(F.col("o"), F.col("o") + size))
-        # a class takes part where it has window starts at distances o to o + size - 1 before its anchor
-        parts = nodes.withColumn("o", halves).filter((F.col("o") <= F.col("off")) & (F.col("o") + size > F.col("off") - F.col("n") + 1))
-        core = F.substring("seg", (F.col("off") - F.col("o") + 1).cast("int"), F.lit(length - size + 1))
-        parts = parts.withColumn("c1", F.xxhash64(F.lit(1), core)).withColumn("c2", F.xxhash64(F.lit(2), core)).withColumn("size", F.lit(size))
-        parts = written(parts)
-        counts = parts.groupBy("h", "o", "c1", "c2").count().filter("count > 1")
-        key = ["h", "o", "c1", "c2"]
-        if size == 1:
-            known.append(parts.join(counts, key, "left_semi").select("h", "sh", (F.col("off") - F.col("o")).cast("int").alias("a"), (F.col("off") - F.col("o")).cast("int").alias("b")))
-            return to_compare, known
-        counts = written(counts)
-        to_compare.append(parts.join(counts.filter(F.col("count") <= most), key).select("h", "sh", "seg", F.xxhash64(*key).alias("g")))
-        hot = counts.filter(F.col("count") > most)
-        if hot.isEmpty():
-            return to_compare, known
-        nodes = parts.join(hot, key, "left_semi").select("h", "sh", "off", "n", "seg", "o", "size")
+def _repeated(rows: DataFrame, length: int, most: int, shard_rows: int, level: int = 0) -> DataFrame:
+    """k, t, a, b: ranges of starts (both ends included) of repeated windows in the rows (k, t, data); rows with equal k and t hold equal data."""
+    found = written(_anchors(rows, length, max(1, int(GRAMS[level] * length))))
+    often = found.groupBy("h").count().filter("count > 1").select("h")
+    anchors = written(found.join(often, "h", "left_semi"))
+    forget(found)
+    classes = written(anchors.groupBy("h", "sh").agg(F.count("*").alias("c"), F.min(F.struct("k", "t", "first", "n")).alias("r")))
+    ranges = classes.filter("c > 1").select("h", "sh", F.lit(0).alias("a"), (F.col("r.n") - 1).alias("b"))
+    if level + 1 < len(GRAMS):  # at the last level a group is one class
+        sized = written(classes.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1"))
+        light, heavy = sized.filter(F.col("m") <= most), sized.filter(F.col("m") > most)
+        shards = max(1, -(-(light.agg(F.sum("m")).first()[0] or 0) // shard_rows))
+        segs = _cut(classes.join(light, "h", "left_semi"), rows, length).withColumn("g", F.xxhash64("h"))
+        ranges = ranges.unionAll(segs.withColumn("shard", F.pmod("g", F.lit(shards))).groupBy("shard").applyInPandas(_compare(length, shard_rows), "h long, sh long, a int, b int"))
+        if not heavy.isEmpty():
+            held = written(_cut(classes.join(heavy, "h", "left_semi"), rows, length).select(F.col("h").alias("k"), F.col("sh").alias("t"), F.col("seg").alias("data")))
+            below = _repeated(held, length, most, shard_rows, level + 1)
+            ranges = ranges.unionAll(below.select(F.col("k").alias("h"), F.col("t").alias("sh"), F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b")))
+    return anchors.drop("n").distinct().join(ranges, ["h", "sh"]).select("k", "t", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))
 
 
 def repeats(docs: DataFrame, length: int = 400, most: int = 1000, shard_rows: int = 2500) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs.
 
-    most: classes of an anchor that are compared without splitting; shard_rows: segments in a shard, about.
+    most: classes of an anchor that are compared without anchoring them again; shard_rows: segments in a shard, about.
     """
-    texts = keyed_texts(docs).select("doc_id", F.coalesce("doc_id", F.xxhash64(F.lit(1), "text")).alias("k"), F.hash("text").alias("t"), "text")
-    anchors = written(_anchors(texts, length))
-    classes = anchors.groupBy("h", "sh").agg(F.count("*").alias("c"), F.min(F.struct("k", "t", "first", (F.col("at") - F.col("first")).alias("off"), "n")).alias("r"))
-    classes = written(classes)
-    groups = classes.groupBy("h").agg(F.sum("c").alias("all"), F.count("*").alias("m")).filter("all > 1")
-    shared = written(classes.join(groups, "h").select("h", "sh", "c", "m", "r.*"))
-    whole = shared.filter("c > 1").select("h", "sh", F.lit(0).alias("a"), (F.col("n") - 1).alias("b"))
-    found = [whole]
-    light, heavy = shared.filter(F.col("m").between(2, most)), shared.filter(F.col("m") > most)
-    wanted = ["h", "sh", "k", "t", "first", "off", "n"]
-    segs = _cut_segments(light.select(*wanted).join(texts, ["k", "t"]), length).select("h", "sh", "seg", F.xxhash64("h").alias("g"))
-    rows = light.count()
-    if not heavy.isEmpty():
-        split = written(_cut_segments(heavy.select(*wanted).join(texts, ["k", "t"]), length).dropDuplicates(["h", "sh"]))
-        to_compare, known = _split_groups(split, length, most)
-        rows += 2 * heavy.count()
-        found += known
-        for part in to_compare:
-            segs = segs.unionAll(part)
-    shards = max(1, -(-rows // shard_rows))
-    compared = segs.withColumn("shard", F.pmod("g", F.lit(shards))).groupBy("shard").applyInPandas(_compare(length, shard_rows), "h long, sh long, a int, b int")
-    found.append(compared)
-    ranges = found[0]
-    for part in found[1:]:
-        ranges = ranges.unionAll(part)
-    hits = anchors.select("k", "t", "h", "sh", "first").join(ranges, ["h", "sh"]).select("k", "t", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))
-    gone = hits.groupBy("k", "t").agg(F.collect_list(F.struct("a", "b")).alias("gone"))
-    return _without(texts.join(gone, ["k", "t"], "left").select("doc_id", "text", "gone"), length)
+    texts = keyed_texts(docs).select("doc_id", F.coalesce("doc_id", F.xxhash64(F.lit(1), "text")).alias("k"), F.xxhash64("text").alias("t"), F.col("text").cast("binary").alias("data"))
+    gone = _repeated(texts.select("k", "t", "data"), length, most, shard_rows).groupBy("k", "t").agg(F.collect_list(F.struct("a", "b")).alias("gone"))
+    return _without(texts.join(gone, ["k", "t"], "left").select("doc_id", "data", "gone"), length)
 
 
 REPORT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
@@ -286,8 +262,8 @@ def _without(rows: DataFrame, length: int) -> DataFrame:
     def report(batches):
         for b in slices(batches):
             out: list[list] = [[], [], [], [], []]
-            for doc, text, gone in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                data, removed = text.encode(), spans([(g["a"], g["b"]) for g in gone or []], length)
+            for doc, data, gone in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                removed = spans([(g["a"], g["b"]) for g in gone or []], length)
                 values = (doc, len(data), sum(y - x for x, y in removed), len(removed), hashlib.sha256(kept_bytes(data, removed)).hexdigest())
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
