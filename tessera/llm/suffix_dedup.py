@@ -211,7 +211,7 @@ def _compare(length: int, batch: int):
 def _repeated(rows: DataFrame, length: int, most: int, shard_rows: int, level: int = 0) -> DataFrame:
     """k, t, a, b: ranges of starts (both ends included) of repeated windows in the rows (k, t, data); rows with equal k and t hold equal data."""
     found = written(_anchors(rows, length, max(1, int(GRAMS[level] * length))))
-    often = found.groupBy("h").count().filter("count > 1").select("h")
+    often = written(found.groupBy("h").count().filter("count > 1").select("h"))  # a table, so that the join can split a hot anchor
     anchors = written(found.join(often, "h", "left_semi"))
     forget(found)
     classes = written(anchors.groupBy("h", "sh").agg(F.count("*").alias("c"), F.min(F.struct("k", "t", "first", "n")).alias("r")))
