@@ -1,33 +1,40 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles.
+"""Near-duplicates by SimHash with bit-sliced comparison, every link checked by the exact Jaccard similarity of word shingles.
 
-Equal sets of shingles form a class. Each class draws 200 minima of hashed shingles, in 40 signatures of five; classes that
-share a signature are candidates, and a candidate pair is linked only if the exact similarity of its two sets reaches the
-limit. A pair at 0.8 shares no signature with a probability of 0.672 ** 40, about 1.3e-7, and a closer pair with less.
+Equal sets of shingles form a class. Each class draws 200 minima of hashed shingles, in 40 signatures of five, and a SimHash
+of 256 bits; classes that share a signature are candidates. A pair at 0.8 shares no signature with a probability of
+0.672 ** 40, about 1.3e-7, and its SimHashes differ in 38.8 of 256 bits on average (deviation 5.7), so a radius of 64 loses
+one in 100,000; closer pairs are lost more rarely. A candidate pair is linked only if its two sets are similar enough.
 
-The classes of a signature are first compared with one of them only, round by round, and each round's links join classes to
-components; pairs within a component need no comparison. Once such a round links few of its pairs, or few are left, all pairs
-of different components are compared, so no pair of a signature goes unseen, however many classes share it.
+The classes of a signature are first compared with three of them only, round by round, and each round's links join classes to
+components; pairs within a component need no comparison. Once such a round links few of its pairs, or few are left, the
+rest is compared in full: the SimHashes of a signature with up to `most` classes lie as vertical bit planes, whose distances
+are counted by carry-save counters; classes of larger signatures are joined by their rarest shingles instead (two sets
+at 0.8 share one of the rarest fifth of either), which is exact and which common passages don't crowd. So no pair of a
+signature goes unseen, however many classes share it.
 
 Null texts are empty and alike. A text with fewer words than a shingle is one shingle. Sets are of 64-bit hashes. Empty
-tables give no rows. Texts are read whole.
+tables give no rows. Texts are read whole; other columns aren't read; repeated rows get the same component each.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._common import keyed_texts, record_batch, slices, written
 from tessera.llm.components import components
-from tessera.llm.simhash import shingles
+from tessera.llm.simhash import near_pairs, shingles
 
-ARROW = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("c", pa.int64()), ("signatures", pa.list_(pa.int64())), ("hashes", pa.list_(pa.int64()))])
+ARROW = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("c", pa.int64()), ("n", pa.int32()), ("prints", pa.list_(pa.int64())), ("signatures", pa.list_(pa.int64())), ("hashes", pa.list_(pa.int64()))])
 SIGNATURES, MINIMA = 40, 5
+PRINTS, RADIUS = 4, 64
 _RNG = np.random.default_rng(2023)
 _XOR = _RNG.integers(0, 2**64, SIGNATURES * MINIMA, np.uint64)
 _TIMES = _RNG.integers(0, 2**64, SIGNATURES * MINIMA, np.uint64) | np.uint64(1)
+_MIX = _RNG.integers(0, 2**64, PRINTS, np.uint64) | np.uint64(1)
 
 
 def hashed(text: str, size: int, seed: int) -> np.ndarray:
@@ -51,8 +58,20 @@ def signatures(hashes: np.ndarray, chunk: int = 1024) -> np.ndarray:
     return out
 
 
+def prints(hashes: np.ndarray, chunk: int = 1 << 14) -> np.ndarray:
+    """The SimHash of a set, 64 bits to a long."""
+    ones = np.zeros((PRINTS, 64), np.int64)
+    for i in range(0, len(hashes), chunk):
+        x = hashes[i : i + chunk] * _MIX[:, None]
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+        ones += np.unpackbits(x.astype("<u8").view(np.uint8).reshape(PRINTS, -1, 8), axis=2, bitorder="little").sum(1, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").view("<u8")[:, 0].astype(np.uint64)
+
+
 def sets(docs: DataFrame, size: int, seed: int) -> DataFrame:
-    """doc_id, t (hash of the text), c (class), signatures and hashes of each row."""
+    """doc_id, t (hash of the text), c (class), n (shingles), prints, signatures and hashes of each row."""
 
     def of(batches):
         import xxhash
@@ -60,9 +79,14 @@ def sets(docs: DataFrame, size: int, seed: int) -> DataFrame:
         for b in slices(batches):
             found = [hashed(t, size, seed) for t in b.column(1).to_pylist()]
             names = np.array([xxhash.xxh64_intdigest(h.tobytes(), seed) for h in found], np.uint64).view(np.int64)
-            yield record_batch(ARROW, [b.column(0), b.column(2), names, [signatures(h).view(np.int64) for h in found], [h.view(np.int64) for h in found]])
+            columns = [[f(h).view(np.int64) for h in found] for f in (prints, signatures, np.asarray)]
+            yield record_batch(ARROW, [b.column(0), b.column(2), names, [len(h) for h in found], *columns])
+
+    return keyed_texts(docs, F.xxhash64("text").alias("t")).mapInArrow(of, "doc_id long, t long, c long, n int, prints array<long>, signatures array<long>, hashes array<long>")
+
 
-    return keyed_texts(docs, F.xxhash64("text").alias("t")).mapInArrow(of, "doc_id long, t long, c long, signatures array<long>, hashes array<long>")
+def _sizes_allow(n: Column, m: Column, similarity: float) -> Column:
+    return F.least(n, m) + 1e-9 >= similarity * F.greatest(n, m)
 
 
 def _alike(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
@@ -72,44 +96,80 @@ def _alike(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
     return both.filter(common + 1e-9 >= similarity * (F.size("_a") + F.size("_b") - common)).select("a", "b")
 
 
-def links(rows: DataFrame, similarity: float, most_pairs: float = 4.0, least_gain: float = 0.05) -> DataFrame:
+def _pivot_pairs(left: DataFrame, similarity: float, round_: int, pivots: int = 3) -> DataFrame:
+    """Pairs of each class with some classes of its signature."""
+    drawn = [F.min(F.struct(F.xxhash64(F.lit(round_), F.lit(j), "c").alias("h"), F.col("c").alias("d"), F.col("n").alias("m"), F.col("root").alias("other"))) for j in range(pivots)]
+    chosen = left.groupBy("s").agg(F.array(*drawn).alias("p")).select("s", F.inline("p")).drop("h")
+    return left.join(chosen, "s").filter((F.col("root") != F.col("other")) & _sizes_allow(F.col("n"), F.col("m"), similarity)).select("c", "d")
+
+
+def _near_prints(similarity: float):
+    """Pairs within the signatures of a shard: different components, SimHashes within the radius, sizes that allow the similarity."""
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("s", ignore_index=True)
+        sizes = rows.groupby("s", sort=True).size().to_numpy()
+        c, n, root = (rows[x].to_numpy() for x in ("c", "n", "root"))
+        found = [np.zeros((0, 2), np.int64)]
+        for i, j in near_pairs(np.stack(rows["prints"].to_list()).view(np.uint64), np.repeat(np.cumsum(sizes), sizes), RADIUS):
+            ok = (root[i] != root[j]) & (np.minimum(n[i], n[j]) + 1e-9 >= similarity * np.maximum(n[i], n[j]))
+            found.append(np.unique(np.stack([c[i[ok]], c[j[ok]]], 1), axis=0))
+        return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["c", "d"])
+
+    return compare
+
+
+def _rarest_pairs(classes: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of classes (c, n, root) of different components that may be similar enough: all that share one of their rarest shingles.
+
+    Shingles are ordered by how many of these classes hold them. Of two sets that are similar enough, the first common shingle
+    in this order has as many after it in both sets as the overlap needs.
+    """
+    tokens = known.select("c", "hashes").join(classes, "c").select("c", "n", "root", F.explode("hashes").alias("w"))
+    often = tokens.groupBy("w").count()
+    ranked = tokens.join(often, "w").groupBy("c", "n", "root").agg(F.sort_array(F.collect_list(F.struct("count", "w"))).alias("o"))  # one text's shingles
+    first = F.slice("o", F.lit(1), F.col("n") - F.ceil(similarity * F.col("n") - 1e-9).cast("int") + 1)
+    some = written(ranked.select("c", "n", "root", F.posexplode(first).alias("at", "x")).filter("x.count > 1").select("x.w", "at", "c", "n", "root"))
+    other = some.select("w", F.col("at").alias("bt"), F.col("c").alias("d"), F.col("n").alias("m"), F.col("root").alias("other"))
+    enough = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("bt")) + 1e-9 >= similarity / (1 + similarity) * (F.col("n") + F.col("m"))
+    return some.join(other, "w").filter((F.col("root") < F.col("other")) & enough & _sizes_allow(F.col("n"), F.col("m"), similarity)).select("c", "d")
+
+
+def links(rows: DataFrame, similarity: float, most_pairs: float = 4.0, least_gain: float = 0.05, most: int = 256, shard_rows: int = 20_000) -> DataFrame:
     """(a, b) for each class a that isn't the least of its component, b being the least. rows: written sets.
 
-    most_pairs: pairs left for each member of a signature at which all of them are compared at once; least_gain: share of a round's
-    pairs it must link for another such round.
+    most_pairs: pairs left for each member of a signature at which the rest is compared in full; least_gain: share of a round's
+    pairs it must link for another such round; most: classes of a signature that are compared by their SimHashes.
     """
-    spread = rows.select("c", F.size("hashes").alias("n"), F.explode("signatures").alias("s"))
-    shared = written(spread.groupBy("s").agg(F.min("c").alias("least"), F.max("c").alias("greatest")).filter("least < greatest").select("s"))
-    members = written(spread.join(shared, "s").select("s", "c", "n").distinct())
-    needed = written(members.select("c").distinct())
-    known = written(rows.join(needed, "c", "left_semi").select("c", "hashes").dropDuplicates(["c"]))
-    close = (F.least("n", "m") + 1e-9) >= similarity * F.greatest("n", "m")
-    edges, trees, gain = None, None, 1.0
-    for round_ in range(1 << 30):
+    spread = rows.select("c", "n", F.explode("signatures").alias("s"))
+    shared = spread.groupBy("s").agg(F.min("c").alias("least"), F.max("c").alias("greatest")).filter("least < greatest").select("s")
+    members = written(spread.join(shared, "s").distinct())
+    known = written(rows.join(members.select("c").distinct(), "c", "left_semi").select("c", "prints", "hashes").dropDuplicates(["c"]))
+    edges, trees, gain, round_, last = None, None, 1.0, 0, False
+    while not last:
         named = members.withColumn("root", F.col("c")) if trees is None else members.join(trees.withColumnRenamed("a", "c"), "c", "left").withColumn("root", F.coalesce("b", "c")).drop("b")
-        parts = named.groupBy("s", "root").agg(F.count("*").alias("k"))
-        sums = parts.groupBy("s").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("same"), F.count("*").alias("roots")).filter("roots > 1")
-        open_ = written(sums.select("s", "all", ((F.col("all") * F.col("all") - F.col("same")) / 2).alias("pairs")))
-        size = open_.agg(F.sum("pairs"), F.sum("all")).first()
+        sums = named.groupBy("s", "root").agg(F.count("*").alias("k")).groupBy("s").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("same"), F.count("*").alias("roots"))
+        open_ = written(sums.filter("roots > 1").select("s", "all", ((F.col("all") * F.col("all") - F.col("same")) / 2).alias("pairs")))
+        size = open_.agg(F.sum("pairs"), F.sum("all"), F.max("all")).first()
         if not size[0]:
             break
-        left = written(named.join(open_.select("s"), "s"))
         last = size[0] <= most_pairs * size[1] or gain < least_gain
         if last:
-            other = left.select("s", F.col("c").alias("d"), F.col("n").alias("m"), F.col("root").alias("other"))
-            pairs = left.join(other, "s").filter((F.col("root") < F.col("other")) & close)
+            few = named.join(open_.filter(F.col("all") <= most).select("s"), "s").join(known.select("c", "prints"), "c")
+            shards = max(1, -(-size[1] // shard_rows))
+            pairs = few.withColumn("shard", F.pmod(F.xxhash64("s"), F.lit(shards))).groupBy("shard").applyInPandas(_near_prints(similarity), "c long, d long")
+            if size[2] > most:
+                crowded = written(named.join(open_.filter(F.col("all") > most).select("s"), "s").select("c", "n", "root").distinct())
+                pairs = pairs.unionAll(_rarest_pairs(crowded, known, similarity))
         else:
-            pivots = left.groupBy("s").agg(F.min(F.struct(F.xxhash64(F.lit(round_), "c").alias("h"), F.col("c").alias("d"), F.col("n").alias("m"), F.col("root").alias("other"))).alias("p")).select("s", "p.d", "p.m", "p.other")
-            pairs = left.join(pivots, "s").filter((F.col("root") != F.col("other")) & close)
+            pairs = _pivot_pairs(named.join(open_.select("s"), "s"), similarity, round_)
         pairs = written(pairs.select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct())
         new = written(_alike(pairs, known, similarity))
-        linked = new.count()
+        linked, round_ = new.count(), round_ + 1
         gain = linked / max(pairs.count(), 1)
         edges = new if edges is None else edges.unionAll(new)
         if linked:
             trees = components(edges)
-        if last:
-            break
     return trees if trees is not None else components(rows.sparkSession.createDataFrame([], "a long, b long"))
 
 

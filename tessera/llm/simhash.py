@@ -60,34 +60,47 @@ def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42) -> DataFrame:
 
 
 def near_pairs(values: np.ndarray, ends: np.ndarray, radius: int = RADIUS, chunk: int = 1 << 15):
-    """Pairs (i, j), i < j < ends[i], whose values differ in at most 2 bits, chunk by chunk. values: uint64, a bucket's side by side."""
-    if radius != 2:
-        raise ValueError("the counters are built for a radius of 2")
+    """Pairs (i, j), i < j < ends[i], whose values differ in at most `radius` bits, chunk by chunk.
+
+    values: uint64, or rows of several, a bucket's side by side. The counter of 64 distances is a word for each of its bits;
+    what is carried out of the highest one, or is over the radius after some planes, is over for good.
+    """
     n = len(values)
-    bits = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T
-    padded = np.zeros((64, -(-n // 64) * 64), np.uint8)
+    if not n:
+        return
+    values = values.reshape(n, -1)
+    width = 64 * values.shape[1]
+    bits = np.unpackbits(np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(n, -1), axis=1, bitorder="little").T
+    padded = np.zeros((width, -(-n // 64) * 64), np.uint8)
     padded[:, :n] = bits
     planes = np.packbits(padded, axis=1, bitorder="little").view("<u8")  # plane p, word w: bit p of 64 values
     low, high = (np.arange(n) + 1) // 64, (ends - 1) // 64
     blocks = np.where(ends - 1 > np.arange(n), high - low + 1, 0)
     upto = np.cumsum(blocks)
-    for first in range(0, int(upto[-1]) if n else 0, chunk):
+    for first in range(0, int(upto[-1]), chunk):
         task = np.arange(first, min(first + chunk, int(upto[-1])))
         i = np.searchsorted(upto, task, "right")
         w = low[i] + task - (upto[i] - blocks[i])
-        ones = np.zeros(len(i), np.uint64)
-        twos, over = ones.copy(), ones.copy()
-        for p in range(64):
-            x = planes[p][w] ^ (np.uint64(0) - (values[i] >> np.uint64(p) & np.uint64(1)))
-            carry = ones & x
-            ones ^= x
-            over |= twos & carry
-            twos ^= carry
-            over |= ones & twos
-            if p % 8 == 7 and not (alive := over != ALL).all():
-                i, w, ones, twos, over = i[alive], w[alive], ones[alive], twos[alive], over[alive]
-                if not len(i):
-                    break
+        over = np.zeros(len(i), np.uint64)
+        counters = [over.copy() for _ in range(radius.bit_length())]
+        for p in range(width):
+            carry = planes[p][w] ^ (np.uint64(0) - (values[i, p // 64] >> np.uint64(p % 64) & np.uint64(1)))
+            for k, c in enumerate(counters):
+                counters[k], carry = c ^ carry, c & carry
+            over |= carry
+            if p % 8 == 7:
+                more, equal = np.zeros(len(i), np.uint64), np.full(len(i), ALL)
+                for k in reversed(range(len(counters))):  # counter > radius, from the highest bit down
+                    if radius >> k & 1:
+                        equal &= counters[k]
+                    else:
+                        more |= equal & counters[k]
+                        equal &= ~counters[k]
+                over |= more
+                if not (alive := over != ALL).all():
+                    i, w, over, counters = i[alive], w[alive], over[alive], [c[alive] for c in counters]
+                    if not len(i):
+                        break
         hit = np.unpackbits((~over).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         t, lane = np.nonzero(hit)
         a, b = i[t], w[t] * 64 + lane

@@ -1,10 +1,11 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import near_text
+from tessera.llm import near_text, simhash
 from tessera.llm._common import written
 from tests.conftest import DATA
 from tests.llm.test_llm import SCHEMA, hard_texts, word
@@ -45,18 +46,45 @@ def near_copies():
     return out
 
 
-@pytest.mark.parametrize("most_pairs", [1e9, 0.0])
-def test_groups_are_those_of_all_pairs(spark, most_pairs):
+@pytest.mark.parametrize("most_pairs, most", [(1e9, 256), (0.0, 256), (1e9, 3), (0.0, 3)])
+def test_groups_are_those_of_all_pairs(spark, most_pairs, most):
     texts = near_copies()
     docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], SCHEMA)
     rows = written(near_text.sets(docs, 5, 42))
-    root = {r.a: r.b for r in near_text.links(rows, 0.8, most_pairs=most_pairs).collect()}
+    root = {r.a: r.b for r in near_text.links(rows, 0.8, most_pairs=most_pairs, most=most).collect()}
     groups = {}
     for r in rows.select("doc_id", "c").collect():
         groups.setdefault(root.get(r.c, r.c), set()).add(r.doc_id)
     assert sorted(map(sorted, groups.values())) == brute_groups(texts)
 
 
+def test_bit_sliced_distances():
+    rng = np.random.default_rng(1)
+    for width, radius in ((1, 2), (1, 9), (4, 64), (2, 31)):
+        base = rng.integers(0, 2**64, (1, width), np.uint64)
+        values = np.repeat(base, 150, 0)
+        for row in values:
+            for bit in rng.integers(0, 64 * width, rng.integers(0, 2 * radius)):
+                row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+        ends = np.repeat([70, 150], [70, 80])
+        far = [[sum(int(x ^ y).bit_count() for x, y in zip(a, b)) for b in values] for a in values]
+        got = sorted((int(i), int(j)) for a, b in simhash.near_pairs(values, ends, radius, chunk=100) for i, j in zip(a, b))
+        assert got == [(i, j) for i in range(150) for j in range(i + 1, ends[i]) if far[i][j] <= radius]
+
+
+def test_common_passages_crowd_no_signature(spark):
+    """Texts that share more than half of their words without being alike, and some pairs that are."""
+    rng = random.Random(7)
+    passage = [f"p{k}" for k in range(60)]
+    texts = [" ".join(passage + [f"o{rng.randrange(10**6)}" for _ in range(30)]) for _ in range(400)]
+    texts += [t.replace("p30 ", "q30 ") for t in texts[:20]]
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], SCHEMA)
+    groups = {}
+    for r in near_text.near_texts(docs).collect():
+        groups.setdefault(r.component, set()).add(r.doc_id)
+    assert sorted(map(sorted, groups.values())) == brute_groups(texts)
+
+
 def test_stage_drops_near_copies_of_ordinary_length(spark):
     """Copies with some changed words, which differ in more than 2 bits of a SimHash."""
     rng = random.Random(5)
