@@ -56,6 +56,21 @@ def keyed_texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+def _quoted(name: str):
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def inside(docs: DataFrame, *replaced: str) -> DataFrame:
+    """docs without the columns that an operator replaces, all others as in_<name>: no name an operator uses inside can clash."""
+    lost = {c.lower() for c in replaced}
+    return docs.select(*(_quoted(c).alias(f"in_{c}") for c in docs.columns if c.lower() not in lost))
+
+
+def outside(df: DataFrame) -> list:
+    """The columns that inside() renamed, under their own names."""
+    return [_quoted(c).alias(c[3:]) for c in df.columns if c.startswith("in_")]
+
+
 def slices(batches, rows: int = 256):
     """Small pieces of Arrow batches: what a worker holds at once stays bounded."""
     for b in batches:

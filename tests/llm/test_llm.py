@@ -199,7 +199,11 @@ def test_line_dedup(spark):
     got = {r.doc_id: r for r in line_dedup.line_dedup(spark.createDataFrame(rows_, SCHEMA)).collect()}
     assert all(got[i].clean_text == f"{prose[i]}\n" and got[i].n_removed == 1 for i in range(12))
     assert got[12].n_removed == got[13].n_removed == 0
-    assert got[14].clean_text == line  # a text of nothing else is left to the near-duplicate stage
+    assert got[14].clean_text == "" and got[14].n_removed == 1
+    again = spark.createDataFrame([*rows_, *rows_[:3] * 3], SCHEMA).withColumn("t", F.lit("x")).withColumn("gone", F.lit(1)).withColumn("row", F.lit(2))
+    out = line_dedup.line_dedup(again)
+    assert out.columns == [*again.columns, "n_lines", "n_removed", "clean_text"]
+    assert Counter((r.doc_id, r.clean_text) for r in out.collect()) == Counter({(i, r.clean_text): 4 if i < 3 else 1 for i, r in got.items()})
     held = spark.createDataFrame([(h, s) for h, n in ((1, 9), (2, 10), (3, 11), (4, 500)) for s in range(n)], "h long, _site long")
     assert {r.h for r in line_dedup.spread_lines(held, 10).collect()} == {2, 3, 4}
 
