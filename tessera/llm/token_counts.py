@@ -4,8 +4,14 @@ Texts are cut into pre-tokens (a run of spaces and the word after it); no piece
 distinct pre-tokens of a batch lie in ragged numpy arrays. In each round every sequence merges its lowest-rank pair, all
 sequences at once, until no pair of a known piece is left; what survives is counted.
 
-Null texts are empty and have 0 tokens. Repeated rows are counted row by row. Texts of any length are taken whole: a
-pre-token without spaces merges all places of its lowest pair in one round.
+A very long pre-token (a text without spaces) is first cut into overlapping chunks, which merge side by side. Where two
+neighbouring chunks end up with the same two tokens beside a place, and the first of them goes back to a cut, no merge of the
+whole sequence crosses the place: up to any rank both tokens come about from their own characters alone, so the pair that
+would cross is the same in the whole sequence and in either chunk, and there it lost. Such places become cuts; where two
+chunks don't agree, the text is merged again from the last cut in chunks of twice the length.
+
+Null texts are empty and have 0 tokens. Repeated rows are counted row by row, ties (equal pairs side by side) merge from the
+left as the library does. Texts of any length are taken whole. Other columns of docs, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -23,6 +29,8 @@ SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 FAR = np.int32(2**31 - 1)
 MARK = "▁"
+#: Longer pre-tokens are cut; a chunk reaches STEP / 2 beyond its STEP characters at either end.
+LONG, STEP, CHUNKS = 256, 64, 8192
 
 
 class Merger:
@@ -85,9 +93,49 @@ class Merger:
     def counts(self, words: list[str]) -> np.ndarray:
         """Tokens of each non-empty pre-token."""
         out = np.zeros(len(words), np.int64)
+        short = [i for i, w in enumerate(words) if len(w) <= LONG]
+        word, _, weight = self.merge([words[i] for i in short])
+        out[short] = np.bincount(word, weight, len(short)).astype(np.int64)
+        for i, w in enumerate(words):
+            if len(w) > LONG:
+                out[i] = self.count_long(w)
+        return out
+
+    def count_long(self, text: str) -> int:
+        """Tokens of one long pre-token: chunk by chunk as far as neighbours agree, else again from there in longer chunks."""
+        total, done, step, chunks = 0, 0, STEP, CHUNKS
+        while done < len(text):
+            half = step // 2
+            rest = text[done : done + chunks * step + half]  # from a cut, so it stands for itself
+            n = max(1, -(-(len(rest) - half) // step))
+            chunk, at, weight = self.merge([rest[max(0, k * step - half) : (k + 1) * step + half] for k in range(n)])
+            start = at + np.maximum(chunk * step - half, 0)
+            last = np.r_[chunk[1:] != chunk[:-1], True]
+            end = np.where(last, np.minimum((chunk + 1) * step + half, len(rest)), np.r_[start[1:], 0])
+            inner = np.flatnonzero(~last)  # a place between two tokens of a chunk
+            place, zone = end[inner], (end[inner] + half) // step  # the chunks zone - 1 and zone both hold the places of a zone
+            key = np.stack([place, place - start[inner], end[inner + 1] - place], 1)
+            left, right = chunk[inner] == zone - 1, chunk[inner] == zone
+            cut = np.full(n + 1, -1)
+            for p, _, _ in set(map(tuple, key[left].tolist())) & set(map(tuple, key[right].tolist())):
+                cut[(p + half) // step] = max(p, cut[(p + half) // step])
+            cut[0] = 0
+            if done + len(rest) == len(text):
+                cut[n] = len(rest)
+            sound = int(np.argmin(np.r_[cut >= 0, False])) - 1  # a cut holds only if the one before it does
+            inside = (chunk < sound) & (start >= cut[chunk]) & (start < cut[np.minimum(chunk + 1, n)])
+            total, done = total + int(weight[inside].sum()), done + int(cut[sound])
+            step, chunks = (STEP, min(2 * chunks, CHUNKS)) if sound else (2 * step, 8)
+        return total
+
+    def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The final tokens: word, place of the first character in it, and weight (tokens it stands for), by word and place."""
         points = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
         sym, wt = self.symbol[points], self.weight[points]
-        word = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        word = np.repeat(np.arange(len(words)), size)
+        at_ = np.arange(len(sym)) - np.repeat(np.cumsum(size) - size, size)
+        ended: list[tuple] = []
         rank, into = np.full(len(sym), FAR), np.zeros(len(sym), np.int32)
         if len(sym) > 1:
             rank[:-1], into[:-1] = self.pair(sym[:-1], sym[1:])
@@ -98,9 +146,9 @@ class Merger:
             least = np.minimum.reduceat(rank, first)
             done = least == FAR
             if done.any():
-                out[word[first[done]]] = np.add.reduceat(wt, first)[done]
                 stay = np.repeat(~done, size)
-                sym, wt, word, rank, into = sym[stay], wt[stay], word[stay], rank[stay], into[stay]
+                ended.append((word[~stay], at_[~stay], wt[~stay]))
+                sym, wt, word, at_, rank, into = sym[stay], wt[stay], word[stay], at_[stay], rank[stay], into[stay]
                 least, size = least[~done], size[~done]
                 if not len(sym):
                     break
@@ -114,13 +162,17 @@ class Merger:
             keep = np.ones(len(sym), bool)
             keep[at + 1] = False
             moved = at - np.arange(len(at))  # each merge before has taken one place away
-            sym, wt, word, rank, into = sym[keep], wt[keep], word[keep], rank[keep], into[keep]
+            sym, wt, word, at_, rank, into = sym[keep], wt[keep], word[keep], at_[keep], rank[keep], into[keep]
             fresh = np.unique(np.r_[moved, moved[moved > 0] - 1])
             rank[fresh] = FAR
             fresh = fresh[fresh + 1 < len(sym)]
             fresh = fresh[word[fresh] == word[fresh + 1]]
             rank[fresh], into[fresh] = self.pair(sym[fresh], sym[fresh + 1])
-        return out
+        if not ended:
+            return (np.zeros(0, np.int64),) * 3
+        word, at_, wt = (np.concatenate(x) for x in zip(*ended, strict=True))
+        by = np.argsort(word, kind="stable")  # a word's tokens end together, in order
+        return word[by], at_[by], wt[by]
 
     def words(self, text: str) -> list[str]:
         """Pre-tokens of a text, some of them empty."""
