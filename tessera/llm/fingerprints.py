@@ -1,15 +1,16 @@
 """Document fingerprints by a homomorphic multiset hash, in DataFrame functions only.
 
-A text is a multiset of paragraphs (lines), and each paragraph one of clauses (up to five words). Four wide lanes sum a 62-bit hash of each
-paragraph modulo 2^62: equal multisets have equal lanes whatever their order, and inserting or deleting a paragraph adds
-or subtracts its hash. 128 narrow lanes count, for each bit of two hashes of a clause, how often it is set, modulo 2^14;
-packed four to a long they add up at once. They add up the same way, and as random signs their differences estimate how
-much two multisets share.
+A text is a multiset of paragraphs (lines), and each paragraph one of clauses (up to five words). A vector of eight wide
+lanes sums, modulo 2^62, numbers hashed from each paragraph's SHA-256: equal multisets have equal lanes whatever their
+order, and inserting or deleting a paragraph adds or subtracts its numbers. 128 narrow lanes count, for each bit of two hashes
+of a clause, how often it is set, modulo 2^31; packed two to a long they add up at once. They add up the same way, and as
+random signs their differences estimate how much two multisets of clauses share.
 
 One text's fingerprint is an expression over its arrays. A whole table's clauses are rows instead, whose lanes are summed
 by a grouped aggregation: compiled code, combined within each task before anything is shuffled.
 
-Null texts are empty: one empty paragraph and no clause. Repeated rows have equal fingerprints. Documents follow each
+Null texts are empty: one empty paragraph and no clause. Lanes are exact up to 2^30 clauses, so also for very long and
+repetitive texts. Repeated rows have equal fingerprints. Other columns of docs, whatever their names, aren't read. Documents follow each
 other by ascending doc_id, rows of one doc_id by their text, null ids after all others; the first follows the last. A
 single document follows itself. Empty tables give no rows.
 """
@@ -21,13 +22,14 @@ from pyspark.sql import functions as F
 
 from tessera.llm._common import keyed_texts
 
-WIDE, WIDE_MASK = 4, (1 << 62) - 1
+WIDE, WIDE_MASK = 8, (1 << 62) - 1
 SALT = 100
 #: Up to five words of a paragraph (parts of 40 characters of a longer one), counted from the paragraph's start.
 CLAUSE = "(?:[^ \\n]{1,40}+ ?+){1,5}+"
-#: Four lanes of 14 bits in a long, 16 bits apart, so that no sum leaves its lane or the long.
-LANE, LANES = 0x3FFF3FFF3FFF3FFF, 16
-ONE = 0x0001000100010001
+#: Two lanes of 31 bits in a long, 32 bits apart, so that no sum leaves its lane or the long.
+LANES, LANE_BITS = 32, 31
+LANE = (1 << LANE_BITS) - 1
+BOTH, ONE = LANE << 32 | LANE, 1 << 32 | 1
 HASHES = 2
 
 
@@ -48,22 +50,23 @@ def _wide(hashes: Column) -> Column:
     return F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, h: (acc + h.bitwiseAND(F.lit(WIDE_MASK))).bitwiseAND(F.lit(WIDE_MASK)))
 
 
-def fingerprint(text: Column) -> Column:
-    """struct(wide: 4 longs, narrow: 32 longs of 4 lanes, n: clauses)."""
-    return summed(paragraphs(text), clauses(text))
+def digests(lines: Column) -> Column:
+    return F.transform(lines, lambda x: F.sha2(x, 256))
 
 
-def summed(lines: Column, parts: Column) -> Column:
+def fingerprint(text: Column) -> Column:
+    """struct(wide: 8 longs, narrow: 64 longs of 2 lanes, n: clauses)."""
+    parts, lines = clauses(text), digests(paragraphs(text))
     wide = F.array(*(_wide(_hashes(lines, j)) for j in range(WIDE)))
     narrow = F.flatten(F.array(*(_lanes(_hashes(parts, SALT + j)) for j in range(HASHES))))
     return F.struct(wide.alias("wide"), narrow.alias("narrow"), F.size(parts).alias("n"))
 
 
 def _lanes(hashes: Column) -> Column:
-    """16 longs: in lane k of long j how often bit j + 16 k is set. One pass over the hashes."""
+    """32 longs: in lane k of long j how often bit j + 32 k is set. One pass over the hashes."""
     shift = [F.lit(j) for j in range(LANES)]
     zero = F.struct(*(F.lit(0).cast("long").alias(f"l{j}") for j in range(LANES)))
-    add = lambda acc, h: F.struct(*((acc[f"l{j}"] + F.call_function("shiftrightunsigned", h, s).bitwiseAND(F.lit(ONE))).bitwiseAND(F.lit(LANE)).alias(f"l{j}") for j, s in enumerate(shift)))
+    add = lambda acc, h: F.struct(*((acc[f"l{j}"] + F.call_function("shiftrightunsigned", h, s).bitwiseAND(F.lit(ONE))).bitwiseAND(F.lit(BOTH)).alias(f"l{j}") for j, s in enumerate(shift)))
     return F.aggregate(hashes, zero, add, lambda acc: F.array(*(acc[f"l{j}"] for j in range(LANES))))
 
 
@@ -78,14 +81,18 @@ def delete(print_: Column, text: Column) -> Column:
 
 
 def _combine(a: Column, b: Column, sign: int) -> Column:
-    def add(x, y, mask, top):
-        return (x + y if sign > 0 else x - y + F.lit(top)).bitwiseAND(F.lit(mask))
+    def lane(x, y, k):
+        return F.pmod(_lane(x, k) + sign * _lane(y, k), F.lit(LANE + 1))
 
-    wide = F.zip_with(a["wide"], b["wide"], lambda x, y: add(x, y, WIDE_MASK, 0))
-    narrow = F.zip_with(a["narrow"], b["narrow"], lambda x, y: add(x, y, LANE, LANE + ONE))
+    wide = F.zip_with(a["wide"], b["wide"], lambda x, y: (x + sign * y).bitwiseAND(F.lit(WIDE_MASK)))
+    narrow = F.zip_with(a["narrow"], b["narrow"], lambda x, y: F.call_function("shiftleft", lane(x, y, 1), F.lit(32)).bitwiseOR(lane(x, y, 0)))
     return F.struct(wide.alias("wide"), narrow.alias("narrow"), (a["n"] + sign * b["n"]).alias("n"))
 
 
+def _lane(v: Column, k: int) -> Column:
+    return F.call_function("shiftright", v, F.lit(32 * k)).bitwiseAND(F.lit(LANE).cast("long"))
+
+
 def spelled(print_: Column) -> Column:
     """Hexadecimal: the wide lanes, then the narrow ones, then the number of clauses."""
     longs = F.concat(print_["wide"], print_["narrow"])
@@ -100,7 +107,7 @@ def likeness(a: Column, b: Column) -> Column:
     as their mean.
     """
     ab, aa, bb = F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(0).cast("long")
-    for k in range(4):
+    for k in range(2):
         x, y = _signs(a, k), _signs(b, k)
         ab, aa, bb = ab + _dot(x, y), aa + _dot(x, x), bb + _dot(y, y)
     both = aa + bb
@@ -113,9 +120,9 @@ def _dot(x: Column, y: Column) -> Column:
 
 
 def _signs(print_: Column, k: int) -> Column:
-    """Sums of signs in the k-th lanes; a lane is known modulo 2^14, the sum therefore from -2^14 to 2^14 - 1."""
-    lane = lambda v: F.call_function("shiftright", v, F.lit(16 * k)).bitwiseAND(F.lit(0x3FFF))
-    return F.transform(print_["narrow"], lambda v: F.pmod(2 * lane(v) - print_["n"] + 16384, F.lit(32768)) - 16384)
+    """Sums of signs in the k-th lanes; a lane is known modulo 2^31, the sum therefore from -2^31 to 2^31 - 1."""
+    half, whole = F.lit(1 << LANE_BITS).cast("long"), F.lit(1 << LANE_BITS + 1).cast("long")
+    return F.transform(print_["narrow"], lambda v: F.pmod(2 * _lane(v, k) - print_["n"] + half, whole) - half)
 
 
 def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
@@ -158,13 +165,10 @@ def lane_sums(rows: DataFrame, text: str, keys: list[str]) -> DataFrame:
     """keys, n and narrow for the text column of each row; keys must tell all rows apart."""
     clause = rows.select(*keys, F.explode_outer(clauses(F.col(text))).alias("_c"))
     hashed = clause.select(*keys, "_c", *(F.xxhash64(F.lit(SALT + q), "_c").alias(f"_h{q}") for q in range(HASHES)))
-    two = (1 << 32) | 1  # a long sums the bits j and j + 32: no sum of fewer than 2^31 clauses leaves its half
-    bits = [(q, j) for q in range(HASHES) for j in range(32)]
-    sums = [F.sum(F.when(F.col("_c").isNull(), F.lit(0)).otherwise(F.call_function("shiftrightunsigned", F.col(f"_h{q}"), F.lit(j)).bitwiseAND(F.lit(two)))).alias(f"_s{q}_{j}") for q, j in bits]
+    bits = [(q, j) for q in range(HASHES) for j in range(LANES)]  # a long sums the bits j and j + 32
+    sums = [F.sum(F.when(F.col("_c").isNull(), F.lit(0)).otherwise(F.call_function("shiftrightunsigned", F.col(f"_h{q}"), F.lit(j)).bitwiseAND(F.lit(ONE)))).bitwiseAND(F.lit(BOTH)).alias(f"_s{q}_{j}") for q, j in bits]
     summed = hashed.groupBy(*keys).agg(F.count("_c").cast("int").alias("n"), *sums)
-    lane = lambda q, j: F.col(f"_s{q}_{j}").bitwiseAND(F.lit(0x3FFF00003FFF))
-    packed = [lane(q, j).bitwiseOR(F.call_function("shiftleft", lane(q, j + 16), F.lit(16))) for q in range(HASHES) for j in range(LANES)]
-    return summed.select(*keys, "n", F.array(*packed).alias("narrow"))
+    return summed.select(*keys, "n", F.array(*(f"_s{q}_{j}" for q, j in bits)).alias("narrow"))
 
 
 def fingerprint_report(docs: DataFrame, buckets: int | None = None) -> DataFrame:
@@ -174,7 +178,7 @@ def fingerprint_report(docs: DataFrame, buckets: int | None = None) -> DataFrame
     place = ["range", "place", "guest", "doc_id", "n_chars"]
     sides = F.array(F.struct(F.lit(0).alias("side"), F.col("text")), F.struct(F.lit(1).alias("side"), F.col("edit").alias("text")))
     each = rows.select(*place, F.explode(sides).alias("s")).select(*place, "s.side", "s.text")
-    each = each.withColumn("sha", F.when(F.col("side") == 1, F.sha2("text", 256))).withColumn("_lines", paragraphs(F.col("text")))
+    each = each.withColumn("sha", F.when(F.col("side") == 1, F.sha2("text", 256))).withColumn("_lines", digests(paragraphs(F.col("text"))))
     each = each.withColumn("wide", F.array(*(_wide(_hashes(F.col("_lines"), j)) for j in range(WIDE))))
     prints = lane_sums(each, "text", [*place, "side", "sha", "wide"]).withColumn("print", F.struct("wide", "narrow", "n"))
     w = Window.partitionBy("range").orderBy("place", "side")  # a text, its edited text, the next text, ...
