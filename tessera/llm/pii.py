@@ -1,17 +1,22 @@
 """Personal data: detected entities get keyed surrogates of the same type, in DataFrame functions only.
 
-Found are e-mail addresses, IPv4 addresses, payment cards (with a right check digit), phone numbers, social security
-numbers, IBANs, and names after a title. A surrogate is drawn from a keyed hash of the entity's normal form and an attempt.
+Found are e-mail addresses, IPv4 addresses, payment cards (in their usual groupings, with a right check digit), phone numbers,
+social security numbers, IBANs, and names after a title; in a text with such a name also each further mention of one of its
+words, with a title, another one or none. A surrogate is drawn from a keyed hash of the entity's normal form and an attempt.
 It has the entity's type and format: cards keep their first digit, length and a right check digit, phones their country
-code, IBANs their country, names the gender of the title, the number of words and the script. Written forms of one entity
-get one surrogate, each in its own format.
+code, IBANs their country. Names are replaced word by word, so that a short mention agrees with the long one; a word's
+surrogate has its script, and an ending of the title's gender. A title without a gender takes that of another mention in the
+text. Written forms of one entity get one surrogate, each in its own format.
 
 All distinct entities of a type are checked together: an attempt is taken if no other entity draws the same surrogate
-before and the surrogate isn't itself an entity of the corpus; else the next attempt is drawn. Texts without an entity are
-passed through as they are and are never shuffled.
-
-Null texts stay null and have no entities. Repeated rows get the same text each; null doc_ids pass through; empty tables
-give no rows; a column n_entities in docs is replaced.
+before (of equal draws the entity that sorts first wins) and the surrogate isn't itself an entity of the corpus; else the next
+attempt is drawn, for names from a longer and longer space, for addresses and social security numbers at last from the whole
+one. Only a type with more entities than it has values stops the job. Texts without an entity are passed through as they are
+and are never shuffled.
+
+Null texts stay null and have no entities, empty texts stay empty. Repeated rows get the same text each; null doc_ids pass
+through; empty tables give no rows; very long texts are read whole. A column n_entities in docs is replaced, all others are
+kept as they are.
 """
 
 from __future__ import annotations
@@ -19,42 +24,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import written
+from tessera.llm._common import inside, outside, written
 
 #: Fixed patterns, in the order in which they are tried at a place.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"
 IP = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?[0-9])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}(?: [0-9]{3})?|[0-9]{4}(?:-[0-9]{4}){3}(?:-[0-9]{3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|[0-9](?: [0-9]){12,18}|[0-9](?:-[0-9]){12,18})(?!-?[0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = r"(?<![0-9])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"
-MALE = r"Mr|Herr|Monsieur|Señor|г-н"
+MALE = r"Mr|Sir|Herr|Monsieur|Señor|г-н"
 FEMALE = r"Mrs|Miss|Ms|Frau|Madame|Mme|Señora|г-жа"
-NAME = rf"(?<![\p{{L}}\p{{N}}-])(?:{MALE}|{FEMALE})\.? \p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+){{0,2}}"
+NEUTRAL = r"Dr|Prof|Professor|Doktor|Docteur|д-р"
+TITLE = rf"(?:{MALE}|{FEMALE}|{NEUTRAL})\.? "
+NAME = rf"(?<![\p{{L}}\p{{N}}-]){TITLE}\p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+){{0,2}}"
 PATTERN = "|".join((EMAIL, IP, IBAN, CARD, SSN, PHONE, NAME))
+#: A word that may be a name's, unless an address begins in it.
+BARE = r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}+(?![\p{L}\p{N}]|[A-Za-z0-9._%+-]*@)"
 #: Whatever PATTERN finds holds one of these.
-HINT = rf"[0-9][ .-]?[0-9]|@|(?:{MALE}|{FEMALE})\.? \p{{Lu}}"
+HINT = rf"[0-9][ .-]?[0-9]|@|{TITLE}\p{{Lu}}"
 #: Fixed parts of invented names, by script.
-PARTS = {"latin": ("ba", "der", "fel", "gor", "hal", "jen", "kor", "lin", "mar", "nor", "pol", "rus", "sel", "tam", "vel", "wes"), "cyrillic": ("ба", "вор", "гал", "дем", "жин", "зор", "кал", "лев", "мир", "нов", "пол", "рус", "сав", "тим", "чер", "юр")}
-MOST_ATTEMPTS = 64
-
+PARTS = {
+    "Latin": ("ba", "der", "fel", "gor", "hal", "jen", "kor", "lin", "mar", "nor", "pol", "rus", "sel", "tam", "vel", "wes"),
+    "Cyrillic": ("ба", "вор", "гал", "дем", "жин", "зор", "кал", "лев", "мир", "нов", "пол", "рус", "сав", "тим", "чер", "юр"),
+    "Greek": ("βαρ", "γον", "δελ", "ζημ", "θαν", "καλ", "λερ", "μιν", "νορ", "παλ", "ρηγ", "σολ", "τιμ", "φερ", "χαν", "ψηλ"),
+}
+ENDINGS = {"Latin": ("a", ""), "Cyrillic": ("ова", "ов"), "Greek": ("α", "ος")}
+#: From this attempt on, types with a reserved space draw from all values; beyond the last one a type has no free value.
+WHOLE_SPACE, MOST_ATTEMPTS = 8, 200
 
-def _matches(whole: str) -> Column:
-    return F.col("m").rlike(rf"^(?:{whole})$")
 
-
-def kind(m: str = "m") -> Column:
+def kind(m: Column) -> Column:
     """The type of a match, null for digits that only look like a card."""
     digits = F.regexp_replace(m, "[^0-9]", "")
-    bare = F.col(m).rlike("^[0-9][0-9 -]*$")
+    bare = m.rlike("^[0-9][0-9 -]*$")
     return (
-        F.when(F.col(m).contains("@"), "email")
-        .when(F.col(m).rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), "ip")
-        .when(F.col(m).rlike("^[A-Z]{2}[0-9]{2}"), "iban")
+        F.when(m.contains("@"), "email")
+        .when(m.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), "ip")
+        .when(m.rlike("^[A-Z]{2}[0-9]{2}"), "iban")
         .when(bare & F.length(digits).between(13, 19), F.when(luhn(digits) % 10 == 0, "card"))
-        .when(F.col(m).rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
-        .when(F.col(m).rlike(r"^[+(0-9]"), "phone")
-        .otherwise("name")
+        .when(m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
+        .when(m.rlike(r"^[+(0-9]"), "phone")
     )
 
 
@@ -65,17 +75,18 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(doubled, F.lit(0), lambda a, d: a + d)
 
 
-def normal(m: str = "m", type_: str = "type") -> Column:
+def normal(m: Column, type_: Column) -> Column:
     """What the written forms of one entity share."""
-    title = rf"^({MALE}|{FEMALE})\.? "
-    gender = F.when(F.col(m).rlike(rf"^({FEMALE})\.? "), "f").otherwise("m")
-    return (
-        F.when(F.col(type_) == "email", F.lower(m))
-        .when(F.col(type_) == "ip", F.col(m))
-        .when(F.col(type_) == "iban", F.replace(F.col(m), F.lit(" "), F.lit("")))
-        .when(F.col(type_) == "name", F.concat(gender, F.lit(":"), F.lower(F.regexp_replace(m, title, ""))))
-        .otherwise(F.regexp_replace(m, "[^0-9]", ""))
-    )
+    return F.when(type_ == "email", F.lower(m)).when(type_ == "ip", m).when(type_ == "iban", F.replace(m, F.lit(" "), F.lit(""))).otherwise(F.regexp_replace(m, "[^0-9]", ""))
+
+
+def gender(m: Column) -> Column:
+    """Of a title: m, f, or n where it says nothing."""
+    return F.when(m.rlike(rf"^(?:{MALE})\.? "), "m").when(m.rlike(rf"^(?:{FEMALE})\.? "), "f").otherwise("n")
+
+
+def name_words(m: Column) -> Column:
+    return F.split(F.regexp_replace(m, f"^{TITLE}", ""), "[ -]")
 
 
 def surrogate(key: str, attempt: Column, type_: str = "type", entity: str = "entity") -> Column:
@@ -95,11 +106,12 @@ def surrogate(key: str, attempt: Column, type_: str = "type", entity: str = "ent
 
     body = drawn(F.substring(e, F.lit(1), F.length(e) - 1), F.lit(1))
     card = F.concat(body, ((10 - luhn(F.concat(body, F.lit("0"))) % 10) % 10).cast("string"))
-    octets = F.concat_ws(".", (240 + byte(F.lit(0)) % 15).cast("string"), *((byte(F.lit(i)) % 256).cast("string") for i in (1, 2, 3)))
+    octets = F.concat_ws(".", F.when(attempt < WHOLE_SPACE, 240 + byte(F.lit(0)) % 15).otherwise(byte(F.lit(0))).cast("string"), *((byte(F.lit(i)) % 256).cast("string") for i in (1, 2, 3)))
     email = F.concat(drawn(F.substring_index(e, "@", 1)), F.lit("@"), F.array_join(F.transform(F.sequence(F.lit(20), F.lit(27)), lambda i: F.chr(97 + byte(i) % 26)), ""), F.lit(".example.net"))
     iban = F.concat(F.substring(e, 1, 2), F.lit("00"), drawn(F.substring(e, F.lit(5), F.length(e))))
-    name = F.concat(F.substring(e, 1, 2), _invented_words(F.substring(e, F.lit(3), F.length(e)), byte, F.substring(e, 1, 1) == "f", attempt))
-    kinds = {"email": email, "ip": octets, "iban": iban, "card": card, "ssn": F.concat(F.lit("9"), F.substring(drawn(e), 2, 8)), "name": name}
+    ssn = F.when(attempt < WHOLE_SPACE, F.concat(F.lit("9"), F.substring(drawn(e), 2, 8))).otherwise(drawn(e))
+    name = F.concat(F.substring(e, 1, 2), _invented(e, byte, attempt))
+    kinds = {"email": email, "ip": octets, "iban": iban, "card": card, "ssn": ssn, "name": name}
     out = F.lit(None).cast("string")
     for k, v in kinds.items():
         out = F.when(F.col(type_) == k, v).otherwise(out)
@@ -107,32 +119,25 @@ def surrogate(key: str, attempt: Column, type_: str = "type", entity: str = "ent
     return F.when(F.col(type_) == "phone", drawn(e, F.greatest(F.length(e) - 10, F.lit(0)))).otherwise(out)
 
 
-def _invented_words(words: Column, byte, female: Column, attempt: Column) -> Column:
-    """As many words, joined alike, in the same script; the last one ends as names of the gender do."""
-
-    def parts(script: str) -> Column:
-        return F.array(*map(F.lit, PARTS[script]))
+def _invented(e: Column, byte, attempt: Column) -> Column:
+    """A word of the entity's script with an ending of its gender, longer with each attempt."""
+    def body(script: str) -> Column:
+        table = F.array(*map(F.lit, PARTS[script]))
+        return F.array_join(F.transform(F.sequence(F.lit(0), 3 + attempt), lambda j: F.get(table, (byte(j) + F.floor(j / 32)).cast("int") % 16)), "")
 
-    cyrillic = words.rlike(r"\p{IsCyrillic}")
-    more = 2 + attempt % 3
-
-    def word(w, i):
-        at = F.transform(F.sequence(F.lit(0), more), lambda j: F.when(cyrillic, F.get(parts("cyrillic"), byte(7 * i + j) % 16)).otherwise(F.get(parts("latin"), byte(7 * i + j) % 16)))
-        return F.array_join(at, "")
-
-    split = F.split(words, "[ -]")
-    end = F.when(cyrillic, F.when(female, "ова").otherwise("ов")).otherwise(F.when(female, "a").otherwise(""))
-    return F.concat(F.call_function("array_join", F.transform(split, word), F.when(words.contains("-"), "-").otherwise(" ")), end)
+    out = F.lit(None).cast("string")
+    for script in PARTS:
+        female, male = ENDINGS[script]
+        word = F.concat(body(script), F.when(e.startswith("f"), female).when(e.startswith("m"), male).otherwise(""))
+        out = word if script == "Latin" else F.when(e.rlike(rf"\p{{Is{script}}}"), word).otherwise(out)
+    return out
 
 
 def written_as(m: str, type_: str, chosen: str) -> Column:
     """A surrogate in the format of an occurrence."""
     spots = F.transform(F.split(m, ""), lambda c, i: F.when(c.rlike("[0-9A-Z]") & (c.rlike("[0-9]") | (F.col(type_) == "iban")), F.length(F.regexp_replace(F.substring(F.col(m), F.lit(1), i + 1), F.when(F.col(type_) == "iban", "[^0-9A-Z]").otherwise("[^0-9]"), ""))).otherwise(0))
     placed = F.array_join(F.zip_with(F.split(m, ""), spots, lambda c, n: F.when(n > 0, F.substring(F.col(chosen), n, F.lit(1))).otherwise(c)), "")
-    capitals = F.initcap(F.substring(F.col(chosen), F.lit(3), F.length(chosen)))
-    capitals = F.array_join(F.transform(F.split(capitals, "-"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))), "-")
-    named = F.concat(F.regexp_extract(m, rf"^(?:{MALE}|{FEMALE})\.? ", 0), capitals)
-    return F.when(F.col(type_).isNull(), F.col(m)).when(F.col(type_).isin("email", "ip"), F.col(chosen)).when(F.col(type_) == "name", named).otherwise(placed)
+    return F.when(F.col(type_).isin("email", "ip"), F.col(chosen)).when(F.col(type_) == "name", F.initcap(F.substring(F.col(chosen), F.lit(3), F.length(chosen)))).otherwise(placed)
 
 
 def assign(entities: DataFrame, key: str) -> DataFrame:
@@ -154,20 +159,53 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
             raise RuntimeError(f"no free surrogates for some entities after {attempt} attempts")
 
 
-def pseudonymize(docs: DataFrame, key: str = "surrogate-key") -> DataFrame:
-    """docs with text rewritten and n_entities, the number of entities replaced in it."""
-    docs = docs.drop("n_entities")
-    maybe = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
-    clean = docs.filter(~maybe).withColumn("n_entities", F.lit(0).cast("long"))
-    some = docs.filter(maybe).withColumn("_t", F.xxhash64("text"))
-    found = some.select("doc_id", "_t", F.posexplode(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).alias("pos", "m")).distinct()
-    found = found.withColumn("type", kind()).withColumn("entity", F.when(F.col("type").isNotNull(), normal()))
-    found = written(found)
-    chosen = assign(written(found.filter("type IS NOT NULL").select("type", "entity").distinct()), key)
-    shown = found.join(chosen, ["type", "entity"], "left").select("doc_id", "_t", "pos", F.col("type").isNotNull().cast("long").alias("is_entity"), written_as("m", "type", "surrogate").alias("shown"))
-    by_doc = shown.groupBy(F.col("doc_id").alias("_d"), F.col("_t").alias("_dt")).agg(F.sort_array(F.collect_list(F.struct("pos", "shown"))).alias("_all"), F.sum("is_entity").alias("_n"))
-    joined = some.join(by_doc, some["doc_id"].eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_dt")), "left")
-    joined = joined.withColumn("_between", F.split("text", PATTERN, -1))
-    woven = F.concat(F.get("_between", F.lit(0)), F.array_join(F.zip_with(F.transform("_all", lambda x: x["shown"]), F.slice("_between", F.lit(2), F.size("_all")), lambda shown, rest: F.concat(shown, rest)), ""))
-    out = joined.withColumn("text", F.when(F.col("_all").isNull(), F.col("text")).otherwise(woven)).withColumn("n_entities", F.coalesce("_n", F.lit(0).cast("long")))
-    return clean.unionByName(out.select(*clean.columns))
+def _by_pattern(f, text: Column) -> Column:
+    """f of the text and the pattern to look for: with single words where the text has a name."""
+    return F.when(F.col("named"), f(text, F.lit(f"{PATTERN}|{BARE}"))).otherwise(f(text, F.lit(PATTERN)))
+
+
+def entities(texts: DataFrame) -> DataFrame:
+    """d, t, pos, wi, before, m, after, type, entity: the entity at each match, or each word of a name there. texts: d, t, in_text, named."""
+    df = texts.withColumn("ms", _by_pattern(lambda x, p: F.regexp_extract_all(x, p, F.lit(0)), F.col("in_text")))
+    df = df.withColumn("titled", F.filter("ms", lambda m: m.rlike(f"^{TITLE}")))
+    one = lambda m: F.transform(name_words(m), lambda w: F.struct(F.lower(w).alias("w"), F.concat(gender(m), F.lit(":"), F.lower(w)).alias("e")))
+    df = df.withColumn("words", F.flatten(F.transform("titled", one)))
+
+    def same(w: Column) -> Column:
+        """The entity that a word stands for in its text: that of its first mention with a gender, or its first one."""
+        of = F.filter("words", lambda x: x["w"] == F.lower(w))
+        return F.when(F.size("words") > 0, F.coalesce(F.get(F.filter(of, lambda x: ~x["e"].startswith("n")), F.lit(0))["e"], F.get(of, F.lit(0))["e"]))
+
+    def pieces(m: Column, pos: Column) -> Column:
+        none, separators = F.lit(""), F.regexp_extract_all(F.regexp_replace(m, f"^{TITLE}", ""), F.lit("[ -]"), F.lit(0))
+        piece = lambda wi, before, w, after, type_, entity: F.struct(pos.alias("pos"), wi.alias("wi"), before.alias("before"), w.alias("m"), after.alias("after"), type_.alias("type"), entity.alias("entity"))
+        own = lambda w: F.when(gender(m) == "n", same(w)).otherwise(F.concat(gender(m), F.lit(":"), F.lower(w)))
+        name = F.transform(name_words(m), lambda w, j: piece(j, F.when(j == 0, F.regexp_extract(m, f"^{TITLE}", 0)).otherwise(""), w, F.coalesce(F.get(separators, j), none), F.lit("name"), own(w)))
+        word = F.array(piece(F.lit(0), none, m, none, F.lit("name"), same(m)))
+        other = F.array(piece(F.lit(0), none, m, none, kind(m), normal(m, kind(m))))
+        return F.when(m.rlike(f"^{TITLE}"), name).when(m.rlike(r"^\p{Lu}\p{Ll}+$"), word).otherwise(other)
+
+    all_ = df.select("d", "t", F.explode(F.transform("ms", pieces)).alias("x")).select("d", "t", F.inline("x"))
+    return all_.filter("type IS NOT NULL AND entity IS NOT NULL").distinct()
+
+
+def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
+    """docs with text rewritten and n_entities, the number of places in it that were replaced. key: whoever has it can redo the surrogates."""
+    own = inside(docs, "n_entities")
+    maybe = F.coalesce(F.col("in_text").rlike(HINT), F.lit(False))
+    clean = own.filter(~maybe).withColumn("n_entities", F.lit(0).cast("long"))
+    some = own.filter(maybe).withColumns({"d": F.col("in_doc_id"), "t": F.xxhash64("in_text"), "named": F.col("in_text").rlike(NAME)})
+    found = written(entities(some.select("d", "t", "in_text", "named")))
+    chosen = assign(written(found.select("type", "entity").distinct()), key)
+    shown = found.join(chosen, ["type", "entity"]).select("d", "t", "pos", "wi", F.concat("before", written_as("m", "type", "surrogate"), "after").alias("shown"))
+    by_doc = shown.groupBy(F.col("d").alias("bd"), F.col("t").alias("bt")).agg(F.sort_array(F.collect_list(F.struct("pos", "wi", "shown"))).alias("all"))
+    joined = some.join(by_doc, F.col("d").eqNullSafe(F.col("bd")) & (F.col("t") == F.col("bt")), "left")
+    joined = joined.withColumn("between", _by_pattern(lambda x, p: F.split(x, p, -1), F.col("in_text"))).withColumn("ms", _by_pattern(lambda x, p: F.regexp_extract_all(x, p, F.lit(0)), F.col("in_text")))
+    # what is shown at each match: its pieces, or itself
+    at = lambda i: F.array_join(F.transform(F.filter("all", lambda x: x["pos"] == i), lambda x: x["shown"]), "")
+    joined = joined.withColumn("put", F.transform("ms", lambda m, i: F.coalesce(F.nullif(at(i), F.lit("")), m)))
+    woven = F.concat(F.get("between", F.lit(0)), F.array_join(F.zip_with("put", F.slice("between", F.lit(2), F.size("put")), lambda shown, rest: F.concat(shown, rest)), ""))
+    places = F.size(F.array_distinct(F.transform("all", lambda x: x["pos"]))).cast("long")
+    out = joined.withColumn("in_text", F.when(F.col("all").isNull(), F.col("in_text")).otherwise(woven)).withColumn("n_entities", F.when(F.col("all").isNull(), 0).otherwise(places))
+    both = clean.unionByName(out.select(*clean.columns))
+    return both.select(*outside(both), "n_entities")

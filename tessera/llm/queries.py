@@ -27,7 +27,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymize(documents(spark, sf_dir).select("doc_id", "text"))
+    return pii.pseudonymize(documents(spark, sf_dir).select("doc_id", "text"), spark.conf.get("spark.tessera.surrogate.key", "a key for tests"))
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,7 +60,7 @@ def key(pairs):
 
 
 OPERATORS = [
-    lambda d: secret_scan.secret_scan(d), lambda d: packing.pack(d, JSON, RANKS), lambda d: quality.quality_rules(d), lambda d: line_dedup.line_dedup(d), lambda d: pii.pseudonymize(d),
+    lambda d: secret_scan.secret_scan(d), lambda d: packing.pack(d, JSON, RANKS), lambda d: quality.quality_rules(d), lambda d: line_dedup.line_dedup(d), lambda d: pii.pseudonymize(d, "k"),
     lambda d: fingerprints.fingerprint_report(d), lambda d: mixing.mix(d), lambda d: simhash.near_duplicates(d), lambda d: token_counts.token_counts(d, MODEL), lambda d: suffix_dedup.repeats(d),
 ]
 
@@ -233,7 +233,7 @@ def test_pii(spark, docs):
     assert re.fullmatch(r"г-жа \w+ова; SSN 9\d\d-\d\d-\d{4}; IBAN DE00( \d{4}){4} \d\d", got[2].text)
     assert [got[i].text for i in (3, 4, 5)] == texts_[3:] and got[3].n_entities == 0
     assert {r.doc_id: r.text for r in pii.pseudonymize(df, "other").collect()}[0] != a
-    assert key((r.doc_id, r.text) for r in pii.pseudonymize(docs).collect()) == key((r.doc_id, r.text) for r in docs.collect())
+    assert key((r.doc_id, r.text) for r in pii.pseudonymize(docs, "k").collect()) == key((r.doc_id, r.text) for r in docs.collect())
 
 
 def test_surrogates_are_distinct_and_new(spark):
