@@ -1,9 +1,10 @@
 """Near-duplicates by SimHash with bit-sliced comparison, every link checked by the exact Jaccard similarity of word shingles.
 
-Equal sets of shingles form a class. Each class draws 200 minima of hashed shingles, in 40 signatures of five, and a SimHash
+Equal sets of shingles form a class. Each class draws 130 minima of hashed shingles, in 26 signatures of five, and a SimHash
 of 256 bits; classes that share a signature are candidates. A pair at 0.8 shares no signature with a probability of
-0.672 ** 40, about 1.3e-7, and its SimHashes differ in 38.8 of 256 bits on average (deviation 5.7), so a radius of 64 loses
-one in 100,000; closer pairs are lost more rarely. A candidate pair is linked only if its two sets are similar enough.
+0.672 ** 26, about 3e-5, and its SimHashes differ in 38.8 of 256 bits on average (deviation 5.7), so a radius of 64 loses
+one in 100,000; closer pairs are lost more rarely. A candidate pair is linked only if its two sets are similar enough. Sets
+are computed again for the classes that share a signature, so that those of all others need no disk.
 
 The classes of a signature are first compared with three of them only, round by round, and each round's links join classes to
 components; pairs within a component need no comparison. Once such a round links few of its pairs, or few are left, the
@@ -28,8 +29,9 @@ from tessera.llm._common import keyed_texts, record_batch, slices, written
 from tessera.llm.components import components
 from tessera.llm.simhash import near_pairs, shingles
 
-ARROW = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("c", pa.int64()), ("n", pa.int32()), ("prints", pa.list_(pa.int64())), ("signatures", pa.list_(pa.int64())), ("hashes", pa.list_(pa.int64()))])
-SIGNATURES, MINIMA = 40, 5
+ARROW = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("c", pa.int64()), ("n", pa.int32()), ("prints", pa.list_(pa.int64())), ("signatures", pa.list_(pa.int64()))])
+KNOWN = pa.schema([("c", pa.int64()), ("prints", pa.list_(pa.int64())), ("hashes", pa.list_(pa.int64()))])
+SIGNATURES, MINIMA = 26, 5
 PRINTS, RADIUS = 4, 64
 _RNG = np.random.default_rng(2023)
 _XOR = _RNG.integers(0, 2**64, SIGNATURES * MINIMA, np.uint64)
@@ -71,7 +73,7 @@ def prints(hashes: np.ndarray, chunk: int = 1 << 14) -> np.ndarray:
 
 
 def sets(docs: DataFrame, size: int, seed: int) -> DataFrame:
-    """doc_id, t (hash of the text), c (class), n (shingles), prints, signatures and hashes of each row."""
+    """doc_id, t (hash of the text), c (class), n (shingles), prints and signatures of each row."""
 
     def of(batches):
         import xxhash
@@ -79,10 +81,21 @@ def sets(docs: DataFrame, size: int, seed: int) -> DataFrame:
         for b in slices(batches):
             found = [hashed(t, size, seed) for t in b.column(1).to_pylist()]
             names = np.array([xxhash.xxh64_intdigest(h.tobytes(), seed) for h in found], np.uint64).view(np.int64)
-            columns = [[f(h).view(np.int64) for h in found] for f in (prints, signatures, np.asarray)]
+            columns = [[f(h).view(np.int64) for h in found] for f in (prints, signatures)]
             yield record_batch(ARROW, [b.column(0), b.column(2), names, [len(h) for h in found], *columns])
 
-    return keyed_texts(docs, F.xxhash64("text").alias("t")).mapInArrow(of, "doc_id long, t long, c long, n int, prints array<long>, signatures array<long>, hashes array<long>")
+    return keyed_texts(docs, F.xxhash64("text").alias("t")).mapInArrow(of, "doc_id long, t long, c long, n int, prints array<long>, signatures array<long>")
+
+
+def _hashes(docs: DataFrame, classes: DataFrame, size: int, seed: int) -> DataFrame:
+    """c, prints and hashes of classes (t, c, prints), one row each, from the text with the hash t."""
+
+    def of(batches):
+        for b in slices(batches):
+            yield record_batch(KNOWN, [b.column(0), b.column(1), [hashed(t, size, seed).view(np.int64) for t in b.column(2).to_pylist()]])
+
+    texts = keyed_texts(docs, F.xxhash64("text").alias("t")).groupBy("t").agg(F.first("text").alias("text"))
+    return texts.join(classes, "t").select("c", "prints", "text").mapInArrow(of, "c long, prints array<long>, hashes array<long>")
 
 
 def _sizes_allow(n: Column, m: Column, similarity: float) -> Column:
@@ -135,8 +148,8 @@ def _rarest_pairs(classes: DataFrame, known: DataFrame, similarity: float) -> Da
     return some.join(other, "w").filter((F.col("root") < F.col("other")) & enough & _sizes_allow(F.col("n"), F.col("m"), similarity)).select("c", "d")
 
 
-def links(rows: DataFrame, similarity: float, most_pairs: float = 4.0, least_gain: float = 0.05, most: int = 256, shard_rows: int = 20_000) -> DataFrame:
-    """(a, b) for each class a that isn't the least of its component, b being the least. rows: written sets.
+def links(docs: DataFrame, rows: DataFrame, similarity: float, size: int, seed: int, most_pairs: float = 4.0, least_gain: float = 0.05, most: int = 256, shard_rows: int = 20_000) -> DataFrame:
+    """(a, b) for each class a that isn't the least of its component, b being the least. rows: the written sets of docs.
 
     most_pairs: pairs left for each member of a signature at which the rest is compared in full; least_gain: share of a round's
     pairs it must link for another such round; most: classes of a signature that are compared by their SimHashes.
@@ -144,7 +157,8 @@ def links(rows: DataFrame, similarity: float, most_pairs: float = 4.0, least_gai
     spread = rows.select("c", "n", F.explode("signatures").alias("s"))
     shared = spread.groupBy("s").agg(F.min("c").alias("least"), F.max("c").alias("greatest")).filter("least < greatest").select("s")
     members = written(spread.join(shared, "s").distinct())
-    known = written(rows.join(members.select("c").distinct(), "c", "left_semi").select("c", "prints", "hashes").dropDuplicates(["c"]))
+    classes = rows.join(members.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.min("t").alias("t"), F.first("prints").alias("prints"))
+    known = written(_hashes(docs, classes, size, seed))
     edges, trees, gain, round_, last = None, None, 1.0, 0, False
     while not last:
         named = members.withColumn("root", F.col("c")) if trees is None else members.join(trees.withColumnRenamed("a", "c"), "c", "left").withColumn("root", F.coalesce("b", "c")).drop("b")
@@ -176,7 +190,7 @@ def links(rows: DataFrame, similarity: float, most_pairs: float = 4.0, least_gai
 def near_texts(docs: DataFrame, size: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
     """doc_id, t (xxhash64 of the text) and component (of texts linked by a similarity of shingle sets) of each row."""
     rows = written(sets(docs, size, seed))
-    trees = links(rows, similarity)
+    trees = links(docs, rows, similarity, size, seed)
     return rows.select("doc_id", "t", "c").join(trees.select(F.col("a").alias("c"), "b"), "c", "left").select("doc_id", "t", F.coalesce("b", "c").alias("component"))
 
 

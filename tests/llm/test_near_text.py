@@ -51,7 +51,7 @@ def test_groups_are_those_of_all_pairs(spark, most_pairs, most):
     texts = near_copies()
     docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], SCHEMA)
     rows = written(near_text.sets(docs, 5, 42))
-    root = {r.a: r.b for r in near_text.links(rows, 0.8, most_pairs=most_pairs, most=most).collect()}
+    root = {r.a: r.b for r in near_text.links(docs, rows, 0.8, 5, 42, most_pairs=most_pairs, most=most).collect()}
     groups = {}
     for r in rows.select("doc_id", "c").collect():
         groups.setdefault(root.get(r.c, r.c), set()).add(r.doc_id)
