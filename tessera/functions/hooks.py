@@ -1,4 +1,4 @@
-"""Pluggable external functions with deterministic offline defaults (UDF01-03, UDF05, SRC19, RAG02, MTH03)."""
+"""Pluggable external functions with deterministic offline defaults (UDF01-03, UDF05-06, CFG01, SRC19, RAG02)."""
 
 from __future__ import annotations
 
@@ -69,10 +69,53 @@ def summarize(text: str, sentences: int = 2) -> str:
     return ". ".join((text or "").replace("\n", " ").split(". ")[:sentences]).strip()
 
 
-def embed(text, width: int = 64, most: int = 8000):
-    """RAG02's offline default: hashed word counts of the first characters, of unit length, as a column."""
-    words = F.filter(F.split(F.lower(F.substring(text, 1, most)), r"\W+"), lambda w: w != "")
+def embed(text, width: int = 64):
+    """RAG02's offline default: hashed word counts, of unit length, as a column."""
+    words = F.filter(F.split(F.lower(text), r"\W+"), lambda w: w != "")
     places = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(width)))
     counts = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("double"))
     length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
     return F.transform(counts, lambda x: F.try_divide(x, length).cast("float"))
+
+
+#: Parsers by name: each maps rows (path, text) to rows (path, markdown, structured_json).
+PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
+
+
+def register_parser(name: str, parser: Callable[[DataFrame], DataFrame]) -> None:
+    """UDF05: makes a parser known."""
+    PARSERS[name] = parser
+
+
+def parse(rows: DataFrame, name: str = "plain") -> DataFrame:
+    """UDF05: path, markdown, structured_json by the parser of a name."""
+    if name not in PARSERS:
+        raise ValueError(f"unknown parser: {name}; known: {sorted(PARSERS)}")
+    return PARSERS[name](rows).select("path", "markdown", "structured_json")
+
+
+def _plain(rows: DataFrame) -> DataFrame:
+    heads = F.regexp_extract_all("text", F.lit(r"(?m)^#{1,6}[ \t]+(.+)$"), F.lit(1))
+    return rows.select("path", F.col("text").alias("markdown"), F.to_json(F.struct(heads.alias("headings"))).alias("structured_json"))
+
+
+register_parser("plain", _plain)
+
+
+def run_tools(rows: DataFrame, reply: str, tools: dict[str, Callable]) -> DataFrame:
+    """UDF06: rows with content, the result of the tool that a reply {"tool": name, "arguments": {...}} names, as text.
+
+    tools: functions from the arguments' JSON, as a column, to a column. A name that no tool has gives an error as content; a reply
+    without a tool gives null.
+    """
+    name, arguments = F.get_json_object(reply, "$.tool"), F.get_json_object(reply, "$.arguments")
+    content = F.when(name.isNotNull(), F.concat(F.lit("Error: Function "), name, F.lit(" is not available.")))
+    for tool, f in tools.items():
+        content = F.when(name == tool, f(arguments).cast("string")).otherwise(content)
+    return rows.withColumn("content", content)
+
+
+def template(key, variable, names: list[str]):
+    """CFG01: the template a key names, else the one the environment names, else the first, as a column; an unknown name fails."""
+    chosen = F.coalesce(key, variable, F.lit(names[0]))
+    return F.when(chosen.isin(*names), chosen).otherwise(F.raise_error(F.concat(F.lit("unknown template: "), chosen)).cast("string"))

@@ -50,16 +50,48 @@ def decode_latex(text: Column) -> Column:
 
 
 #: Words that carry no meaning in a title.
-STOPWORDS = ("a", "an", "the", "of", "on", "in", "for", "and", "to", "with", "by", "from", "at", "is")
+STOPWORDS = ("the", "a", "an", "of", "for", "and", "on", "in", "with", "to", "from", "by", "via", "using")
 
 
 def paper_key(authors: Column, year: Column, title: Column) -> Column:
-    """STR04: Lastname_Year_Keyword. No author: Unknown; no year: 0000; no keyword: Untitled."""
-    first = F.trim(F.split(authors, r";| and ").getItem(0))
-    last = F.when(first.contains(","), F.split(first, ",").getItem(0)).otherwise(F.element_at(F.split(first, r"\s+"), -1))
-    words = F.filter(F.regexp_extract_all(F.lower(title), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: (F.length(w) > 1) & ~w.isin(*STOPWORDS))
-    clean = F.nullif(F.regexp_replace(fold(last), "[^A-Za-z0-9]", ""), F.lit(""))
-    return F.concat_ws("_", F.initcap(F.coalesce(clean, F.lit("Unknown"))), F.coalesce(F.lpad(year.cast("string"), 4, "0"), F.lit("0000")), F.initcap(F.coalesce(F.get(words, F.lit(0)), F.lit("Untitled"))))
+    """STR04: Lastname_Year_Keyword, in letters, digits and underscores. No author: Unknown; no year: 0000; a title without a
+    meaningful word: its first word; no title: Untitled."""
+    first = F.trim(F.split(F.split(authors, ";").getItem(0), " and ").getItem(0))
+    last = F.when(first.contains(","), F.trim(F.split(first, ",").getItem(0))).otherwise(F.element_at(F.split(first, r"\s+"), -1))
+    last = F.regexp_replace(F.when(F.coalesce(authors, F.lit("")) == "", "Unknown").otherwise(last), "[^A-Za-z0-9_]", "")
+    words = F.regexp_extract_all(F.coalesce(title, F.lit("")), F.lit("[A-Za-z0-9]+"), F.lit(0))
+    telling = F.filter(words, lambda w: (F.length(w) > 1) & ~F.lower(w).isin(*STOPWORDS))
+    word = F.coalesce(F.get(telling, F.lit(0)), F.get(words, F.lit(0)), F.lit("Untitled"))
+    return F.concat_ws("_", last, F.when(F.coalesce(year, F.lit(0)) == 0, "0000").otherwise(year.cast("string")), word)
+
+
+def file_metadata(stem: Column) -> Column:
+    """STR17: struct(authors, year, title) as a file's name tells them: the first part, the first year, and the other parts."""
+    parts = F.filter(F.split(stem, r"[_\-]+"), lambda t: t != "")
+    is_year = lambda t: t.rlike(r"^(?:19|20)\d{2}$")
+    rest = F.array_join(F.filter(F.slice(parts, F.lit(2), F.greatest(F.size(parts), F.lit(1))), lambda t: ~is_year(t)), " ")
+    return F.struct(F.get(parts, F.lit(0)).alias("authors"), F.get(F.filter(parts, is_year), F.lit(0)).try_cast("int").alias("year"), F.when(rest == "", stem).otherwise(rest).alias("title"))
+
+
+def tag_reference(text: Column) -> Column:
+    """FIL21: struct(category, name) of category:name (underscores of the name are spaces) or of a bare name."""
+    t = F.trim(text)
+    pair = t.contains(":")
+    return F.struct(F.when(pair, F.trim(F.substring_index(t, ":", 1))).alias("category"), F.when(pair, F.replace(F.trim(F.regexp_replace(t, "^[^:]*:", "")), F.lit("_"), F.lit(" "))).otherwise(t).alias("name"))
+
+
+def query_terms(text: Column) -> Column:
+    """FTS01: the phrases of a query, one for each term between spaces, as arrays of tokens; terms without tokens are left out."""
+    terms = F.filter(F.split(F.trim(text), r"\s+"), lambda x: x != "")
+    return F.filter(F.transform(terms, tokens), lambda p: F.size(p) > 0)
+
+
+def axis_value(card: Column, axis: str, own: Column | None = None) -> Column:
+    """JSN03: what a card says on an axis, in lower case; lists are joined by "; "; else the method's own column, else N/A."""
+    raw = F.get_json_object(card, f"$.{axis.lower()}")
+    items = F.from_json(raw, "array<string>")
+    value = F.when(raw.startswith("["), F.array_join(items, "; ")).otherwise(raw)
+    return F.coalesce(F.nullif(value, F.lit("")), *([F.nullif(own, F.lit(""))] if own is not None else []), F.lit("N/A"))
 
 
 def normalize_title(text: Column) -> Column:

@@ -73,7 +73,7 @@ def document_pipeline(pages: DataFrame) -> dict[str, DataFrame]:
         "equations": documents.equations(pages, "id"),
         "summaries": hooks.per_row(pages.select("id", "text"), "text", hooks.summarize, "summary").select("id", "summary"),
         "concepts": documents.keywords(pages, "id"),
-        "vectors": pages.select("id", hooks.embed(F.col("text"), most=2000).alias("embedding")),
+        "vectors": pages.select("id", hooks.embed(F.col("text")).alias("embedding")),
     }
 
 

@@ -113,6 +113,11 @@ def search_units(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
     return rows.select(key, text).mapInPandas(split, f"{key} {kind}, ordinal int, unit_type string, section_path string, content string")
 
 
+def unit_type(path: Column, in_summary: Column) -> Column:
+    """TGF03: what a section's unit is: part of a summary (with a heading above it), a method by its path, or a section."""
+    return F.when(in_summary & (F.coalesce(path, F.lit("")) != ""), "summary").when(F.lower(path).contains("method"), "method").otherwise("section")
+
+
 def with_structured(units: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """TGF04: units with the extracted equations of a document in place of those in its text, where it has any."""
     has = found.select(key).distinct().withColumn("_has", F.lit(True))

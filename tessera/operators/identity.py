@@ -20,6 +20,13 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
 
+def match_score(title_a: Column, title_b: Column, authors_a: Column, authors_b: Column, year_a: Column, year_b: Column) -> Column:
+    """STR05: 0.6 of the titles' likeness, 0.2 of the authors' (0.5 where one has none) and 0.2 for equal years; null for titles under 0.6."""
+    ts = similarity(normalize_title(title_a), normalize_title(title_b))
+    authors = F.when(F.coalesce(authors_a, F.lit("")).eqNullSafe("") | F.coalesce(authors_b, F.lit("")).eqNullSafe(""), 0.5).otherwise(similarity(F.lower(authors_a), F.lower(authors_b)))
+    return F.when(ts >= LEAST_TITLE, 0.6 * ts + 0.2 * authors + F.when(year_a == year_b, 0.2).otherwise(0.0))
+
+
 def fuzzy_matches(probes: DataFrame, papers: DataFrame) -> DataFrame:
     """JON11, STR05: probe_id, paper_id, score of the best paper for each probe, if it reaches 0.7.
 

@@ -115,6 +115,11 @@ def distribution(tags: DataFrame, links: DataFrame) -> DataFrame:
     return tags.join(n, ["name", "category"], "left").select("name", "category", F.coalesce("freq", F.lit(0)).cast("long").alias("freq"))
 
 
+def orphans(tags: DataFrame, links: DataFrame) -> DataFrame:
+    """AGG03: tags (name, category) without a link."""
+    return tags.select("name", "category").distinct().join(links.select("name", "category").distinct(), ["name", "category"], "left_anti")
+
+
 def folder_stats(files: DataFrame, folder: str, lines: Column, language: str) -> DataFrame:
     """AGG07: files, lines and the sorted distinct languages of each folder."""
     return files.groupBy(folder).agg(F.count("*").alias("files"), F.sum(lines).alias("lines"), F.array_join(F.sort_array(F.collect_set(language)), ",").alias("languages"))
@@ -191,3 +196,43 @@ def start_ids(rows: DataFrame, order: str, last: int) -> DataFrame:
     outer = before.groupBy("_s").agg(F.sum("_n").alias("_m"))
     starts = before.withColumn("_in", F.sum("_n").over(Window.partitionBy("_s").orderBy("_b")) - F.col("_n")).join(outer.withColumn("_out", F.sum("_m").over(Window.orderBy("_s")) - F.col("_m")), "_s")
     return ranged.withColumn("_k", F.row_number().over(w)).join(starts.select("_b", "_in", "_out"), "_b").withColumn("id", (last + F.col("_out") + F.col("_in") + F.col("_k")).cast("long")).drop("_b", "_k", "_in", "_out")
+
+
+def set_bibtex(papers: DataFrame, entries: DataFrame, folder: str) -> DataFrame:
+    """DML03: papers with the path under which the entry (id, bibtex) of each is stored; papers without an entry keep theirs."""
+    has = entries.filter("bibtex <> ''").select("id").distinct().withColumn("_has", F.lit(True))
+    path = F.concat(F.lit(f"{folder}/"), "paper_key", F.lit(".bib"))
+    return papers.join(has, "id", "left").withColumn("bibtex_path", F.when(F.col("_has"), path).otherwise(F.col("bibtex_path"))).select(papers.columns)
+
+
+def append(target: DataFrame, source: DataFrame) -> DataFrame:
+    """DML06: the rows of both; what the source lacks is null."""
+    return target.unionByName(source, allowMissingColumns=True).select(target.columns)
+
+
+def staged_summaries(summaries: DataFrame, runs: DataFrame) -> DataFrame:
+    """DML18: id, paper_id, is_active of all summaries: the newest of each paper whose run is ok or missing."""
+    best = active_summaries(summaries, runs).select("paper_id", F.col("id").alias("_best"))
+    return summaries.join(best, "paper_id", "left").select("id", "paper_id", F.coalesce(F.col("id") == F.col("_best"), F.lit(False)).alias("is_active"))
+
+
+def with_manual_tags(links: DataFrame, wanted: DataFrame) -> DataFrame:
+    """DML23: links with tags (paper_id, name) of the category "manual" added, trimmed and in lower case, each once."""
+    own = wanted.select("paper_id", F.lower(F.trim("name")).alias("name"), F.lit("manual").alias("category"))
+    return insert_ignore(links, own, ["paper_id", "name", "category"])
+
+
+def without_tag(links: DataFrame, name: str) -> DataFrame:
+    """DML23: links but those of a tag's name."""
+    return links.filter(F.lower(F.trim("name")) != name.strip().lower())
+
+
+def matched(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """JON01: rows of both sides with equal keys."""
+    return left.join(right, left[left_key] == right[right_key])
+
+
+def placed(rows: DataFrame, order: list[Column], limit: int) -> DataFrame:
+    """SRT01, SRT03: the first rows of an order, null places stated in it, with their place from 1."""
+    first = rows.orderBy(*order).limit(limit)
+    return first.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).cast("long"))  # at most `limit` rows

@@ -106,3 +106,9 @@ def periodic(rows: DataFrame, cell: tuple[float, float, float], images: int = 1)
     for axis, size in zip("xyz", cell, strict=True):
         out = out.withColumn(f"_{axis}", F.explode(steps)).withColumn(axis, F.col(axis) + F.col(f"_{axis}") * size)
     return out
+
+
+def potential_differences(rows: DataFrame, r: str, r0: float, e0: float, b: float) -> DataFrame:
+    """MTH10: the rows with lennard_jones, morse (energies with one minimum) and the distance between them."""
+    lj, m = lennard_jones(F.col(r), F.lit(r0), F.lit(e0))[0], morse(F.col(r), F.lit(r0), F.lit(e0), F.lit(b))[0]
+    return rows.withColumn("lennard_jones", lj).withColumn("morse", m).withColumn("difference", F.abs(F.col("lennard_jones") - F.col("morse")))

@@ -9,9 +9,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import decode_latex, normalize_doi, safe_filename
+from tessera.storage import written
 
 #: Languages by file extension.
-LANGUAGES = {"py": "python", "c": "c", "h": "c", "cpp": "cpp", "hpp": "cpp", "cu": "cuda", "cl": "opencl", "js": "javascript", "ts": "typescript", "java": "java", "rs": "rust", "go": "go", "md": "markdown"}
+LANGUAGES = {
+    "py": "python", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "h": "cpp_header", "hpp": "cpp_header", "c": "c", "js": "javascript", "ts": "typescript", "jl": "julia", "f90": "fortran", "f": "fortran", "cl": "opencl", "cu": "cuda", "md": "markdown", "toml": "toml", "json": "json", "sh": "shell",
+}
+#: What a scan takes for code, and the paths it leaves out.
+CODE = ("py", "cpp", "cc", "cxx", "h", "hpp", "c", "js", "ts", "jl", "f90", "cl", "cu")
+IGNORED = ("*/__pycache__/*", "*/.git/*", "*/node_modules/*", "*/.venv/*", "*/venvs/*", "*/.shadow/*", "*/build/*", "*.pyc", "*.so", "*.o", "*/.aider*", "*/Build-*/*")
 
 
 def files(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
@@ -20,14 +26,35 @@ def files(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool
     return found.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"), "content")
 
 
-def code_files(spark: SparkSession, folder: str, ignore: list[str] = (), languages: dict[str, str] = LANGUAGES) -> DataFrame:
-    """SRC04, SRC05: path, language, code of source files whose path holds none of the ignored parts."""
+def ignored(path: Column, patterns=IGNORED) -> Column:
+    """SRC05: whether a path matches one of the patterns, in which * stands for anything and ? for a character."""
+    like = "|".join("".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in p) for p in patterns)
+    return path.rlike(f"(?s)^(?:{like})$") if patterns else F.lit(False)
+
+
+def with_language(found: DataFrame, extensions=CODE, ignore=IGNORED, languages: dict[str, str] = LANGUAGES) -> DataFrame:
+    """SRC04: the rows of paths with a wanted extension that no pattern ignores, with their language (else unknown)."""
     extension = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     names = F.create_map(*(F.lit(x) for kv in languages.items() for x in kv))
-    out = files(spark, folder).withColumn("language", F.try_element_at(names, extension)).filter(F.col("language").isNotNull())
-    for part in ignore:
-        out = out.filter(~F.col("path").contains(part))
-    return out.select("path", "language", F.decode("content", "utf-8").alias("code"))
+    return found.filter(extension.isin(*extensions) & ~ignored(F.col("path"), ignore)).withColumn("language", F.coalesce(F.try_element_at(names, extension), F.lit("unknown")))
+
+
+def code_files(spark: SparkSession, folder: str, ignore=IGNORED, languages: dict[str, str] = LANGUAGES) -> DataFrame:
+    """SRC04: path, language, code of source files."""
+    return with_language(files(spark, folder), ignore=ignore, languages=languages).select("path", "language", F.decode("content", "utf-8").alias("code"))
+
+
+def numbered(found: DataFrame) -> DataFrame:
+    """SRC05: place (from 1), path of files in the order of their paths. Paths are sorted by ranges; only the ranges' sizes meet in one task."""
+    ranged = found.select("path").repartitionByRange("path").sortWithinPartitions("path").select("path", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_i"))
+    ranged = written(ranged)
+    before = ranged.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_b", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n"))
+    return ranged.join(before, "_p").select((F.col("_b") + F.col("_i") + 1).alias("place"), "path")
+
+
+def first_files(found: DataFrame, most: int, limit: int | None = None) -> DataFrame:
+    """SRC03: of at most `most` PDF files by path (whatever the case of their ending) the first `limit`."""
+    return found.filter(F.lower("path").endswith(".pdf")).orderBy("path").limit(most if limit is None else min(most, limit))
 
 
 def with_hashes(found: DataFrame, cache: DataFrame | None = None) -> DataFrame:
@@ -72,12 +99,12 @@ def _entries(text: str):
             yield m[1].lower(), m[2], fields
 
 
-BIB = "path string, ordinal int, entry_id string, entry_type string, title string, authors string, year string, doi string, journal string, keywords string, abstract string, file string"
+BIB = "path string, ordinal int, entry_id string, entry_type string, title string, authors string, year string, doi string, journal string, keywords string, abstract string, file string, booktitle string"
 
 
 def bibtex(texts: DataFrame) -> DataFrame:
     """SRC08: entries of BibTeX texts (path, text): accents decoded, DOI normalized, year an integer or null, authors joined by '; '."""
-    names = ("title", "author", "year", "doi", "journal", "keywords", "abstract", "file")
+    names = ("title", "author", "year", "doi", "journal", "keywords", "abstract", "file", "booktitle")
 
     def parse(batches):
         for b in batches:
@@ -90,6 +117,19 @@ def bibtex(texts: DataFrame) -> DataFrame:
     return out.withColumn("year", F.trim("year").try_cast("int")).withColumn("doi", normalize_doi(F.col("doi")))
 
 
+def first_entries(entries: DataFrame) -> DataFrame:
+    """SRC27: of each text the fields of its first entry; a missing journal is the title of the book."""
+    one = entries.filter("ordinal = 0")
+    return one.select("path", "entry_id", "title", "authors", "year", "doi", F.coalesce(F.nullif("journal", F.lit("")), "booktitle").alias("journal"))
+
+
+def entry_texts(entries: DataFrame, most: int | None = None) -> DataFrame:
+    """SRC26: path, ordinal, text of the entries, up to `most` of each text."""
+    out = entries if most is None else entries.filter(F.col("ordinal") < most)
+    fields = ("title", "authors", "year", "doi", "journal")
+    return out.select("path", "ordinal", F.concat_ws("\n", "entry_id", *(F.concat(F.lit(f"{c}: "), F.col(c).cast("string")) for c in fields)).alias("text"))
+
+
 def bibtex_lookup(entries: DataFrame) -> DataFrame:
     """SRC09: key, entry_id: entries by the stem of their file and by the start of their title; the last entry of a key wins."""
     stem = F.regexp_extract("file", r"([^/:\\]+)\.pdf", 1)
@@ -148,13 +188,17 @@ def xyz(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("path", (F.col("line_no") - 2).alias("atom"), parts[0].alias("symbol"), *(parts[i + 1].try_cast("double").alias(c) for i, c in enumerate("xyz")))
 
 
-#: Symbol, number, colour.
-ELEMENTS = [("H", 1, "#ffffff"), ("C", 6, "#909090"), ("N", 7, "#3050f8"), ("O", 8, "#ff0d0d"), ("F", 9, "#90e050"), ("P", 15, "#ff8000"), ("S", 16, "#ffff30"), ("Cl", 17, "#1ff01f")]
+#: The elements by number, the last numbers of the periods, and the colours of some.
+SYMBOLS = """H He Li Be B C N O F Ne Na Mg Al Si P S Cl Ar K Ca Sc Ti V Cr Mn Fe Co Ni Cu Zn Ga Ge As Se Br Kr Rb Sr Y Zr Nb Mo Tc Ru Rh Pd Ag Cd In Sn Sb Te I Xe
+Cs Ba La Ce Pr Nd Pm Sm Eu Gd Tb Dy Ho Er Tm Yb Lu Hf Ta W Re Os Ir Pt Au Hg Tl Pb Bi Po At Rn Fr Ra Ac Th Pa U Np Pu Am Cm Bk Cf Es Fm Md No Lr Rf Db Sg Bh Hs Mt Ds Rg Cn Nh Fl Mc Lv Ts Og""".split()
+PERIODS = (2, 10, 18, 36, 54, 86, 118)
+COLORS = {"H": "#ffffff", "C": "#909090", "N": "#3050f8", "O": "#ff0d0d", "F": "#90e050", "P": "#ff8000", "S": "#ffff30", "Cl": "#1ff01f"}
 
 
 def elements(spark: SparkSession) -> DataFrame:
-    """SRC17: a table of chemical elements."""
-    return spark.createDataFrame(ELEMENTS, "symbol string, number int, color string")
+    """SRC17: symbol, number, period, color of the chemical elements."""
+    rows = [(s, n, 1 + sum(n > last for last in PERIODS), COLORS.get(s)) for n, s in enumerate(SYMBOLS, 1)]
+    return spark.createDataFrame(rows, "symbol string, number int, period int, color string")
 
 
 def crossref(column: Column) -> Column:
@@ -172,3 +216,21 @@ def arxiv(column: Column) -> Column:
     one = lambda tag: F.trim(F.regexp_replace(F.regexp_extract(F.regexp_extract(column, r"(?s)<entry>(.*?)</entry>", 1), rf"(?s)<{tag}[^>]*>(.*?)</{tag}>", 1), r"\s+", " "))
     names = F.regexp_extract_all(F.regexp_extract(column, r"(?s)<entry>(.*?)</entry>", 1), F.lit(r"(?s)<name>(.*?)</name>"), F.lit(1))
     return F.struct(one("title").alias("title"), one("summary").alias("abstract"), F.array_join(names, "; ").alias("authors"), F.substring(one("published"), 1, 4).try_cast("int").alias("year"), F.regexp_extract(one("id"), r"abs/(.+?)(?:v\d+)?$", 1).alias("arxiv_id"))
+
+
+def page_text(text: Column) -> Column:
+    """SRC31: what a PDF converter gave, without its link annotations ([text](target) keeps the text) and bare addresses."""
+    return F.regexp_replace(F.regexp_replace(text, r"\[([^\]\n]*)\]\([^)\s]*\)", "$1"), r"<?https?://[^\s<>]+>?", "")
+
+
+def import_entries(entries: DataFrame, papers: DataFrame, files: DataFrame) -> DataFrame:
+    """SRC22: entry_id, paper_id (null: a new paper), was_new, path: entries of a reference manager with the paper they match, by DOI or
+    else by key, and the file they name, by its path or else by its base name. papers: id, paper_key, doi; files: path."""
+    base = lambda c: F.regexp_extract(c, r"([^/\\\\]+)$", 1)
+    by_doi = papers.filter("doi IS NOT NULL").groupBy("doi").agg(F.min("id").alias("_a"))
+    by_key = papers.groupBy(F.col("paper_key").alias("entry_id")).agg(F.min("id").alias("_b"))
+    by_path = files.select(F.col("path").alias("file")).distinct().withColumn("_p", F.col("file"))
+    by_base = files.groupBy(base("path").alias("_base")).agg(F.min("path").alias("_q"))
+    out = entries.join(by_doi, "doi", "left").join(by_key, "entry_id", "left").join(by_path, "file", "left").withColumn("_base", base("file")).join(by_base, "_base", "left")
+    found = F.coalesce("_a", "_b")
+    return out.select("entry_id", found.alias("paper_id"), found.isNull().alias("was_new"), F.coalesce("_p", "_q").alias("path"))
