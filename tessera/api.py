@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera import storage
 from tessera.catalog import Catalog
 from tessera.functions import text as X
-from tessera.operators import documents, relational, search, sequences
+from tessera.operators import composite, documents, relational, search, sequences
 from tessera.sources import readers, writers
 
 
@@ -101,15 +102,23 @@ class PaperBase:
 
     def search(self, query: str, limit: int = 10, preferred=(), excluded=(), years: tuple[int, int] | None = None, explain: bool = False) -> DataFrame:
         """FTS07, FTS13: the best papers with score and its parts."""
-        text, required = search.split_query(query)
-        found = search.best_units(search.bm25(self._units(), search.query_phrases(self.spark, text)), limit)
         papers = self._read("papers").select(F.col("id").alias("paper_id"), "paper_key", "title", F.concat_ws(" ", "abstract", "essence").alias("body"), "year")
-        ranked = search.rank_papers(papers, self.get_tags(), found, text, required, preferred, excluded, years)
-        return search.top(ranked, limit, explain)
+        return search.search(self.index(), papers, self.get_tags(), query, limit, preferred, excluded, years, explain)
+
+    def index(self) -> search.Index:
+        """The stored index of the present units; built when units or runs have changed since the last one."""
+        path = f"{self.tables.root}/index/v={self.tables.version('search_units')}-{self.tables.version('processing_runs')}"
+        done = search.Index(self.spark, path)
+        return done if self.tables.exists(f"{path}/figures/_SUCCESS") else search.Index.build(self._units(), path)
 
     def explain_match(self, query: str, paper_key: str) -> DataFrame:
+        """FTS11."""
         return self.search(query, 50, explain=True).filter(F.col("paper_key") == paper_key)
 
+    def search_results(self, query: str, limit: int = 20) -> DataFrame:
+        """FTS13: a search as fixed columns."""
+        return search.projected(self.search(query, limit), self._read("papers").withColumnRenamed("id", "paper_id"))
+
     def get_related(self, paper_id: int, limit: int = 10) -> DataFrame:
         return search.related(self.get_tags(), paper_id, limit)
 
@@ -117,7 +126,7 @@ class PaperBase:
         """CMP01: units of the best papers that fit into a budget of estimated tokens, in order of paper and unit."""
         papers = self.search(query, 500, explain=True)
         text, _ = search.split_query(query)
-        units = search.bm25(self._units(), search.query_phrases(self.spark, text), papers=papers).orderBy("rank", "unit_id").limit(500)
+        units = self.index().bm25(search.query_phrases(self.spark, text), papers).orderBy("rank", "unit_id").limit(500)
         joined = units.join(self._units().select("unit_id", "content"), "unit_id").join(papers.select("paper_id", "score"), "paper_id")
         placed = joined.withColumn("order", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "rank", "unit_id")).cast("long")).withColumn("pack", F.lit(0))  # at most 500 rows
         return placed.join(sequences.fill_budget(placed, "pack", "order", X.estimated_tokens(F.col("content")), budget), ["pack", "order"]).select("order", "paper_id", "unit_id", "content").orderBy("order")
@@ -133,6 +142,24 @@ class PaperBase:
             raise ValueError(f"unknown field: {field}")
         return relational.missing(papers, others[field].select(F.col("paper_id").alias("id")), "id")
 
+    def migrate(self, legacy: DataFrame, tags: DataFrame, article_tags: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+        """CMP16: papers of an older database become papers here; returns those found in it."""
+        found = composite.migrate(legacy, tags, article_tags, rules)["papers"]
+        self.upsert_papers(found)
+        return found
+
+    def import_bibtex(self, texts: DataFrame, files: DataFrame) -> DataFrame:
+        """SRC22, CMP16: entries of BibTeX texts (path, text) become papers with the file they name; returns what was matched."""
+        entries = readers.bibtex(texts)
+        key = F.regexp_replace("entry_id", "[^A-Za-z0-9_]", "")
+        outcome = storage.written(readers.import_entries(entries.withColumn("entry_id", key), self._read("papers"), files))
+        new = entries.withColumn("paper_key", key).join(outcome.filter("was_new").select(F.col("entry_id").alias("paper_key")), "paper_key", "left_semi")
+        self.upsert_papers(new.select("paper_key", "doi", "title", F.col("authors").alias("authors_text"), "year", "journal", "abstract", "keywords"))
+        ids = self._read("papers").select(F.col("id").alias("_id"), F.col("paper_key").alias("entry_id"))
+        known = outcome.join(ids, "entry_id", "left").withColumn("paper_id", F.coalesce("paper_id", "_id")).drop("_id")
+        self.add_files(known.filter("path IS NOT NULL").select(F.abs(F.xxhash64("path")).alias("id"), "paper_id", "path", F.lit("mendeley").alias("file_role"), F.lit(1).alias("exists_now")))
+        return known
+
     # what was extracted
 
     def get_equations(self, paper_id: int) -> DataFrame:

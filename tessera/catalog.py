@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,12 +35,50 @@ class Catalog:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self._staged: dict[str, int] | None = None
+
+    def init(self) -> None:
+        """TXN01: writes the tables that aren't there yet, without rows."""
+        for name, schema in SCHEMAS.items():
+            if not self.version(name):
+                self.write(name, self.spark.createDataFrame([], schema))
+
+    @contextmanager
+    def transaction(self):
+        """TXN01: the writes within are seen by all when it ends, or by none if it fails; an inner one is part of the outer.
+
+        New versions are written without their mark of completion, which only the end sets, in the order of the writes; until then
+        only this catalog reads them. Readers that look while the marks are set may see some tables before others.
+        """
+        if self._staged is not None:
+            yield self
+            return
+        self._staged = {}
+        try:
+            yield self
+        except BaseException:
+            staged, self._staged = self._staged, None
+            for name, n in staged.items():
+                for v in range(self.version(name) + 1, n + 1):
+                    p, fs = self._fs(f"{self.root}/{name}/v={v}")
+                    fs.delete(p, True)
+            raise
+        staged, self._staged = self._staged, None
+        for name, n in staged.items():
+            p, fs = self._fs(f"{self.root}/{name}/v={n}/_SUCCESS")
+            fs.create(p).close()
+
+    def exists(self, path: str) -> bool:
+        p, fs = self._fs(path)
+        return fs.exists(p)
 
     def _fs(self, path: str):
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def version(self, name: str) -> int:
+        if self._staged and name in self._staged:
+            return self._staged[name]
         p, fs = self._fs(f"{self.root}/{name}")
         if not fs.exists(p):
             return 0
@@ -57,7 +97,13 @@ class Catalog:
 
     def write(self, name: str, rows: DataFrame) -> None:
         columns = [c.split()[0] for c in SCHEMAS[name].split(", ")]
-        rows.select(*columns).write.parquet(f"{self.root}/{name}/v={self.version(name) + 1}")
+        n = self.version(name) + 1
+        path = f"{self.root}/{name}/v={n}"
+        rows.select(*columns).write.mode("overwrite").parquet(path)
+        if self._staged is not None:
+            p, fs = self._fs(f"{path}/_SUCCESS")
+            fs.delete(p, False)
+            self._staged[name] = n
 
     def append(self, name: str, rows: DataFrame) -> None:
         self.write(name, self.read(name).unionByName(rows, allowMissingColumns=True))

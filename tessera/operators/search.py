@@ -1,7 +1,8 @@
 """Full-text search over units and ranking of papers (FTS).
 
-The index is a table of postings, one row per term and unit, best stored bucketed or partitioned by a hash of the term. A
-query reads the postings of its own terms only, combines them per unit and meets the corpus figures as one row.
+The index is a table of postings, one row per term and unit, stored in folders by a hash of the term, with the sizes of the
+units and the corpus figures beside it. A query on a stored index reads the folders of its own terms only, combines their
+postings per unit and meets the figures as one row; units and texts aren't read.
 """
 
 from __future__ import annotations
@@ -62,12 +63,15 @@ def _shifted(positions: str, by: int) -> Column:
 
 def bm25(units: DataFrame, phrases: list[list[str]], index: DataFrame | None = None, papers: DataFrame | None = None) -> DataFrame:
     """FTS02, FTS03: unit_id, paper_id, rank (lower is better) of the units with all phrases; papers: restricts the result, not the corpus figures."""
-    spark = units.sparkSession
+    return _ranked(units.sparkSession, phrases, lambda: postings(units) if index is None else index, lambda: corpus_figures(units), papers)
+
+
+def _ranked(spark, phrases: list[list[str]], index, figures, papers: DataFrame | None) -> DataFrame:
     if not phrases:
         return spark.createDataFrame([], "unit_id long, paper_id long, rank double")
-    counts = _phrase_counts(postings(units) if index is None else index, phrases)
+    counts = _phrase_counts(index(), phrases)
     seen = counts.agg(*(F.count_if(F.col(f"_f{i}") > 0).alias(f"_n{i}") for i in range(len(phrases))))
-    one = F.broadcast(corpus_figures(units).crossJoin(seen))  # a single row
+    one = F.broadcast(figures().crossJoin(seen))  # a single row
     both = counts.filter(reduce(lambda a, b: a & b, (F.col(f"_f{i}") > 0 for i in range(len(phrases))))).crossJoin(one)
     score = F.lit(0.0)
     for i in range(len(phrases)):
@@ -78,6 +82,72 @@ def bm25(units: DataFrame, phrases: list[list[str]], index: DataFrame | None = N
     return ranked if papers is None else ranked.join(papers.select("paper_id").distinct(), "paper_id", "left_semi").select("unit_id", "paper_id", "rank")
 
 
+class Index:
+    """A stored index: postings in folders by term, sizes of the units, and the corpus figures."""
+
+    FOLDERS = 64
+
+    def __init__(self, spark, path: str):
+        self.spark, self.path = spark, path
+
+    @classmethod
+    def build(cls, units: DataFrame, path: str) -> Index:
+        """Stores the index of units (unit_id, paper_id, content); a unit without content has no terms, but counts."""
+        sizes = units.select("unit_id", F.size(tokens(F.coalesce("content", F.lit("")))).alias("size"))
+        return cls._store(postings(units), sizes, units.sparkSession, path)
+
+    @classmethod
+    def _store(cls, index: DataFrame, sizes: DataFrame, spark, path: str) -> Index:
+        placed = index.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(cls.FOLDERS)).cast("int"))
+        placed.repartition("part", F.pmod(F.xxhash64("unit_id"), F.lit(8))).sortWithinPartitions("part", "term").write.partitionBy("part").parquet(f"{path}/postings")
+        sizes.write.parquet(f"{path}/sizes")
+        stored = spark.read.schema(sizes.schema).parquet(f"{path}/sizes")
+        stored.agg(F.count("*").alias("_n_units"), F.avg("size").alias("_avg_size")).write.parquet(f"{path}/figures")
+        return cls(spark, path)
+
+    def postings(self, words: list[str] | None = None) -> DataFrame:
+        """The postings, of the given terms only."""
+        rows = self.spark.read.schema("term string, unit_id long, paper_id long, size int, positions array<int>, part int").parquet(f"{self.path}/postings")
+        if words is not None:
+            wanted = reduce(lambda a, b: a | b, ((F.col("part") == F.pmod(F.xxhash64(F.lit(w)), F.lit(self.FOLDERS))) & (F.col("term") == w) for w in words), F.lit(False))
+            rows = rows.filter(wanted)
+        return rows.drop("part")
+
+    def figures(self) -> DataFrame:
+        return self.spark.read.schema("_n_units long, _avg_size double").parquet(f"{self.path}/figures")
+
+    def bm25(self, phrases: list[list[str]], papers: DataFrame | None = None) -> DataFrame:
+        """FTS02, FTS03 from the stored tables."""
+        return _ranked(self.spark, phrases, lambda: self.postings(sorted({w for p in phrases for w in p})), self.figures, papers)
+
+    def refreshed(self, path: str, changed: DataFrame, gone: DataFrame) -> Index:
+        """FTS04: a new stored index after units changed or went; only the changed ones are tokenized."""
+        stale = changed.select("unit_id").unionByName(gone.select("unit_id")).distinct()
+        old = self.spark.read.schema("unit_id long, size int").parquet(f"{self.path}/sizes").join(stale, "unit_id", "left_anti")
+        sizes = old.unionByName(changed.select("unit_id", F.size(tokens(F.coalesce("content", F.lit("")))).alias("size")))
+        return self._store(refresh(self.postings(), changed, gone), sizes, self.spark, path)
+
+
+def search(index: Index, papers: DataFrame, tags: DataFrame, query: str, limit: int = 20, preferred=(), excluded=(), years: tuple[int, int] | None = None, explain: bool = False) -> DataFrame:
+    """FTS07: the best papers of a query on a stored index, with score and its parts; tables as for rank_papers."""
+    text, required = split_query(query)
+    found = best_units(index.bm25(query_phrases(index.spark, text)), limit)
+    return top(rank_papers(papers, tags, found, text, required, preferred, excluded, years), limit, explain)
+
+
+def explain_match(index: Index, papers: DataFrame, tags: DataFrame, query: str, paper_key: str, limit: int = 50) -> DataFrame:
+    """FTS11: one paper's row of an explained search, if it is among the best."""
+    return search(index, papers, tags, query, limit, explain=True).filter(F.col("paper_key") == paper_key)
+
+
+def projected(found: DataFrame, papers: DataFrame, fields: tuple[str, ...] = ("year", "authors_text", "essence", "abstract", "doi")) -> DataFrame:
+    """FTS13: search results as fixed columns: id, paper_key, title, the other fields (empty texts where the table lacks one), score, breakdown."""
+    points = [c for c in found.columns if c.endswith("_points")]
+    more = papers.select("paper_id", *(F.col(c) if c in papers.columns else F.lit("").alias(c) for c in fields))
+    breakdown = F.map_filter(F.create_map(*(x for c in points for x in (F.lit(c.removesuffix("_points")), F.col(c)))), lambda _, v: v > 0)
+    return found.join(more, "paper_id").select(F.col("paper_id").alias("id"), "paper_key", "title", *fields, "score", F.to_json(breakdown).alias("breakdown"))
+
+
 def split_query(query: str) -> tuple[str, list[tuple[str | None, str]]]:
     """FIL20, FIL21: free text, and the tags written as category:name (underscores are spaces)."""
     text, tags = [], []

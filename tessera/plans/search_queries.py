@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera import storage
+from tessera.operators import jobs as J
 from tessera.operators import search as S
 from tessera.registry import query
 
@@ -15,6 +17,17 @@ def units(t):
     return lines.select((F.col("doc_id") * 1_000_000 + F.col("i")).alias("unit_id"), F.col("doc_id").alias("paper_id"), "content")
 
 
+_stored: dict[tuple[str, str], S.Index] = {}
+
+
+def index(t) -> S.Index:
+    """The stored index of the documents' lines, built once in a session."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+    if key not in _stored:
+        _stored[key] = S.Index.build(units(t), storage.new_path(t.spark))
+    return _stored[key]
+
+
 def papers(t):
     title = F.substring_index(F.substring_index("text", "\n", 1), ".", 1)
     return t.documents.select(F.col("doc_id").alias("paper_id"), F.concat(F.lit("doc"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("paper_key"), title.alias("title"), F.col("text").alias("body"), (F.col("doc_id") % 30 + 1990).alias("year"))
@@ -46,13 +59,13 @@ ROUNDED = "SELECT unit_id, paper_id, round(rank, 6) AS rank FROM ranked"
 
 @query("fts02_bm25", f"WITH {bm25_sql(['w[i] = ' + repr('apache') + ' AND w[i + 1] = ' + repr('license'), 'w[i] = ' + repr('version')])} {ROUNDED}")
 def fts02(t):
-    return S.bm25(units(t), S.query_phrases(t.spark, "Apache-License version")).select("unit_id", "paper_id", F.round("rank", 6).alias("rank"))
+    return index(t).bm25(S.query_phrases(t.spark, "Apache-License version")).select("unit_id", "paper_id", F.round("rank", 6).alias("rank"))
 
 
 @query("fts03_restricted", f"WITH {bm25_sql(['w[i] = ' + repr('the')], ' AND paper_id IN (SELECT doc_id FROM labels WHERE quality = 0)')} {ROUNDED}")
 def fts03(t):
     good = t.labels.filter("quality = 0").select(F.col("doc_id").alias("paper_id"))
-    return S.bm25(units(t), [["the"]], papers=good).select("unit_id", "paper_id", F.round("rank", 6).alias("rank"))
+    return index(t).bm25([["the"]], papers=good).select("unit_id", "paper_id", F.round("rank", 6).alias("rank"))
 
 
 @query(
@@ -78,10 +91,36 @@ SELECT *, title_points + body_points + preferred_points + user_points + unit_poi
 
 @query("fts06_rank", RANK_SQL)
 def fts06(t):
-    text, required = S.split_query(QUERY)
-    found = S.best_units(S.bm25(units(t), S.query_phrases(t.spark, text)), 20)
-    ranked = S.rank_papers(papers(t), tags(t), found, text, required, preferred=[(None, "good")], excluded=[("label", "toxic")])
-    return S.top(ranked, 20).drop("paper_key", "title", "best_rank")
+    return S.search(index(t), papers(t), tags(t), QUERY, 20, preferred=[(None, "good")], excluded=[("label", "toxic")]).drop("paper_key", "title", "best_rank")
+
+
+@query("fts07_search", f"SELECT paper_id, score FROM ({RANK_SQL.replace('LIMIT 20', 'LIMIT 10').replace('LIMIT 200', 'LIMIT 100')})")
+def fts07(t):
+    return S.search(index(t), papers(t), tags(t), QUERY, 10, preferred=[(None, "good")], excluded=[("label", "toxic")]).select("paper_id", "score")
+
+
+TERM_SQL = f"""WITH {bm25_sql(['w[i] = ' + repr('license')])},
+counted AS (SELECT paper_id, count(*) AS n, min(rank) AS best FROM (SELECT * FROM ranked ORDER BY rank, unit_id LIMIT 500) GROUP BY 1),
+p AS (SELECT doc_id AS paper_id, 'doc' || lpad(doc_id::VARCHAR, 12, '0') AS paper_key, split_part(split_part(text, chr(10), 1), '.', 1) AS title, doc_id % 30 + 1990 AS year, contains(lower(text), 'license') AS in_body, coalesce(c.n, 0) AS n, best
+  FROM documents LEFT JOIN counted c ON c.paper_id = doc_id WHERE contains(lower(text), 'license') OR c.n > 0),
+s AS (SELECT *, contains(lower(title), 'license') AS in_title FROM p),
+top AS (SELECT *, CASE WHEN in_title THEN 5 ELSE 0 END + CASE WHEN in_body THEN 2 ELSE 0 END + least(n, 3) AS score FROM s ORDER BY score DESC, best ASC NULLS LAST, paper_key LIMIT 50)"""
+
+
+@query("fts11_explain", f"{TERM_SQL} SELECT paper_id, paper_key, score::BIGINT AS score, least(n, 3)::BIGINT AS unit_points FROM top WHERE paper_key = (SELECT min(paper_key) FROM top)")
+def fts11(t):
+    best = S.search(index(t), papers(t), tags(t), "license", 50, explain=True)
+    first = best.agg(F.min("paper_key")).first()[0]
+    return S.explain_match(index(t), papers(t), tags(t), "license", first or "").select("paper_id", "paper_key", "score", "unit_points")
+
+
+@query(
+    "fts13_projection",
+    f"""{TERM_SQL} SELECT paper_id AS id, paper_key, title, year, '' AS authors_text, '' AS essence, '' AS abstract, '' AS doi, score::BIGINT AS score,
+    to_json(map_from_entries(list_filter([('title', CASE WHEN in_title THEN 5 ELSE 0 END), ('body', CASE WHEN in_body THEN 2 ELSE 0 END), ('unit', least(n, 3)::INT)], lambda x: x[2] > 0)))::VARCHAR AS breakdown FROM top""",
+)
+def fts13(t):
+    return S.projected(S.search(index(t), papers(t), tags(t), "license", 50, explain=True), papers(t))
 
 
 @query(
@@ -89,7 +128,7 @@ def fts06(t):
     "SELECT doc_id AS paper_id FROM documents WHERE lang = 'de' UNION SELECT doc_id FROM labels WHERE toxic = 1",
 )
 def fts09(t):
-    return tags(t).filter((F.col("name") == "de") | (F.col("name") == "toxic")).select("paper_id").distinct()
+    return J.papers_of_tags(tags(t), ["de", "toxic"])
 
 
 @query(
