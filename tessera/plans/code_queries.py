@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import code as C
+from tessera.operators import jobs as J
 from tessera.registry import query
 
 EDGES_SQL = "(SELECT DISTINCT s_suppkey AS src, (s_suppkey * 7 + 3) % 50 AS dst FROM supplier UNION SELECT DISTINCT s_suppkey, (s_suppkey * 3 + 1) % 90 FROM supplier)"
@@ -31,12 +32,13 @@ def grf02(t):
 
 @query("grf03_scope_names", "SELECT n_nationkey, r_name || '::' || n_name AS full_name FROM nation JOIN region ON n_regionkey = r_regionkey")
 def grf03(t):
-    return t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.concat_ws("::", "r_name", "n_name").alias("full_name"))
+    regions = t.region.select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
+    return J.scoped_names(t.nation, regions, "n_regionkey", "r_name", "n_name").select("n_nationkey", "full_name")
 
 
 @query("grf04_bipartite_edges", "SELECT DISTINCT source AS src, lang AS dst FROM documents")
 def grf04(t):
-    return t.documents.select(F.col("source").alias("src"), F.col("lang").alias("dst")).distinct()
+    return J.bipartite_edges(t.documents, "source", "lang")
 
 
 @query("set04_undefined", "SELECT source, coalesce(array_to_string(list_sort(list(DISTINCT lang) FILTER (lang NOT IN ('en', 'fr'))), ','), '') AS missing FROM documents GROUP BY 1")
@@ -52,11 +54,11 @@ def src13(t):
 
 @query(
     "tgf14_brace_depth",
-    """WITH l AS (SELECT doc_id, part[i] AS line, i - 1 AS n FROM (SELECT doc_id, part, unnest(range(1, len(part) + 1)) AS i FROM (SELECT doc_id, string_split(replace(replace(text, '.', '{'), ',', '}'), chr(10)) AS part FROM documents WHERE doc_id % 5 = 0)))
+    """WITH l AS (SELECT doc_id, part[i] AS line, i - 1 AS n FROM (SELECT doc_id, part, unnest(range(1, len(part) + 1)) AS i FROM (SELECT doc_id, string_split(replace(replace(text, '.', '{'), ',', '}'), chr(10)) AS part FROM documents)))
     SELECT doc_id, n, sum(length(regexp_replace(line, '[^{]', '', 'g')) - length(regexp_replace(line, '[^}]', '', 'g'))) OVER (PARTITION BY doc_id ORDER BY n)::BIGINT AS depth FROM l""",
 )
 def tgf14(t):
-    code = t.documents.filter("doc_id % 5 = 0").select("doc_id", F.posexplode(F.split(F.translate("text", ".,", "{}"), "\n")).alias("n", "line"))
+    code = t.documents.select("doc_id", F.posexplode(F.split(F.translate("text", ".,", "{}"), "\n")).alias("n", "line"))
     return C.brace_depth(code, "doc_id", "n", "line").select("doc_id", F.col("n").cast("long").alias("n"), F.col("depth").cast("long").alias("depth"))
 
 
@@ -67,13 +69,13 @@ def str21(t):
     return t.documents.select("doc_id", F.size(calls(F.col("text"))).cast("long").alias("n"))
 
 
-@query("str20_cpp_headers")
+@query("str20_cpp_headers", "SELECT p_partkey, 'int' AS type, 'f' || p_partkey AS name, 'int a, double b' AS arguments FROM part")
 def str20(t):
     code = F.concat(F.lit("int f"), "p_partkey", F.lit("(int a, double b) {\n  return a;\n}\nclass B"), "p_partkey", F.lit(" : public A, private C {\n};\n"))
     return t.part.select("p_partkey", F.explode(C.cpp_headers(code)).alias("h")).select("p_partkey", "h.*")
 
 
-@query("tgf12_python_symbols")
+@query("tgf12_python_symbols", "SELECT p_name AS path, x[1] AS kind, replace(x[2], '#', p_partkey::VARCHAR) AS name, replace(x[3], '#', p_partkey::VARCHAR) AS parent, x[4]::INT AS line, x[5]::INT AS end_line, x[6] AS detail FROM part, (SELECT unnest([['import', 'o', '', '1', '1', 'os'], ['class', 'K#', '', '2', '4', ''], ['method', 'm', 'K#', '3', '4', 'self, x=1']]) AS x)")
 def tgf12(t):
     code = F.concat(F.lit("import os as o\nclass K"), "p_partkey", F.lit(":\n    def m(self, x=1):\n        return x\n"))
     return C.python_symbols(t.part.select(F.col("p_name").alias("path"), code.alias("code")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.operators import jobs as J
 from tessera.operators import documents as D
 from tessera.operators import sequences
 from tessera.registry import query
@@ -67,14 +68,12 @@ def src19_text(t):
 
 @query("tgf15_import_edges", "SELECT source AS file, unnest(string_split(string_agg(DISTINCT lang, ',' ORDER BY lang), ',')) AS module FROM documents GROUP BY 1")
 def tgf15(t):
-    files = t.documents.groupBy(F.col("source").alias("file")).agg(F.collect_set("lang").alias("imports"))
-    return files.select("file", F.explode("imports").alias("module"))
+    return J.imported_modules(t.documents, "source", "lang")
 
 
-@query("tgf16_skeleton", "SELECT source, string_agg(doc_id || ': ' || lang, chr(10) ORDER BY doc_id) AS skeleton FROM documents WHERE doc_id % 10 = 0 GROUP BY 1")
+@query("tgf16_skeleton", "SELECT l_orderkey, string_agg(l_linenumber || ': ' || l_returnflag, chr(10) ORDER BY l_linenumber, l_returnflag) AS skeleton FROM lineitem GROUP BY 1")
 def tgf16(t):
-    rows = t.documents.filter("doc_id % 10 = 0").groupBy("source").agg(F.sort_array(F.collect_list(F.struct("doc_id", "lang"))).alias("s"))
-    return rows.select("source", F.array_join(F.transform("s", lambda x: F.concat(x["doc_id"].cast("string"), F.lit(": "), x["lang"])), "\n").alias("skeleton"))
+    return J.listed(t.lineitem, "l_orderkey", ["l_linenumber", "l_returnflag"], F.concat(F.col("l_linenumber").cast("string"), F.lit(": "), "l_returnflag"), "skeleton")
 
 
 @query("tgf19_tag_rows", "SELECT c_custkey AS paper_id, c_mktsegment AS raw_name, CASE WHEN c_mktsegment = 'BUILDING' THEN 'construction' ELSE lower(c_mktsegment) END AS tag, CAST(CASE WHEN c_mktsegment = 'BUILDING' THEN 0.8 ELSE 0.7 END AS DOUBLE) AS confidence FROM customer")
@@ -89,22 +88,18 @@ def tgf19(t):
     "SELECT l_orderkey, arg_min(l_partkey, l_linenumber::BIGINT * 1000000000 + l_partkey) AS l_partkey, count(*) AS methods FROM lineitem GROUP BY 1",
 )
 def cmp03(t):
-    order = F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey")
-    return t.lineitem.groupBy("l_orderkey").agg(F.min_by("l_partkey", order).alias("l_partkey"), F.count("*").alias("methods"))
+    return J.first_method(t.lineitem, "l_orderkey", "l_partkey", F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey"))
 
 
-@query("cmp04_axis_matrix", "SELECT source, coalesce(max(doc_id) FILTER (lang = 'en')::VARCHAR, 'N/A') AS en, coalesce(max(doc_id) FILTER (lang = 'de')::VARCHAR, 'N/A') AS de FROM documents WHERE doc_id % 3 = 0 GROUP BY 1")
+@query("cmp04_axis_matrix", "SELECT source, coalesce(max(doc_id) FILTER (lang = 'en')::VARCHAR, 'N/A') AS en, coalesce(max(doc_id) FILTER (lang = 'de')::VARCHAR, 'N/A') AS de FROM documents GROUP BY 1")
 def cmp04(t):
-    rows = t.documents.filter("doc_id % 3 = 0")
-    axis = lambda v: F.coalesce(F.max(F.when(F.col("lang") == v, F.col("doc_id"))).cast("string"), F.lit("N/A")).alias(v)
-    return rows.groupBy("source").agg(axis("en"), axis("de"))
+    return J.axis_matrix(t.documents, "source", "lang", "doc_id", ["en", "de"])
 
 
 @query("cmp06_describe", "SELECT d.doc_id, d.lang, coalesce(string_agg(l.quality || '/' || l.toxic, ';' ORDER BY l.quality, l.toxic), '') AS tags FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY ALL")
 def cmp06(t):
-    tags = t.labels.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("quality", "toxic"))).alias("t"))
-    joined = t.documents.select("doc_id", "lang").join(tags, "doc_id", "left")
-    return joined.select("doc_id", "lang", F.coalesce(F.array_join(F.transform("t", lambda x: F.concat(x["quality"].cast("string"), F.lit("/"), x["toxic"].cast("string"))), ";"), F.lit("")).alias("tags"))
+    tag = F.concat(F.col("quality").cast("string"), F.lit("/"), F.col("toxic").cast("string"))
+    return J.described(t.documents.select("doc_id", "lang"), t.labels, "doc_id", ["quality", "toxic"], tag)
 
 
 @query(
@@ -112,8 +107,7 @@ def cmp06(t):
     "SELECT event_id FROM events e WHERE event_type <> 'purchase' AND NOT EXISTS (SELECT 1 FROM events o WHERE o.event_type = 'purchase' AND o.user_id = e.user_id AND o.props = e.props)",
 )
 def cmp08(t):
-    done = t.events.filter("event_type = 'purchase'").select("user_id", "props").distinct()
-    return t.events.filter("event_type <> 'purchase'").join(done, ["user_id", "props"], "left_anti").select("event_id")
+    return J.without_equivalent(t.events.filter("event_type <> 'purchase'"), t.events.filter("event_type = 'purchase'"), ["user_id", "props"]).select("event_id")
 
 
 @query(
@@ -121,9 +115,7 @@ def cmp08(t):
     "SELECT source, string_agg(lang || ' (' || n || ')', ', ' ORDER BY n DESC, lang) AS line FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) GROUP BY 1",
 )
 def cmp10(t):
-    n = t.documents.groupBy("source", "lang").agg(F.count("*").alias("n"))
-    s = n.groupBy("source").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("o"), "lang", "n"))).alias("s"))
-    return s.select("source", F.array_join(F.transform("s", lambda x: F.concat(x["lang"], F.lit(" ("), x["n"].cast("string"), F.lit(")"))), ", ").alias("line"))
+    return J.concept_map(t.documents, "source", "lang")
 
 
 @query("cmp01_context_pack")

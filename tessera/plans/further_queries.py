@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import hooks
 from tessera.functions import text as X
+from tessera.operators import jobs as J
 from tessera.operators import code, documents, identity, parsing, search, sequences, vectors
 from tessera.operators import relational as R
 from tessera.registry import query
@@ -15,13 +16,12 @@ from tessera.sources import readers, writers
 
 @query("dml02_conditional_update", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE c_name END AS c_name FROM customer")
 def dml02(t):
-    return t.customer.select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, "new").otherwise(F.col("c_name")).alias("c_name"))
+    return J.conditional_update(t.customer.select("c_custkey", "c_name"), F.col("c_custkey") % 3 == 0, {"c_name": F.lit("new")})
 
 
 @query("dml07_fold_run_events", "SELECT user_id, CASE WHEN bool_or(event_type = 'purchase') THEN 'ok' WHEN bool_or(event_type = 'error') THEN 'failed' ELSE 'running' END AS status, min(ts) AS started_at, max(ts) AS finished_at FROM events GROUP BY 1")
 def dml07(t):
-    e = t.events.groupBy("user_id").agg(F.bool_or(F.col("event_type") == "purchase").alias("ok"), F.bool_or(F.col("event_type") == "error").alias("failed"), F.min("ts").alias("started_at"), F.max("ts").alias("finished_at"))
-    return e.select("user_id", F.when(F.col("ok"), "ok").when(F.col("failed"), "failed").otherwise("running").alias("status"), "started_at", "finished_at")
+    return J.folded_runs(t.events, "user_id", "event_type", "ts", {"purchase": "ok", "error": "failed"}, "running")
 
 
 @query("dml11_alias_ignore", "SELECT DISTINCT p_type AS tag, lower(trim(p_brand)) AS normalized_alias FROM part")
@@ -50,8 +50,7 @@ def dml20(t):
 @query("dml22_user_tags", "SELECT c_custkey, 'user' AS category, replace(c_mktsegment || '_' || c_nationkey, '_', ' ') AS name FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 'domain', replace(c_mktsegment || '_' || c_nationkey, '_', ' ') FROM customer WHERE c_custkey % 2 = 1")
 def dml22(t):
     raw = F.concat(F.when(F.col("c_custkey") % 2 == 1, "domain:").otherwise(""), F.col("c_mktsegment"), F.lit("_"), F.col("c_nationkey"))
-    parts = F.split(raw, ":", 2)
-    return t.customer.select("c_custkey", F.when(F.size(parts) == 2, parts[0]).otherwise("user").alias("category"), F.replace(F.element_at(parts, -1), F.lit("_"), F.lit(" ")).alias("name"))
+    return t.customer.select("c_custkey", J.user_tag(raw).alias("x")).select("c_custkey", "x.*")
 
 
 @query("srt02_top_by_price", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 100")
@@ -112,14 +111,14 @@ def jon24(t):
     return code.attach(members, classes)
 
 
-@query("str03_latex_accents", "SELECT c_custkey, 'Müller ' || c_name AS name FROM customer")
+@query("str03_latex_accents", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'Müller ' WHEN 1 THEN 'Gödel é ' ELSE 'ñandú ' END || c_name AS name FROM customer")
 def str03(t):
-    return t.customer.select("c_custkey", X.decode_latex(F.concat(F.lit('M\\"{u}ller {'), "c_name", F.lit("}"))).alias("name"))
+    return t.customer.select("c_custkey", X.decode_latex(F.concat(F.element_at(F.array(F.lit('M\\"{u}ller {'), F.lit("G\\\"odel \\'e {"), F.lit("\\~nand\\'{u} {")), (F.col("c_custkey") % 3 + 1).cast("int")), "c_name", F.lit("}"))).alias("name"))
 
 
-@query("str07_filename", "SELECT doc_id, substr(regexp_replace(regexp_replace(substr(text, 1, 80), '[^A-Za-z0-9.-]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 40) AS name FROM documents")
+@query("str07_filename", "SELECT doc_id, substr(regexp_replace(regexp_replace(text, '[^A-Za-z0-9.-]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 40) AS name FROM documents")
 def str07(t):
-    return t.documents.select("doc_id", X.safe_filename(F.substring("text", 1, 80), 40).alias("name"))
+    return t.documents.select("doc_id", X.safe_filename(F.col("text"), 40).alias("name"))
 
 
 @query("str11_excerpt")
@@ -132,9 +131,9 @@ def str12(t):
     return t.pages.filter(F.col("html").contains("<body>")).select("page_id", X.section(F.col("html"), "<body>", "</body>").alias("body"))
 
 
-@query("str13_compile", "SELECT page_id, url || chr(10) || chr(10) || '# Extracted source text' || chr(10) || chr(10) || 'x' AS text FROM pages")
+@query("str13_compile", "SELECT page_id, url || chr(10) || chr(10) || '# Extracted source text' || chr(10) || chr(10) || 'body ' || page_id AS text FROM pages")
 def str13(t):
-    return t.pages.select("page_id", X.compile_markdown(F.col("url"), F.lit("old\n# Extracted source text\n\nx")).alias("text"))
+    return t.pages.select("page_id", X.compile_markdown(F.col("url"), F.concat(F.lit("old\n# Extracted source text\n\nbody "), "page_id")).alias("text"))
 
 
 @query("str16_backend", "SELECT page_id, CASE WHEN contains(lower(url), 'vlm') THEN 'vlm' WHEN contains(lower(url), 'pdfminer') THEN 'pdfminer' ELSE 'legacy_docling' END AS backend FROM pages")
@@ -228,9 +227,7 @@ def cmp17(t):
 
 @query("cmp05_match_scores", "SELECT paper_id, 1.0 / r AS match_score FROM (SELECT o_orderkey AS paper_id, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 30")
 def cmp05(t):
-    top = t.orders.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(30)
-    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("o_totalprice"), "o_orderkey"))  # thirty rows
-    return top.select(F.col("o_orderkey").alias("paper_id"), (1 / place).alias("match_score"))
+    return J.match_scores(t.orders, [F.desc("o_totalprice"), F.asc("o_orderkey")], 30).select(F.col("o_orderkey").alias("paper_id"), "match_score")
 
 
 @query("cmp12_resolve_canonical", "SELECT DISTINCT p_brand AS raw, CASE WHEN p_brand = 'Brand#11' THEN 'Brand#12' ELSE p_brand END AS canonical FROM part")
@@ -280,10 +277,7 @@ def hsh03(t):
 
 @query("mth02_named_steps", "SELECT s_suppkey, round((s_acctbal * 2 + 1) * (s_acctbal * 2), 4) AS c FROM supplier")
 def mth02(t):
-    s = t.supplier
-    for name, expression in (("a", "s_acctbal * 2"), ("b", "a + 1"), ("c", "b * a")):
-        s = s.withColumn(name, F.expr(expression))
-    return s.select("s_suppkey", F.round("c", 4).alias("c"))
+    return J.named_steps(t.supplier, [("a", "s_acctbal * 2"), ("b", "a + 1"), ("c", "b * a")]).select("s_suppkey", F.round("c", 4).alias("c"))
 
 
 @query("mth05_exp_linear", "SELECT s_suppkey, round(pow(greatest(1 - s_suppkey / 50.0 / 8, 0), 8), 6) AS e FROM supplier")
@@ -293,13 +287,13 @@ def mth05(t):
 
 @query("win04_preferred_run", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY (event_type = 'click') DESC, event_id) AS r FROM events) WHERE r = 1")
 def win04(t):
-    return t.events.groupBy("user_id").agg(F.max_by("event_id", F.struct((F.col("event_type") == "click").cast("int"), -F.col("event_id"))).alias("event_id"))
+    return J.preferred_run(t.events, "user_id", "event_id", F.col("event_type") == "click")
 
 
 @query("fts08_tag_ids", "SELECT min(p_partkey) AS id FROM part WHERE lower(p_brand) = 'brand#21' OR lower(p_name) = 'brand#21'")
 def fts08(t):
-    p = t.part.select("p_partkey", F.lower("p_brand").alias("a"), F.lower("p_name").alias("b"))
-    return p.filter("a = 'brand#21'").unionByName(p.filter("b = 'brand#21'")).agg(F.min("p_partkey").alias("id"))
+    p = lambda c: t.part.select(F.col("p_partkey").alias("id"), F.col(c).alias("name"))
+    return J.tag_ids(p("p_brand"), p("p_name"), "Brand#21").agg(F.min("id").alias("id"))
 
 
 @query("fts12_methods_of_hits", "SELECT doc_id AS paper_id, quality FROM documents JOIN labels USING (doc_id) WHERE contains(lower(text), 'license')")
@@ -316,10 +310,10 @@ def fil20(t):
 
 @query("rag02_embed")
 def rag02(t):
-    return t.documents.select("doc_id", hooks.embed(F.col("text"), 16, 500).alias("embedding"))
+    return t.documents.select("doc_id", hooks.embed(F.col("text"), 16).alias("embedding"))
 
 
-@query("udf02_summaries")
+@query("udf02_summaries", "SELECT page_id, url, trim(url) AS summary, NULL::VARCHAR AS error FROM pages")
 def udf02(t):
     return hooks.per_row(t.pages.select("page_id", "url"), "url", hooks.summarize, "summary")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.operators import jobs as J
 from tessera.operators import identity as I
 from tessera.registry import query
 
@@ -55,11 +56,10 @@ def jon16(t):
     return calls.join(found, "call", "left").select("call", F.coalesce("target", "call").alias("target"))
 
 
-@query("jon18_import_aliases", "SELECT DISTINCT l_orderkey AS file, 'p' || l_partkey % 5 AS local_name, p_brand AS target FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 20 = 0")
+@query("jon18_import_aliases", "SELECT DISTINCT l_orderkey AS file, 'p' || l_partkey % 5 AS local_name, p_brand AS target FROM lineitem JOIN part ON l_partkey = p_partkey")
 def jon18(t):
-    uses = t.lineitem.filter("l_orderkey % 20 = 0").select(F.col("l_orderkey").alias("file"), "l_partkey", F.concat(F.lit("p"), F.col("l_partkey") % 5).alias("local_name"))
-    registry = t.part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("target"))
-    return uses.join(registry, "l_partkey").select("file", "local_name", "target").distinct()
+    uses = t.lineitem.select(F.col("l_orderkey").alias("file"), "l_partkey", F.concat(F.lit("p"), F.col("l_partkey") % 5).alias("local_name"))
+    return J.import_targets(uses, t.part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("target")), "l_partkey")
 
 
 @query("src02_index_outcome", "SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'path' WHEN md5(html) IN (SELECT md5(html) FROM pages WHERE page_id % 5 = 0) THEN 'hash' ELSE 'created' END AS outcome FROM pages")

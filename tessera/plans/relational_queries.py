@@ -24,9 +24,9 @@ def fil01(t):
     return t.customer.filter("c_custkey = 42").select("c_custkey", "c_name")
 
 
-@query("fil02_files_preferred_first", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_returnflag = 'R' AS INT) AS is_preferred FROM lineitem WHERE l_orderkey <= 100")
+@query("fil02_files_preferred_first", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_returnflag = 'R' AS INT) AS is_preferred FROM lineitem")
 def fil02(t):
-    rows = t.lineitem.filter("l_orderkey <= 100").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_returnflag") == "R").cast("int").alias("is_preferred"))
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_returnflag") == "R").cast("int").alias("is_preferred"))
     return rows.orderBy("l_orderkey", F.desc("is_preferred"), "l_linenumber")
 
 
@@ -190,11 +190,11 @@ def agg02(t):
     return links(t).groupBy("name", "category").agg(F.count("*").alias("n"))
 
 
-DIST_SQL = f"SELECT t.name, t.category, count(l.paper_id) AS freq FROM {TAGS_SQL} t LEFT JOIN (SELECT * FROM {LINKS_SQL} WHERE paper_id % 7 = 0) l USING (name, category) GROUP BY ALL"
+DIST_SQL = f"SELECT t.name, t.category, count(l.paper_id) AS freq FROM {TAGS_SQL} t LEFT JOIN {LINKS_SQL} l USING (name, category) GROUP BY ALL"
 
 
 def dist(t):
-    return R.distribution(tags(t), links(t).filter("paper_id % 7 = 0"))
+    return R.distribution(tags(t), links(t))
 
 
 @query("agg03_tag_distribution", DIST_SQL)
@@ -202,9 +202,10 @@ def agg03(t):
     return dist(t)
 
 
-@query("agg03_orphans", f"SELECT name, category FROM {TAGS_SQL} EXCEPT SELECT name, category FROM {LINKS_SQL} WHERE source = 'R' AND paper_id % 50 = 0")
+@query("agg03_orphans", "SELECT r_name AS name, 'region' AS category FROM region")
 def agg03_orphans(t):
-    return tags(t).join(links(t).filter("source = 'R' AND paper_id % 50 = 0").select("name", "category").distinct(), ["name", "category"], "left_anti")
+    both = t.lineitem.select("l_partkey").distinct().join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_brand").alias("name"), F.col("p_type").alias("category")).unionAll(t.region.select("r_name", F.lit("region")))
+    return R.orphans(both, links(t))
 
 
 @query("agg03_top20", f"SELECT name, category, freq FROM ({DIST_SQL}) ORDER BY freq DESC, name, category LIMIT 20")

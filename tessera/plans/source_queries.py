@@ -52,7 +52,7 @@ def src20(t):
     return t.customer.select("c_custkey", readers.crossref(answer).alias("m")).select("c_custkey", "m.title", "m.doi", F.col("m.year").cast("long").alias("year"))
 
 
-@query("src17_elements", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 6 END AS number FROM customer")
+@query("src17_elements", "SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 1 WHEN 1 THEN 26 WHEN 2 THEN 79 WHEN 3 THEN 118 WHEN 4 THEN 57 END AS number, CASE c_custkey % 6 WHEN 0 THEN 1 WHEN 1 THEN 4 WHEN 2 THEN 6 WHEN 3 THEN 7 WHEN 4 THEN 6 END AS period FROM customer")
 def src17(t):
-    symbol = F.element_at(F.array(F.lit("H"), F.lit("C"), F.lit("Zz")), (F.col("c_custkey") % 3 + 1).cast("int"))
-    return t.customer.withColumn("symbol", symbol).join(F.broadcast(readers.elements(t.spark)), "symbol", "left").select("c_custkey", "number")  # eight rows
+    symbol = F.element_at(F.array(*map(F.lit, ("H", "Fe", "Au", "Og", "La", "Zz"))), (F.col("c_custkey") % 6 + 1).cast("int"))
+    return t.customer.withColumn("symbol", symbol).join(F.broadcast(readers.elements(t.spark)), "symbol", "left").select("c_custkey", "number", "period")  # 118 rows

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.operators import jobs as J
 from tessera.registry import query
 
 
@@ -19,15 +20,17 @@ def str02(t):
     return t.pages.select("page_id", F.regexp_extract("html", "(?i)(https?://[a-z0-9./-]+)", 1).alias("link"), F.coalesce(X.find_year(F.col("url")).cast("string"), F.lit("")).alias("year"))
 
 
-@query("str04_key", "SELECT c_custkey, 'Customer' || lpad((c_custkey % 50 + 1980)::VARCHAR, 4, '0') AS paper_key FROM customer")
+@query("str04_key", "SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'Macklin_2016_XPBD' WHEN 1 THEN 'Macklin_2016_Customer' || c_custkey WHEN 2 THEN 'Unknown_0000_Untitled' WHEN 3 THEN 'Plato_2016_The' WHEN 4 THEN 'ONeil_2016_mesh' ELSE 'Mller_2016_A' END AS paper_key FROM customer")
 def str04(t):
-    key = X.paper_key(F.lit("Anna Customer; B. Other"), F.col("c_custkey") % 50 + 1980, F.lit("The of"))
-    return t.customer.select("c_custkey", F.replace(F.replace(key, F.lit("_Untitled"), F.lit("")), F.lit("_"), F.lit("")).alias("paper_key"))
+    pick = lambda *x: F.element_at(F.array(*x), (F.col("c_custkey") % 6 + 1).cast("int"))
+    authors = pick(*map(F.lit, ("Miles Macklin; Other, B", "Macklin, Miles and X Y", "", "Plato", "O'Neil, J", "Müller, K")))
+    title = pick(F.lit("XPBD: a method"), F.concat(F.lit("Customer"), "c_custkey", F.lit(" data")), F.lit(""), F.lit("The of an"), F.lit("Using mesh x"), F.lit("A an"))
+    return t.customer.select("c_custkey", X.paper_key(authors, F.when(F.col("c_custkey") % 6 != 2, 2016), title).alias("paper_key"))
 
 
-@query("str06_norm", "SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 120)), '[^a-z0-9 ]', '', 'g')) AS title FROM documents")
+@query("str06_norm", "SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9 ]', '', 'g')) AS title FROM documents")
 def str06(t):
-    return t.documents.select("doc_id", X.normalize_title(F.substring("text", 1, 120)).alias("title"))
+    return t.documents.select("doc_id", X.normalize_title(F.col("text")).alias("title"))
 
 
 @query("str08_latex", "SELECT DISTINCT trim(regexp_replace(regexp_replace(regexp_replace(trim(e), '^\\$+|\\$+$', '', 'g'), '\\s*\\([0-9]+(\\.[0-9]+)*\\)\\s*$', ''), '\\s+', ' ', 'g')) AS latex FROM (SELECT '$$ a_' || doc_id % 100 || '  = b (' || doc_id % 7 || '.1) ' AS e FROM documents)")
@@ -89,13 +92,11 @@ def hsh02(t):
 
 @query(
     "agg11_bigrams",
-    """WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]{2,}') AS w FROM documents WHERE lang = 'en'),
+    """WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]{2,}') AS w FROM documents),
     b AS (SELECT w[i] || ' ' || w[i + 1] AS bigram FROM (SELECT w, unnest(range(1, len(w))) AS i FROM w)) SELECT bigram, count(*) AS n FROM b GROUP BY 1 HAVING count(*) >= 50""",
 )
 def agg11(t):
-    w = t.documents.filter("lang = 'en'").select(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]{2,}"), F.lit(0)).alias("w"))
-    pairs = w.select(F.explode(F.arrays_zip(F.expr("slice(w, 1, greatest(size(w) - 1, 0))").alias("a"), F.expr("slice(w, 2, greatest(size(w) - 1, 0))").alias("b"))).alias("p"))
-    return pairs.groupBy(F.concat_ws(" ", "p.a", "p.b").alias("bigram")).agg(F.count("*").alias("n")).filter("n >= 50")
+    return J.bigrams(t.documents, "text", 50)
 
 
 @query("agg12_op_cost", "SELECT doc_id, " + " + ".join(f"(length(text) - length(replace(text, '{o}', ''))) * {w}" for o, w in X.OPERATOR_COST.items()) + " AS cost FROM documents")

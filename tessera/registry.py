@@ -49,4 +49,4 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Imports all modules that register queries."""
-    from tessera.plans import code_queries, composite_queries, document_queries, further_queries, identity_queries, relational_queries, search_queries, sequence_queries, source_queries, text_queries, vector_queries  # noqa: F401
+    from tessera.plans import code_queries, composite_queries, document_queries, further_queries, identity_queries, inventory_queries, relational_queries, search_queries, sequence_queries, source_queries, text_queries, vector_queries  # noqa: F401
