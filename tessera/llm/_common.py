@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.storage import drop, forget, shared_dir, written  # noqa: F401  the operators take them from here
+
 #: Code points that count as white space in the contracts; all other characters make words.
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -18,39 +16,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a temporary one only where the setting is missing."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return conf or spark.sparkContext.getCheckpointDir() or _own_dir(spark)
-
-
-def _own_dir(spark: SparkSession) -> str:
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
-    return spark.sparkContext.getCheckpointDir()
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: later plans start from it, also when an executor is lost."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tessera-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(table: DataFrame) -> None:
-    """Deletes a written table that no later plan reads; the disk is free before the session ends."""
-    for path in {f.rpartition("/")[0] for f in table.inputFiles()}:
-        drop(table.sparkSession, path)
-
-
-def drop(spark: SparkSession, path: str) -> None:
-    """Deletes a written table; does nothing once the session has ended."""
-    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def keyed_texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text only (a null text is empty), so that other columns, whatever their names, can't clash."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
