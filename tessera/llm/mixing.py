@@ -5,8 +5,9 @@ that mean, inverted at a uniform number hashed from the document and the seed, s
 retry. Documents are exploded by their counts and shuffled globally by a hash of document and copy.
 
 Sizes are code points. A null source is a source like any other, a null text has size 0; a source of size 0 gets rate 0
-unless its documents' weight is all there is. Repeated rows of one doc_id get the same count. Empty tables give no rows.
-Columns of docs that carry the names of the results (n_copies, copy, shuffle_key) are replaced in the digest only.
+unless its documents' weight is all there is. Repeated rows of one doc_id get the same count; rows without an id draw by
+their text. Empty tables give no rows, very long texts only add their size. Columns of docs that carry the names of the
+results (n_copies, copy, shuffle_key) are replaced, all others kept as they are; rows with equal keys lie in any order.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import written
+from tessera.llm._common import inside, outside, written
 
 #: Fixed by the construction of uniform numbers: 52 bits of a SHA-256.
 UNIFORM_BITS = 52
@@ -29,8 +30,8 @@ def uniform(seed: int, *key: Column | str) -> Column:
 
 
 def rates(docs: DataFrame, temperature: float, weights: dict[str, float] | None, epochs: float) -> DataFrame:
-    """source, rate: one row per source. Shares are the given weights, or size ** temperature where none are given."""
-    sizes = docs.groupBy("source").agg(F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("long")).alias("size"))
+    """source, rate: one row per source of docs (in_source, in_text). Shares are the given weights, or size ** temperature where none are given."""
+    sizes = docs.groupBy(F.col("in_source").alias("source")).agg(F.sum(F.coalesce(F.length("in_text"), F.lit(0)).cast("long")).alias("size"))
     if weights is None:
         share = F.pow(F.col("size").cast("double"), F.lit(temperature))
     else:  # a list the caller wrote
@@ -71,27 +72,36 @@ def first_count(rate: Column, most_plain: float = MOST_PLAIN) -> Column:
     return F.when(rate <= most_plain, 0).otherwise(F.greatest(F.floor(rate - 12 * F.sqrt(rate) - 40), F.lit(0)).cast("int"))
 
 
+def _identity() -> Column:
+    return F.coalesce(F.col("in_doc_id").cast("string"), F.concat(F.lit("text "), F.xxhash64("in_text").cast("string")))
+
+
+def _counted(own: DataFrame, temperature: float, weights: dict[str, float] | None, epochs: float, seed: int, most_steps: int) -> DataFrame:
+    table = written(rates(own, temperature, weights, epochs).select("source", cumulative(F.col("rate")).alias("cdf"), first_count(F.col("rate")).alias("least")))
+    steps = table.agg(F.sum(F.size("cdf"))).first()[0] or 0
+    joined = own.join(F.broadcast(table) if steps <= most_steps else table, F.col("in_source").eqNullSafe(F.col("source")))
+    drawn = joined.withColumn("u", uniform(seed, _identity()))
+    return drawn.withColumn("n_copies", F.col("least") + F.size(F.filter("cdf", lambda c: c < F.col("u")))).select(*own.columns, "n_copies")
+
+
 def with_counts(docs: DataFrame, temperature: float = 0.5, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: int = 11, most_steps: int = 1_000_000) -> DataFrame:
     """docs with n_copies. The written table of sources is broadcast if its distributions have at most most_steps numbers in
     all; beyond that Spark joins it by shuffles and splits a hot source."""
-    table = written(rates(docs, temperature, weights, epochs).select(F.col("source").alias("_source"), cumulative(F.col("rate")).alias("_cdf"), first_count(F.col("rate")).alias("_from")))
-    steps = table.agg(F.sum(F.size("_cdf"))).first()[0] or 0
-    joined = docs.join(F.broadcast(table) if steps <= most_steps else table, F.col("source").eqNullSafe(F.col("_source")))
-    u = uniform(seed, "doc_id")
-    return joined.withColumn("_u", u).withColumn("n_copies", F.col("_from") + F.size(F.filter("_cdf", lambda c: c < F.col("_u")))).drop("_source", "_cdf", "_from", "_u")
+    own = inside(docs, "n_copies")
+    return _counted(own, temperature, weights, epochs, seed, most_steps).select(*outside(own), "n_copies")
 
 
-def mix(docs: DataFrame, temperature: float = 0.5, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: int = 11) -> DataFrame:
+def mix(docs: DataFrame, temperature: float = 0.5, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: int = 11, most_steps: int = 1_000_000) -> DataFrame:
     """The columns of docs, then n_copies, copy (from 0) and shuffle_key; rows lie in the order of a global shuffle.
 
     Rows are dealt to partitions by a hash of the key and sorted there: one shuffle, and no part of the order depends on the
     source, so a hot one spreads over all partitions.
     """
-    docs = docs.drop("n_copies", "copy", "shuffle_key")
-    counted = with_counts(docs, temperature, weights, epochs, seed).filter("n_copies > 0")
+    own = inside(docs, "n_copies", "copy", "shuffle_key")
+    counted = _counted(own, temperature, weights, epochs, seed, most_steps).filter("n_copies > 0")
     copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
-    keyed = copies.withColumn("shuffle_key", F.substring(F.sha2(F.concat_ws("\x1f", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "copy"), 256), 14, 16))
-    return keyed.repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key")
+    keyed = copies.withColumn("shuffle_key", F.substring(F.sha2(F.concat_ws("\x1f", F.lit(str(seed)), _identity(), "copy"), 256), 14, 16))
+    return keyed.repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key").select(*outside(own), "n_copies", "copy", "shuffle_key")
 
 
 MIX_ORACLE = """
