@@ -11,8 +11,8 @@ by a grouped aggregation: compiled code, combined within each task before anythi
 
 Null texts are empty: one empty paragraph and no clause. Lanes are exact up to 2^30 clauses, so also for very long and
 repetitive texts. Repeated rows have equal fingerprints. Other columns of docs, whatever their names, aren't read. Documents follow each
-other by ascending doc_id, rows of one doc_id by their text, null ids after all others; the first follows the last. A
-single document follows itself. Empty tables give no rows.
+other by ascending doc_id, rows of one doc_id by a hash of their text, null ids after all others; the first follows the
+last. A single document follows itself. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -128,31 +128,37 @@ def _signs(print_: Column, k: int) -> Column:
 def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """range, guest, place, doc_id, text, next_text: the following document's text (null for guests that end a range).
 
-    Ids are cut into ranges at quantiles that are ids themselves (as many as the parameter says, whatever the table's size).
-    The first rows of a range also go, as guests, to the range before, so every row finds its follower in its own range.
+    Rows are cut into ranges at quantiles of their ids (as many as the parameter says, whatever the table's size); an id, or the lack
+    of one, that has more rows than a range should is cut by the hash of the text as well. The first row of a range also
+    goes, as a guest, to the range before, so every row finds its follower in its own range.
     """
     spark = docs.sparkSession
     buckets = buckets or min(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), 20_000)
-    texts = keyed_texts(docs)
-    q = texts.agg(F.min("doc_id").alias("lo"), F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)] or [0.5], 20 * buckets).alias("q"), F.max(F.col("doc_id").isNull()).alias("nulls")).first()
-    starts = sorted({q["lo"], *(q["q"] or [])} - {None})  # a list of at most `buckets` ids
-    n = len(starts)
-    if not n:
-        starts, n = [0], 1
-    table = F.array(*map(F.lit, starts))
-    # binary search for the last start that isn't above the id
+    texts = keyed_texts(docs).withColumns({"none": F.col("doc_id").isNull().cast("int"), "id": F.coalesce("doc_id", F.lit(0)), "h": F.xxhash64("text"), "h2": F.hash("text")})
+    q = texts.agg(F.count("*").alias("n"), F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)] or [0.5], 20 * buckets).alias("q")).first()
+    share = -(-q["n"] // buckets)
+    low, whole = -(1 << 63), 1 << 64
+    starts = {(0, low, low), *((0, x, low) for x in q["q"] or [])}
+    for none, id_, n in texts.groupBy("none", "id").count().filter(F.col("count") > 2 * share).collect():  # half as many as ranges at most
+        parts = -(-n // share)
+        starts |= {(none, id_, low + i * whole // parts) for i in range(parts)}
+    table = sorted(starts)  # a list of some times `buckets` starts at most
+    n = len(table)
+    nones, ids, hashes = (F.array(*map(F.lit, x)) for x in zip(*table, strict=True))
+
+    def not_after(i: Column) -> Column:
+        a, b, c = F.get(nones, i), F.get(ids, i), F.get(hashes, i)
+        return (a < F.col("none")) | ((a == F.col("none")) & ((b < F.col("id")) | ((b == F.col("id")) & (c <= F.col("h")))))
+
+    # binary search for the last start that isn't after the row
     steps = F.array(*(F.lit(1 << bit) for bit in reversed(range(n.bit_length()))))
-    at = F.aggregate(steps, F.lit(0), lambda a, s: F.when((a + s < n) & (F.get(table, a + s) <= F.col("doc_id")), a + s).otherwise(a))
-    own = texts.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(n - 1)).otherwise(at))
-    first = F.get(table, F.col("range")) == F.col("doc_id")
-    before = F.pmod(F.col("range") - 1, F.lit(n))
-    seat = lambda r, guest, turn: F.struct(r.alias("range"), F.lit(guest).alias("guest"), turn.alias("turn"))
-    alone = q["lo"] is None
-    # a guest from the first range sits behind the last range's rows, nulls included; with null ids only, each is both
-    wrapped = F.when(F.col("range") == 0, F.lit(1)).otherwise(F.lit(0))
-    guests = F.when(F.lit(alone) | F.coalesce(first, F.lit(False)), F.array(seat(F.col("range"), False, F.lit(0)), seat(before, True, wrapped))).otherwise(F.array(seat(F.col("range"), False, F.lit(0))))
-    seated = own.withColumn("s", F.explode(guests)).select("doc_id", "text", "s.*")
-    w = Window.partitionBy("range").orderBy("turn", F.col("doc_id").asc_nulls_last(), "text")
+    own = texts.withColumn("range", F.aggregate(steps, F.lit(0), lambda a, s: F.when((a + s < n) & not_after(a + s), a + s).otherwise(a)))
+    order = ["none", "id", "h", "h2"]
+    firsts = [(r["range"], *r["first"]) for r in own.groupBy("range").agg(F.min(F.struct(*order)).alias("first")).orderBy("range").collect()]  # a row for each range
+    seats = spark.createDataFrame([(firsts[i - 1][0], *f) for i, f in enumerate(firsts)], "before int, range int, none int, id long, h long, h2 int")
+    guests = own.join(F.broadcast(seats), ["range", *order]).dropDuplicates(["range"]).withColumn("range", F.col("before")).drop("before")
+    seated = own.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True)))
+    w = Window.partitionBy("range").orderBy("guest", *order)
     return seated.select("range", "guest", F.row_number().over(w).alias("place"), "doc_id", "text", F.lead("text").over(w).alias("next_text"))
 
 
