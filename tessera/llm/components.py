@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import written
+from tessera.llm._common import forget, written
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -26,10 +26,13 @@ def components(edges: DataFrame) -> DataFrame:
     Nulls and loops link nothing; an empty list has no components.
     """
     now = written(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").distinct())
-    state = None
+    state, before = None, None
     while True:
         sums = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if sums == state or not sums[0]:
             return now
         state = sums
-        now = written(_stars(written(_stars(now, large=True)), large=False))
+        if before is not None:
+            forget(before)
+        before = now
+        now = written(_stars(_stars(now, large=True), large=False))
