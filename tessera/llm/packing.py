@@ -5,8 +5,9 @@ piece, so a shard's size follows from the number of rows, not from any key): the
 bitset of reachable sums over the multiset of lengths left picks what fills the window closest to its capacity; the sums
 are backtracked to counts, and the pattern found is used as often as the counts allow.
 
-Null texts are empty: one piece, the closing id alone. Repeated rows, also of one doc_id, are packed each for itself.
-Empty tables give no rows. Very long texts give as many full windows as they hold.
+Null texts are empty: one piece, the closing id alone. Repeated rows, also of one doc_id, are packed each for itself; of
+rests of one length any may go first. Empty tables give no rows. Very long texts give as many full windows as they hold.
+Other columns of docs, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -137,9 +138,11 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str | None = None, capacit
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     ranks_path: the same vocabulary as ranks, for speed; without it all texts go through the tokenizers library. Shards hold
-    about shard_docs documents; a shard's last windows alone are not full, so larger shards pad less.
+    about shard_docs pieces, as their number follows from the documents and their lengths; a shard's last windows alone are
+    not full, so larger shards pad less.
     """
-    shards = max(1, -(-docs.count() // shard_docs))
+    size = docs.agg(F.count("*"), F.sum(F.length("text"))).first()
+    shards = max(1, -(-(size[0] + (size[1] or 0) // (2 * capacity)) // shard_docs))
     pieces = token_pieces(docs, json_path, ranks_path, capacity, end_id)
     key = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards))
 
