@@ -6,7 +6,7 @@ of 256 bits; classes that share a signature are candidates. A pair at 0.8 shares
 one in 100,000; closer pairs are lost more rarely. A candidate pair is linked only if its two sets are similar enough. Sets
 are computed again for the classes that share a signature, so that those of all others need no disk.
 
-The classes of a signature are first compared with three of them only, round by round, and each round's links join classes to
+The classes of a signature are first compared with one of them only, round by round, and each round's links join classes to
 components; pairs within a component need no comparison. Once such a round links few of its pairs, or few are left, the
 rest is compared in full: the SimHashes of a signature with up to `most` classes lie as vertical bit planes, whose distances
 are counted by carry-save counters; classes of larger signatures are joined by their rarest shingles instead (two sets
@@ -19,6 +19,8 @@ tables give no rows. Texts are read whole; other columns aren't read; repeated r
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -109,11 +111,12 @@ def _alike(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
     return both.filter(common + 1e-9 >= similarity * (F.size("_a") + F.size("_b") - common)).select("a", "b")
 
 
-def _pivot_pairs(left: DataFrame, similarity: float, round_: int, pivots: int = 3) -> DataFrame:
-    """Pairs of each class with some classes of its signature."""
-    drawn = [F.min(F.struct(F.xxhash64(F.lit(round_), F.lit(j), "c").alias("h"), F.col("c").alias("d"), F.col("n").alias("m"), F.col("root").alias("other"))) for j in range(pivots)]
-    chosen = left.groupBy("s").agg(F.array(*drawn).alias("p")).select("s", F.inline("p")).drop("h")
-    return left.join(chosen, "s").filter((F.col("root") != F.col("other")) & _sizes_allow(F.col("n"), F.col("m"), similarity)).select("c", "d")
+def _pivot_pairs(left: DataFrame, similarity: float, round_: int) -> DataFrame:
+    """Each class with one other: of the pivots of its signatures, one a signature, that with which it shares the most."""
+    drawn = F.min(F.struct(F.xxhash64(F.lit(round_), "c").alias("h"), F.col("c").alias("d"), F.col("n").alias("m"), F.col("root").alias("other")))
+    chosen = left.groupBy("s").agg(drawn.alias("p")).select("s", "p.d", "p.m", "p.other")
+    met = left.join(chosen, "s").filter((F.col("root") != F.col("other")) & _sizes_allow(F.col("n"), F.col("m"), similarity))
+    return met.groupBy("c", "d").count().groupBy("c").agg(F.max_by("d", F.struct("count", "d")).alias("d"))
 
 
 def _near_prints(similarity: float):
@@ -148,11 +151,12 @@ def _rarest_pairs(classes: DataFrame, known: DataFrame, similarity: float) -> Da
     return some.join(other, "w").filter((F.col("root") < F.col("other")) & enough & _sizes_allow(F.col("n"), F.col("m"), similarity)).select("c", "d")
 
 
-def links(docs: DataFrame, rows: DataFrame, similarity: float, size: int, seed: int, most_pairs: float = 4.0, least_gain: float = 0.05, most: int = 256, shard_rows: int = 20_000) -> DataFrame:
+def links(docs: DataFrame, rows: DataFrame, similarity: float, size: int, seed: int, most_pairs: float = 4.0, least_gain: float = 0.05, most: int = 256, shard_rows: int = 20_000, trees_of: Callable[[DataFrame], DataFrame] = components) -> DataFrame:
     """(a, b) for each class a that isn't the least of its component, b being the least. rows: the written sets of docs.
 
     most_pairs: pairs left for each member of a signature at which the rest is compared in full; least_gain: share of a round's
-    pairs it must link for another such round; most: classes of a signature that are compared by their SimHashes.
+    pairs it must link for another such round; most: classes of a signature that are compared by their SimHashes; trees_of:
+    what becomes of links (a, b): classes with the same b aren't compared.
     """
     spread = rows.select("c", "n", F.explode("signatures").alias("s"))
     shared = spread.groupBy("s").agg(F.min("c").alias("least"), F.max("c").alias("greatest")).filter("least < greatest").select("s")
@@ -183,8 +187,8 @@ def links(docs: DataFrame, rows: DataFrame, similarity: float, size: int, seed:
         gain = linked / max(pairs.count(), 1)
         edges = new if edges is None else edges.unionAll(new)
         if linked:
-            trees = components(edges)
-    return trees if trees is not None else components(rows.sparkSession.createDataFrame([], "a long, b long"))
+            trees = trees_of(edges)
+    return trees if trees is not None else trees_of(rows.sparkSession.createDataFrame([], "a long, b long"))
 
 
 def near_texts(docs: DataFrame, size: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
@@ -194,7 +198,14 @@ def near_texts(docs: DataFrame, size: int = 5, similarity: float = 0.8, seed: in
     return rows.select("doc_id", "t", "c").join(trees.select(F.col("a").alias("c"), "b"), "c", "left").select("doc_id", "t", F.coalesce("b", "c").alias("component"))
 
 
-def copies(docs: DataFrame) -> DataFrame:
+def _linked(edges: DataFrame) -> DataFrame:
+    """All classes with a link as one tree: what has a link needs no other one."""
+    return written(edges.select(F.explode(F.array("a", "b")).alias("a")).distinct().withColumn("b", F.lit(-(1 << 63))))
+
+
+def copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
     """The distinct doc_id and t of the rows whose text is linked with another row's or equals it."""
-    found = written(near_texts(docs))
-    return found.join(found.groupBy("component").count().filter("count > 1").select("component"), "component").select("doc_id", "t").distinct()
+    rows = written(sets(docs, size, seed))
+    linked = links(docs, rows, similarity, size, seed, trees_of=_linked).select(F.col("a").alias("c"))
+    equal = rows.groupBy("c").count().filter("count > 1").select("c")
+    return rows.select("doc_id", "t", "c").join(linked.unionAll(equal).distinct(), "c", "left_semi").select("doc_id", "t").distinct()

@@ -7,7 +7,8 @@ a bucket the fingerprints lie as vertical bit planes: 64 distances are updated a
 of 64 is abandoned as soon as all of it is beyond the radius. Only a spanning forest of the links leaves a task.
 
 Null texts are empty: fingerprint zero, linked like any other. Repeated rows fall into one class. Rows without doc_id get
-their component's least doc_id, or null if it has none. Empty tables give no rows. Texts are read whole.
+their component's least doc_id, or null if it has none. A bit that is set in just half of the hashes is 0. Empty tables give
+no rows. Texts are read whole; other columns of docs, whatever their names, aren't read.
 """
 
 from __future__ import annotations

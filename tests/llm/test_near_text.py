@@ -58,6 +58,12 @@ def test_groups_are_those_of_all_pairs(spark, most_pairs, most):
     assert sorted(map(sorted, groups.values())) == brute_groups(texts)
 
 
+def test_copies_are_the_rows_of_larger_groups(spark):
+    texts = near_copies()
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], SCHEMA)
+    assert sorted(r.doc_id for r in near_text.copies(docs).collect()) == sorted(i for g in brute_groups(texts) if len(g) > 1 for i in g)
+
+
 def test_bit_sliced_distances():
     rng = np.random.default_rng(1)
     for width, radius in ((1, 2), (1, 9), (4, 64), (2, 31)):
