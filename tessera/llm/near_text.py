@@ -7,8 +7,9 @@ one in 100,000; closer pairs are lost more rarely. A candidate pair is linked on
 are computed again for the classes that share a signature, so that those of all others need no disk.
 
 The classes of a signature are first compared with one of them only, round by round, and each round's links join classes to
-components; pairs within a component need no comparison. Once such a round links few of its pairs, or few are left, the
-rest is compared in full: the SimHashes of a signature with up to `most` classes lie as vertical bit planes, whose distances
+components; pairs within a component need no comparison. Once such a round links few of its pairs, all pairs whose
+SimHashes differ by no more than is usual at 0.8 are compared, and joined to components again. What is left then, or
+earlier if it is little, is compared in full: the SimHashes of a signature with up to `most` classes lie as vertical bit planes, whose distances
 are counted by carry-save counters; classes of larger signatures are joined by their rarest shingles instead (two sets
 at 0.8 share one of the rarest fifth of either), which is exact and which common passages don't crowd. So no pair of a
 signature goes unseen, however many classes share it.
@@ -35,6 +36,8 @@ ARROW = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("c", pa.int64()),
 KNOWN = pa.schema([("c", pa.int64()), ("prints", pa.list_(pa.int64())), ("hashes", pa.list_(pa.int64()))])
 SIGNATURES, MINIMA = 26, 5
 PRINTS, RADIUS = 4, 64
+#: As many bits differ on average at 0.8.
+NEAR = 39
 _RNG = np.random.default_rng(2023)
 _XOR = _RNG.integers(0, 2**64, SIGNATURES * MINIMA, np.uint64)
 _TIMES = _RNG.integers(0, 2**64, SIGNATURES * MINIMA, np.uint64) | np.uint64(1)
@@ -119,7 +122,7 @@ def _pivot_pairs(left: DataFrame, similarity: float, round_: int) -> DataFrame:
     return met.groupBy("c", "d").count().groupBy("c").agg(F.max_by("d", F.struct("count", "d")).alias("d"))
 
 
-def _near_prints(similarity: float):
+def _near_prints(similarity: float, radius: int):
     """Pairs within the signatures of a shard: different components, SimHashes within the radius, sizes that allow the similarity."""
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
@@ -127,7 +130,7 @@ def _near_prints(similarity: float):
         sizes = rows.groupby("s", sort=True).size().to_numpy()
         c, n, root = (rows[x].to_numpy() for x in ("c", "n", "root"))
         found = [np.zeros((0, 2), np.int64)]
-        for i, j in near_pairs(np.stack(rows["prints"].to_list()).view(np.uint64), np.repeat(np.cumsum(sizes), sizes), RADIUS):
+        for i, j in near_pairs(np.stack(rows["prints"].to_list()).view(np.uint64), np.repeat(np.cumsum(sizes), sizes), radius):
             ok = (root[i] != root[j]) & (np.minimum(n[i], n[j]) + 1e-9 >= similarity * np.maximum(n[i], n[j]))
             found.append(np.unique(np.stack([c[i[ok]], c[j[ok]]], 1), axis=0))
         return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["c", "d"])
@@ -135,20 +138,23 @@ def _near_prints(similarity: float):
     return compare
 
 
-def _rarest_pairs(classes: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+def _rarest_pairs(classes: DataFrame, known: DataFrame, similarity: float, radius: int = RADIUS) -> DataFrame:
     """Pairs of classes (c, n, root) of different components that may be similar enough: all that share one of their rarest shingles.
 
     Shingles are ordered by how many of these classes hold them. Of two sets that are similar enough, the first common shingle
-    in this order has as many after it in both sets as the overlap needs.
+    in this order has as many after it in both sets as the overlap needs. A radius under RADIUS leaves those with SimHashes within it.
     """
     tokens = known.select("c", "hashes").join(classes, "c").select("c", "n", "root", F.explode("hashes").alias("w"))
     often = tokens.groupBy("w").count()
     ranked = tokens.join(often, "w").groupBy("c", "n", "root").agg(F.sort_array(F.collect_list(F.struct("count", "w"))).alias("o"))  # one text's shingles
     first = F.slice("o", F.lit(1), F.col("n") - F.ceil(similarity * F.col("n") - 1e-9).cast("int") + 1)
-    some = written(ranked.select("c", "n", "root", F.posexplode(first).alias("at", "x")).filter("x.count > 1").select("x.w", "at", "c", "n", "root"))
-    other = some.select("w", F.col("at").alias("bt"), F.col("c").alias("d"), F.col("n").alias("m"), F.col("root").alias("other"))
+    some = written(ranked.select("c", "n", "root", F.posexplode(first).alias("at", "x")).filter("x.count > 1").select("x.w", "at", "c", "n", "root").join(known.select("c", "prints"), "c"))
+    other = some.select("w", F.col("at").alias("bt"), F.col("c").alias("d"), F.col("n").alias("m"), F.col("root").alias("other"), F.col("prints").alias("others"))
     enough = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("bt")) + 1e-9 >= similarity / (1 + similarity) * (F.col("n") + F.col("m"))
-    return some.join(other, "w").filter((F.col("root") < F.col("other")) & enough & _sizes_allow(F.col("n"), F.col("m"), similarity)).select("c", "d")
+    met = (F.col("root") < F.col("other")) & enough & _sizes_allow(F.col("n"), F.col("m"), similarity)
+    if radius < RADIUS:
+        met &= sum((F.bit_count(F.col("prints")[k].bitwiseXOR(F.col("others")[k])) for k in range(PRINTS)), F.lit(0)) <= radius
+    return some.join(other, "w").filter(met).select("c", "d")
 
 
 def links(docs: DataFrame, rows: DataFrame, similarity: float, size: int, seed: int, most_pairs: float = 4.0, least_gain: float = 0.05, most: int = 256, shard_rows: int = 20_000, trees_of: Callable[[DataFrame], DataFrame] = components) -> DataFrame:
@@ -163,22 +169,25 @@ def links(docs: DataFrame, rows: DataFrame, similarity: float, size: int, seed:
     members = written(spread.join(shared, "s").distinct())
     classes = rows.join(members.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.min("t").alias("t"), F.first("prints").alias("prints"))
     known = written(_hashes(docs, classes, size, seed))
-    edges, trees, gain, round_, last = None, None, 1.0, 0, False
-    while not last:
+    edges, trees, gain, round_, radius = None, None, 1.0, 0, 0
+    while radius < RADIUS:
         named = members.withColumn("root", F.col("c")) if trees is None else members.join(trees.withColumnRenamed("a", "c"), "c", "left").withColumn("root", F.coalesce("b", "c")).drop("b")
         sums = named.groupBy("s", "root").agg(F.count("*").alias("k")).groupBy("s").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("same"), F.count("*").alias("roots"))
         open_ = written(sums.filter("roots > 1").select("s", "all", ((F.col("all") * F.col("all") - F.col("same")) / 2).alias("pairs")))
         size = open_.agg(F.sum("pairs"), F.sum("all"), F.max("all")).first()
         if not size[0]:
             break
-        last = size[0] <= most_pairs * size[1] or gain < least_gain
-        if last:
+        if radius or size[0] <= most_pairs * size[1]:
+            radius = RADIUS
+        elif gain < least_gain:
+            radius = NEAR
+        if radius:
             few = named.join(open_.filter(F.col("all") <= most).select("s"), "s").join(known.select("c", "prints"), "c")
             shards = max(1, -(-size[1] // shard_rows))
-            pairs = few.withColumn("shard", F.pmod(F.xxhash64("s"), F.lit(shards))).groupBy("shard").applyInPandas(_near_prints(similarity), "c long, d long")
+            pairs = few.withColumn("shard", F.pmod(F.xxhash64("s"), F.lit(shards))).groupBy("shard").applyInPandas(_near_prints(similarity, radius), "c long, d long")
             if size[2] > most:
                 crowded = written(named.join(open_.filter(F.col("all") > most).select("s"), "s").select("c", "n", "root").distinct())
-                pairs = pairs.unionAll(_rarest_pairs(crowded, known, similarity))
+                pairs = pairs.unionAll(_rarest_pairs(crowded, known, similarity, radius))
         else:
             pairs = _pivot_pairs(named.join(open_.select("s"), "s"), similarity, round_)
         pairs = written(pairs.select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct())
