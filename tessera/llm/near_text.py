@@ -1,10 +1,10 @@
 """Near-duplicates by SimHash with bit-sliced comparison, every link checked by the exact Jaccard similarity of word shingles.
 
-Equal sets of shingles form a class. Each class draws 130 minima of hashed shingles, in 26 signatures of five, and a SimHash
-of 256 bits; classes that share a signature are candidates. A pair at 0.8 shares no signature with a probability of
-0.672 ** 26, about 3e-5, and its SimHashes differ in 38.8 of 256 bits on average (deviation 5.7), so a radius of 64 loses
+Equal sets of shingles form a class. Each class draws 130 minima of hashed shingles, in 26 signatures of five; classes that
+share a signature are candidates and get a SimHash of 1024 bits. A pair at 0.8 shares no signature with a probability of
+0.672 ** 26, about 3e-5, and its SimHashes differ in 155 of 1024 bits on average (deviation 11.5), so a radius of 206 loses
 one in 100,000; closer pairs are lost more rarely. A candidate pair is linked only if its two sets are similar enough. Sets
-are computed again for the classes that share a signature, so that those of all others need no disk.
+and SimHashes are computed for the classes that share a signature only, so that those of all others need no disk.
 
 The classes of a signature are first compared with one of them only, round by round, and each round's links join classes to
 components; pairs within a component need no comparison. Once such a round links few of its pairs, all pairs whose
@@ -32,12 +32,12 @@ from tessera.llm._common import keyed_texts, record_batch, slices, written
 from tessera.llm.components import components
 from tessera.llm.simhash import near_pairs, shingles
 
-ARROW = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("c", pa.int64()), ("n", pa.int32()), ("prints", pa.list_(pa.int64())), ("signatures", pa.list_(pa.int64()))])
+ARROW = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("c", pa.int64()), ("n", pa.int32()), ("signatures", pa.list_(pa.int64()))])
 KNOWN = pa.schema([("c", pa.int64()), ("prints", pa.list_(pa.int64())), ("hashes", pa.list_(pa.int64()))])
 SIGNATURES, MINIMA = 26, 5
-PRINTS, RADIUS = 4, 64
+PRINTS, RADIUS = 16, 206
 #: As many bits differ on average at 0.8.
-NEAR = 39
+NEAR = 156
 _RNG = np.random.default_rng(2023)
 _XOR = _RNG.integers(0, 2**64, SIGNATURES * MINIMA, np.uint64)
 _TIMES = _RNG.integers(0, 2**64, SIGNATURES * MINIMA, np.uint64) | np.uint64(1)
@@ -65,7 +65,7 @@ def signatures(hashes: np.ndarray, chunk: int = 1024) -> np.ndarray:
     return out
 
 
-def prints(hashes: np.ndarray, chunk: int = 1 << 14) -> np.ndarray:
+def prints(hashes: np.ndarray, chunk: int = 1 << 12) -> np.ndarray:
     """The SimHash of a set, 64 bits to a long."""
     ones = np.zeros((PRINTS, 64), np.int64)
     for i in range(0, len(hashes), chunk):
@@ -78,7 +78,7 @@ def prints(hashes: np.ndarray, chunk: int = 1 << 14) -> np.ndarray:
 
 
 def sets(docs: DataFrame, size: int, seed: int) -> DataFrame:
-    """doc_id, t (hash of the text), c (class), n (shingles), prints and signatures of each row."""
+    """doc_id, t (hash of the text), c (class), n (shingles) and signatures of each row."""
 
     def of(batches):
         import xxhash
@@ -86,21 +86,21 @@ def sets(docs: DataFrame, size: int, seed: int) -> DataFrame:
         for b in slices(batches):
             found = [hashed(t, size, seed) for t in b.column(1).to_pylist()]
             names = np.array([xxhash.xxh64_intdigest(h.tobytes(), seed) for h in found], np.uint64).view(np.int64)
-            columns = [[f(h).view(np.int64) for h in found] for f in (prints, signatures)]
-            yield record_batch(ARROW, [b.column(0), b.column(2), names, [len(h) for h in found], *columns])
+            yield record_batch(ARROW, [b.column(0), b.column(2), names, [len(h) for h in found], [signatures(h).view(np.int64) for h in found]])
 
-    return keyed_texts(docs, F.xxhash64("text").alias("t")).mapInArrow(of, "doc_id long, t long, c long, n int, prints array<long>, signatures array<long>")
+    return keyed_texts(docs, F.xxhash64("text").alias("t")).mapInArrow(of, "doc_id long, t long, c long, n int, signatures array<long>")
 
 
 def _hashes(docs: DataFrame, classes: DataFrame, size: int, seed: int) -> DataFrame:
-    """c, prints and hashes of classes (t, c, prints), one row each, from the text with the hash t."""
+    """c, prints and hashes of classes (t, c), one row each, from the text with the hash t."""
 
     def of(batches):
         for b in slices(batches):
-            yield record_batch(KNOWN, [b.column(0), b.column(1), [hashed(t, size, seed).view(np.int64) for t in b.column(2).to_pylist()]])
+            found = [hashed(t, size, seed) for t in b.column(1).to_pylist()]
+            yield record_batch(KNOWN, [b.column(0), [prints(h).view(np.int64) for h in found], [h.view(np.int64) for h in found]])
 
     texts = keyed_texts(docs, F.xxhash64("text").alias("t")).groupBy("t").agg(F.first("text").alias("text"))
-    return texts.join(classes, "t").select("c", "prints", "text").mapInArrow(of, "c long, prints array<long>, hashes array<long>")
+    return texts.join(classes, "t").select("c", "text").mapInArrow(of, "c long, prints array<long>, hashes array<long>")
 
 
 def _sizes_allow(n: Column, m: Column, similarity: float) -> Column:
@@ -167,7 +167,7 @@ def links(docs: DataFrame, rows: DataFrame, similarity: float, size: int, seed:
     spread = rows.select("c", "n", F.explode("signatures").alias("s"))
     shared = spread.groupBy("s").agg(F.min("c").alias("least"), F.max("c").alias("greatest")).filter("least < greatest").select("s")
     members = written(spread.join(shared, "s").distinct())
-    classes = rows.join(members.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.min("t").alias("t"), F.first("prints").alias("prints"))
+    classes = rows.join(members.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.min("t").alias("t"))
     known = written(_hashes(docs, classes, size, seed))
     edges, trees, gain, round_, radius = None, None, 1.0, 0, 0
     while radius < RADIUS:
