@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.storage import drop, forget, shared_dir, written  # noqa: F401  the operators take them from here
+from tessera.storage import drop, forget, new_path, shared_dir, written  # noqa: F401  the operators take them from here
 
 #: Code points that count as white space in the contracts; all other characters make words.
 SPACE = " \t\n\x0b\x0c\r"

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import fingerprints, line_dedup, mixing, packing, pii, quality, secret_scan, simhash, suffix_dedup, token_counts
-from tessera.llm._common import documents
+from tessera.llm import fingerprints, kd_clusters, line_dedup, mixing, packing, pii, prefix_trie, quality, secret_scan, simhash, suffix_dedup, token_counts, token_files
+from tessera.llm._common import documents, new_path
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,5 +50,19 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeats(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_packing, op3_quality_rules, op4_line_dedup, op5_pii, op6_fingerprints, op7_mixing, op8_simhash, op9_token_counts, op10_suffix_dedup)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark)
+    token_files.write_token_files(documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_files.read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op13_kd_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_clusters.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_packing, op3_quality_rules, op4_line_dedup, op5_pii, op6_fingerprints, op7_mixing, op8_simhash, op9_token_counts, op10_suffix_dedup, op11_prefix_trie, op12_token_files, op13_kd_clusters)}
 ORACLE: dict[str, str] = {"op3_quality_rules": quality.QUALITY_ORACLE, "op4_line_dedup": line_dedup.LINE_ORACLE, "op7_mixing": mixing.MIX_ORACLE}
