@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import storage
-from tessera.functions.text import calls, without_comments
 from tessera.operators import relational
+from tessera.operators.cpp import cpp_constructs  # noqa: F401  one of the collectors here
 
 
 def _symbols(code: str):
@@ -72,34 +72,9 @@ def bases(code: Column) -> Column:
     return F.transform(found, lambda x: F.struct(x["name"].alias("name"), F.transform(F.split(x["bases"], ","), lambda b: F.trim(F.regexp_replace(b, r"\b(public|protected|private|virtual)\b", ""))).alias("bases")))
 
 
-def cpp_constructs(files: DataFrame, path: str = "path", code: str = "code") -> DataFrame:
-    """TGF13, TGF23: path, kind, parent, name, detail of includes, namespaces, classes with their fields and methods, function
-    definitions and called names of C++ files. Class bodies are read up to their first closing brace."""
-    df = files.select(path, without_comments(F.col(code), "cpp").alias("c"))
-    item = lambda kind, parent, name, detail: F.struct(F.lit(kind).alias("kind"), parent.alias("parent"), name.alias("name"), detail.alias("detail"))
-    groups = lambda text, pattern, n: F.arrays_zip(*(F.regexp_extract_all(text, F.lit(pattern), F.lit(i + 1)).alias(f"g{i}") for i in range(n)))
-    none = F.lit("")
-    listed = lambda found, make: F.transform(found, make)
-    classes = groups(F.col("c"), r"\b(?:class|struct)\s+(\w+)\s*(?::\s*([^{;]+))?\{([^}]*)\}", 3)
-    field, method = r"(?m)^\s*(?!return\b|using\b|typedef\b)([\w:<>,*& ]+?)[\s*&]+(\w+)\s*(?:=[^;()]*)?;", r"(?m)^\s*([\w:<>,*& ]+?)[\s*&]+(~?\w+)\s*\(([^()]*)\)\s*(?:const)?\s*;"
-    inner = F.flatten(F.transform(classes, lambda k: F.concat(
-        F.array(item("class", none, k["g0"], F.trim(F.coalesce(k["g1"], none)))),
-        F.transform(groups(k["g2"], field, 2), lambda x: item("field", k["g0"], x["g1"], F.trim(x["g0"]))),
-        F.transform(groups(k["g2"], method, 3), lambda x: item("method", k["g0"], x["g1"], F.trim(x["g2"]))),
-    )))
-    parts = [
-        listed(includes(F.col("c")), lambda x: item("include", none, x, none)),
-        listed(F.regexp_extract_all("c", F.lit(r"\bnamespace\s+(\w+)"), F.lit(1)), lambda x: item("namespace", none, x, none)),
-        inner,
-        listed(cpp_headers(F.col("c")), lambda x: item("function", F.when(x["name"].contains("::"), F.regexp_extract(x["name"], r"^(.*)::", 1)).otherwise(""), F.regexp_extract(x["name"], r"([^:]+)$", 1), F.trim(x["arguments"]))),
-        listed(calls(F.col("c")), lambda x: item("call", none, x, none)),
-    ]
-    return df.select(path, F.inline(F.concat(*parts)))
-
-
 def symbols_by_language(files: DataFrame) -> DataFrame:
     """TGF13: path, kind, parent, name, detail of C++ and Python files, by their language. files: path, language, code."""
-    cpp = cpp_constructs(files.filter(F.col("language").isin("cpp", "cpp_header", "c")))
+    cpp = cpp_constructs(files.filter(F.col("language").isin("cpp", "cpp_header", "c"))).select("path", "kind", "parent", "name", "detail")
     py = python_symbols(files.filter("language = 'python'")).select("path", "kind", "parent", "name", "detail")
     return cpp.unionByName(py)
 
@@ -115,10 +90,13 @@ def _bullets(constructs: str, kind: str, parent: Column | None = None) -> Column
 
 
 def skeletons(constructs: DataFrame) -> DataFrame:
-    """TGF21: path, page: a heading per class with its properties and methods, then the free functions; names in order."""
+    """TGF21: path, page: a heading per class with its properties and methods, then the functions that belong to no class; names in order."""
     listed = constructs.groupBy("path").agg(F.sort_array(F.collect_set(F.struct("kind", "parent", "name"))).alias("s"))  # one file's constructs
-    classes = F.transform(F.array_distinct(F.transform(F.filter("s", lambda x: x["kind"] == "class"), lambda x: x["name"])), lambda k: F.array_join(F.concat(F.array(F.concat(F.lit("### `"), k, F.lit("`"))), F.array(F.lit("##### Properties")), _bullets("s", "field", k), F.array(F.lit("##### Methods")), _bullets("s", "method", k)), "\n"))
-    free = _bullets("s", "function", F.lit(""))
+    full = lambda x: F.when(x["parent"] == "", x["name"]).otherwise(F.concat_ws("::", x["parent"], x["name"]))
+    of = lambda kind: F.array_distinct(F.transform(F.filter("s", lambda x: x["kind"] == kind), full))
+    classes = F.transform(of("class"), lambda k: F.array_join(F.concat(F.array(F.concat(F.lit("### `"), F.regexp_extract(k, r"([^:]+)$", 1), F.lit("`"))), F.array(F.lit("##### Properties")), _bullets("s", "field", k), F.array(F.lit("##### Methods")), _bullets("s", "method", k)), "\n"))
+    free = F.filter("s", lambda x: (x["kind"] == "function") & ((x["parent"] == "") | F.array_contains(of("namespace"), x["parent"])))
+    free = F.transform(F.array_distinct(F.transform(free, lambda x: x["name"])), lambda n: F.concat(F.lit("* `"), n, F.lit("`")))
     part = lambda title, rows: F.when(F.size(rows) > 0, F.concat(F.array(F.lit(title)), rows)).otherwise(F.array().cast("array<string>"))
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     return listed.select("path", F.array_join(F.concat(F.array(F.concat(F.lit("# `"), name, F.lit("`"))), part("# Classes", classes), part("# Free Functions", free)), "\n").alias("page"))
@@ -129,7 +107,7 @@ def documentation_pages(constructs: DataFrame) -> DataFrame:
     listed = constructs.groupBy("path").agg(F.sort_array(F.collect_set(F.struct("kind", "parent", "name", "detail"))).alias("s"))
     lines = lambda kind, f: F.transform(F.filter("s", lambda x: x["kind"] == kind), f)
     part = lambda title, rows: F.when(F.size(rows) > 0, F.concat(F.array(F.lit(title)), rows)).otherwise(F.array().cast("array<string>"))
-    include = lines("include", lambda x: F.concat(F.lit("- `"), x["name"], F.lit("`")))
+    include = F.transform(F.filter("s", lambda x: (x["kind"] == "include") & (x["detail"] == "")), lambda x: F.concat(F.lit("- `"), x["name"], F.lit("`")))
     classes = lines("class", lambda x: F.concat(F.lit("- `"), x["name"], F.lit("`"), F.when(x["detail"] != "", F.concat(F.lit(" from `"), x["detail"], F.lit("`"))).otherwise("")))
     functions = lines("function", lambda x: F.concat(F.lit("- `"), F.when(x["parent"] != "", F.concat(x["parent"], F.lit("::"))).otherwise(""), x["name"], F.lit("("), x["detail"], F.lit(")`: [purpose]")))
     head = F.array(F.concat(F.lit("# "), "path"), F.lit("[purpose of the file]"))

@@ -11,6 +11,7 @@ from tessera.functions import text as X
 from tessera.operators import code as C
 from tessera.operators import composite, documents, parsing, relational
 from tessera.operators import vectors as V
+from tessera.plans import cpp_shapes
 from tessera.registry import query
 from tessera.sources import readers, writers
 
@@ -299,21 +300,24 @@ def tgf24(t):
 def cpp_code():
     return F.concat(F.lit('#include "a.h"\n#include <vector>\nnamespace ns {\nclass K'), "p_partkey", F.lit(" : public Base {\n  int x;\n  double* y = 0;\n  void run(int a);\n};\n}\nint K::get(int b) {\n  return helper(b);\n}\n"))
 
-CPP_ROWS = "[['include', '', 'a.h', ''], ['namespace', '', 'ns', ''], ['class', '', 'K#', 'public Base'], ['field', 'K#', 'x', 'int'], ['field', 'K#', 'y', 'double'], ['method', 'K#', 'run', 'int a'], ['function', 'K', 'get', 'int b'], ['call', '', 'run', ''], ['call', '', 'K::get', ''], ['call', '', 'helper', '']]"
-
-
 def cpp_files(t):
     return t.part.select(F.concat(F.lit("src/c"), "p_partkey", F.lit(".cpp")).alias("path"), F.lit("cpp").alias("language"), cpp_code().alias("code"))
 
 
-@query("tgf23_cpp_constructs", f"SELECT 'src/c' || p_partkey || '.cpp' AS path, x[1] AS kind, replace(x[2], '#', p_partkey::VARCHAR) AS parent, replace(x[3], '#', p_partkey::VARCHAR) AS name, x[4] AS detail FROM part, (SELECT unnest({CPP_ROWS}) AS x)")
+@query("tgf23_cpp_constructs", cpp_shapes.CONSTRUCTS_SQL)
 def tgf23(t):
-    return C.cpp_constructs(cpp_files(t))
+    return C.cpp_constructs(cpp_shapes.files(t.part))
 
 
-@query("tgf13_symbols", f"SELECT x[1] AS kind, count(*) AS n FROM part, (SELECT unnest({CPP_ROWS} || [['class', '', '', ''], ['method', '', '', ''], ['function', '', '', ''], ['import', '', '', ''], ['import', '', '', ''], ['import', '', '', ''], ['import', '', '', '']]) AS x) GROUP BY 1")
+@query("tgf13_symbols", f"SELECT kind, count(*) AS n FROM (SELECT x[1] AS kind FROM {cpp_shapes.ROWS_SQL} UNION ALL SELECT unnest(['class', 'method', 'function', 'import', 'import', 'import', 'import']) FROM part) GROUP BY 1")
 def tgf13(t):
-    return C.symbols_by_language(cpp_files(t).unionByName(python_files(t))).groupBy("kind").agg(F.count("*").alias("n"))
+    return C.symbols_by_language(cpp_shapes.files(t.part).unionByName(python_files(t))).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("grf03_cpp_scopes", f"SELECT scope, count(*) AS members FROM (SELECT replace(x[2], '@', p_partkey::VARCHAR) AS scope FROM {cpp_shapes.ROWS_SQL} WHERE x[1] IN ('class', 'field', 'method', 'function')) WHERE scope <> '' GROUP BY 1")
+def grf03_scopes(t):
+    found = C.cpp_constructs(cpp_shapes.files(t.part)).filter(F.col("kind").isin("class", "field", "method", "function") & (F.col("parent") != ""))
+    return found.groupBy(F.col("parent").alias("scope")).agg(F.count("*").alias("members"))
 
 
 @query("tgf17_pages", "SELECT 'src/c' || p_partkey || '.cpp' AS path, array_to_string(['# src/c' || p_partkey || '.cpp', '[purpose of the file]', '## Includes', '- `a.h`', '## Classes', '- `K' || p_partkey || '` from `public Base`', '## Functions', '- `K::get(int b)`: [purpose]'], chr(10)) AS page FROM part")
