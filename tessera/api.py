@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,17 @@ from tessera.operators import composite, documents, relational, search, sequence
 from tessera.sources import readers, writers
 
 
+def _whole(method):
+    """What a method writes to several tables becomes one commit."""
+
+    @wraps(method)
+    def inside(self, *args, **more):
+        with self.tables.transaction():
+            return method(self, *args, **more)
+
+    return inside
+
+
 class PaperBase:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.tables = spark, Catalog(spark, root)
@@ -24,6 +37,7 @@ class PaperBase:
 
     # papers and files
 
+    @_whole
     def upsert_papers(self, papers: DataFrame) -> None:
         """DML01: rows match by DOI, then by paper_key; a missing value never erases one. New papers get ids."""
         have = self._read("papers")
@@ -78,6 +92,7 @@ class PaperBase:
         seen = found.join(have.select("_p").distinct(), F.col("path") == F.col("_p"), "left").join(have.select("_h").distinct(), F.col("sha256") == F.col("_h"), "left")
         return seen.select("path", "sha256", F.when(F.col("_p").isNotNull(), "existing_path").when(F.col("_h").isNotNull(), "hash_known").otherwise("created").alias("outcome"))
 
+    @_whole
     def ingest_folder(self, folder: str, pattern: str = "*.md") -> DataFrame:
         """CMP14, CMP08: new files become papers with units; a file whose content is known is skipped. Returns the outcomes."""
         outcomes = self.scan_folder(folder, pattern).persist()
@@ -229,6 +244,7 @@ class PaperBase:
         both = own.unionByName(alias)
         return both.join(both.agg(F.min("turn").alias("turn")), "turn", "left_semi").drop("turn")
 
+    @_whole
     def add_user_tags(self, paper_id: int, tags: list[str]) -> None:
         """DML22."""
         pairs = [(c, n) if m else ("user", c) for c, m, n in (t.replace("_", " ").partition(":") for t in tags)]
@@ -240,6 +256,7 @@ class PaperBase:
         links = ids.select(F.lit(paper_id).cast("long").alias("paper_id"), F.col("id").alias("tag_id"), F.lit("user").alias("source"), F.lit(None).cast("long").alias("run_id"), F.lit(1.0).alias("confidence"), F.col("canonical_name").alias("raw_name"))
         self.tables.write("paper_tags", relational.insert_ignore(self._read("paper_tags"), links, ["paper_id", "tag_id", "source"]))
 
+    @_whole
     def merge_tags(self, keep: int, gone: int) -> None:
         """DML16: links and aliases of one tag move to another, its name becomes an alias."""
         name = self._read("tags").filter(F.col("id") == gone).select(F.lit(keep).cast("long").alias("tag_id"), F.col("canonical_name").alias("alias"), F.lower("canonical_name").alias("normalized_alias"))
@@ -262,6 +279,7 @@ class PaperBase:
             out = one(df, name) if out is None else out.unionAll(one(df, name))
         return out
 
+    @_whole
     def build_topic(self, name: str, query: str, limit: int = 20) -> DataFrame:
         """CMP05: the papers of a search saved as a topic, with 1 / place as their match score."""
         have = self._read("topics")

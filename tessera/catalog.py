@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera import commits
+
 #: Names and types of all columns.
 SCHEMAS = {
     "papers": "id long, paper_key string, doi string, arxiv_id string, title string, authors_text string, year int, journal string, abstract string, keywords string, essence string, markdown_path string, json_path string, bibtex_path string, created_at timestamp, updated_at timestamp",
@@ -31,82 +34,115 @@ REFERENCES = [("paper_files", "paper_id", "papers"), ("search_units", "paper_id"
 
 
 class Catalog:
-    """Tables by name. A write goes to a new version, which a small pointer table names; readers see the old or the new one."""
+    """Tables by name. A table is a list of Parquet folders, which a log of commits over all tables keeps.
+
+    A reader takes all tables from one commit. An append writes its own rows only. A table that this catalog has read is replaced
+    only if nobody has changed it since; otherwise the write raises commits.Conflict, and the caller reads again.
+    """
+
+    #: Folders of a table from which on compact() writes it anew.
+    MANY = 50
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        self._staged: dict[str, int] | None = None
+        self.log = commits.Log(spark, self.root)
+        self._seen: dict[str, commits.State] = {}  # the state in which a table was read last
+        self._open: dict | None = None  # a transaction's base, changes and reads
 
     def init(self) -> None:
-        """TXN01: writes the tables that aren't there yet, without rows."""
-        for name, schema in SCHEMAS.items():
-            if not self.version(name):
-                self.write(name, self.spark.createDataFrame([], schema))
+        """TXN01: makes the tables known that aren't yet, without rows."""
+        now = self.log.state()
+        missing = [name for name in SCHEMAS if name not in now.values]
+        if missing:
+            self.log.commit(now, add={name: [] for name in missing})
 
     @contextmanager
     def transaction(self):
-        """TXN01: the writes within are seen by all when it ends, or by none if it fails; an inner one is part of the outer.
+        """TXN01: the writes within become one commit, or none if it fails; an inner transaction is part of the outer.
 
-        New versions are written without their mark of completion, which only the end sets, in the order of the writes; until then
-        only this catalog reads them. Readers that look while the marks are set may see some tables before others.
+        Within, tables are as they were at its beginning, with its own writes. Tables that were read or replaced within must not
+        have been changed by others at the end: then Conflict is raised, and what was written is deleted.
         """
-        if self._staged is not None:
+        if self._open is not None:
             yield self
             return
-        self._staged = {}
+        self._open = {"base": self.log.state(), "set": {}, "add": {}, "reads": set(), "written": []}
         try:
             yield self
+            t = self._open
+            if t["set"] or t["add"]:
+                self._committed(self.log.commit(t["base"], t["set"], t["add"], t["reads"]), t["set"])
         except BaseException:
-            staged, self._staged = self._staged, None
-            for name, n in staged.items():
-                for v in range(self.version(name) + 1, n + 1):
-                    p, fs = self._fs(f"{self.root}/{name}/v={v}")
-                    fs.delete(p, True)
+            for path in self._open["written"]:
+                p, fs = self._fs(path)
+                fs.delete(p, True)
             raise
-        staged, self._staged = self._staged, None
-        for name, n in staged.items():
-            p, fs = self._fs(f"{self.root}/{name}/v={n}/_SUCCESS")
-            fs.create(p).close()
+        finally:
+            self._open = None
+
+    def _committed(self, state: commits.State, replaced) -> None:
+        self._seen |= {name: state for name in replaced}
 
     def exists(self, path: str) -> bool:
         p, fs = self._fs(path)
         return fs.exists(p)
 
     def _fs(self, path: str):
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return commits.file_system(self.spark, path)
 
     def version(self, name: str) -> int:
-        if self._staged and name in self._staged:
-            return self._staged[name]
-        p, fs = self._fs(f"{self.root}/{name}")
-        if not fs.exists(p):
-            return 0
-        done = [s.getPath().getName() for s in fs.listStatus(p)]
-        return max([0, *(int(d[2:]) for d in done if d.startswith("v=") and self._finished(name, d))])
-
-    def _finished(self, name: str, version: str) -> bool:
-        p, fs = self._fs(f"{self.root}/{name}/{version}/_SUCCESS")
-        return fs.exists(p)
-
-    def read(self, name: str) -> DataFrame:
-        n = self.version(name)
-        if not n:
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}/v={n}")
+        """The commit that changed the table last; 0 if there is none."""
+        return self.log.state().changed.get(name, 0)
+
+    def paths(self, name: str, at: int | None = None) -> list[str]:
+        """The folders that hold the table's rows now, in the open transaction, or at a commit."""
+        t = self._open
+        if t is None or at is not None:
+            state = self.log.state(at)
+            if at is None:
+                self._seen[name] = state
+            return state.values.get(name, [])
+        if name not in t["set"]:
+            t["reads"].add(name)
+        return t["set"].get(name, t["base"].values.get(name, [])) + t["add"].get(name, [])
+
+    def read(self, name: str, at: int | None = None) -> DataFrame:
+        """The table; at: as of a commit."""
+        if found := self.paths(name, at):
+            return self.spark.read.schema(SCHEMAS[name]).parquet(*(f"{self.root}/{x}" for x in found))
+        return self.spark.createDataFrame([], SCHEMAS[name])
+
+    def _stored(self, name: str, rows: DataFrame) -> str:
+        kept = f"{name}/{uuid.uuid4().hex}"
+        kinds = dict(c.split() for c in SCHEMAS[name].split(", "))
+        rows.select(*(F.col(c).cast(k).alias(c) if c in rows.columns else F.lit(None).cast(k).alias(c) for c, k in kinds.items())).write.parquet(f"{self.root}/{kept}")
+        if self._open is not None:
+            self._open["written"].append(f"{self.root}/{kept}")
+        return kept
 
     def write(self, name: str, rows: DataFrame) -> None:
-        columns = [c.split()[0] for c in SCHEMAS[name].split(", ")]
-        n = self.version(name) + 1
-        path = f"{self.root}/{name}/v={n}"
-        rows.select(*columns).write.mode("overwrite").parquet(path)
-        if self._staged is not None:
-            p, fs = self._fs(f"{path}/_SUCCESS")
-            fs.delete(p, False)
-            self._staged[name] = n
+        """DML05: replaces the table by the rows; columns that they lack are null."""
+        kept = self._stored(name, rows)
+        if self._open is not None:
+            self._open["set"][name] = [kept]
+            self._open["add"].pop(name, None)
+        else:
+            self._committed(self.log.commit(self._seen.get(name) or self.log.state(), set_={name: [kept]}), [name])
 
     def append(self, name: str, rows: DataFrame) -> None:
-        self.write(name, self.read(name).unionByName(rows, allowMissingColumns=True))
+        """DML06: adds the rows; writes nothing else and never conflicts with other appends."""
+        kept = self._stored(name, rows)
+        if self._open is None:
+            self.log.commit(self.log.state(), add={name: [kept]})
+        elif name in self._open["set"]:
+            self._open["set"][name] = [*self._open["set"][name], kept]
+        else:
+            self._open["add"].setdefault(name, []).append(kept)
+
+    def compact(self, name: str) -> None:
+        """Writes a table of many folders as one, the rows unchanged."""
+        if len(self.paths(name)) >= self.MANY:
+            self.write(name, self.read(name))
 
     def next_id(self, name: str) -> int:
         return (self.read(name).agg(F.max("id")).first()[0] or 0) + 1

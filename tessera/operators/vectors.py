@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera import storage
+
 
 def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -17,21 +21,27 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_: str = "vec_id", vector: str = "embedding", most_queries: int = 10_000) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_: str = "vec_id", vector: str = "embedding", most_numbers: int = 2_000_000) -> DataFrame:
     """SRT06: query_id, id, score of the k most similar vectors of each query, by cosine, ties by id.
 
-    Queries are a stated set, whose size is checked before it is sent to all tasks; larger sets are taken in blocks by the
-    caller. Each task keeps its own k best per query before rows are shuffled.
+    Queries are sent to all tasks in blocks of at most most_numbers components (16 MB as doubles), a scan of the vectors for
+    each block; most sets are one block. Each task keeps its own k best per query before rows are shuffled.
     """
-    n = queries.count()
-    if n > most_queries:
-        raise ValueError(f"{n} queries; at most {most_queries} at a time")
-    q = F.broadcast(queries.select("query_id", F.col(vector).alias("_q"), F.sqrt(dot(vector, vector)).alias("_l")))
+    size = queries.agg(F.count("*"), F.max(F.size(vector))).first()
+    blocks = max(1, -(-size[0] * (size[1] or 1) // most_numbers))
+    asked = queries.select("query_id", F.col(vector).alias("_q"), F.sqrt(dot(vector, vector)).alias("_l"))
+    if blocks > 1:
+        asked = storage.written(asked.withColumn("_b", F.monotonically_increasing_id() % blocks))
+    parts = [asked] if blocks == 1 else [asked.filter(F.col("_b") == i).drop("_b") for i in range(blocks)]
     base = vectors.select(id_, vector, F.sqrt(dot(vector, vector)).alias("_m"), F.spark_partition_id().alias("_p"))
-    scored = base.crossJoin(q).select("query_id", id_, "_p", F.try_divide(dot(vector, "_q"), F.col("_m") * F.col("_l")).alias("score"))
     best = [F.desc_nulls_last("score"), F.col(id_)]
-    near = scored.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "_p").orderBy(*best))).filter(F.col("_r") <= k)
-    return near.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(*best))).filter(F.col("_r") <= k).select("query_id", id_, "score")
+
+    def near(part):
+        scored = base.crossJoin(F.broadcast(part)).select("query_id", id_, "_p", F.try_divide(dot(vector, "_q"), F.col("_m") * F.col("_l")).alias("score"))
+        first = scored.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "_p").orderBy(*best))).filter(F.col("_r") <= k)
+        return first.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(*best))).filter(F.col("_r") <= k).select("query_id", id_, "score")
+
+    return reduce(DataFrame.unionByName, map(near, parts))
 
 
 def best_per_content(hits: DataFrame, content: str = "content", score: str = "score") -> DataFrame:
@@ -39,22 +49,78 @@ def best_per_content(hits: DataFrame, content: str = "content", score: str = "sc
     return hits.groupBy(content).agg(F.max(score).alias(score))
 
 
-def pairwise_sums(targets: DataFrame, sources: DataFrame, kernel: Callable[[Column, Column, Column], dict[str, Column]], skip_self: bool = True, most_sources: int = 100_000) -> DataFrame:
-    """JON21, JON22, AGG15: id and, for each named term of the kernel, its sum over all sources.
+Kernel = Callable[[Column, Column, Column], dict[str, Column]]
+
+
+def _of_source(sources: DataFrame) -> DataFrame:
+    return sources.select(*(F.col(c).alias(f"s_{c}" if c in ("id", "x", "y", "z") else c) for c in sources.columns))
+
+
+def pairwise_sums(targets: DataFrame, sources: DataFrame, kernel: Kernel, skip_self: bool = True, most_sources: int = 100_000, tile: int = 8192) -> DataFrame:
+    """JON21, JON22, AGG15, AGG16, UDF04: id and, for each named term of the kernel, its sum over all sources.
 
     Both have id, x, y, z. The kernel gets the differences (source - target) as columns and may use the sources' own columns by
-    their names. Sources are checked against a bound before they are sent to all tasks; targets may be any number.
+    their names. Up to most_sources rows the sources are sent to all tasks. Beyond, both sides are cut into tiles of about
+    `tile` rows and a pair of tiles is a group of a join: it meets in one task, whose sums per target are combined before
+    they are shuffled. So nothing grows with the input but the number of tasks; the sums are the same either way.
     """
     n = sources.count()
-    if n > most_sources:
-        raise ValueError(f"{n} sources; at most {most_sources} at a time")
-    s = F.broadcast(sources.select(*(F.col(c).alias(f"s_{c}" if c in ("id", "x", "y", "z") else c) for c in sources.columns)))
-    t = targets.select("id", "x", "y", "z")
-    pairs = t.join(s, F.col("id") != F.col("s_id")) if skip_self else t.crossJoin(s)
+    s, t = _of_source(sources), targets.select("id", "x", "y", "z")
+    if n <= most_sources:
+        other = F.col("id") != F.col("s_id")
+        pairs = t.join(F.broadcast(s), other) if skip_self else t.crossJoin(F.broadcast(s))
+    else:
+        across, down = -(-n // tile), max(1, -(-targets.count() // tile))
+        # numbered once and written, so that a row's tile doesn't change when a task is repeated
+        cut = lambda rows, name, tiles: storage.written(rows.withColumn(name, F.monotonically_increasing_id() % tiles))
+        each = lambda rows, name, tiles: rows.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)).cast("array<bigint>")))
+        left = each(cut(t, "_down", down), "_across", across)
+        right = each(cut(s, "_across", across), "_down", down)
+        pairs = left.join(right.hint("shuffle_hash"), ["_down", "_across"])
+        pairs = pairs.filter(F.col("id") != F.col("s_id")) if skip_self else pairs
     terms = kernel(F.col("s_x") - F.col("x"), F.col("s_y") - F.col("y"), F.col("s_z") - F.col("z"))
     return pairs.groupBy("id").agg(*(F.sum(v).alias(k) for k, v in terms.items()))
 
 
+def neighbours(targets: DataFrame, sources: DataFrame, cutoff: float, box: tuple[float, float, float] | None = None, skip_self: bool = True) -> DataFrame:
+    """JON22, MTH06: the pairs within the cut-off: id, dx, dy, dz (source - target), and the sources' columns (s_id, s_x, ...).
+
+    Space is a grid of cells at least as wide as the cut-off; a target meets the sources of its own and the 26 neighbouring
+    cells by an equi-join, so on evenly spread points the rows grow with their number. box: lengths of a periodic cell, in
+    which a neighbouring cell beyond the border is one at the other side, a period away; no source is copied. With a cut-off
+    longer than a period the pairs with each image in reach count (also a point's own images), over as many cells as needed.
+    Null coordinates have no neighbours.
+    """
+    if not cutoff > 0 or box and not min(box) > 0:
+        raise ValueError("the cut-off and the lengths of the box must be above 0")
+    cells = [max(1, int(size // cutoff)) if box else 0 for size in box or (0, 0, 0)]
+    width = [size / n if box else cutoff for size, n in zip(box or (0, 0, 0), cells, strict=True)]
+    t, s = targets.select("id", "x", "y", "z"), _of_source(sources)
+    for axis, i in zip("xyz", range(3), strict=True):
+        reach = math.ceil(cutoff / width[i])
+        inside = (lambda c, i=i: c - F.floor(c / box[i]) * box[i]) if box else (lambda c: c)
+        # a coordinate just below the border may round up to it
+        cell = lambda c, i=i: F.least(F.floor(c / width[i]), F.lit(cells[i] - 1)) if box else F.floor(c / width[i])
+        s = s.withColumn(f"_at_{axis}", inside(F.col(f"s_{axis}"))).withColumn(f"_c_{axis}", cell(F.col(f"_at_{axis}")))
+        here = cell(F.col(f"_own_{axis}"))
+        t = t.withColumn(f"_own_{axis}", inside(F.col(axis))).withColumn("_n", F.explode(F.sequence(here - reach, here + reach)))
+        shift = F.floor(F.col("_n") / cells[i]) if box else F.lit(0).cast("long")
+        t = t.withColumn(f"_s_{axis}", shift).withColumn(f"_c_{axis}", F.col("_n") - F.col(f"_s_{axis}") * cells[i]).drop("_n")
+    near = t.join(s, [f"_c_{axis}" for axis in "xyz"])
+    for axis, i in zip("xyz", range(3), strict=True):
+        near = near.withColumn(f"d{axis}", F.col(f"_at_{axis}") - F.col(f"_own_{axis}") + (F.col(f"_s_{axis}") * box[i] if box else 0.0))
+    near = near.filter(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz") <= cutoff * cutoff)
+    if skip_self:
+        near = near.filter((F.col("id") != F.col("s_id")) | (F.col("_s_x") != 0) | (F.col("_s_y") != 0) | (F.col("_s_z") != 0))
+    return near.select("id", "dx", "dy", "dz", *(c for c in s.columns if not c.startswith("_")))
+
+
+def cutoff_sums(targets: DataFrame, sources: DataFrame, kernel: Kernel, cutoff: float, box: tuple[float, float, float] | None = None, skip_self: bool = True) -> DataFrame:
+    """JON22, AGG15: pairwise_sums over the sources within the cut-off; a target without any has no row."""
+    terms = kernel(F.col("dx"), F.col("dy"), F.col("dz"))
+    return neighbours(targets, sources, cutoff, box, skip_self).groupBy("id").agg(*(F.sum(v).alias(k) for k, v in terms.items()))
+
+
 def coulomb(r: Column, q: Column) -> tuple[Column, Column]:
     """MTH04: energy and force of a charge product at a distance."""
     return q / r, q / (r * r)

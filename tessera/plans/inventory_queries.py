@@ -512,3 +512,40 @@ def txn01(t):
         pass
     counts = [tables.read(n).agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n in ("tags", "topics", "papers")]
     return counts[0].unionAll(counts[1]).unionAll(counts[2])
+
+
+@query("dml06_blind_appends", "SELECT n_regionkey AS part, count(*) AS n FROM nation GROUP BY 1 UNION ALL SELECT 99, count(*) FROM nation")
+def dml06_blind(t):
+    """A commit per region; each writes its own rows. Rows as of each commit, and in the end."""
+    tables = base(t).tables
+    before = tables.version("tags")
+    for r in range(5):
+        tables.append("tags", t.nation.filter(F.col("n_regionkey") == r).select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("canonical_name"), F.lit(f"{r}").alias("category")))
+    out = tables.read("tags").agg(F.lit(99).alias("part"), F.count("*").alias("n"))
+    for r in range(5):
+        step = tables.read("tags", before + r + 1).join(tables.read("tags", before + r).select("id"), "id", "left_anti") if before + r else tables.read("tags", 1)
+        out = out.unionAll(step.agg(F.lit(r).alias("part"), F.count("*").alias("n")))
+    return out
+
+
+@query("txn01_conflict", "SELECT 'first' AS writer, count(*) AS n FROM region UNION ALL SELECT 'second, refused', 0 UNION ALL SELECT 'second, after reading again', count(*) FROM nation")
+def txn01_conflict(t):
+    """Two writers that replace what both have read; the later one is refused, and goes on from what it reads then."""
+    from tessera.catalog import Catalog
+    from tessera.commits import Conflict
+
+    first = base(t).tables
+    second = Catalog(t.spark, first.root)
+    rows = {"first": t.region.select(F.col("r_regionkey").cast("long").alias("id"), F.col("r_name").alias("canonical_name"), F.lit("first").alias("category")), "second": t.nation.select((100 + F.col("n_nationkey")).cast("long").alias("id"), F.col("n_name").alias("canonical_name"), F.lit("second").alias("category"))}
+    mine = second.read("tags")
+    first.write("tags", first.read("tags").unionByName(rows["first"]))
+    try:
+        second.write("tags", mine.unionByName(rows["second"]))
+        refused = False
+    except Conflict:
+        refused = True
+    lost = second.read("tags").filter("category = 'second'").agg(F.lit("second, refused" if refused else "second").alias("writer"), F.count("*").alias("n"))
+    second.write("tags", second.read("tags").unionByName(rows["second"]))
+    now = first.read("tags")
+    count = lambda name, kind: now.filter(F.col("category") == kind).agg(F.lit(name).alias("writer"), F.count("*").alias("n"))
+    return count("first", "first").unionAll(lost).unionAll(count("second, after reading again", "second"))

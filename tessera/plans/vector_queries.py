@@ -82,3 +82,43 @@ def mth04(t):
 @query("mth01_derivative", "SELECT s_suppkey, abs((exp(x + 1e-4) - exp(x)) / 1e-4 - exp(x)) < 0.01 AS close FROM (SELECT s_suppkey, s_suppkey % 5 / 3.0 AS x FROM supplier)")
 def mth01(t):
     return t.supplier.select("s_suppkey", (V.derivative_error(F.exp, F.exp, F.col("s_suppkey") % 5 / 3.0) < 0.01).alias("close"))
+
+
+#: Points whose coordinates are multiples of 1/8, so that distances are exact in either engine.
+SPREAD_SQL = "(SELECT c_custkey AS id, (c_custkey * 7919 % 800) / 8 AS x, (c_custkey * 104729 % 800) / 8 AS y, (c_custkey * 31 % 800) / 8 AS z FROM customer)"
+
+
+def spread(t):
+    at = lambda n: (F.col("c_custkey") * n % 800) / 8.0
+    return t.customer.select(F.col("c_custkey").alias("id"), at(7919).alias("x"), at(104729).alias("y"), at(31).alias("z"))
+
+
+@query("jon22_tiled_sums", f"WITH p AS {SPREAD_SQL}, q AS {POINTS_SQL} SELECT a.id, round(sum(b.q / (1 + (b.x - a.x) ** 2 + (b.y - a.y) ** 2 + (b.z - a.z) ** 2)), 6) AS energy, count(*) AS pairs FROM p a JOIN q b ON a.id <> b.id GROUP BY 1")
+def jon22_tiled(t):
+    kernel = lambda dx, dy, dz: {"energy": F.col("q") / (1 + dx * dx + dy * dy + dz * dz), "pairs": F.lit(1)}
+    out = V.pairwise_sums(spread(t), points(t), kernel, most_sources=0, tile=512)
+    return out.select("id", F.round("energy", 6).alias("energy"), "pairs")
+
+
+_WITHIN = "a.id <> b.id AND {x} ** 2 + {y} ** 2 + {z} ** 2 <= 64"
+_OPEN = {c: f"(b.{c} - a.{c})" for c in "xyz"}
+_WRAPPED = {c: f"(b.{c} - a.{c} - 100 * round((b.{c} - a.{c}) / 100))" for c in "xyz"}
+
+
+def _near_sql(d):
+    return f"WITH p AS {SPREAD_SQL} SELECT a.id, round(sum(1 / sqrt({d['x']} ** 2 + {d['y']} ** 2 + {d['z']} ** 2)), 6) AS energy, count(*) AS near FROM p a JOIN p b ON {_WITHIN.format(**d)} GROUP BY 1"
+
+
+def _near(t, box):
+    kernel = lambda dx, dy, dz: {"energy": 1 / F.sqrt(dx * dx + dy * dy + dz * dz), "near": F.lit(1)}
+    return V.cutoff_sums(spread(t), spread(t), kernel, 8.0, box).select("id", F.round("energy", 6).alias("energy"), "near")
+
+
+@query("jon22_cutoff", _near_sql(_OPEN))
+def jon22_cutoff(t):
+    return _near(t, None)
+
+
+@query("jon22_periodic", _near_sql(_WRAPPED))
+def jon22_periodic(t):
+    return _near(t, (100.0, 100.0, 100.0))
