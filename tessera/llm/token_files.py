@@ -10,9 +10,11 @@ the ids before the block in its file, the documents' ids and lengths, and a payl
 ids, CRC-32 of the rest, control bytes, data bytes), which is checked when it is read. `ranks` holds the id of each rank; both
 are bounded by the vocabulary. A file is a range of doc_id in ascending order; the ids before a file are summed over the files.
 
-The tokenizer is asked once per task for each distinct run of characters between white space (ASCII's): its pre-tokenizer
-removes white space and its normalizer doesn't look beyond it, so a text's ids are those of its runs. This holds for the
-vocabulary `word_bpe_49k.json`; pass `runs=False` for a tokenizer that isn't so.
+The tokenizer is asked once for each distinct run of characters between white space (ASCII's): its pre-tokenizer removes
+white space and its normalizer doesn't look beyond it, so a text's ids are those of its runs. A run of plain Latin characters
+is cut into words by the pre-tokenizer's own pattern, and only the library's merges are asked, for each distinct word; all
+other runs go through the whole library. Workers remember runs and words up to a bound. This holds for the vocabulary
+`word_bpe_49k.json`; pass `runs=False` for a tokenizer that isn't so.
 
 Null texts are empty and have the end id alone. A null doc_id comes before all others and stays null. Rows of one doc_id follow
 each other by a hash of their ids, equal rows in any order, which changes no value; a doc_id with any share of the rows
@@ -23,6 +25,8 @@ Other columns of docs, whatever their names, aren't read.
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 from functools import lru_cache
 
@@ -38,8 +42,12 @@ from tessera.llm._common import drop, keyed_texts, new_path, record_batch, slice
 MAGIC = b"TID1"
 #: A block is closed by the document that fills it.
 BLOCK_IDS = 1 << 18
-#: Distinct runs that a task remembers, and the longest it does.
+#: Distinct runs, and distinct words, that a worker remembers, and the longest of them.
 REMEMBERED, LONGEST = 400_000, 64
+#: Characters that may change under NFC, or in lower case become two, or aren't Latin; and what may be a special token.
+OTHER = re.compile("[^!-~¡-¬®-įı-ſ]|<\\|")
+#: Fixed value: the pre-tokenizer's pattern, with the letters and digits that are left, in lower case.
+WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿā-ſ]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ÿā-ſ0-9²³¹¼½¾]+")
 #: Bytes of the four numbers that a control byte stands for.
 SIZES = np.array([[1 + (c >> 2 * i & 3) for i in range(4)] for c in range(256)], np.int64)
 MASK = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], "<u4")
@@ -74,8 +82,24 @@ def decode(payload: bytes) -> np.ndarray:
     return np.ndarray((len(data) - 3,), "<u4", data, strides=(1,))[places] & MASK[sizes]
 
 
+class Memory(dict):
+    """Remembers what make gives, up to a bound of entries, after which it starts anew."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        value = self.make(key)
+        if len(key) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[key] = value
+        return value
+
+
 class Encoder:
-    """Texts to ids as little-endian bytes; distinct runs are remembered up to a bound."""
+    """Texts to ids as little-endian bytes."""
 
     def __init__(self, json_path: str, kind: str, runs: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -84,26 +108,29 @@ class Encoder:
         self.library = Tokenizer.from_file(json_path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.kind, self.runs, self.known = kind, runs, {}
-
-    def asked(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if not self.runs:
-            return self.asked(texts)
-        cut = [t.encode().split() for t in texts]
-        new = list({run for runs in cut for run in runs} - self.known.keys())
-        ids = dict(zip(new, self.asked([run.decode() for run in new]), strict=True))
-        if len(self.known) + len(ids) > REMEMBERED:
-            ids |= {run: self.known[run] for runs in cut for run in runs if run in self.known}
-            self.known = {}
-        self.known |= ids
-        out = [b"".join(map(self.known.__getitem__, runs)) for runs in cut]
-        for run in new:
-            if len(run) > LONGEST:
-                del self.known[run]
-        return out
+        self.model, self.runs, self.letter = self.library.model, runs, {"<u2": "H", "<u4": "I"}[kind]
+        self.known, self.words = Memory(self.run), Memory(self.word)
+        # bytes as the characters that byte-level vocabularies spell them with: printable ones stand for themselves
+        own = [b for b in range(256) if chr(b).isprintable() and chr(b) not in " "]
+        self.spelled = {b: chr(b) if b in own else chr(256 + sum(o not in own for o in range(b))) for b in range(256)}
+
+    def packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.letter}", *ids)
+
+    def word(self, word: str) -> bytes:
+        spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.spelled)
+        return self.packed([t.id for t in self.model.tokenize(spelled)])
+
+    def run(self, run: bytes) -> bytes:
+        """The ids of a run; its words are looked up if it is plain."""
+        text = run.decode()
+        return self.whole(text) if OTHER.search(text) else b"".join(map(self.words.__getitem__, WORD.findall(text.lower())))
+
+    def whole(self, text: str) -> bytes:
+        return self.packed(self.library.encode(text, add_special_tokens=False).ids)
+
+    def __call__(self, text: str) -> bytes:
+        return b"".join(map(self.known.__getitem__, text.encode().split())) if self.runs else self.whole(text)
 
 
 @lru_cache(2)
@@ -117,7 +144,7 @@ def tokens(docs: DataFrame, json_path: str, end_id: int, kind: str, runs: bool)
     def cut(batches):
         ids_of, end = encoder(json_path, kind, runs), np.array([end_id], kind).tobytes()
         for b in slices(batches):
-            yield record_batch(TOKENS, [b.column(0), [ids + end for ids in ids_of(b.column(1).to_pylist())]])
+            yield record_batch(TOKENS, [b.column(0), [ids_of(text) + end for text in b.column(1).to_pylist()]])
 
     return keyed_texts(docs).mapInArrow(cut, "doc_id long, ids binary")
 

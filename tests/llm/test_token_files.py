@@ -83,8 +83,18 @@ def test_many_blocks_and_a_short_memory(spark, monkeypatch):
     assert read(spark, path) == plain(rows, WORDS, 2)
     monkeypatch.setattr(token_files, "REMEMBERED", 5)
     encoder = token_files.Encoder(WORDS, "<u2", True)
-    for i in range(0, 200, 20):
-        assert encoder([t for _, t in rows[i : i + 20]]) == encoder.asked([t for _, t in rows[i : i + 20]])
+    assert [encoder(t) for _, t in rows] == [encoder.whole(t) for _, t in rows] and len(encoder.known) <= 5
+
+
+def test_words_are_cut_as_the_library_cuts():
+    """Runs of all plain characters, beside each other in many ways."""
+    rng = random.Random(9)
+    plain = [chr(c) for c in (*range(0x21, 0x7F), *range(0xA1, 0x180))]
+    encoder = token_files.Encoder(WORDS, "<u2", True)
+    runs = [*plain, *(a + b for a in plain for b in "a'1.Äß¼İ\xad" for a, b in ((a, b), (b, a)))]
+    runs += ["".join(rng.choice(plain if rng.random() < 0.5 else "the'sreVEmlLd0") for _ in range(rng.randrange(1, 12))) for _ in range(20_000)]
+    runs += ["it's", "'sun", "''s", "x'S", ".'ll", "<|endoftext|>", "a<|startoftext|>b", "<|", "ﬁ", "É", "ǅ"]
+    assert [encoder.run(r.encode()) for r in runs] == [encoder.whole(r) for r in runs]
 
 
 def test_frequent_ids_are_small_numbers(spark):
