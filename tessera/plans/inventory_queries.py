@@ -13,7 +13,7 @@ from tessera.operators import composite, documents, parsing, relational
 from tessera.operators import vectors as V
 from tessera.plans import cpp_shapes
 from tessera.registry import query
-from tessera.sources import readers, writers
+from tessera.sources import readers, sqlite, writers
 
 
 def saved(t, rows, by: str | None = None) -> str:
@@ -549,3 +549,10 @@ def txn01_conflict(t):
     now = first.read("tags")
     count = lambda name, kind: now.filter(F.col("category") == kind).agg(F.lit(name).alias("writer"), F.count("*").alias("n"))
     return count("first", "first").unionAll(lost).unionAll(count("second, after reading again", "second"))
+
+
+@query("src06_sqlite", "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer WHERE c_custkey > 20 AND c_mktsegment IN ('BUILDING', 'MACHINERY')")
+def src06_sqlite(t):
+    folder = storage.new_path(t.spark)
+    sqlite.write_sqlite(t.customer.select("c_custkey", "c_name", F.col("c_acctbal").cast("double").alias("c_acctbal"), "c_mktsegment").repartition(4, "c_custkey"), folder, "papers")
+    return sqlite.sqlite_table(t.spark, f"{folder}/*/papers.db", "papers", rows=500).filter("c_custkey > 20 AND c_mktsegment IN ('BUILDING', 'MACHINERY')").drop("run")
