@@ -43,7 +43,7 @@ MAGIC = b"TID1"
 #: A block is closed by the document that fills it.
 BLOCK_IDS = 1 << 18
 #: Distinct runs, and distinct words, that a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 1_000_000, 64
 #: Characters that may change under NFC, or in lower case become two, or aren't Latin; and what may be a special token.
 OTHER = re.compile("[^!-~¡-¬®-įı-ſ]|<\\|")
 #: Fixed value: the pre-tokenizer's pattern, with the letters and digits that are left, in lower case.
@@ -156,10 +156,11 @@ def frequency_order(found: DataFrame, kind: str, size: int) -> np.ndarray:
     def count(batches):
         n = np.zeros(size, np.int64)
         for b in batches:
-            for ids in b.column(0):
-                n += np.bincount(np.frombuffer(ids.as_buffer(), kind), minlength=size) if len(ids.as_buffer()) > 4 * size else 0
-            short = [x for x in (ids.as_buffer() for ids in b.column(0)) if len(x) <= 4 * size]
-            n += np.bincount(np.frombuffer(b"".join(short), kind), minlength=size)
+            column = b.column(0)
+            _, offsets, values = column.buffers()
+            if values is not None and len(column):  # the column's bytes as one array of ids
+                first, last = np.frombuffer(offsets, "<i4")[[column.offset, column.offset + len(column)]]
+                n += np.bincount(np.frombuffer(values, np.uint8)[first:last].view(kind), minlength=size)
         has = np.flatnonzero(n)
         yield record_batch(schema, [has, n[has]])
 
