@@ -6,8 +6,8 @@ their ids, whatever the size of the index. Segments of about one size are merged
 postings go; so a posting is rewritten a number of times that grows with the logarithm of the index. A manifest in a
 commit log names the segments, deletion lists and corpus figures; readers see one manifest, writers that cross are told.
 
-Within a segment units are dealt to ranges of about RANGE units of nearly one size (tokens), and the postings of a term in a range
-are one row, a block. A block tells its number of postings and what the term adds to a unit's score there at the most: as of a
+Within a segment units are dealt to ranges of about RANGE units with ids near each other (units of one paper are alike), and the
+postings of a term in a range are one row, a block. A block tells its number of postings and what the term adds to a unit's score there at the most: as of a
 mean size somewhat above the present one (what is added grows with it), and, should the mean grow beyond, the greatest
 number of occurrences and the least size, which bound it too. The k best units of a query take two passes: the
 ranges with the greatest bounds are scored whole, the k-th score found there is a threshold, and of all other ranges only
@@ -28,8 +28,8 @@ from tessera import commits
 from tessera.functions.text import tokens
 from tessera.operators.search import K1, LEAST_IDF, B, _phrase_counts, postings
 
-#: Units of a range, and ranges by size at most; equal sizes are dealt further by a hash of the unit.
-RANGE, SIZES = 1024, 256
+#: Units of a range, and ranges by unit id at most; larger ones are dealt further by a hash of the unit.
+RANGE, PLACES = 1024, 256
 #: The mean size for which a block's bound is kept, against the segment's.
 ABOVE = 1.25
 POSTINGS = "part int, term string, range long, n int, most_f int, least_size int, most double, units array<struct<unit_id:long,paper_id:long,size:int,positions:array<int>>>"
@@ -66,7 +66,7 @@ class Segments:
     # writing
 
     def refresh(self, changed: DataFrame, gone: DataFrame | None = None) -> None:
-        """FTS04: takes in units that are new or have changed, and lets others go; both are read once. Then merges what is due."""
+        """FTS04: takes in units that are new or have changed, and lets others go. Units without an id aren't taken in. Then merges what is due."""
         base = self.log.state()
         now = self.manifest(base)
         at, name = now["at"] + 1, uuid.uuid4().hex
@@ -77,7 +77,7 @@ class Segments:
             found = self._alive(self._sizes(now), now["deletions"]).join(stale, "unit_id", "left_semi")
             found.select("unit_id", "size").write.parquet(f"{self.root}/deletions/{name}")
             lost = self._totals(f"{self.root}/deletions/{name}")
-        sizes = changed.dropDuplicates(["unit_id"]).select(F.col("unit_id").cast("long"), F.col("paper_id").cast("long"), F.coalesce("content", F.lit("")).alias("content"))
+        sizes = changed.filter("unit_id IS NOT NULL").dropDuplicates(["unit_id"]).select(F.col("unit_id").cast("long"), F.col("paper_id").cast("long"), F.coalesce("content", F.lit("")).alias("content"))
         new = self._write(name, at, postings(sizes), sizes.select("unit_id", F.size(tokens(F.col("content"))).alias("size")))
         # a list of nothing is none
         deletions = now["deletions"] + ([{"name": name, "at": at}] if lost["units"] else [])
@@ -97,10 +97,10 @@ class Segments:
         if totals["units"]:
             reference = ABOVE * max(totals["size"] / totals["units"], 1.0)
             stored = self.spark.read.schema("unit_id long, size int").parquet(f"{self.root}/sizes/{name}")
-            wanted = min(SIZES, -(-totals["units"] // RANGE))
-            bounds = sorted(set(stored.stat.approxQuantile("size", [i / wanted for i in range(1, wanted)], 0.002))) if wanted > 1 else []
-            bucket = F.array_size(F.filter(F.array(*map(F.lit, bounds)).cast("array<int>"), lambda x: x < F.col("size")))
-            held = {r.b: r.n for r in stored.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect()}  # SIZES rows at most
+            wanted = min(PLACES, -(-totals["units"] // RANGE))
+            bounds = sorted(set(stored.stat.approxQuantile("unit_id", [i / wanted for i in range(1, wanted)], 0.001))) if wanted > 1 else []
+            bucket = F.array_size(F.filter(F.array(*map(F.lit, bounds)).cast("array<bigint>"), lambda x: x < F.col("unit_id")))
+            held = {r.b: r.n for r in stored.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect()}  # PLACES rows at most
             ways = F.element_at(F.array(*(F.lit(-(-held.get(i, 1) // RANGE)) for i in range(len(bounds) + 1))), bucket + 1)
             rows = rows.withColumn("range", bucket.cast("long") * (1 << 40) + F.pmod(F.xxhash64("unit_id"), ways))
             blocks = rows.groupBy("term", "range").agg(F.count("*").cast("int").alias("n"), F.max(F.size("positions")).alias("most_f"), F.min("size").alias("least_size"), F.max(share(F.size("positions"), F.col("size"), F.lit(reference))).alias("most"), F.sort_array(F.collect_list(F.struct("unit_id", "paper_id", "size", "positions"))).alias("units"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera import storage
 from tessera.operators import jobs as J
 from tessera.operators import search as S
+from tessera.operators.segments import Segments
 from tessera.registry import query
 
 QUERY = "license lang:en"
@@ -139,3 +140,28 @@ def fts09(t):
 def fts10(t):
     links = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("paper_id"), F.col("p_brand").alias("name"))
     return S.related(links, 7, 25)
+
+
+def segments(t) -> Segments:
+    """The documents' lines as an index that grew: first without every tenth line, then those and some again, while others went."""
+    index, u = Segments(t.spark, storage.new_path(t.spark)), units(t)
+    index.refresh(u.filter("unit_id % 10 <> 7"))
+    index.refresh(u.filter("unit_id % 10 IN (7, 8)"), u.filter("unit_id % 10 = 3"))
+    return index
+
+
+def without_thirds(sql: str) -> str:
+    return sql.replace("WHERE length(part[i]) >= 20", "WHERE length(part[i]) >= 20 AND (doc_id * 1000000 + i - 1) % 10 <> 3")
+
+
+_BOTH = bm25_sql(["w[i] = " + repr("license"), "w[i] = " + repr("version")])
+
+
+@query("fts04_segments", f"WITH {without_thirds(_BOTH)} {ROUNDED}")
+def fts04_segments(t):
+    return segments(t).bm25([["license"], ["version"]]).select("unit_id", "paper_id", F.round("rank", 6).alias("rank"))
+
+
+@query("srt02_best_units", f"WITH {without_thirds(_BOTH)} {ROUNDED.replace('round(rank, 6) AS rank FROM ranked', 'round(rank, 6) AS rank FROM (SELECT * FROM ranked ORDER BY rank, unit_id LIMIT 25)')}")
+def srt02_best(t):
+    return segments(t).best(["license", "version"], 25)[0].select("unit_id", "paper_id", F.round("rank", 6).alias("rank"))

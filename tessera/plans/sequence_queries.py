@@ -37,6 +37,32 @@ def win08(t):
     return S.fill_budget(t.conversations, "conv_id", "turn", F.length("text"), 400)
 
 
+#: All conversations as one group, in the order of conversation and turn.
+_ONE = "(SELECT conv_id * 1000 + turn AS o, length(text) AS s, row_number() OVER (ORDER BY conv_id * 1000 + turn, length(text)) AS r FROM conversations)"
+
+
+@query(
+    "win07_one_group",
+    f"""WITH RECURSIVE n AS {_ONE}, f AS (SELECT o, r, 0 AS batch, s AS used FROM n WHERE r = 1 UNION ALL
+      SELECT n.o, n.r, CASE WHEN f.used > 0 AND f.used + n.s > 3000 THEN f.batch + 1 ELSE f.batch END, CASE WHEN f.used > 0 AND f.used + n.s > 3000 THEN n.s ELSE f.used + n.s END
+      FROM f JOIN n ON n.r = f.r + 1) SELECT o, batch FROM f""",
+)
+def win07_one(t):
+    """A group too large for one row, as the limit given says: in blocks."""
+    rows = t.conversations.select(F.lit(0).alias("g"), (F.col("conv_id") * 1000 + F.col("turn")).alias("o"), "text")
+    return S.pack_batches(rows, "g", "o", F.length("text"), 3000, most_rows=100).select("o", "batch")
+
+
+@query(
+    "win08_one_group",
+    f"""WITH RECURSIVE n AS {_ONE}, f AS (SELECT o, r, s <= 20000 AS took, CASE WHEN s <= 20000 THEN s ELSE 0 END AS used FROM n WHERE r = 1 UNION ALL
+      SELECT n.o, n.r, f.used + n.s <= 20000, CASE WHEN f.used + n.s <= 20000 THEN f.used + n.s ELSE f.used END FROM f JOIN n ON n.r = f.r + 1) SELECT o FROM f WHERE took""",
+)
+def win08_one(t):
+    rows = t.conversations.select(F.lit(0).alias("g"), (F.col("conv_id") * 1000 + F.col("turn")).alias("o"), "text")
+    return S.fill_budget(rows, "g", "o", F.length("text"), 20000, most_rows=100).select("o")
+
+
 @query(
     "win09_central_diff",
     "SELECT user_id, event_id, round(-(lead(value) OVER w - lag(value) OVER w) / nullif(lead(event_id) OVER w - lag(event_id) OVER w, 0), 9) + 0.0 AS slope FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)",

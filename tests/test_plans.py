@@ -9,7 +9,7 @@ from tests.conftest import DATA
 
 registry.load()
 #: Queries whose semantics no built-in has: parsers, a similarity ratio, hooks.
-PYTHON = {"jon11_fuzzy_title", "tgf01_search_units", "tgf12_python_symbols", "src08_bibtex", "udf02_summaries", "cmp11_repository_map", "src26_entry_texts", "src27_first_entry", "jon25_imports", "tgf24_python_constructs", "tgf13_symbols", "str05_fuzzy_score", "tgf23_cpp_constructs", "tgf17_pages", "tgf21_skeletons", "grf03_cpp_scopes", "udf01_tool", "udf03_per_row", "src06_sqlite"}
+PYTHON = {"jon11_fuzzy_title", "tgf01_search_units", "tgf12_python_symbols", "src08_bibtex", "udf02_summaries", "cmp11_repository_map", "src26_entry_texts", "src27_first_entry", "jon25_imports", "tgf24_python_constructs", "tgf13_symbols", "str05_fuzzy_score", "tgf23_cpp_constructs", "tgf17_pages", "tgf21_skeletons", "grf03_cpp_scopes", "udf01_tool", "udf03_per_row", "src06_sqlite", "win07_one_group"}
 
 
 def plan(spark, name):

@@ -65,7 +65,7 @@ def test_best_units_are_the_full_rankings_first(spark, monkeypatch):
     monkeypatch.setattr(segments, "RANGE", 32)
     rng = random.Random(3)
     index = segments.Segments(spark, new_path(spark))
-    units = [(u, u // 5, text(rng)) for u in range(3000)]
+    units = [(u, u // 5, text(rng) + " spin wave" * rng.randrange(1, 5) * (u // 200 % 5 == 3)) for u in range(3000)]
     index.refresh(spark.createDataFrame(units[:2500], UNIT))
     index.refresh(spark.createDataFrame(units[2400:], UNIT), spark.range(0, 3000, 17).select(F.col("id").alias("unit_id")))
     share = []
