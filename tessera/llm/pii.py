@@ -5,8 +5,8 @@ social security numbers, IBANs, and names after a title; in a text with such a n
 words, with a title, another one or none. A surrogate is drawn from a keyed hash of the entity's normal form and an attempt.
 It has the entity's type and format: cards keep their first digit, length and a right check digit, phones their country
 code, IBANs their country. Names are replaced word by word, so that a short mention agrees with the long one; a word's
-surrogate has its script, and an ending of the title's gender. A title without a gender takes that of another mention in the
-text. Written forms of one entity get one surrogate, each in its own format.
+surrogate has its script, its capitals if it has nothing else, and an ending of the title's gender. A title without a gender
+takes that of another mention in the text. Mentions are words alike but for case: after "Mr. May" the month is replaced, too. Written forms of one entity get one surrogate, each in its own format.
 
 All distinct entities of a type are checked together: an attempt is taken if no other entity draws the same surrogate
 before (of equal draws the entity that sorts first wins) and the surrogate isn't itself an entity of the corpus; else the next
@@ -37,10 +37,12 @@ MALE = r"Mr|Sir|Herr|Monsieur|Señor|г-н"
 FEMALE = r"Mrs|Miss|Ms|Frau|Madame|Mme|Señora|г-жа"
 NEUTRAL = r"Dr|Prof|Professor|Doktor|Docteur|д-р"
 TITLE = rf"(?:{MALE}|{FEMALE}|{NEUTRAL})\.? "
-NAME = rf"(?<![\p{{L}}\p{{N}}-]){TITLE}\p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+){{0,2}}"
+#: A name's word: letters with a first capital, capitals inside (McDonald, SMITH), and apostrophes before one (O'Brien).
+WORD = r"\p{Lu}['’]?[\p{L}\p{M}]++(?:['’]\p{Lu}[\p{L}\p{M}]*+)*+(?![\p{L}\p{N}])"
+NAME = rf"(?<![\p{{L}}\p{{N}}-]){TITLE}{WORD}(?:[ -]{WORD}){{0,2}}"
 PATTERN = "|".join((EMAIL, IP, IBAN, CARD, SSN, PHONE, NAME))
 #: A word that may be a name's, unless an address begins in it.
-BARE = r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}+(?![\p{L}\p{N}]|[A-Za-z0-9._%+-]*@)"
+BARE = rf"(?<![\p{{L}}\p{{N}}]){WORD}(?![A-Za-z0-9._%+-]*@)"
 #: Whatever PATTERN finds holds one of these.
 HINT = rf"[0-9][ .-]?[0-9]|@|{TITLE}\p{{Lu}}"
 #: Fixed parts of invented names, by script.
@@ -85,6 +87,11 @@ def gender(m: Column) -> Column:
     return F.when(m.rlike(rf"^(?:{MALE})\.? "), "m").when(m.rlike(rf"^(?:{FEMALE})\.? "), "f").otherwise("n")
 
 
+def alike(w: Column) -> Column:
+    """A name's word without regard to case and the form of its apostrophes."""
+    return F.lower(F.translate(w, "’", "'"))
+
+
 def name_words(m: Column) -> Column:
     return F.split(F.regexp_replace(m, f"^{TITLE}", ""), "[ -]")
 
@@ -137,7 +144,8 @@ def written_as(m: str, type_: str, chosen: str) -> Column:
     """A surrogate in the format of an occurrence."""
     spots = F.transform(F.split(m, ""), lambda c, i: F.when(c.rlike("[0-9A-Z]") & (c.rlike("[0-9]") | (F.col(type_) == "iban")), F.length(F.regexp_replace(F.substring(F.col(m), F.lit(1), i + 1), F.when(F.col(type_) == "iban", "[^0-9A-Z]").otherwise("[^0-9]"), ""))).otherwise(0))
     placed = F.array_join(F.zip_with(F.split(m, ""), spots, lambda c, n: F.when(n > 0, F.substring(F.col(chosen), n, F.lit(1))).otherwise(c)), "")
-    return F.when(F.col(type_).isin("email", "ip"), F.col(chosen)).when(F.col(type_) == "name", F.initcap(F.substring(F.col(chosen), F.lit(3), F.length(chosen)))).otherwise(placed)
+    word = F.substring(F.col(chosen), F.lit(3), F.length(chosen))
+    return F.when(F.col(type_).isin("email", "ip"), F.col(chosen)).when(F.col(type_) == "name", F.when(F.col(m) == F.upper(m), F.upper(word)).otherwise(F.initcap(word))).otherwise(placed)
 
 
 def assign(entities: DataFrame, key: str) -> DataFrame:
@@ -165,28 +173,37 @@ def _by_pattern(f, text: Column) -> Column:
 
 
 def entities(texts: DataFrame) -> DataFrame:
-    """d, t, pos, wi, before, m, after, type, entity: the entity at each match, or each word of a name there. texts: d, t, in_text, named."""
-    df = texts.withColumn("ms", _by_pattern(lambda x, p: F.regexp_extract_all(x, p, F.lit(0)), F.col("in_text")))
-    df = df.withColumn("titled", F.filter("ms", lambda m: m.rlike(f"^{TITLE}")))
-    one = lambda m: F.transform(name_words(m), lambda w: F.struct(F.lower(w).alias("w"), F.concat(gender(m), F.lit(":"), F.lower(w)).alias("e")))
-    df = df.withColumn("words", F.flatten(F.transform("titled", one)))
+    """d, t, pos, wi, before, m, after, type, entity: the entity at each match, or each word of a name there. texts: d, t, in_text, named.
 
-    def same(w: Column) -> Column:
-        """The entity that a word stands for in its text: that of its first mention with a gender, or its first one."""
-        of = F.filter("words", lambda x: x["w"] == F.lower(w))
-        return F.when(F.size("words") > 0, F.coalesce(F.get(F.filter(of, lambda x: ~x["e"].startswith("n")), F.lit(0))["e"], F.get(of, F.lit(0))["e"]))
+    A word whose title tells no gender, or that has none, stands for the entity of its first mention with a gender in its text, or
+    else of its first one; words meet their mentions as rows.
+    """
+    df = texts.withColumn("ms", _by_pattern(lambda x, p: F.regexp_extract_all(x, p, F.lit(0)), F.col("in_text")))
 
     def pieces(m: Column, pos: Column) -> Column:
         none, separators = F.lit(""), F.regexp_extract_all(F.regexp_replace(m, f"^{TITLE}", ""), F.lit("[ -]"), F.lit(0))
-        piece = lambda wi, before, w, after, type_, entity: F.struct(pos.alias("pos"), wi.alias("wi"), before.alias("before"), w.alias("m"), after.alias("after"), type_.alias("type"), entity.alias("entity"))
-        own = lambda w: F.when(gender(m) == "n", same(w)).otherwise(F.concat(gender(m), F.lit(":"), F.lower(w)))
-        name = F.transform(name_words(m), lambda w, j: piece(j, F.when(j == 0, F.regexp_extract(m, f"^{TITLE}", 0)).otherwise(""), w, F.coalesce(F.get(separators, j), none), F.lit("name"), own(w)))
-        word = F.array(piece(F.lit(0), none, m, none, F.lit("name"), same(m)))
-        other = F.array(piece(F.lit(0), none, m, none, kind(m), normal(m, kind(m))))
-        return F.when(m.rlike(f"^{TITLE}"), name).when(m.rlike(r"^\p{Lu}\p{Ll}+$"), word).otherwise(other)
-
-    all_ = df.select("d", "t", F.explode(F.transform("ms", pieces)).alias("x")).select("d", "t", F.inline("x"))
-    return all_.filter("type IS NOT NULL AND entity IS NOT NULL").distinct()
+        piece = lambda wi, before, w, after, type_, entity, says: F.struct(pos.alias("pos"), wi.alias("wi"), before.alias("before"), w.alias("m"), after.alias("after"), type_.alias("type"), entity.alias("entity"), says.alias("says"))
+        name = F.transform(name_words(m), lambda w, j: piece(j, F.when(j == 0, F.regexp_extract(m, f"^{TITLE}", 0)).otherwise(""), w, F.coalesce(F.get(separators, j), none), F.lit("name"), alike(w), gender(m)))
+        word = F.array(piece(F.lit(0), none, m, none, F.lit("name"), alike(m), none))
+        other = F.array(piece(F.lit(0), none, m, none, kind(m), normal(m, kind(m)), F.lit(None).cast("string")))
+        return F.when(m.rlike(f"^{TITLE}"), name).when(m.rlike(f"^{WORD}$"), word).otherwise(other)
+
+    all_ = df.select("d", "t", F.explode(F.transform("ms", pieces)).alias("x")).select("d", "t", F.inline("x")).filter("type IS NOT NULL AND entity IS NOT NULL").distinct()
+    all_ = written(all_)  # the patterns run once
+    shown = ["d", "t", "pos", "wi", "before", "m", "after", "type"]
+    plain = all_.filter("says IS NULL").select(*shown, "entity")
+    words = all_.filter("says IS NOT NULL")
+    first = F.min(F.struct((F.col("says") == "n").alias("unsure"), "pos", "wi", "says"))
+    known = words.filter("says <> ''").groupBy(F.col("d").alias("kd"), F.col("t").alias("kt"), F.col("entity").alias("ke")).agg(first.alias("first"))
+    told = words.join(known, F.col("d").eqNullSafe(F.col("kd")) & (F.col("t") == F.col("kt")) & (F.col("entity") == F.col("ke")))
+    says = F.when(F.col("says").isin("", "n"), F.col("first.says")).otherwise(F.col("says"))
+    return plain.unionByName(told.select(*shown, F.concat(says, F.lit(":"), "entity").alias("entity")))
+
+
+def _by_place(pairs: Column) -> Column:
+    """An array with each pair's text at its place, and null at all others. pairs: (pos, shown) in order, each place once."""
+    back = lambda k: F.when(k > 0, F.get(pairs, k - 1)["pos"]).otherwise(-1)
+    return F.flatten(F.transform(pairs, lambda x, k: F.concat(F.array_repeat(F.lit(None).cast("string"), x["pos"] - back(k) - 1), F.array(x["shown"]))))
 
 
 def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
@@ -198,14 +215,14 @@ def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     found = written(entities(some.select("d", "t", "in_text", "named")))
     chosen = assign(written(found.select("type", "entity").distinct()), key)
     shown = found.join(chosen, ["type", "entity"]).select("d", "t", "pos", "wi", F.concat("before", written_as("m", "type", "surrogate"), "after").alias("shown"))
-    by_doc = shown.groupBy(F.col("d").alias("bd"), F.col("t").alias("bt")).agg(F.sort_array(F.collect_list(F.struct("pos", "wi", "shown"))).alias("all"))
-    joined = some.join(by_doc, F.col("d").eqNullSafe(F.col("bd")) & (F.col("t") == F.col("bt")), "left")
+    whole = shown.groupBy("d", "t", "pos").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("wi", "shown"))), lambda x: x["shown"]), "").alias("shown"))
+    by_doc = whole.groupBy(F.col("d").alias("bd"), F.col("t").alias("bt")).agg(F.sort_array(F.collect_list(F.struct("pos", "shown"))).alias("all"))
+    joined = some.join(by_doc, F.col("d").eqNullSafe(F.col("bd")) & (F.col("t") == F.col("bt")), "left").withColumn("placed", _by_place(F.col("all")))
     joined = joined.withColumn("between", _by_pattern(lambda x, p: F.split(x, p, -1), F.col("in_text"))).withColumn("ms", _by_pattern(lambda x, p: F.regexp_extract_all(x, p, F.lit(0)), F.col("in_text")))
-    # what is shown at each match: its pieces, or itself
-    at = lambda i: F.array_join(F.transform(F.filter("all", lambda x: x["pos"] == i), lambda x: x["shown"]), "")
-    joined = joined.withColumn("put", F.transform("ms", lambda m, i: F.coalesce(F.nullif(at(i), F.lit("")), m)))
+    # what is shown at each match: a surrogate, or itself
+    joined = joined.withColumn("put", F.transform("ms", lambda m, i: F.coalesce(F.get("placed", i), m)))
     woven = F.concat(F.get("between", F.lit(0)), F.array_join(F.zip_with("put", F.slice("between", F.lit(2), F.size("put")), lambda shown, rest: F.concat(shown, rest)), ""))
-    places = F.size(F.array_distinct(F.transform("all", lambda x: x["pos"]))).cast("long")
+    places = F.size("all").cast("long")
     out = joined.withColumn("in_text", F.when(F.col("all").isNull(), F.col("in_text")).otherwise(woven)).withColumn("n_entities", F.when(F.col("all").isNull(), 0).otherwise(places))
     both = clean.unionByName(out.select(*clean.columns))
     return both.select(*outside(both), "n_entities")

@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -90,7 +92,14 @@ def scan_texts(texts: list[str], model: dict) -> list[tuple]:
     for i, t in enumerate(texts):
         for a, k, b in base[i]:
             own.append((i, ASSIGN.match(t, a, b).start(2) if k == 0 else a, b))
-        spots += [(i, a, b) for a, b in candidates(t) if not any(x < b and a < y for x, _, y in base[i])]
+        starts = [x for x, _, _ in base[i]]
+        reach = list(accumulate((y for _, _, y in base[i]), max))  # how far the spans up to here reach
+
+        def free(a, b, starts=starts, reach=reach):
+            before = bisect_left(starts, b)
+            return not before or reach[before - 1] <= a
+
+        spots += [(i, a, b) for a, b in candidates(t) if free(a, b)]
     p = secret_model.probability(model, texts, own + spots)
     confirmed = [0] * len(texts)
     for (i, _, _), sure in zip(own, p >= model["threshold"], strict=False):

@@ -95,3 +95,16 @@ def test_other_columns_are_not_read(spark, operator):
 
 def test_removed_bytes_are_those_of_the_text():
     assert suffix_dedup.kept_bytes(b"abcdef", [(1, 2), (4, 6)]) == b"acd" and hashlib.sha256(b"").hexdigest()[:4] == "e3b0"
+
+
+def test_many_base_spans_in_a_text_take_linear_time():
+    from tessera.llm import secret_model
+
+    model = secret_model.trained(500, 7, recall=0.99)
+    times = []
+    for n in (5_000, 50_000):
+        text = "\n".join(f"password = value{i:06} and AKIA{i:016}" for i in range(n))
+        start = time.perf_counter()
+        secret_scan.scan_texts([text], model)
+        times.append(time.perf_counter() - start)
+    assert times[1] < 25 * times[0] + 5
