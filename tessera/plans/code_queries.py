@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import code as C
+from tessera.operators import graphs
 from tessera.operators import jobs as J
 from tessera.registry import query
 
@@ -30,6 +31,22 @@ def grf02(t):
     return found.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
+_PARTS_SQL = f"""e AS (SELECT * FROM {EDGES_SQL}), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e),
+r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src),
+p AS (SELECT n.node, least(n.node, coalesce(min(a.dst) FILTER (b.src IS NOT NULL), n.node)) AS component, coalesce(bool_or(a.dst = n.node), false) AS circular FROM n LEFT JOIN r a ON a.src = n.node LEFT JOIN r b ON b.src = a.dst AND b.dst = n.node GROUP BY n.node)"""
+
+
+@query(
+    "grf02_call_tree",
+    f"""WITH RECURSIVE {_PARTS_SQL}, c AS (SELECT DISTINCT x.component AS a, y.component AS b FROM e JOIN p x ON x.node = e.src JOIN p y ON y.node = e.dst WHERE x.component <> y.component),
+    l AS (SELECT DISTINCT component, 0 AS depth FROM p WHERE component NOT IN (SELECT b FROM c) UNION SELECT c.b, l.depth + 1 FROM l JOIN c ON c.a = l.component),
+    d AS (SELECT component, min(depth) AS depth FROM l GROUP BY 1)
+    SELECT p.node, p.component, p.circular, d.depth, (SELECT min(c.a) FROM c JOIN d up ON up.component = c.a WHERE c.b = p.component AND up.depth = d.depth - 1) AS parent FROM p JOIN d USING (component)""",
+)
+def grf02_tree(t):
+    return graphs.call_tree(edges(t))
+
+
 @query("grf03_scope_names", "SELECT n_nationkey, r_name || '::' || n_name AS full_name FROM nation JOIN region ON n_regionkey = r_regionkey")
 def grf03(t):
     regions = t.region.select(F.col("r_regionkey").alias("n_regionkey"), "r_name")

@@ -422,6 +422,20 @@ def mth09(t):
     return t.part.select("p_partkey", factor.alias("factor"), F.round(square["shift"], 6).alias("shift"), F.round(square["rest"], 6).alias("rest"), algebra.term_count(F.concat(F.lit("2*x^2 + "), "p_size", F.lit("*x - 7"))).alias("terms"))
 
 
+@query(
+    "mth09_costs",
+    """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 1 ELSE 2 END AS terms, CASE p_partkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 18 WHEN 2 THEN 66 ELSE 5 END AS cost,
+    gcd(6 * p_size, 10) AS factor, 1 + p_partkey % 3 AS power FROM part""",
+)
+def mth09_costs(t):
+    k = F.col("p_partkey")
+    shapes = F.array(F.lit("s+1"), F.lit("x^2 - 3*x + 1e-5"), F.lit("-sin(x^-2)/2"), F.concat(k.cast("string"), F.lit(" * a - b")))
+    text = F.get(shapes, (k % 4).cast("int"))
+    p = F.concat(F.array_repeat(F.lit(0).cast("long"), (1 + k % 3).cast("int")), F.array(F.lit(10).cast("long"), 6 * F.col("p_size").cast("long")))
+    found = algebra.prefactor(p)
+    return t.part.select("p_partkey", algebra.term_count(text).alias("terms"), algebra.operation_cost(text).alias("cost"), found["factor"].alias("factor"), found["power"].alias("power"))
+
+
 @query("mth10_potentials", "SELECT p_partkey, round(abs((pow(3 / r, 12) - 2 * pow(3 / r, 6)) - (exp(-2 * 1.5 * (r - 3)) - 2 * exp(-1.5 * (r - 3)))), 6) AS difference FROM (SELECT p_partkey, 2.5 + p_size / 10.0 AS r FROM part)")
 def mth10(t):
     return V.potential_differences(t.part.select("p_partkey", (2.5 + F.col("p_size") / 10).alias("r")), "r", 3.0, 1.0, 1.5).select("p_partkey", F.round("difference", 6).alias("difference"))
