@@ -23,9 +23,9 @@ def tool_schema(f: Callable) -> dict:
 
 
 def register_tool(spark: SparkSession, f: Callable) -> dict:
-    """UDF01: makes a function callable from SQL by its name; the result type follows from its annotation."""
+    """UDF01: makes a function callable from SQL by its name, in Arrow batches; the result type follows from its annotation."""
     result = typing.get_type_hints(f).get("return", str)
-    spark.udf.register(f.__name__, F.udf(f, TYPES.get(typing.get_origin(result) or result, T.StringType())))
+    spark.udf.register(f.__name__, F.udf(f, TYPES.get(typing.get_origin(result) or result, T.StringType()), useArrow=True))
     return tool_schema(f)
 
 

@@ -120,12 +120,12 @@ def cmp10(t):
 
 @query("cmp01_context_pack")
 def cmp01(t):
-    """Units of the best documents, packed greedily into a budget per language."""
+    """The 500 best units, packed greedily into a budget per language."""
     from tessera.operators import search as S
     from tessera.plans.search_queries import units
 
-    found = S.bm25(units(t), [["the"]]).join(units(t).select("unit_id", "content"), "unit_id")
+    found = S.bm25(units(t), [["the"]]).orderBy("rank", "unit_id").limit(500).join(units(t).select("unit_id", "content"), "unit_id")
     placed = found.join(t.documents.select(F.col("doc_id").alias("paper_id"), "lang"), "paper_id")
-    scored = placed.withColumn("order", F.row_number().over(Window.partitionBy("lang").orderBy("rank", "unit_id")).cast("long")).filter("order <= 500")
+    scored = placed.withColumn("order", F.row_number().over(Window.partitionBy("lang").orderBy("rank", "unit_id")).cast("long"))
     taken = sequences.fill_budget(scored, "lang", "order", F.ceil(F.length("content") / 4), 1000)
     return scored.join(taken, ["lang", "order"]).select("lang", "order", "unit_id", "content")

@@ -36,6 +36,17 @@ def snk06(t):
     return writers.vault(t.part.select(F.col("p_type").alias("category"), F.col("p_brand").alias("name"), F.col("p_name").alias("paper_key")))
 
 
+@query(
+    "snk06_vault_by_category",
+    """WITH l AS (SELECT DISTINCT p_type AS category, p_brand AS name, p_name AS k FROM part), p AS (SELECT category, name, list_sort(list(k)) AS k FROM l GROUP BY ALL)
+    SELECT name, '# ' || name || chr(10) || chr(10) || array_to_string(list_transform(k, lambda x: '- [[' || x || ']]'), chr(10)) AS page FROM p
+    UNION ALL SELECT 'index/' || category, string_agg('[[' || name || ']] (' || len(k) || ')', chr(10) ORDER BY len(k) DESC, name) FROM p GROUP BY category
+    UNION ALL SELECT 'index', string_agg('[[index/' || category || ']] (' || n || ')', chr(10) ORDER BY category) FROM (SELECT category, count(*) AS n FROM p GROUP BY 1)""",
+)
+def snk06_by_category(t):
+    return writers.vault_by_category(t.part.select(F.col("p_type").alias("category"), F.col("p_brand").alias("name"), F.col("p_name").alias("paper_key")))
+
+
 @query("snk08_rename", "SELECT c_custkey, c_mktsegment || '_' || (c_custkey % 30 + 1990) || '_' || regexp_replace(c_name, '[^A-Za-z0-9.-]+', '_', 'g') AS name FROM customer")
 def snk08(t):
     return t.customer.select("c_custkey", writers.rename_proposal(F.col("c_mktsegment"), F.col("c_custkey") % 30 + 1990, F.col("c_name")).alias("name"))

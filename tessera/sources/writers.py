@@ -48,6 +48,21 @@ def vault(links: DataFrame) -> DataFrame:
     return pages.unionByName(index)
 
 
+def vault_by_category(links: DataFrame) -> DataFrame:
+    """SNK06 for a large vault: name, page: one page per tag, an index page per category, and an index of the categories.
+
+    No page holds more than one category's tags, or one tag's papers; what is counted is combined before it is shuffled.
+    """
+    papers = links.groupBy("category", "name").agg(F.sort_array(F.collect_set("paper_key")).alias("p"))
+    pages = papers.select("name", F.concat(F.lit("# "), "name", F.lit("\n\n"), F.array_join(F.transform("p", lambda k: F.concat(F.lit("- [["), k, F.lit("]]"))), "\n")).alias("page"))
+    counted = links.select("category", "name", "paper_key").distinct().groupBy("category", "name").agg(F.count("*").alias("n"))
+    entries = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("o"), "name")))
+    of_category = counted.groupBy("category").agg(entries.alias("e")).select(F.concat(F.lit("index/"), "category").alias("name"), F.array_join(F.transform("e", lambda e: F.concat(F.lit("[["), e["name"], F.lit("]] ("), (-e["o"]).cast("string"), F.lit(")"))), "\n").alias("page"))
+    all_ = counted.groupBy("category").agg(F.count("*").alias("n")).agg(F.sort_array(F.collect_list(F.struct("category", "n"))).alias("e"))
+    index = all_.select(F.lit("index").alias("name"), F.array_join(F.transform("e", lambda e: F.concat(F.lit("[[index/"), e["category"], F.lit("]] ("), e["n"].cast("string"), F.lit(")"))), "\n").alias("page"))
+    return pages.unionByName(of_category).unionByName(index)
+
+
 def commit_pages(commits: DataFrame) -> DataFrame:
     """SNK07: hash, page of each commit."""
     return commits.select("hash", F.concat(F.lit("# Commit "), "hash", F.lit("\n\nAuthor: "), "author", F.lit("\nDate: "), "date", F.lit("\n\n"), "message", F.lit("\n")).alias("page"))

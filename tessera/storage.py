@@ -46,3 +46,14 @@ def drop(spark: SparkSession, path: str) -> None:
     if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def stamp(spark: SparkSession, path: str) -> str:
+    """Names, sizes and times of a table's files: another text once the table is written anew."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(p, True)
+    out = []
+    while files.hasNext():
+        f = files.next()
+        out.append(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}")
+    return "\n".join(sorted(out))
