@@ -172,6 +172,7 @@ def links(docs: DataFrame, rows: DataFrame, similarity: float, size: int, seed:
     edges, trees, gain, round_, radius = None, None, 1.0, 0, 0
     while radius < RADIUS:
         named = members.withColumn("root", F.col("c")) if trees is None else members.join(trees.withColumnRenamed("a", "c"), "c", "left").withColumn("root", F.coalesce("b", "c")).drop("b")
+        named = written(named)  # once a round; all below reads it
         sums = named.groupBy("s", "root").agg(F.count("*").alias("k")).groupBy("s").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("same"), F.count("*").alias("roots"))
         open_ = written(sums.filter("roots > 1").select("s", "all", ((F.col("all") * F.col("all") - F.col("same")) / 2).alias("pairs")))
         size = open_.agg(F.sum("pairs"), F.sum("all"), F.max("all")).first()
@@ -195,6 +196,8 @@ def links(docs: DataFrame, rows: DataFrame, similarity: float, size: int, seed:
         linked, round_ = new.count(), round_ + 1
         gain = linked / max(pairs.count(), 1)
         edges = new if edges is None else edges.unionAll(new)
+        # a signature whose members are of one component stays so
+        members = named.drop("root").join(open_.select("s"), "s", "left_semi")
         if linked:
             trees = trees_of(edges)
     return trees if trees is not None else trees_of(rows.sparkSession.createDataFrame([], "a long, b long"))
