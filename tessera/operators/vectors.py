@@ -52,34 +52,114 @@ def best_per_content(hits: DataFrame, content: str = "content", score: str = "sc
 Kernel = Callable[[Column, Column, Column], dict[str, Column]]
 
 
+def over(a: Column | float, b: Column) -> Column:
+    """a / b by the rules of floating point: infinite or NaN where b is 0, no error."""
+    return F.when(b == 0, a * F.lit(math.inf)).otherwise(a / b)
+
+
 def _of_source(sources: DataFrame) -> DataFrame:
     return sources.select(*(F.col(c).alias(f"s_{c}" if c in ("id", "x", "y", "z") else c) for c in sources.columns))
 
 
-def pairwise_sums(targets: DataFrame, sources: DataFrame, kernel: Kernel, skip_self: bool = True, most_sources: int = 100_000, tile: int = 8192) -> DataFrame:
+#: Parts of a sum: rows that aren't null, infinite and NaN ones, and the sum of the others.
+_PARTS = ("n", "up", "down", "nan", "sum")
+
+
+def _classes(rows: DataFrame, skip_self: bool) -> DataFrame:
+    """One row for all rows that differ only in their id: their number _m and, to tell a row from its copies, the ends of their ids."""
+    rows = rows.filter("id IS NOT NULL") if skip_self else rows
+    return rows.groupBy(*(c for c in rows.columns if c != "id")).agg(F.count("*").alias("_m"), F.min("id").alias("_lo"), F.max("id").alias("_hi"))
+
+
+def _alone() -> Column:
+    """The two classes are of one and the same id: no pair of theirs counts."""
+    return (F.col("_lo") == F.col("_hi")) & (F.col("s__lo") == F.col("s__hi")) & (F.col("_lo") == F.col("s__lo"))
+
+
+def _parts(pairs: DataFrame, keys: list, terms: dict[str, Column], weight: Column) -> DataFrame:
+    """Per keys the parts of each term's sum, and _pairs; a pair counts `weight` times."""
+    rows = pairs.select(*keys, weight.alias("_w"), *(v.alias(f"_v_{k}") for k, v in terms.items()))
+    aggs, types = [F.sum("_w").alias("_pairs")], dict(rows.dtypes)
+    for k in terms:
+        v, w = F.col(f"_v_{k}"), F.col("_w")
+        many = lambda which, w=w: F.coalesce(F.sum(F.when(which, w)), F.lit(0))
+        real = types[f"_v_{k}"] in ("double", "float")
+        up, down, nan = (v == math.inf, v == -math.inf, F.isnan(v)) if real else [F.lit(False)] * 3
+        total = F.sum(F.when(~up & ~down & ~nan, v * w))
+        aggs += [x.alias(f"_{p}_{k}") for p, x in zip(_PARTS, (many(v.isNotNull()), many(up), many(down), many(nan), F.coalesce(total, F.lit(0))), strict=True)]
+    return rows.groupBy(*(k for k in rows.columns if k != "_w" and not k.startswith("_v_"))).agg(*aggs)
+
+
+def _joined(parts: DataFrame, targets: DataFrame, own: DataFrame | None, names: list[str], hint: str | None) -> DataFrame:
+    """id and the sums: each target takes the parts of its class (x, y, z) without those of the pairs with its own id."""
+    hinted = lambda df: df.hint(hint) if hint else df
+    columns = ["_pairs", *(f"_{p}_{k}" for k in names for p in _PARTS)]
+    t = targets.groupBy("id", "x", "y", "z").agg(F.count("*").alias("_m"))
+    p = parts.select(*(F.col(c).alias(f"_c_{c}") for c in "xyz"), *columns)
+    all_ = hinted(t).join(p, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_c_{c}")) for c in "xyz")))
+    summed = all_.groupBy("id").agg(*(F.sum(F.col(c) * F.col("_m")).alias(c) for c in columns))
+    if own is not None:
+        less = own.select("id", *(F.col(c).alias(f"_o{c}") for c in columns))
+        summed = hinted(summed).join(less, "id", "left").select("id", *((F.col(c) - F.coalesce(f"_o{c}", F.lit(0))).alias(c) for c in columns))
+
+    def value(k):
+        n, up, down, nan, total = (F.col(f"_{p}_{k}") for p in _PARTS)
+        if dict(summed.dtypes)[f"_sum_{k}"] == "double":
+            bad = (nan > 0) | (up > 0) & (down > 0)
+            total = F.when(bad, math.nan).when(up > 0, math.inf).when(down > 0, -math.inf).otherwise(total)
+        return F.when(n > 0, total).alias(k)
+
+    return summed.filter("_pairs > 0").select("id", *map(value, names))
+
+
+def pairwise_sums(targets: DataFrame, sources: DataFrame, kernel: Kernel, skip_self: bool = True, most_sources: int = 100_000, tile: int = 8192, axes: str = "xyz") -> DataFrame:
     """JON21, JON22, AGG15, AGG16, UDF04: id and, for each named term of the kernel, its sum over all sources.
 
     Both have id, x, y, z. The kernel gets the differences (source - target) as columns and may use the sources' own columns by
-    their names. Up to most_sources rows the sources are sent to all tasks. Beyond, both sides are cut into tiles of about
+    their names. Targets at one place are a class, and so are sources alike in all columns but their id: the kernel is asked
+    once for two classes, and the pairs of a row with itself are taken out again, counted apart where a term isn't finite.
+    axes: those that the kernel reads, where it doesn't read all; classes are coarser then.
+
+    Up to most_sources classes the sources are sent to all tasks. Beyond, both sides are cut into tiles of about
     `tile` rows and a pair of tiles is a group of a join: it meets in one task, whose sums per target are combined before
     they are shuffled. So nothing grows with the input but the number of tasks; the sums are the same either way.
     """
-    n = sources.count()
-    s, t = _of_source(sources), targets.select("id", "x", "y", "z")
+    flat = lambda rows: rows.select(*(F.lit(0.0).alias(c) if c in "xyz" and c not in axes else F.col(c) for c in rows.columns))
+    targets, sources = flat(targets.select("id", "x", "y", "z")), flat(sources)
+    t, s = _classes(targets, skip_self), storage.written(_classes(sources, skip_self))
+    s = s.select(*(F.col(c).alias(f"s_{c}" if c in ("x", "y", "z", "_m", "_lo", "_hi") else c) for c in s.columns))
+    n, hint = s.count(), None
     if n <= most_sources:
-        other = F.col("id") != F.col("s_id")
-        pairs = t.join(F.broadcast(s), other) if skip_self else t.crossJoin(F.broadcast(s))
+        pairs = t.crossJoin(F.broadcast(s))
     else:
-        across, down = -(-n // tile), max(1, -(-targets.count() // tile))
+        hint = "merge"
+        t = storage.written(t)
+        across, down = -(-n // tile), max(1, -(-t.count() // tile))
         # numbered once and written, so that a row's tile doesn't change when a task is repeated
         cut = lambda rows, name, tiles: storage.written(rows.withColumn(name, F.monotonically_increasing_id() % tiles))
         each = lambda rows, name, tiles: rows.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)).cast("array<bigint>")))
         left = each(cut(t, "_down", down), "_across", across)
         right = each(cut(s, "_across", across), "_down", down)
         pairs = left.join(right.hint("shuffle_hash"), ["_down", "_across"])
-        pairs = pairs.filter(F.col("id") != F.col("s_id")) if skip_self else pairs
-    terms = kernel(F.col("s_x") - F.col("x"), F.col("s_y") - F.col("y"), F.col("s_z") - F.col("z"))
-    return pairs.groupBy("id").agg(*(F.sum(v).alias(k) for k, v in terms.items()))
+    terms = lambda: kernel(F.col("s_x") - F.col("x"), F.col("s_y") - F.col("y"), F.col("s_z") - F.col("z"))
+    names, own = list(terms()), None
+    if skip_self:
+        pairs = pairs.filter(~_alone())
+        own = _parts(_own(targets, sources, hint), ["id"], terms(), F.lit(1).cast("long"))
+    return _joined(_parts(pairs, ["x", "y", "z"], terms(), F.col("s__m")), targets, own, names, hint)
+
+
+def _own(targets: DataFrame, sources: DataFrame, hint: str | None = None) -> DataFrame:
+    """The pairs of rows with one id, but for those of classes that hold nothing else."""
+    t = targets.filter("id IS NOT NULL").select("id", "x", "y", "z")
+    s = _of_source(sources.filter("id IS NOT NULL"))
+    like = [c for c in s.columns if c != "s_id"]
+    hinted = lambda df: df.hint(hint) if hint else df
+    same = lambda keys: reduce(lambda p, q: p & q, (F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys))
+    of = lambda df, id_, keys: df.groupBy(*(F.col(c).alias(f"_k_{c}") for c in keys)).agg(F.min(id_).alias("_lo"), F.max(id_).alias("_hi"))
+    t = hinted(t).join(of(t, "id", ["x", "y", "z"]), same(["x", "y", "z"])).select("id", "x", "y", "z", "_lo", "_hi")
+    s = hinted(s).join(of(s, "s_id", like), same(like)).select(*s.columns, F.col("_lo").alias("s__lo"), F.col("_hi").alias("s__hi"))
+    return hinted(t).join(s, F.col("id") == F.col("s_id")).filter(~_alone())
 
 
 def neighbours(targets: DataFrame, sources: DataFrame, cutoff: float, box: tuple[float, float, float] | None = None, skip_self: bool = True) -> DataFrame:
@@ -91,14 +171,30 @@ def neighbours(targets: DataFrame, sources: DataFrame, cutoff: float, box: tuple
     longer than a period the pairs with each image in reach count (also a point's own images), over as many cells as needed.
     Null coordinates have no neighbours.
     """
+    s = _of_source(sources)
+    near = _near(targets.select("id", "x", "y", "z"), s, cutoff, box)
+    if skip_self:
+        near = near.filter((F.col("id") != F.col("s_id")) | ~F.col("_home"))
+    return near.select("id", "dx", "dy", "dz", *s.columns)
+
+
+def _reach(cutoff: float) -> Column:
+    return F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz") <= cutoff * cutoff
+
+
+def _inside(box: tuple[float, float, float] | None, i: int) -> Callable[[Column], Column]:
+    return (lambda c: c - F.floor(c / box[i]) * box[i]) if box else (lambda c: c)
+
+
+def _near(t: DataFrame, s: DataFrame, cutoff: float, box: tuple[float, float, float] | None) -> DataFrame:
+    """The pairs of t (x, y, z) and s (s_x, s_y, s_z) within the cut-off, with all columns; _home: no image is between them."""
     if not cutoff > 0 or box and not min(box) > 0:
         raise ValueError("the cut-off and the lengths of the box must be above 0")
     cells = [max(1, int(size // cutoff)) if box else 0 for size in box or (0, 0, 0)]
     width = [size / n if box else cutoff for size, n in zip(box or (0, 0, 0), cells, strict=True)]
-    t, s = targets.select("id", "x", "y", "z"), _of_source(sources)
     for axis, i in zip("xyz", range(3), strict=True):
         reach = math.ceil(cutoff / width[i])
-        inside = (lambda c, i=i: c - F.floor(c / box[i]) * box[i]) if box else (lambda c: c)
+        inside = _inside(box, i)
         # a coordinate just below the border may round up to it
         cell = lambda c, i=i: F.least(F.floor(c / width[i]), F.lit(cells[i] - 1)) if box else F.floor(c / width[i])
         s = s.withColumn(f"_at_{axis}", inside(F.col(f"s_{axis}"))).withColumn(f"_c_{axis}", cell(F.col(f"_at_{axis}")))
@@ -109,27 +205,36 @@ def neighbours(targets: DataFrame, sources: DataFrame, cutoff: float, box: tuple
     near = t.join(s, [f"_c_{axis}" for axis in "xyz"])
     for axis, i in zip("xyz", range(3), strict=True):
         near = near.withColumn(f"d{axis}", F.col(f"_at_{axis}") - F.col(f"_own_{axis}") + (F.col(f"_s_{axis}") * box[i] if box else 0.0))
-    near = near.filter(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz") <= cutoff * cutoff)
-    if skip_self:
-        near = near.filter((F.col("id") != F.col("s_id")) | (F.col("_s_x") != 0) | (F.col("_s_y") != 0) | (F.col("_s_z") != 0))
-    return near.select("id", "dx", "dy", "dz", *(c for c in s.columns if not c.startswith("_")))
+    near = near.filter(_reach(cutoff))
+    return near.withColumn("_home", (F.col("_s_x") == 0) & (F.col("_s_y") == 0) & (F.col("_s_z") == 0))
 
 
 def cutoff_sums(targets: DataFrame, sources: DataFrame, kernel: Kernel, cutoff: float, box: tuple[float, float, float] | None = None, skip_self: bool = True) -> DataFrame:
-    """JON22, AGG15: pairwise_sums over the sources within the cut-off; a target without any has no row."""
-    terms = kernel(F.col("dx"), F.col("dy"), F.col("dz"))
-    return neighbours(targets, sources, cutoff, box, skip_self).groupBy("id").agg(*(F.sum(v).alias(k) for k, v in terms.items()))
+    """JON22, AGG15: pairwise_sums over the sources within the cut-off, by classes as there; a target without any has no row."""
+    targets = targets.select("id", "x", "y", "z")
+    t, s = _classes(targets, skip_self), _classes(sources, skip_self)
+    s = s.select(*(F.col(c).alias(f"s_{c}" if c in ("x", "y", "z", "_m", "_lo", "_hi") else c) for c in s.columns))
+    near, own = _near(t, s, cutoff, box), None
+    terms = lambda: kernel(F.col("dx"), F.col("dy"), F.col("dz"))
+    if skip_self:
+        near = near.filter(~(_alone() & F.col("_home")))
+        pairs = _own(targets, sources)
+        for i, axis in enumerate("xyz"):
+            inside = _inside(box, i)
+            pairs = pairs.withColumn(f"d{axis}", inside(F.col(f"s_{axis}")) - inside(F.col(axis)))
+        own = _parts(pairs.filter(_reach(cutoff)), ["id"], terms(), F.lit(1).cast("long"))
+    return _joined(_parts(near, ["x", "y", "z"], terms(), F.col("s__m")), targets, own, list(terms()), None)
 
 
 def coulomb(r: Column, q: Column) -> tuple[Column, Column]:
     """MTH04: energy and force of a charge product at a distance."""
-    return q / r, q / (r * r)
+    return over(q, r), over(q, r * r)
 
 
 def lennard_jones(r: Column, r0: Column, e0: Column) -> tuple[Column, Column]:
     """MTH04: energy and force with the minimum -e0 at r0."""
-    u = F.pow(r0 / r, 6)
-    return e0 * (u * u - 2 * u), 12 * e0 / r * (u * u - u)
+    u = F.pow(over(r0, r), 6)
+    return e0 * (u * u - 2 * u), over(12 * e0, r) * (u * u - u)
 
 
 def morse(r: Column, r0: Column, e0: Column, b: Column) -> tuple[Column, Column]:
@@ -146,7 +251,7 @@ def exp_linear(x: Column, n: int) -> Column:
 def biot_savart(dx: Column, dy: Column, dz: Column, jx: Column, jy: Column, jz: Column) -> dict[str, Column]:
     """MTH05: the field of a current element, by the difference from its target to it."""
     r3 = F.pow(dx * dx + dy * dy + dz * dz, 1.5)
-    return {"bx": (jz * dy - jy * dz) / r3, "by": (jx * dz - jz * dx) / r3, "bz": (jy * dx - jx * dy) / r3}
+    return {"bx": over(jz * dy - jy * dz, r3), "by": over(jx * dz - jz * dx, r3), "bz": over(jy * dx - jx * dy, r3)}
 
 
 def mixed(a: Column, b: Column) -> dict[str, Column]:

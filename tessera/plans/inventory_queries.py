@@ -361,7 +361,7 @@ def agg15(t):
 
 @query("udf04_pair_function", f"WITH p AS {POINTS} SELECT a.id, round(sum(greatest(0, 2 - abs(b.x - a.x))), 6) AS near, count(*) AS n FROM p a JOIN p b ON a.id <> b.id GROUP BY 1")
 def udf04(t):
-    return V.pairwise_sums(points(t), points(t), lambda dx, dy, dz: {"near": F.greatest(F.lit(0.0), 2 - F.abs(dx)), "n": F.lit(1)}).select("id", F.round("near", 6).alias("near"), "n")
+    return V.pairwise_sums(points(t), points(t), lambda dx, dy, dz: {"near": F.greatest(F.lit(0.0), 2 - F.abs(dx)), "n": F.lit(1)}, axes="x").select("id", F.round("near", 6).alias("near"), "n")
 
 
 @query("srt01_best_first", "SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, quality ASC NULLS LAST, doc_id) AS place FROM documents LEFT JOIN labels USING (doc_id) QUALIFY place <= 100")

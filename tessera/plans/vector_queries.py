@@ -47,7 +47,7 @@ def points(t):
 
 def _field(dx, dy, dz):
     r3 = F.pow(dx * dx + dy * dy + dz * dz, 1.5)
-    return {"fx": F.col("q") * dx / r3, "fy": F.col("q") * dy / r3, "fz": F.col("q") * dz / r3}
+    return {f"f{c}": V.over(F.col("q") * d, r3) for c, d in zip("xyz", (dx, dy, dz), strict=True)}
 
 
 @query("jon21_pairs", f"WITH p AS {POINTS_SQL} SELECT a.id, " + ", ".join(f"round(sum(b.q * (b.{c} - a.{c}) / pow((b.x - a.x) ** 2 + (b.y - a.y) ** 2 + (b.z - a.z) ** 2, 1.5)), 6) AS f{c}" for c in "xyz") + " FROM p a JOIN p b ON a.id <> b.id GROUP BY 1")
@@ -110,7 +110,7 @@ def _near_sql(d):
 
 
 def _near(t, box):
-    kernel = lambda dx, dy, dz: {"energy": 1 / F.sqrt(dx * dx + dy * dy + dz * dz), "near": F.lit(1)}
+    kernel = lambda dx, dy, dz: {"energy": V.over(F.lit(1.0), F.sqrt(dx * dx + dy * dy + dz * dz)), "near": F.lit(1)}
     return V.cutoff_sums(spread(t), spread(t), kernel, 8.0, box).select("id", F.round("energy", 6).alias("energy"), "near")
 
 

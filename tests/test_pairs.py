@@ -88,3 +88,30 @@ def test_nearest_in_blocks(spark):
     queries = df.withColumnRenamed("vec_id", "query_id").filter("query_id % 3 = 0")
     whole = sorted(map(tuple, vectors.nearest(df, queries, 4).collect()))
     assert whole == sorted(map(tuple, vectors.nearest(df, queries, 4, most_numbers=100).collect())) and len(whole) == 67 * 4
+
+
+def by_loops(rows, cutoff=math.inf):
+    out = {}
+    for a, b in itertools.product(rows, rows):
+        d = math.dist(a[1:4], b[1:4])
+        if a[0] != b[0] and d <= cutoff:
+            n, e = out.get(a[0], (0, 0.0))
+            out[a[0]] = n + 1, e + (b[4] / d if d else math.inf)
+    return {k: (n, pytest.approx(e)) for k, (n, e) in out.items()}
+
+
+CHARGES = lambda dx, dy, dz: {"e": vectors.over(F.col("q"), F.sqrt(dx * dx + dy * dy + dz * dz)), "n": F.lit(1)}
+
+
+def test_points_at_one_place_have_infinite_terms_and_are_asked_once(spark):
+    """Failed before: a division by zero; and each copy met each copy."""
+    rows = [(i, *p, q) for i, *p, q in cloud(30)] + [(100 + i, *p, q) for i, *p, q in cloud(10)] + [(200, 50.0, 0.0, 0.0, 1.0)]
+    df = spark.createDataFrame(rows, POINT)
+    assert energies(vectors.cutoff_sums(df, df, CHARGES, 4.0)) == by_loops(rows, 4.0)
+    assert energies(vectors.cutoff_sums(df, df, CHARGES, 4.0, (1000.0,) * 3)) == by_loops(rows, 4.0)
+    assert energies(vectors.pairwise_sums(df, df, CHARGES)) == by_loops(rows) == energies(vectors.pairwise_sums(df, df, CHARGES, most_sources=3, tile=5))
+    many = spark.range(20_000).selectExpr("id", "cast(id % 10 AS double) AS x", "0D AS y", "0D AS z", "1D AS q")
+    got = {(r.n, r.e) for r in vectors.cutoff_sums(many, many, CHARGES, 1.5).collect()}
+    assert got == {(3999, math.inf), (5999, math.inf)}
+    far = vectors.pairwise_sums(many, many, KERNEL, most_sources=0, tile=4, axes="x").agg(F.min("n"), F.max("n")).first()
+    assert tuple(far) == (19_999, 19_999)
