@@ -6,6 +6,9 @@ import math
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,6 +165,77 @@ def _own(targets: DataFrame, sources: DataFrame, hint: str | None = None) -> Dat
     return hinted(t).join(s, F.col("id") == F.col("s_id")).filter(~_alone())
 
 
+def _tiled(rows: DataFrame, tile: int, least: int) -> tuple[DataFrame, int]:
+    """_tile, _rows (an array of structs): the rows in tiles of about `tile` rows, at least `least` tiles if there are as many rows."""
+    n = rows.count()
+    tiles = max(1, -(-n // tile), min(least, n))
+    dealt = rows.withColumn("_tile", F.pmod(F.xxhash64(*rows.columns), F.lit(tiles)))  # by values, so that a repeated task deals alike
+    return dealt.groupBy("_tile").agg(F.collect_list(F.struct(*rows.columns)).alias("_rows")), tiles
+
+
+def _met(left: DataFrame, right: DataFrame, groups: int) -> DataFrame:
+    """_left, _right: each pair of tiles, a partition for each."""
+    pairs = left.select(F.col("_rows").alias("_left")).crossJoin(right.select(F.col("_rows").alias("_right")))
+    return pairs.withColumn("_g", F.monotonically_increasing_id()).repartition(groups, "_g").drop("_g")
+
+
+def _arrays(cell: pa.Scalar, columns: list[str]) -> dict[str, np.ndarray]:
+    """The columns of a tile; nulls of doubles become NaN."""
+    return {c: cell.values.field(c).to_numpy(zero_copy_only=False) for c in columns}
+
+
+#: A kernel on arrays: the differences (source - target), targets down and sources across, and the sources' columns.
+BlockKernel = Callable[[np.ndarray, np.ndarray, np.ndarray, dict[str, np.ndarray]], dict[str, np.ndarray]]
+
+
+def block_sums(targets: DataFrame, sources: DataFrame, kernel: BlockKernel, terms: list[str], skip_self: bool = True, tile: int = 16_384, block: int = 65_536) -> DataFrame:
+    """JON21, AGG15, AGG16: as pairwise_sums, for doubles and a kernel on numpy arrays: id and the sum of each term as a double.
+
+    All pairs are computed, so the work grows with the square of the points. Both sides are cut into tiles; two tiles meet in one
+    task, in blocks of `block` pairs that stay in a core's cache, and partial sums per target are shuffled. Memory is bounded by
+    two tiles a task. 1 / 0 is infinite and 0 / 0 NaN. A source with a null adds to no term; a sum without any is null.
+    """
+    names, mine = [*sources.columns, "_null"], ["id", "x", "y", "z", "_null"]
+    schema = "id long, _met long, _real long, " + ", ".join(f"`{k}` double" for k in terms)
+
+    def summed(batches):
+        for batch in batches:
+            for left, right in zip(batch.column("_left"), batch.column("_right"), strict=True):
+                t, s = _arrays(left, mine), _arrays(right, names)
+                shared = bool(np.intersect1d(t["id"], s["id"]).size) if skip_self else False
+                wide = min(len(s["id"]), 2048)
+                down = max(1, block // wide)
+                out, met, real = np.zeros((len(terms), len(t["id"]))), *np.zeros((2, len(t["id"])), np.int64)
+                gaps = bool(s["_null"].any() or t["_null"].any())
+                with np.errstate(all="ignore"):
+                    for i in range(0, len(t["id"]), down):
+                        at = {c: v[i : i + down, None] for c, v in t.items()}
+                        for j in range(0, len(s["id"]), wide):
+                            part = {c: v[None, j : j + wide] for c, v in s.items()}
+                            values = kernel(part["x"] - at["x"], part["y"] - at["y"], part["z"] - at["z"], part)
+                            own = at["id"] == part["id"] if shared else None
+                            own = own if own is not None and own.any() else None
+                            out_ = own if not gaps else part["_null"] | at["_null"] | (False if own is None else own)
+                            shape = at["id"].shape[0], part["id"].shape[1]
+                            met[i : i + down] += shape[1] - (0 if own is None else own.sum(axis=1))
+                            real[i : i + down] += shape[1] - (0 if out_ is None else out_.sum(axis=1))
+                            for k, name in enumerate(terms):
+                                v = np.broadcast_to(values[name], shape)
+                                out[k, i : i + down] += (v if out_ is None else np.where(out_, 0.0, v)).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(t["id"]), pa.array(met), pa.array(real), *map(pa.array, out)], names=["id", "_met", "_real", *terms])
+
+    def numbers(rows):
+        rows = rows.filter("id IS NOT NULL").select("id", *(F.col(c).cast("double") for c in rows.columns if c != "id"))
+        return rows.withColumn("_null", reduce(lambda a, b: a | b, (F.col(c).isNull() for c in rows.columns[1:])))
+
+    sources = numbers(sources)
+    (left, down), (right, across) = _tiled(numbers(targets.select("id", "x", "y", "z")), tile, 8), _tiled(sources, tile, 8)
+    groups = min(4096, down * across)
+    parts = _met(left, right, groups).mapInArrow(summed, schema)
+    whole = parts.groupBy("id").agg(*(F.sum(k).alias(k) for k in ("_met", "_real", *terms)))
+    return whole.filter("_met > 0").select("id", *(F.when(F.col("_real") > 0, F.col(k)).alias(k) for k in terms))
+
+
 def neighbours(targets: DataFrame, sources: DataFrame, cutoff: float, box: tuple[float, float, float] | None = None, skip_self: bool = True) -> DataFrame:
     """JON22, MTH06: the pairs within the cut-off: id, dx, dy, dz (source - target), and the sources' columns (s_id, s_x, ...).
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.operators import vectors as V
@@ -45,14 +46,15 @@ def points(t):
     return t.supplier.selectExpr("s_suppkey AS id", "cast(s_suppkey % 10 AS double) AS x", "cast(s_suppkey div 10 % 10 AS double) AS y", "cast(s_suppkey div 100 AS double) AS z", "s_acctbal / 1000 AS q")
 
 
-def _field(dx, dy, dz):
-    r3 = F.pow(dx * dx + dy * dy + dz * dz, 1.5)
-    return {f"f{c}": V.over(F.col("q") * d, r3) for c, d in zip("xyz", (dx, dy, dz), strict=True)}
+def _field(dx, dy, dz, s):
+    r2 = dx * dx + dy * dy + dz * dz
+    w = s["q"] / (r2 * np.sqrt(r2))
+    return {"fx": w * dx, "fy": w * dy, "fz": w * dz}
 
 
 @query("jon21_pairs", f"WITH p AS {POINTS_SQL} SELECT a.id, " + ", ".join(f"round(sum(b.q * (b.{c} - a.{c}) / pow((b.x - a.x) ** 2 + (b.y - a.y) ** 2 + (b.z - a.z) ** 2, 1.5)), 6) AS f{c}" for c in "xyz") + " FROM p a JOIN p b ON a.id <> b.id GROUP BY 1")
 def jon21(t):
-    out = V.pairwise_sums(points(t), points(t), _field)
+    out = V.block_sums(points(t), points(t), _field, ["fx", "fy", "fz"])
     return out.select("id", *(F.round(f"f{c}", 6).alias(f"f{c}") for c in "xyz"))
 
 
@@ -67,9 +69,13 @@ def jon22(t):
 
 @query("agg16_energy", f"WITH p AS {POINTS_SQL} SELECT round(sum(u * u - 2 * u), 6) AS energy, count(*) AS pairs FROM (SELECT pow(1.5 / sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2 + (b.z - a.z) ** 2), 6) AS u FROM p a JOIN p b ON a.id < b.id)")
 def agg16(t):
-    terms = lambda dx, dy, dz: {"energy": V.lennard_jones(F.sqrt(dx * dx + dy * dy + dz * dz), F.lit(1.5), F.lit(1.0))[0], "pairs": F.lit(1)}
-    each = V.pairwise_sums(points(t), points(t), terms)  # each pair twice
-    return each.agg(F.round(F.sum("energy") / 2, 6).alias("energy"), (F.sum("pairs") / 2).cast("long").alias("pairs"))
+    def terms(dx, dy, dz, _):
+        u = 2.25 / (dx * dx + dy * dy + dz * dz)
+        u = u * u * u
+        return {"energy": u * (u - 2), "pairs": 1.0}
+
+    each = V.block_sums(points(t).drop("q"), points(t).drop("q"), terms, ["energy", "pairs"])  # each pair twice
+    return each.agg(F.round(F.sum("energy") / 2, 6).alias("energy"), (F.coalesce(F.sum("pairs"), F.lit(0.0)) / 2).cast("long").alias("pairs"))
 
 
 @query("mth04_potentials", "SELECT s_suppkey, round(1.0 * q / r, 6) AS ec, round(pow(2 / r, 12) - 2 * pow(2 / r, 6), 6) AS elj, round(exp(-2 * (r - 2)) - 2 * exp(-(r - 2)), 6) AS em FROM (SELECT s_suppkey, 1 + s_suppkey / 20 AS r, s_acctbal / 1000 AS q FROM supplier)")

@@ -115,3 +115,17 @@ def test_points_at_one_place_have_infinite_terms_and_are_asked_once(spark):
     assert got == {(3999, math.inf), (5999, math.inf)}
     far = vectors.pairwise_sums(many, many, KERNEL, most_sources=0, tile=4, axes="x").agg(F.min("n"), F.max("n")).first()
     assert tuple(far) == (19_999, 19_999)
+
+
+def test_blocks_equal_the_joins(spark):
+    """Arrays in tiles; didn't exist before: a pair was a row of a join."""
+    rows = [*cloud(150), (200, 1.0, 1.0, 1.0, None), (201, None, 1.0, 1.0, 2.0)]
+    targets, sources = spark.createDataFrame(rows[:40] + rows[:3] + rows[-1:], POINT), spark.createDataFrame(rows + rows[:2] * 20, POINT)
+    kernel = lambda dx, dy, dz, s: {"e": s["q"] / (1 + dx * dx + dy * dy + dz * dz)}
+    for skip_self in (True, False):
+        got = vectors.block_sums(targets, sources, kernel, ["e"], skip_self, tile=16, block=64)
+        want = vectors.pairwise_sums(targets, sources, KERNEL, skip_self)
+        assert {r.id: r.e and pytest.approx(r.e) for r in got.collect()} == {r.id: r.e for r in want.collect()}
+    one, two = spark.createDataFrame(rows[:1], POINT), spark.createDataFrame(rows[:1] + rows[150:151], POINT)
+    assert vectors.block_sums(one, one, kernel, ["e"]).count() == 0 == vectors.block_sums(one.limit(0), one, kernel, ["e"]).count()
+    assert {r.id: r.e for r in vectors.block_sums(two, two, kernel, ["e"]).collect()} == {0: None, 200: pytest.approx(rows[0][4] / (1 + sum((x - 1) ** 2 for x in rows[0][1:4])))}
