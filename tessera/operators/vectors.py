@@ -7,10 +7,11 @@ from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tessera import storage
 
@@ -27,24 +28,90 @@ def cosine(a: Column | str, b: Column | str) -> Column:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_: str = "vec_id", vector: str = "embedding", most_numbers: int = 2_000_000) -> DataFrame:
     """SRT06: query_id, id, score of the k most similar vectors of each query, by cosine, ties by id.
 
-    Queries are sent to all tasks in blocks of at most most_numbers components (16 MB as doubles), a scan of the vectors for
-    each block; most sets are one block. Each task keeps its own k best per query before rows are shuffled.
+    Vectors and queries are cut into tiles of at most most_numbers components (16 MB as doubles); two tiles meet in one task,
+    which keeps its k best per query before rows are shuffled. A product of matrices finds the candidates, all that are within
+    1e-9 of the k-th; their scores are summed anew component by component, so that equal vectors tie exactly. Vectors of
+    unequal lengths, with a null or without length have no score and come last.
     """
-    size = queries.agg(F.count("*"), F.max(F.size(vector))).first()
-    blocks = max(1, -(-size[0] * (size[1] or 1) // most_numbers))
-    asked = queries.select("query_id", F.col(vector).alias("_q"), F.sqrt(dot(vector, vector)).alias("_l"))
-    if blocks > 1:
-        asked = storage.written(asked.withColumn("_b", F.monotonically_increasing_id() % blocks))
-    parts = [asked] if blocks == 1 else [asked.filter(F.col("_b") == i).drop("_b") for i in range(blocks)]
-    base = vectors.select(id_, vector, F.sqrt(dot(vector, vector)).alias("_m"), F.spark_partition_id().alias("_p"))
-    best = [F.desc_nulls_last("score"), F.col(id_)]
-
-    def near(part):
-        scored = base.crossJoin(F.broadcast(part)).select("query_id", id_, "_p", F.try_divide(dot(vector, "_q"), F.col("_m") * F.col("_l")).alias("score"))
-        first = scored.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "_p").orderBy(*best))).filter(F.col("_r") <= k)
-        return first.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(*best))).filter(F.col("_r") <= k).select("query_id", id_, "score")
-
-    return reduce(DataFrame.unionByName, map(near, parts))
+    width = vectors.agg(F.max(F.size(vector))).first()[0] or 1
+    rows = max(1, most_numbers // max(1, width))
+    base, asked = vectors.select(F.col(id_).alias("id"), F.col(vector).alias("v")), queries.select(F.col("query_id").alias("id"), F.col(vector).alias("v"))
+    (left, down), (right, across) = _tiled(asked, rows, 1), _tiled(base, rows, 16)
+    types = StructType([StructField("query_id", queries.schema["query_id"].dataType), StructField(id_, vectors.schema[id_].dataType), StructField("score", DoubleType())])
+
+    def near(batches):
+        for batch in batches:
+            for q, v in zip(batch.column("_left"), batch.column("_right"), strict=True):
+                yield from _best_of(q.values, v.values, k, id_)
+
+    first = _met(left, right, min(4096, down * across)).mapInArrow(near, types)
+    best = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), id_)
+    return first.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k).select("query_id", id_, "score")
+
+
+def _matrices(tile: pa.StructArray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By width: places in the tile, vectors as doubles and their lengths. Vectors with a null or of length 0 are left out."""
+    lists = tile.field("v")
+    sizes = np.where(lists.is_null().to_numpy(zero_copy_only=False), -1, lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    out = {}
+    for width in np.unique(sizes[sizes > 0]).tolist():
+        places = np.flatnonzero(sizes == width)
+        flat = lists.take(pa.array(places)).flatten()
+        m = flat.cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, width)
+        whole = ~flat.is_null().to_numpy(zero_copy_only=False).reshape(-1, width).any(axis=1)
+        lengths = np.sqrt(_in_order(m, m))
+        whole &= lengths != 0
+        out[width] = places[whole], np.ascontiguousarray(m[whole]), lengths[whole]
+    return out
+
+
+def _in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of rows, summed component by component, as dot does."""
+    total = np.zeros(len(a))
+    for i in range(a.shape[1]):
+        total += a[:, i] * b[:, i]
+    return total
+
+
+def _best_of(queries: pa.StructArray, vectors: pa.StructArray, k: int, id_: str, cells: int = 4_000_000):
+    """Batches query_id, id, score: the k best of the tile for each query."""
+    ids, asked = vectors.field("id"), queries.field("id")
+    order = np.empty(len(ids), np.int64)  # places by id
+    order[pc.sort_indices(ids, null_placement="at_start").to_numpy()] = np.arange(len(ids))
+    stored, sought, step = _matrices(vectors), _matrices(queries), max(1, cells // max(1, len(ids)))
+    of = {place: width for width, (places, _, _) in sought.items() for place in places.tolist()}
+    first_ids = np.argsort(order)
+    unscored = np.array([p for p in range(len(asked)) if p not in of or of[p] not in stored or len(stored[of[p]][0]) < k], np.int64)
+    with np.errstate(all="ignore"):
+        for width, (places, m, lengths) in sought.items():
+            if width not in stored or not len(stored[width][0]) or not len(places):
+                continue
+            at, v, sizes = stored[width]
+            for i in range(0, len(places), step):
+                rough = (m[i : i + step] @ v.T) / (lengths[i : i + step, None] * sizes)
+                rough[np.isnan(rough)] = np.inf  # NaN is above all numbers
+                if len(at) > k:
+                    bar = np.partition(rough, len(at) - k, axis=1)[:, len(at) - k]
+                    row, col = np.nonzero(rough >= np.where(np.isfinite(bar), bar - 1e-9, bar)[:, None])
+                else:
+                    row, col = (x.ravel() for x in np.indices(rough.shape))
+                score = np.empty(len(row))
+                for j in range(0, len(row), 65_536):
+                    r, c = row[j : j + 65_536], col[j : j + 65_536]
+                    score[j : j + 65_536] = _in_order(m[i + r], v[c]) / (sizes[c] * lengths[i + r])
+                by = np.lexsort((order[at[col]], -np.where(np.isnan(score), np.inf, score), row))
+                row, col, score = row[by], col[by], score[by]
+                kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+                yield _hits(asked, ids, places[i + row[kept]], at[col[kept]], pa.array(score[kept]), id_)
+    # where fewer than k have a score, the first ids of the others follow
+    for p in unscored.tolist():
+        have = set(stored[of[p]][0].tolist()) if p in of and of[p] in stored else set()
+        rest = [x for x in first_ids[: k + len(have)].tolist() if x not in have][:k]
+        yield _hits(asked, ids, np.full(len(rest), p), np.array(rest, np.int64), pa.nulls(len(rest), pa.float64()), id_)
+
+
+def _hits(asked, ids, queries, vectors, score, id_):
+    return pa.RecordBatch.from_arrays([asked.take(pa.array(queries, pa.int64())), ids.take(pa.array(vectors, pa.int64())), score], names=["query_id", id_, "score"])
 
 
 def best_per_content(hits: DataFrame, content: str = "content", score: str = "score") -> DataFrame:

@@ -129,3 +129,24 @@ def test_blocks_equal_the_joins(spark):
     one, two = spark.createDataFrame(rows[:1], POINT), spark.createDataFrame(rows[:1] + rows[150:151], POINT)
     assert vectors.block_sums(one, one, kernel, ["e"]).count() == 0 == vectors.block_sums(one.limit(0), one, kernel, ["e"]).count()
     assert {r.id: r.e for r in vectors.block_sums(two, two, kernel, ["e"]).collect()} == {0: None, 200: pytest.approx(rows[0][4] / (1 + sum((x - 1) ** 2 for x in rows[0][1:4])))}
+
+
+def test_nearest_of_copies_and_odd_vectors(spark):
+    """Equal vectors tie exactly, whatever their place in a tile; vectors without a score come last. As rows of a join would give."""
+    rng = random.Random(5)
+    some = [[rng.random() - 0.5 for _ in range(7)] for _ in range(6)]
+    odd = [None, [0.0] * 7, [1.0, None, *[0.0] * 5], [1.0, 2.0], []]
+    rows = [(i, some[i * i % 6]) for i in range(150)] + [(200 + i, v) for i, v in enumerate(odd)] + [(300, [math.nan, *[1.0] * 6])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = df.withColumnRenamed("vec_id", "query_id").filter("query_id % 30 = 0 OR query_id >= 200")
+    scored = df.crossJoin(queries.withColumnRenamed("embedding", "q")).withColumn("score", F.when((F.col("vec_id") != 201) & (F.col("query_id") != 201), vectors.cosine("embedding", "q")))
+
+    def ranked(hits):
+        out = {}
+        for r in hits.collect():
+            out.setdefault(r.query_id, []).append((r.score is None, -math.inf if r.score is None or math.isnan(r.score) else -r.score, r.vec_id))
+        return {q: sorted(x) for q, x in out.items()}
+
+    want = ranked(scored)
+    for k, numbers in ((8, 2_000_000), (8, 90), (153, 500)):
+        assert ranked(vectors.nearest(df, queries, k, most_numbers=numbers)) == {q: v[:k] for q, v in want.items()}
