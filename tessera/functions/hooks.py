@@ -7,6 +7,9 @@ import typing
 from collections.abc import Callable
 
 import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,12 +73,21 @@ def summarize(text: str, sentences: int = 2) -> str:
 
 
 def embed(text, width: int = 64):
-    """RAG02's offline default: hashed word counts, of unit length, as a column."""
+    """RAG02's offline default: hashed word counts, of unit length, as a column. Without words, all its numbers are null."""
     words = F.filter(F.split(F.lower(text), r"\W+"), lambda w: w != "")
-    places = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(width)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("double"))
-    length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(counts, lambda x: F.try_divide(x, length).cast("float"))
+    places = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(width)).cast("int"))
+
+    @F.arrow_udf("array<float>")
+    def counted(lists: pa.Array) -> pa.Array:
+        n = len(lists)
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        at = np.repeat(np.arange(n), sizes) * width + lists.flatten().to_numpy(zero_copy_only=False)
+        counts = np.bincount(at, minlength=n * width).reshape(n, width).astype(np.float64)
+        length = np.repeat(np.sqrt((counts * counts).sum(axis=1)), width)
+        shares = np.divide(counts.ravel(), length, out=np.zeros(n * width), where=length > 0).astype(np.float32)
+        return pa.ListArray.from_arrays(np.arange(0, n * width + 1, width, dtype=np.int32), pa.array(shares, mask=length == 0))
+
+    return counted(places)
 
 
 #: Parsers by name: each maps rows (path, text) to rows (path, markdown, structured_json).
