@@ -85,11 +85,14 @@ def resolve(calls: DataFrame, candidates: list[Column], functions: DataFrame, na
 
 def by_containment(probes: DataFrame, keys: DataFrame, width: int = 30) -> DataFrame:
     """JON12: stem, match: the first key (by ordinal) that equals the stem, else one whose first `width` characters the stem
-    holds, or that holds the stem's. Pairs meet on equal starts of `width` or, for shorter ones, on their whole."""
-    exact = probes.join(keys, probes["stem"] == keys["key"]).groupBy("stem").agg(F.min_by("key", "ordinal").alias("match"))
+    holds, or that holds the stem's. Pairs meet on equal starts of `width` or, for shorter ones, on their whole. Of the keys with
+    one start, and of those that hold one text, only the first is kept: a stem's windows meet a row each, whatever the copies."""
+    firsts = lambda df, c: df.groupBy(c).agg(F.min(F.struct("ordinal", "key")).alias("_k"))
+    keys = keys.filter("key IS NOT NULL AND ordinal IS NOT NULL").groupBy("key").agg(F.min("ordinal").alias("ordinal"))
+    exact = probes.join(keys, probes["stem"] == keys["key"]).select("stem", F.col("key").alias("match"))
     head = lambda c: F.substring(c, 1, width)
     spots = lambda df, c: df.withColumn("_w", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - width + 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(width))))))
-    a = spots(probes, "stem").join(keys.withColumn("_w", head("key")), "_w")
-    b = probes.withColumn("_w", head("stem")).join(spots(keys, "key"), "_w")
-    part = a.select("stem", "key", "ordinal").unionByName(b.select("stem", "key", "ordinal")).groupBy("stem").agg(F.min_by("key", "ordinal").alias("match"))
+    a = spots(probes.select("stem"), "stem").join(firsts(keys.withColumn("_w", head("key")), "_w"), "_w")
+    b = probes.select("stem", head("stem").alias("_w")).join(firsts(spots(keys, "key"), "_w"), "_w")
+    part = a.select("stem", "_k").unionByName(b.select("stem", "_k")).groupBy("stem").agg(F.min("_k")["key"].alias("match"))
     return cascade(probes, "stem", [("exact", exact), ("part", part)])
