@@ -77,7 +77,10 @@ class Segments:
             found = self._alive(self._sizes(now), now["deletions"]).join(stale, "unit_id", "left_semi")
             found.select("unit_id", "size").write.parquet(f"{self.root}/deletions/{name}")
             lost = self._totals(f"{self.root}/deletions/{name}")
-        sizes = changed.filter("unit_id IS NOT NULL").dropDuplicates(["unit_id"]).select(F.col("unit_id").cast("long"), F.col("paper_id").cast("long"), F.coalesce("content", F.lit("")).alias("content"))
+        known = changed.filter("unit_id IS NOT NULL")
+        if not known.groupBy("unit_id").count().filter("count > 1").isEmpty():  # texts are shuffled only where ids repeat
+            known = known.dropDuplicates(["unit_id"])
+        sizes = known.select(F.col("unit_id").cast("long"), F.col("paper_id").cast("long"), F.coalesce("content", F.lit("")).alias("content"))
         new = self._write(name, at, postings(sizes), sizes.select("unit_id", F.size(tokens(F.col("content"))).alias("size")))
         # a list of nothing is none
         deletions = now["deletions"] + ([{"name": name, "at": at}] if lost["units"] else [])
@@ -103,9 +106,10 @@ class Segments:
             held = {r.b: r.n for r in stored.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect()}  # PLACES rows at most
             ways = F.element_at(F.array(*(F.lit(-(-held.get(i, 1) // RANGE)) for i in range(len(bounds) + 1))), bucket + 1)
             rows = rows.withColumn("range", bucket.cast("long") * (1 << 40) + F.pmod(F.xxhash64("unit_id"), ways))
-            blocks = rows.groupBy("term", "range").agg(F.count("*").cast("int").alias("n"), F.max(F.size("positions")).alias("most_f"), F.min("size").alias("least_size"), F.max(share(F.size("positions"), F.col("size"), F.lit(reference))).alias("most"), F.sort_array(F.collect_list(F.struct("unit_id", "paper_id", "size", "positions"))).alias("units"))
-            placed = blocks.withColumn("part", parts_of(F.col("term"), self.FOLDERS))
-            placed.repartition("part", F.pmod(F.xxhash64("term", "range"), F.lit(4))).sortWithinPartitions("part", "term", "range").write.partitionBy("part").parquet(f"{self.root}/postings/{name}")
+            rows = rows.withColumn("part", parts_of(F.col("term"), self.FOLDERS)).withColumn("_slot", F.pmod(F.xxhash64("term", "range"), F.lit(4)))
+            # one shuffle serves the groups and the folders
+            blocks = rows.repartition("part", "_slot").groupBy("part", "_slot", "term", "range").agg(F.count("*").cast("int").alias("n"), F.max(F.size("positions")).alias("most_f"), F.min("size").alias("least_size"), F.max(share(F.size("positions"), F.col("size"), F.lit(reference))).alias("most"), F.sort_array(F.collect_list(F.struct("unit_id", "paper_id", "size", "positions"))).alias("units"))
+            blocks.drop("_slot").sortWithinPartitions("part", "term", "range").write.partitionBy("part").parquet(f"{self.root}/postings/{name}")
         return {"name": name, "at": at, **totals, "mean": ABOVE * max(totals["size"] / totals["units"], 1.0) if totals["units"] else 1.0}
 
     def merge(self) -> None:
