@@ -55,8 +55,12 @@ def fuzzy_matches(probes: DataFrame, papers: DataFrame) -> DataFrame:
 
 
 def edit_matches(probes: DataFrame, papers: DataFrame, key: str, most: int) -> DataFrame:
-    """Pairs of one block whose titles are within an edit distance."""
-    return probes.alias("q").join(papers.alias("p"), key).filter(F.levenshtein("q.title", "p.title", most) >= 0).select("probe_id", "paper_id", F.levenshtein("q.title", "p.title").cast("long").alias("distance"))
+    """Pairs of one block whose titles are within an edit distance. Only different titles are compared; rows alike take what was found."""
+    named = lambda df, c: df.select(key, F.col("title").alias(c))
+    pairs = named(probes, "_q").distinct().join(named(papers, "_p").distinct(), key).withColumn("distance", F.levenshtein("_q", "_p", most).cast("long"))
+    found = pairs.filter("distance >= 0")
+    rows = found.join(probes.select(key, F.col("title").alias("_q"), "probe_id"), [key, "_q"]).join(papers.select(key, F.col("title").alias("_p"), "paper_id"), [key, "_p"])
+    return rows.select("probe_id", "paper_id", "distance")
 
 
 def cascade(probes: DataFrame, key: str, steps: list[tuple[str, DataFrame]]) -> DataFrame:

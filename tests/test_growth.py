@@ -33,3 +33,12 @@ def test_postings_are_made_without_a_shuffle(spark):
     got = {(r.term, r.unit_id, r.paper_id, r.size, tuple(r.positions)) for r in found.collect()}
     assert got == {("the", 1, 5, 4, (0, 2)), ("cat", 1, 5, 4, (1,)), ("hat", 1, 5, 4, (3,)), ("hat", 3, 6, 1, (0,))}
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_edit_distance_compares_different_titles_once(spark):
+    """Before, each copy of a title was compared with each copy of another."""
+    rows = spark.createDataFrame([(1, "b", "spin"), (2, "b", "spin"), (3, "b", "spun"), (4, "c", "spin"), (5, "b", None), (6, "b", "glass")], "id long, block string, title string")
+    found = identity.edit_matches(rows.withColumnRenamed("id", "probe_id"), rows.withColumnRenamed("id", "paper_id"), "block", 1)
+    got = {(r.probe_id, r.paper_id, r.distance) for r in found.collect()}
+    assert got == {(a, b, int(3 in (a, b) and a != b)) for a in (1, 2, 3) for b in (1, 2, 3)} | {(4, 4, 0), (6, 6, 0)}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [block") == 2
