@@ -35,6 +35,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt evenly over the session's tasks, for work that costs far more than moving them: a small file is one task otherwise."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def forget(table: DataFrame) -> None:
     """Deletes a written table that no later plan reads; the disk is free before the session ends."""
     for path in {f.rpartition("/")[0] for f in table.inputFiles()}:

@@ -5,7 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from tessera.functions import hooks
-from tessera.operators import identity, search
+from tessera.operators import cpp, identity, search
 
 
 def test_embedding_counts_once(spark):
@@ -42,3 +42,14 @@ def test_edit_distance_compares_different_titles_once(spark):
     got = {(r.probe_id, r.paper_id, r.distance) for r in found.collect()}
     assert got == {(a, b, int(3 in (a, b) and a != b)) for a in (1, 2, 3) for b in (1, 2, 3)} | {(4, 4, 0), (6, 6, 0)}
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [block") == 2
+
+
+def _evenly_parsed(found, rows):
+    tasks = found.groupBy(F.spark_partition_id()).count().collect()
+    return sum(r["count"] for r in tasks) == rows and len(tasks) > 1 and max(r["count"] for r in tasks) < rows
+
+
+def test_cpp_files_are_parsed_by_all_tasks(spark):
+    """Before, one task parsed all files of a table that lies in one small file."""
+    files = spark.range(0, 2000, 1, 1).select(F.concat(F.lit("f"), "id").alias("path"), F.lit("class A { int x; };").alias("code"))
+    assert _evenly_parsed(cpp.cpp_constructs(files), 4000)
