@@ -41,14 +41,14 @@ def _symbols(code: str):
 
 
 def python_symbols(files: DataFrame, path: str = "path", code: str = "code") -> DataFrame:
-    """TGF12, TGF24, JON25: path, kind, name, parent, line, end_line, detail of the symbols and imports of Python files."""
+    """TGF12, TGF24, JON25: path, kind, name, parent, line, end_line, detail of the symbols and imports of Python files, which are spread over all tasks."""
 
     def parse(batches):
         for b in batches:
             rows = [(p, *s) for p, c in zip(b[path], b[code], strict=True) if c is not None for s in _symbols(c)]
             yield pd.DataFrame(rows, columns=["path", "kind", "name", "parent", "line", "end_line", "detail"])
 
-    return files.select(path, code).mapInPandas(parse, "path string, kind string, name string, parent string, line int, end_line int, detail string")
+    return storage.spread(files.select(path, code)).mapInPandas(parse, "path string, kind string, name string, parent string, line int, end_line int, detail string")
 
 
 def cpp_headers(code: Column) -> Column:

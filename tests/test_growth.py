@@ -5,7 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from tessera.functions import hooks
-from tessera.operators import cpp, identity, search
+from tessera.operators import code, cpp, identity, search
 
 
 def test_embedding_counts_once(spark):
@@ -53,3 +53,9 @@ def test_cpp_files_are_parsed_by_all_tasks(spark):
     """Before, one task parsed all files of a table that lies in one small file."""
     files = spark.range(0, 2000, 1, 1).select(F.concat(F.lit("f"), "id").alias("path"), F.lit("class A { int x; };").alias("code"))
     assert _evenly_parsed(cpp.cpp_constructs(files), 4000)
+
+
+def test_python_files_are_parsed_by_all_tasks(spark):
+    """Before, one task parsed all files of a table that lies in one small file."""
+    files = spark.range(0, 2000, 1, 1).select(F.concat(F.lit("f"), "id").alias("path"), F.lit("import os").alias("code"))
+    assert _evenly_parsed(code.python_symbols(files), 2000)
