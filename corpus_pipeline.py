@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import line_dedup, mixing, near_text, packing, quality
-from tessera.llm._common import documents, written
+from tessera.llm._common import documents, forget, written
 
 COLUMNS = ("doc_id", "text", "lang", "source")
 #: Stands for a missing doc_id in joins; the least long, which no document has.
@@ -62,7 +62,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to the documents of sf_dir."""
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
+        if before is not None:
+            forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

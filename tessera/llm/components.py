@@ -30,6 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         sums = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if sums == state or not sums[0]:
+            if before is not None:
+                forget(before)
             return now
         state = sums
         if before is not None:

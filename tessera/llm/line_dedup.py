@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import inside, outside, written
+from tessera.llm._common import forget, inside, outside, written
 from tessera.llm.lines import hashed_lines, lines, without
 
 
@@ -50,7 +50,9 @@ def line_dedup(docs: DataFrame, min_sites: int = 10, copies: Callable[[DataFrame
         hits = written(hits)
         totals = held.groupBy(F.col("d").alias("td"), F.col("t").alias("tt")).agg(F.sum("words").alias("total"))
         crowded = hits.join(totals, F.col("d").eqNullSafe(F.col("td")) & (F.col("t") == F.col("tt"))).filter(F.col("lost") > most * F.col("total")).select("td", "tt")
-        crowded_rows = rows.join(written(crowded), F.col("d").eqNullSafe(F.col("td")) & (F.col("t") == F.col("tt")), "left_semi")
+        crowded = written(crowded)
+        forget(held)  # hits has what is needed of it
+        crowded_rows = rows.join(crowded, F.col("d").eqNullSafe(F.col("td")) & (F.col("t") == F.col("tt")), "left_semi")
         whole = written(copies(crowded_rows.select(F.col("d").alias("doc_id"), text.alias("text"))).select(F.col("doc_id").alias("wd"), F.col("t").alias("wt")))
         hits = hits.join(whole, F.col("d").eqNullSafe(F.col("wd")) & (F.col("t") == F.col("wt")), "left_anti")
     gone = hits.select(F.col("d").alias("hd"), F.col("t").alias("ht"), "gone")

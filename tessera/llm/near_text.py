@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import keyed_texts, record_batch, slices, written
+from tessera.llm._common import forget, keyed_texts, record_batch, slices, written
 from tessera.llm.components import components
 from tessera.llm.simhash import near_pairs, shingles
 
@@ -138,8 +138,8 @@ def _near_prints(similarity: float, radius: int):
     return compare
 
 
-def _rarest_pairs(classes: DataFrame, known: DataFrame, similarity: float, radius: int = RADIUS) -> DataFrame:
-    """Pairs of classes (c, n, root) of different components that may be similar enough: all that share one of their rarest shingles.
+def _rarest_pairs(classes: DataFrame, known: DataFrame, similarity: float, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
+    """Pairs of classes (c, n, root) of different components that may be similar enough: all that share one of their rarest shingles. Second, the table they are read from.
 
     Shingles are ordered by how many of these classes hold them. Of two sets that are similar enough, the first common shingle
     in this order has as many after it in both sets as the overlap needs. A radius under RADIUS leaves those with SimHashes within it.
@@ -154,7 +154,7 @@ def _rarest_pairs(classes: DataFrame, known: DataFrame, similarity: float, radiu
     met = (F.col("root") < F.col("other")) & enough & _sizes_allow(F.col("n"), F.col("m"), similarity)
     if radius < RADIUS:
         met &= sum((F.bit_count(F.col("prints")[k].bitwiseXOR(F.col("others")[k])) for k in range(PRINTS)), F.lit(0)) <= radius
-    return some.join(other, "w").filter(met).select("c", "d")
+    return some.join(other, "w").filter(met).select("c", "d"), some
 
 
 def links(docs: DataFrame, rows: DataFrame, similarity: float, size: int, seed: int, most_pairs: float = 4.0, least_gain: float = 0.05, most: int = 256, shard_rows: int = 20_000, trees_of: Callable[[DataFrame], DataFrame] = components) -> DataFrame:
@@ -162,19 +162,24 @@ def links(docs: DataFrame, rows: DataFrame, similarity: float, size: int, seed:
 
     most_pairs: pairs left for each member of a signature at which the rest is compared in full; least_gain: share of a round's
     pairs it must link for another such round; most: classes of a signature that are compared by their SimHashes; trees_of:
-    what becomes of links (a, b): classes with the same b aren't compared.
+    what becomes of links (a, b), of which some may be its earlier results: classes with the same b aren't compared. A round's
+    tables are deleted as soon as the next one has been made from them.
     """
     spread = rows.select("c", "n", F.explode("signatures").alias("s"))
     shared = spread.groupBy("s").agg(F.min("c").alias("least"), F.max("c").alias("greatest")).filter("least < greatest").select("s")
     members = written(spread.join(shared, "s").distinct())
     classes = rows.join(members.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.min("t").alias("t"))
     known = written(_hashes(docs, classes, size, seed))
-    edges, trees, gain, round_, radius = None, None, 1.0, 0, 0
+    trees, gain, round_, radius = None, 1.0, 0, 0
+    past = [members]
     while radius < RADIUS:
         named = members.withColumn("root", F.col("c")) if trees is None else members.join(trees.withColumnRenamed("a", "c"), "c", "left").withColumn("root", F.coalesce("b", "c")).drop("b")
         named = written(named)  # once a round; all below reads it
+        for table in past:
+            forget(table)
         sums = named.groupBy("s", "root").agg(F.count("*").alias("k")).groupBy("s").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("same"), F.count("*").alias("roots"))
         open_ = written(sums.filter("roots > 1").select("s", "all", ((F.col("all") * F.col("all") - F.col("same")) / 2).alias("pairs")))
+        past, read = [named, open_], []
         size = open_.agg(F.sum("pairs"), F.sum("all"), F.max("all")).first()
         if not size[0]:
             break
@@ -188,18 +193,23 @@ def links(docs: DataFrame, rows: DataFrame, similarity: float, size: int, seed:
             pairs = few.withColumn("shard", F.pmod(F.xxhash64("s"), F.lit(shards))).groupBy("shard").applyInPandas(_near_prints(similarity, radius), "c long, d long")
             if size[2] > most:
                 crowded = written(named.join(open_.filter(F.col("all") > most).select("s"), "s").select("c", "n", "root").distinct())
-                pairs = pairs.unionAll(_rarest_pairs(crowded, known, similarity, radius))
+                rarest, some = _rarest_pairs(crowded, known, similarity, radius)
+                pairs, read = pairs.unionAll(rarest), [crowded, some]
         else:
             pairs = _pivot_pairs(named.join(open_.select("s"), "s"), similarity, round_)
         pairs = written(pairs.select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct())
         new = written(_alike(pairs, known, similarity))
         linked, round_ = new.count(), round_ + 1
         gain = linked / max(pairs.count(), 1)
-        edges = new if edges is None else edges.unionAll(new)
         # a signature whose members are of one component stays so
         members = named.drop("root").join(open_.select("s"), "s", "left_semi")
-        if linked:
-            trees = trees_of(edges)
+        if linked:  # the trees so far stand for their links, so that rounds don't add up
+            before, trees = trees, trees_of(new if trees is None else trees.unionAll(new))
+            read += [before] if before is not None else []
+        for table in (pairs, new, *read):
+            forget(table)
+    for table in (*past, known):
+        forget(table)
     return trees if trees is not None else trees_of(rows.sparkSession.createDataFrame([], "a long, b long"))
 
 
@@ -212,7 +222,8 @@ def near_texts(docs: DataFrame, size: int = 5, similarity: float = 0.8, seed: in
 
 def _linked(edges: DataFrame) -> DataFrame:
     """All classes with a link as one tree: what has a link needs no other one."""
-    return written(edges.select(F.explode(F.array("a", "b")).alias("a")).distinct().withColumn("b", F.lit(-(1 << 63))))
+    root = F.lit(-(1 << 63))
+    return written(edges.select(F.explode(F.array("a", "b")).alias("a")).filter(F.col("a") != root).distinct().withColumn("b", root))
 
 
 def copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:

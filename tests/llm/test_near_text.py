@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import corpus_pipeline
 import numpy as np
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import near_text, simhash
-from tessera.llm._common import written
+from tessera.llm._common import shared_dir, written
 from tests.conftest import DATA
 from tests.llm.test_llm import SCHEMA, hard_texts, word
 
@@ -64,6 +65,15 @@ def test_copies_are_the_rows_of_larger_groups(spark):
     assert sorted(r.doc_id for r in near_text.copies(docs).collect()) == sorted(i for g in brute_groups(texts) if len(g) > 1 for i in g)
 
 
+def test_tables_of_past_rounds_are_deleted(spark):
+    """Before, each round left its tables until the session ended; now the sets and the groups stay, which the result reads."""
+    texts = near_copies()[:60]
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], SCHEMA)
+    tables = lambda: set(Path(shared_dir(spark).removeprefix("file:")).glob("**/tessera-*"))
+    before = tables()
+    assert near_text.near_texts(docs).count() == len(texts) and len(tables() - before) == 2
+
+
 def test_bit_sliced_distances():
     rng = np.random.default_rng(1)
     for width, radius in ((1, 2), (1, 9), (4, 64), (2, 31)):
