@@ -219,8 +219,8 @@ def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     by_doc = whole.groupBy(F.col("d").alias("bd"), F.col("t").alias("bt")).agg(F.sort_array(F.collect_list(F.struct("pos", "shown"))).alias("all"))
     joined = some.join(by_doc, F.col("d").eqNullSafe(F.col("bd")) & (F.col("t") == F.col("bt")), "left").withColumn("placed", _by_place(F.col("all")))
     joined = joined.withColumn("between", _by_pattern(lambda x, p: F.split(x, p, -1), F.col("in_text"))).withColumn("ms", _by_pattern(lambda x, p: F.regexp_extract_all(x, p, F.lit(0)), F.col("in_text")))
-    # what is shown at each match: a surrogate, or itself
-    joined = joined.withColumn("put", F.transform("ms", lambda m, i: F.coalesce(F.get("placed", i), m)))
+    # what is shown at each match: a surrogate, or itself; the two arrays are read side by side, as a lambda's body would make placed anew for each match
+    joined = joined.withColumn("put", F.zip_with("ms", "placed", lambda m, shown: F.coalesce(shown, m)))
     woven = F.concat(F.get("between", F.lit(0)), F.array_join(F.zip_with("put", F.slice("between", F.lit(2), F.size("put")), lambda shown, rest: F.concat(shown, rest)), ""))
     places = F.size("all").cast("long")
     out = joined.withColumn("in_text", F.when(F.col("all").isNull(), F.col("in_text")).otherwise(woven)).withColumn("n_entities", F.when(F.col("all").isNull(), 0).otherwise(places))
