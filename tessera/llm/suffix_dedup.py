@@ -21,12 +21,10 @@ Texts shorter than LENGTH keep all bytes. Empty tables give no rows. Very long t
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._common import forget, keyed_texts, record_batch, slices, written
@@ -229,8 +227,8 @@ def _repeated(rows: DataFrame, length: int, most: int, shard_rows: int, level: i
     return anchors.drop("n").distinct().join(ranges, ["h", "sh"]).select("k", "t", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))
 
 
-def repeats(docs: DataFrame, length: int = 400, most: int = 1000, shard_rows: int = 2500) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs.
+def without_repeats(docs: DataFrame, length: int = 400, most: int = 1000, shard_rows: int = 2500) -> DataFrame:
+    """doc_id, n_bytes, spans, kept for each row of docs: the maximal runs of removed bytes (start, end exclusive), and the bytes that are left.
 
     most: classes of an anchor that are compared without anchoring them again; shard_rows: segments in a shard, about.
     """
@@ -239,7 +237,23 @@ def repeats(docs: DataFrame, length: int = 400, most: int = 1000, shard_rows: in
     return _without(texts.join(gone, ["k", "t"], "left").select("doc_id", "data", "gone"), length)
 
 
-REPORT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+def figures() -> list[Column]:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of rows of without_repeats()."""
+    removed = (F.col("n_bytes") - F.octet_length("kept")).cast("long")
+    return [F.col("doc_id"), F.col("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")]
+
+
+def clean_text() -> Column:
+    """The kept bytes as text; a character of which only some bytes are left is U+FFFD."""
+    return F.make_valid_utf8(F.col("kept").cast("string")).alias("clean_text")
+
+
+def repeats(docs: DataFrame, length: int = 400, most: int = 1000, shard_rows: int = 2500) -> DataFrame:
+    """The figures of without_repeats() for each row of docs."""
+    return without_repeats(docs, length, most, shard_rows).select(figures())
+
+
+REPORT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 
 
 def spans(starts: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
@@ -261,12 +275,11 @@ def kept_bytes(data: bytes, removed: list[tuple[int, int]]) -> bytes:
 def _without(rows: DataFrame, length: int) -> DataFrame:
     def report(batches):
         for b in slices(batches):
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], []]
             for doc, data, gone in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 removed = spans([(g["a"], g["b"]) for g in gone or []], length)
-                values = (doc, len(data), sum(y - x for x, y in removed), len(removed), hashlib.sha256(kept_bytes(data, removed)).hexdigest())
-                for column, value in zip(out, values, strict=True):
+                for column, value in zip(out, (doc, len(data), removed, kept_bytes(data, removed) if removed else data), strict=True):
                     column.append(value)
             yield record_batch(REPORT, out)
 
-    return rows.mapInArrow(report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(report, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")

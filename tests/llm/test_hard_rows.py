@@ -8,7 +8,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from tessera.llm import packing, quality, secret_scan, simhash, suffix_dedup, token_counts
+from tessera.llm import packing, quality, queries, secret_scan, simhash, suffix_dedup, token_counts
 from tests.llm.test_llm import JSON, MODEL, SCHEMA, brute_figures, brute_repeats
 
 
@@ -108,3 +108,19 @@ def test_many_base_spans_in_a_text_take_linear_time():
         secret_scan.scan_texts([text], model)
         times.append(time.perf_counter() - start)
     assert times[1] < 25 * times[0] + 5
+
+
+def test_repeats_leave_the_texts_that_are_kept(spark, tmp_path):
+    """Also where a removed run begins and ends inside a character, and where nothing or all is removed."""
+    passage = "è" + "".join(f"p{i}é" for i in range(110)) + "ĩ"  # the second bytes of è and Ȩ, and the first ones of ĩ and Ĩ, are equal
+    texts = [f"one {passage} end", f"other Ȩ{passage[1:-1]}Ĩ here", "alone " * 20, passage[5:] + "x" * 500, None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    data = [(t or "").encode() for t in texts]
+    got = sorted(suffix_dedup.without_repeats(df).collect())
+    for r, x in zip(got, data, strict=True):
+        assert bytes(r.kept) == suffix_dedup.kept_bytes(x, [tuple(s) for s in r.spans])
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = sorted(queries.op10_suffix_dedup(spark, str(tmp_path)).collect())
+    assert [tuple(r)[:5] for r in rows] == [(i, *r) for i, r in enumerate(brute_repeats([t or "" for t in texts], 400))]
+    assert [r.clean_text for r in rows] == [bytes(r.kept).decode(errors="replace") for r in got]
+    assert len(rows[0].clean_text) < 20 and "\ufffd" in rows[0].clean_text and rows[2].clean_text == texts[2] and rows[4].clean_text == ""
