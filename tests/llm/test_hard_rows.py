@@ -4,6 +4,7 @@ import hashlib
 import random
 import time
 
+import numpy as np
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -124,3 +125,55 @@ def test_repeats_leave_the_texts_that_are_kept(spark, tmp_path):
     assert [tuple(r)[:5] for r in rows] == [(i, *r) for i, r in enumerate(brute_repeats([t or "" for t in texts], 400))]
     assert [r.clean_text for r in rows] == [bytes(r.kept).decode(errors="replace") for r in got]
     assert len(rows[0].clean_text) < 20 and "\ufffd" in rows[0].clean_text and rows[2].clean_text == texts[2] and rows[4].clean_text == ""
+
+
+def brute_passages(rows, words):
+    holders = {}
+    split = [(doc, (t or "").encode().split()) for doc, t in rows]
+    for doc, w in split:
+        for i in range(len(w) - words + 1):
+            holders.setdefault(tuple(w[i : i + words]), set()).add(doc)
+    found = [[i for i in range(len(w) - words + 1) if len(holders[tuple(w[i : i + words])]) > 1] for _, w in split]
+    return [suffix_dedup.spans([(i, i) for i in starts], words) for starts in found]
+
+
+@pytest.mark.parametrize("most", [1000, 3])
+def test_passages_of_over_50_words_are_found_across_documents(spark, tmp_path, most):
+    """Also shorter than 400 bytes, with other white space, at a text's ends, in many contexts; not 50 words, and not within one document."""
+    rng = random.Random(5)
+    new = lambda n: [f"w{rng.randrange(10**4)}" for _ in range(n)]
+    passage, line, common = new(53), new(50), new(60)
+    texts = [" ".join([*new(30), *passage, *new(30)]), "\n".join(passage), " ".join([*passage[:52], *new(9), *passage[1:]]), " \t".join([*new(5), *passage[2:], *new(3)])]
+    texts += [" ".join(new(20) + line + new(20)) for _ in range(2)] + [" ".join([*(own := new(70)), "and", *own]), None, "", " ".join(["a"] * 60), " ".join(["a"] * 55)]
+    texts += [" ".join([*new(i % 7), *common[i % 11 :], *new(9)]) for i in range(40)] + ["x" * 3000 + " " + " ".join(passage) + "é"]
+    rows = [*enumerate(texts), (1, texts[1]), (6, texts[6])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, [tuple(x) for x in r.passages]) for r in suffix_dedup.without_repeats(df, words=51, most=most, shard_rows=20).collect())
+    assert got == sorted((doc, p) for (doc, _), p in zip(rows, brute_passages(rows, 51), strict=True))
+    assert [len(dict(got)[i]) for i in range(11)] == [1, 1, 2, 1, 0, 0, 0, 0, 0, 1, 1]
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    figures = {r.doc_id: (r.n_removed, r.n_passages, r.n_passage_words) for r in queries.op10_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert figures[0] == (0, 1, 53) and figures[3] == (0, 1, 51) and figures[4] == (0, 0, 0) and figures[6][1:] == (0, 0) and figures[7] == (0, 0, 0)
+
+
+def test_words_are_hashed_in_blocks(monkeypatch):
+    rng = random.Random(4)
+    data = "".join(rng.choice(["ab", "c", "é", " ", "\n", "x" * 300]) for _ in range(9000)).encode()
+    whole = suffix_dedup.word_segments(data, 51, 16)
+    starts, ends = suffix_dedup.word_places(data)
+    assert [data[a:b] for a, b in zip(starts, ends, strict=True)] == data.split()
+    assert sorted(x for _, _, f, n, _, _ in whole.tolist() for x in range(f, f + n)) == list(range(len(starts) - 50))
+    assert all(data[c : c + z].split() == data.split()[f : f + n + 50] for _, _, f, n, c, z in whole.tolist())
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 500)
+    hashes = suffix_dedup.word_hashes(data, starts, ends)
+    by_word = {}
+    assert all(by_word.setdefault(w, h) == h for w, h in zip(data.split(), hashes.tolist(), strict=True)) and len(set(by_word.values())) == len(by_word)
+    parts = suffix_dedup.word_segments(data, 51, 16)
+    assert sorted(x for _, _, f, n, _, _ in parts.tolist() for x in range(f, f + n)) == list(range(len(starts) - 50))
+
+
+def test_order_of_more_symbols_than_16_bits_hold():
+    words = [f"{i}".encode() for i in range(70_000)]
+    ids = np.arange(3)
+    found = suffix_dedup.shared_starts([words, words[100:60_000] + words[:60], words[69_930:]], ids, ids, 51)
+    assert [int(f.sum()) for f in found] == [59_850 + 10 + 20, 59_850 + 10, 20]
