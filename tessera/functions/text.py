@@ -13,8 +13,8 @@ _FOLDED = {chr(c): d for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if l
 
 
 def fold(text: Column) -> Column:
-    """Without diacritics."""
-    return F.translate(text, "".join(_FOLDED), "".join(_FOLDED.values()))
+    """Without diacritics. A text of one byte a character has none."""
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(F.translate(text, "".join(_FOLDED), "".join(_FOLDED.values())))
 
 
 def tokens(text: Column) -> Column:

@@ -6,11 +6,12 @@ their ids, whatever the size of the index. Segments of about one size are merged
 postings go; so a posting is rewritten a number of times that grows with the logarithm of the index. A manifest in a
 commit log names the segments, deletion lists and corpus figures; readers see one manifest, writers that cross are told.
 
-Within a segment units are dealt to ranges of about RANGE units with ids near each other (units of one paper are alike), and the
-postings of a term in a range are one row, a block. A block tells its number of postings and what the term adds to a unit's score there at the most: as of a
-mean size somewhat above the present one (what is added grows with it), and, should the mean grow beyond, the greatest
-number of occurrences and the least size, which bound it too. The k best units of a query take two passes: the
-ranges with the greatest bounds are scored whole, the k-th score found there is a threshold, and of all other ranges only
+Within a segment units that follow each other by their ids are a range (units of one paper are alike), and the postings of a term
+in a range are one row, a block. So only texts are shuffled, by their units' ids: a task has all units of its ranges, makes their
+blocks in arrays, sorts them and writes a file to each folder of terms. A block without a term lists the range's units. The others
+tell their number of postings and which pairs of occurrences and size no posting of theirs exceeds in both ways; the best of these
+pairs is, at any mean size, what the term adds to a unit's score there at the most. The k best units of a query take two passes:
+the ranges with the greatest bounds are scored whole, the k-th score found there is a threshold, and of all other ranges only
 those whose bound reaches it, and in which each word occurs, are opened. The result equals the full ranking's first k.
 """
 
@@ -19,24 +20,31 @@ from __future__ import annotations
 import json
 import math
 import uuid
-from functools import reduce
+import zlib
+from functools import partial, reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import commits
 from tessera.functions.text import tokens
-from tessera.operators.search import K1, LEAST_IDF, B, _phrase_counts, postings
+from tessera.operators.search import K1, LEAST_IDF, B, _phrase_counts
 
-#: Units of a range, and ranges by unit id at most; larger ones are dealt further by a hash of the unit.
-RANGE, PLACES = 1024, 256
-#: The mean size for which a block's bound is kept, against the segment's.
-ABOVE = 1.25
-POSTINGS = "part int, term string, range long, n int, most_f int, least_size int, most double, units array<struct<unit_id:long,paper_id:long,size:int,positions:array<int>>>"
+#: Units of a range, and their tokens, at most; a longer unit is a range of its own. Most terms of a small range occur in it
+#: once, which makes nearly as many blocks as postings.
+RANGE, TOKENS = 16384, 1 << 20
+#: The folder of the blocks without a term.
+UNITS = -1
+#: n: postings; most_f, least_size: the pairs that bound the block's scores; the other lists go by posting, in the order of unit ids.
+BLOCKS = "part int, term string, range long, n int, most_f array<int>, least_size array<int>, unit_ids array<long>, paper_ids array<long>, sizes array<int>, positions array<array<int>>"
 
 
 def parts_of(term: Column, folders: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(folders)).cast("int")
+    return (F.crc32(term.cast("binary")) % folders).cast("int")
 
 
 def share(f: Column, size: Column, mean: Column) -> Column:
@@ -44,10 +52,118 @@ def share(f: Column, size: Column, mean: Column) -> Column:
     return f * (K1 + 1) / (f + K1 * (1 - B + B * size / mean))
 
 
+def _of_units(batches, many: int, folders: int):
+    """Blocks of units (unit_id, paper_id, t: tokens) that come in the order of their ids; of rows with one id the first counts."""
+
+    def first_rows():
+        last = None
+        for batch in batches:
+            if batch.num_rows:
+                ids = batch.column("unit_id").to_numpy()
+                new = np.append(last is None or ids[0] != last, ids[1:] != ids[:-1])
+                last = ids[-1]
+                yield batch if new.all() else batch.filter(pa.array(new))
+
+    def sizes(batch):
+        return np.arange(batch.num_rows), batch.column("t").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def arrays(rows):
+        n = sizes(rows)[1]
+        words = rows.column("t").flatten().dictionary_encode()
+        unit, position = np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return rows.column("unit_id"), rows.column("paper_id"), n, words.dictionary, words.indices.to_numpy().astype(np.int64), unit, position
+
+    yield from _ranges(first_rows(), sizes, arrays, many, folders)
+
+
+def _of_postings(batches, many: int, folders: int):
+    """Blocks of postings that come in the order of unit ids; before those of a unit goes a row of it without a term."""
+
+    def sizes(batch):
+        first = np.flatnonzero(batch.column("term").is_null().to_numpy(zero_copy_only=False))
+        return first, batch.column("size").to_numpy()[first].astype(np.int64)
+
+    def arrays(rows):
+        first = rows.column("term").is_null()
+        units, found = rows.filter(first), rows.filter(pa.compute.invert(first))
+        owner = (np.cumsum(first.to_numpy(zero_copy_only=False)) - 1)[~first.to_numpy(zero_copy_only=False)]
+        n = found.column("positions").value_lengths().to_numpy(zero_copy_only=False)
+        words = found.column("term").dictionary_encode()
+        codes, position = words.indices.to_numpy().astype(np.int64), found.column("positions").flatten().to_numpy().astype(np.int64)
+        return units.column("unit_id"), units.column("paper_id"), units.column("size").to_numpy().astype(np.int64), words.dictionary, np.repeat(codes, n), np.repeat(owner, n), position
+
+    yield from _ranges(batches, sizes, arrays, many, folders)
+
+
+def _ranges(batches, sizes, arrays, many: int, folders: int):
+    """Cuts rows before the first row of a unit into ranges, and gives their blocks. sizes: the first rows of a batch's units, and the units' tokens."""
+    held, units, words, number = [], 0, 0, TaskContext.get().partitionId() << 32
+    for batch in batches:
+        first, n = sizes(batch)
+        at = i = 0
+        while i < len(first):
+            total = np.cumsum(n[i : i + many])
+            fit = min(many - units, int(np.searchsorted(total, TOKENS - words, side="right")))
+            if fit <= 0 and units:
+                yield from _blocks(number, folders, *arrays(pa.concat_batches([*held, batch.slice(at, first[i] - at)])))
+                held, units, words, number, at = [], 0, 0, number + 1, first[i]
+                continue
+            fit = max(fit, 1)
+            units, words, i = units + fit, words + int(total[fit - 1]), i + fit
+        held.append(batch.slice(at))
+    if units:
+        yield from _blocks(number, folders, *arrays(pa.concat_batches(held)))
+
+
+def _blocks(number: int, folders: int, unit_ids, paper_ids, sizes, terms, codes, unit, position):
+    """The rows of one range; tokens are codes of terms with unit and position, in the order of units."""
+    parts = np.fromiter((zlib.crc32(t) % folders for t in terms.cast(pa.binary()).to_pylist()), np.int64, len(terms))
+    by_term = pa.compute.sort_indices(pa.table({"part": parts, "term": terms}), [("part", "ascending"), ("term", "ascending")]).to_numpy()
+    terms, parts, place = terms.take(pa.array(by_term)), parts[by_term], np.empty(len(terms), np.int64)
+    place[by_term] = np.arange(len(terms))
+    codes = place[codes]
+    order = np.argsort((codes & 0xFFFF).astype(np.uint16), kind="stable")  # 16 bits are sorted by radix
+    if len(terms) > 1 << 16:
+        order = order[np.argsort((codes[order] >> 16).astype(np.uint16), kind="stable")]
+    codes, unit, position = codes[order], unit[order], position[order]
+    posting = np.flatnonzero((np.diff(codes, prepend=-1) != 0) | (np.diff(unit, prepend=-1) != 0))
+    f, codes, unit = np.diff(posting, append=len(codes)), codes[posting], unit[posting]
+    block = np.flatnonzero(np.diff(codes, prepend=-1))
+    of, most_f, least_size = _bounds(codes, f, sizes[unit], len(unit_ids))
+
+    def lists(starts, values, n):
+        return pa.ListArray.from_arrays(pa.array(np.append(starts, n).astype(np.int32)), values)
+
+    def row(part, term, n, bounds, at, owner, places):
+        pairs = (lists(bounds[0], pa.array(x.astype(np.int32)), len(x)) for x in bounds[1:])
+        owners = pa.array(owner)
+        held = (lists(at, x, len(owner)) for x in (unit_ids.take(owners), paper_ids.take(owners), pa.array(sizes[owner].astype(np.int32)), places))
+        return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), term, pa.array(np.full(len(n), number)), pa.array(n.astype(np.int32)), *pairs, *held], names=["part", "term", "range", "n", "most_f", "least_size", "unit_ids", "paper_ids", "sizes", "positions"])
+
+    none, zero, all_ = np.zeros(0, np.int64), np.zeros(1, np.int64), np.arange(len(unit_ids))
+    yield row(np.array([UNITS]), pa.nulls(1, pa.string()), np.array([len(all_)]), (zero, none, none), zero, all_, lists(np.zeros(len(all_)), pa.nulls(0, pa.int32()), 0))
+    found = row(parts, terms, np.diff(block, append=len(codes)), (np.searchsorted(of, np.arange(len(terms))), most_f, least_size), block, unit, lists(posting, pa.array(position.astype(np.int32)), len(position)))
+    for i in range(0, found.num_rows, 10_000):
+        yield found.slice(i, 10_000)
+
+
+def _bounds(codes, f, size, units: int):
+    """Of each code the pairs (f, size) that no other one exceeds by more occurrences in a unit that is no larger: codes, f, size."""
+    if units < 2 or not len(codes):  # a posting for each code
+        return codes, f, size
+    top, wide = int(f.max()) + 1, int(size.max()) + 1  # all are at most TOKENS
+    key = np.sort((codes * top + (top - 1 - f)) * wide + size)
+    size, key = key % wide, key // wide
+    f, codes = top - 1 - key % top, key // top
+    falling = size - codes * wide  # below all of the codes before
+    new = np.append(True, falling[1:] < np.minimum.accumulate(falling)[:-1])
+    return codes[new], f[new], size[new]
+
+
 class Segments:
     """The index in a folder. Units are unit_id, paper_id, content; a unit without content has no terms, but counts."""
 
-    FOLDERS = 64
+    FOLDERS = 16
     #: So many segments of about one size are merged.
     FAN = 4
 
@@ -76,12 +192,10 @@ class Segments:
         if now["segments"]:
             found = self._alive(self._sizes(now), now["deletions"]).join(stale, "unit_id", "left_semi")
             found.select("unit_id", "size").write.parquet(f"{self.root}/deletions/{name}")
-            lost = self._totals(f"{self.root}/deletions/{name}")
-        known = changed.filter("unit_id IS NOT NULL")
-        if not known.groupBy("unit_id").count().filter("count > 1").isEmpty():  # texts are shuffled only where ids repeat
-            known = known.dropDuplicates(["unit_id"])
-        sizes = known.select(F.col("unit_id").cast("long"), F.col("paper_id").cast("long"), F.coalesce("content", F.lit("")).alias("content"))
-        new = self._write(name, at, postings(sizes), sizes.select("unit_id", F.size(tokens(F.col("content"))).alias("size")))
+            lost = self._totals(self.spark.read.schema("unit_id long, size int").parquet(f"{self.root}/deletions/{name}"))
+        known = changed.filter("unit_id IS NOT NULL").select(F.col("unit_id").cast("long"), F.col("paper_id").cast("long"), F.coalesce("content", F.lit("")).alias("content"))
+        placed = known.repartitionByRange("unit_id").sortWithinPartitions("unit_id", "paper_id", "content")
+        new = self._write(name, at, placed.select("unit_id", "paper_id", tokens(F.col("content")).alias("t")).mapInArrow(partial(_of_units, many=RANGE, folders=self.FOLDERS), BLOCKS))
         # a list of nothing is none
         deletions = now["deletions"] + ([{"name": name, "at": at}] if lost["units"] else [])
         segments = now["segments"] + ([new] if new["units"] else [])
@@ -89,28 +203,15 @@ class Segments:
         self._save(base, after)
         self.merge()
 
-    def _totals(self, path: str) -> dict:
-        n, size = self.spark.read.schema("unit_id long, size int").parquet(path).agg(F.count("*"), F.sum("size")).first()
-        return {"units": n, "size": size or 0}
+    def _write(self, name: str, at: int, blocks: DataFrame) -> dict:
+        """Writes a segment's blocks to the folders of their terms."""
+        blocks.sortWithinPartitions("part", "term", "range").write.partitionBy("part").parquet(f"{self.root}/postings/{name}")
+        one = {"name": name, "at": at}
+        return one | self._totals(self._sizes({"segments": [one]}))
 
-    def _write(self, name: str, at: int, rows: DataFrame, sizes: DataFrame) -> dict:
-        """Writes a segment: its sizes, then its postings in blocks."""
-        sizes.write.parquet(f"{self.root}/sizes/{name}")
-        totals = self._totals(f"{self.root}/sizes/{name}")
-        if totals["units"]:
-            reference = ABOVE * max(totals["size"] / totals["units"], 1.0)
-            stored = self.spark.read.schema("unit_id long, size int").parquet(f"{self.root}/sizes/{name}")
-            wanted = min(PLACES, -(-totals["units"] // RANGE))
-            bounds = sorted(set(stored.stat.approxQuantile("unit_id", [i / wanted for i in range(1, wanted)], 0.001))) if wanted > 1 else []
-            bucket = F.array_size(F.filter(F.array(*map(F.lit, bounds)).cast("array<bigint>"), lambda x: x < F.col("unit_id")))
-            held = {r.b: r.n for r in stored.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect()}  # PLACES rows at most
-            ways = F.element_at(F.array(*(F.lit(-(-held.get(i, 1) // RANGE)) for i in range(len(bounds) + 1))), bucket + 1)
-            rows = rows.withColumn("range", bucket.cast("long") * (1 << 40) + F.pmod(F.xxhash64("unit_id"), ways))
-            rows = rows.withColumn("part", parts_of(F.col("term"), self.FOLDERS)).withColumn("_slot", F.pmod(F.xxhash64("term", "range"), F.lit(4)))
-            # one shuffle serves the groups and the folders
-            blocks = rows.repartition("part", "_slot").groupBy("part", "_slot", "term", "range").agg(F.count("*").cast("int").alias("n"), F.max(F.size("positions")).alias("most_f"), F.min("size").alias("least_size"), F.max(share(F.size("positions"), F.col("size"), F.lit(reference))).alias("most"), F.sort_array(F.collect_list(F.struct("unit_id", "paper_id", "size", "positions"))).alias("units"))
-            blocks.drop("_slot").sortWithinPartitions("part", "term", "range").write.partitionBy("part").parquet(f"{self.root}/postings/{name}")
-        return {"name": name, "at": at, **totals, "mean": ABOVE * max(totals["size"] / totals["units"], 1.0) if totals["units"] else 1.0}
+    def _totals(self, sizes: DataFrame) -> dict:
+        n, size = sizes.agg(F.count("*"), F.sum("size")).first()
+        return {"units": n, "size": size or 0}
 
     def merge(self) -> None:
         """Merges segments while FAN of them are of about one size; deletion lists that count for no segment are let go."""
@@ -124,7 +225,8 @@ class Segments:
             if due is None:
                 return
             part = {**now, "segments": due}
-            merged = self._write(uuid.uuid4().hex, now["at"], self.postings(None, part), self._alive(self._sizes(part), now["deletions"]).select("unit_id", "size"))
+            rows = self._opened(self.blocks(None, part), part).repartitionByRange("unit_id").sortWithinPartitions("unit_id", F.asc_nulls_first("term"))
+            merged = self._write(uuid.uuid4().hex, now["at"], rows.mapInArrow(partial(_of_postings, many=RANGE, folders=self.FOLDERS), BLOCKS))
             segments = [s for s in now["segments"] if s not in due] + ([merged] if merged["units"] else [])
             oldest = min([s["at"] for s in segments], default=now["at"])
             self._save(base, {**now, "segments": segments, "deletions": [d for d in now["deletions"] if d["at"] > oldest]})
@@ -132,7 +234,7 @@ class Segments:
     def vacuum(self) -> None:
         """Deletes the folders that the present manifest doesn't name; no reader of an older one may still be at work."""
         now = self.manifest()
-        kept = {"sizes": {s["name"] for s in now["segments"]}, "postings": {s["name"] for s in now["segments"]}, "deletions": {d["name"] for d in now["deletions"]}}
+        kept = {"postings": {s["name"] for s in now["segments"]}, "deletions": {d["name"] for d in now["deletions"]}}
         for kind, names in kept.items():
             p, fs = commits.file_system(self.spark, f"{self.root}/{kind}")
             for s in fs.listStatus(p) if fs.exists(p) else []:
@@ -141,38 +243,38 @@ class Segments:
 
     # reading
 
-    def _read(self, kind: str, schema: str, segment: dict) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{kind}/{segment['name']}").withColumn("at", F.lit(segment["at"])).withColumn("mean", F.lit(segment["mean"]))
+    def _read(self, kind: str, schema: str, entry: dict) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{kind}/{entry['name']}").withColumn("at", F.lit(entry["at"]))
 
     def _sizes(self, manifest: dict) -> DataFrame:
-        return reduce(DataFrame.unionByName, (self._read("sizes", "unit_id long, size int", s).drop("mean") for s in manifest["segments"]))
+        return self.blocks(None, manifest).filter(F.col("part") == UNITS).select("at", F.inline(F.arrays_zip("unit_ids", "sizes")).alias("unit_id", "size"))
 
     def _alive(self, rows: DataFrame, deletions: list[dict]) -> DataFrame:
         """Rows of units that no later deletion list names. The lists meet as the newest `at` of each unit."""
         if not deletions:
             return rows
-        lists = reduce(DataFrame.unionByName, (self._read("deletions", "unit_id long", {"mean": 0.0, **d}) for d in deletions))
+        lists = reduce(DataFrame.unionByName, (self._read("deletions", "unit_id long", d) for d in deletions))
         newest = lists.groupBy("unit_id").agg(F.max("at").alias("_gone"))
         return rows.join(newest, "unit_id", "left").filter(F.col("_gone").isNull() | (F.col("_gone") <= F.col("at"))).drop("_gone")
 
     def blocks(self, words: list[str] | None, manifest: dict | None = None) -> DataFrame:
-        """Blocks of postings of the given terms; reads their folders only."""
+        """Blocks of the given terms, whose folders alone are read; or all, those without a term, too."""
         now = manifest or self.manifest()
         if not now["segments"]:
-            return self.spark.createDataFrame([], f"{POSTINGS}, at int, mean double")
-        rows = reduce(DataFrame.unionByName, (self._read("postings", POSTINGS, s) for s in now["segments"]))
+            return self.spark.createDataFrame([], f"{BLOCKS}, at int")
+        rows = reduce(DataFrame.unionByName, (self._read("postings", BLOCKS, s) for s in now["segments"]))
         if words is not None:
             rows = rows.filter(reduce(lambda a, b: a | b, ((F.col("part") == parts_of(F.lit(w), self.FOLDERS)) & (F.col("term") == w) for w in words), F.lit(False)))
         return rows
 
     def _opened(self, blocks: DataFrame, manifest: dict) -> DataFrame:
-        rows = blocks.select("term", "at", F.explode("units").alias("u")).select("term", "at", "u.*")
+        rows = blocks.select("term", "at", F.inline(F.arrays_zip("unit_ids", "paper_ids", "sizes", "positions")).alias("unit_id", "paper_id", "size", "positions"))
         return self._alive(rows, manifest["deletions"]).select("term", "unit_id", "paper_id", "size", "positions")
 
     def postings(self, words: list[str] | None = None, manifest: dict | None = None) -> DataFrame:
         """term, unit_id, paper_id, size, positions of the units alive."""
         now = manifest or self.manifest()
-        return self._opened(self.blocks(words, now), now)
+        return self._opened(self.blocks(words, now).filter("term IS NOT NULL"), now)
 
     def figures(self, manifest: dict | None = None) -> tuple[int, float]:
         now = manifest or self.manifest()
@@ -207,14 +309,14 @@ class Segments:
         total = blocks.agg(F.sum("n")).first()[0] or 0
         counted = blocks.groupBy("term").agg(F.sum("n").alias("n"))
         if now["deletions"]:  # units alive that hold a word: their ids only
-            alive = self._alive(blocks.select("term", "at", F.explode("units.unit_id").alias("unit_id")), now["deletions"])
+            alive = self._alive(blocks.select("term", "at", F.explode("unit_ids").alias("unit_id")), now["deletions"])
             counted = alive.groupBy("term").agg(F.count("*").alias("n"))
         n = {r.term: r.n for r in counted.collect()}
         if set(words) - set(n):
             return none, {"postings": total, "opened": 0}
         phrases, seen = [[w] for w in words], [n[w] for w in words]
         weight = F.element_at(F.create_map(*(x for w in words for x in (F.lit(w), F.lit(idf(units, n[w]))))), F.col("term"))
-        bound = F.sum(weight * F.when(F.lit(mean) <= F.col("mean"), F.col("most")).otherwise(share(F.col("most_f"), F.col("least_size"), F.lit(mean))))
+        bound = F.sum(weight * F.array_max(F.zip_with("most_f", "least_size", lambda f, size: share(f, size, F.lit(mean)))))
         ranges = blocks.groupBy("at", "range").agg(bound.alias("bound"), F.count("*").alias("words"), F.sum("n").alias("held")).filter(F.col("words") == len(words))
 
         def ranked(some: DataFrame) -> DataFrame:

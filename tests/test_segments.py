@@ -80,6 +80,44 @@ def test_best_units_are_the_full_rankings_first(spark, monkeypatch):
     assert [tuple(r) for r in index.best(["spin", "wave"], 10)[0].collect()] == [tuple(r) for r in full.collect()]
 
 
+def test_ranges_hold_neighbours_however_many(spark, monkeypatch):
+    """Before, units of more than 256 ranges were dealt by a hash, and a range had units from all over its part of the ids."""
+    monkeypatch.setattr(segments, "RANGE", 4)
+    index = segments.Segments(spark, new_path(spark))
+    index.refresh(spark.range(4000).select((F.col("id") * 7).alias("unit_id"), F.col("id").alias("paper_id"), F.lit("spin wave").alias("content")))
+    spans = index.blocks(["spin"]).select("range", F.explode("unit_ids").alias("u")).groupBy("range").agg(F.min("u").alias("a"), F.max("u").alias("b"), F.count("*").alias("n")).orderBy("a").collect()
+    assert sum(r.n for r in spans) == 4000 and len(spans) >= 1000
+    assert all(x.b < y.a for x, y in zip(spans, spans[1:]))
+
+
+def shuffled(spark):
+    """Rows that all stages so far have written to shuffles."""
+    context, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+    context.listenerBus().waitUntilEmpty()
+    stages = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_postings_are_not_shuffled(spark):
+    """Before, a refresh shuffled each posting, here 30 of a unit; now the units' texts alone."""
+    words = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(30)), lambda i: F.concat(F.lit("w"), F.col("id") % 50 * i)), " ")
+    index, before = segments.Segments(spark, new_path(spark)), shuffled(spark)
+    index.refresh(spark.range(2000).select(F.col("id").alias("unit_id"), F.col("id").alias("paper_id"), words.alias("content")))
+    assert shuffled(spark) - before < 2 * 2000
+    assert index.figures() == (2000, 30.0)
+
+
+def test_a_long_unit_is_a_range_of_its_own(spark):
+    """Ranges are bounded by their tokens, too; bounds and ranks hold."""
+    index = segments.Segments(spark, new_path(spark))
+    whole = spark.createDataFrame([(1, 1, "spin"), (2, 1, "spin " * (segments.TOKENS + 1)), (3, 1, None), (4, 2, "spin spin wave"), (4, 2, "spin spin wave")], UNIT)
+    index.refresh(whole)
+    held = sorted(r.unit_ids for r in index.blocks(None).filter("term IS NULL").collect())
+    assert [2] in held and sorted(u for x in held for u in x) == [1, 2, 3, 4]
+    assert rows(index.bm25([["spin"]])) == rows(search.bm25(whole.distinct(), [["spin"]]))
+    assert [r.unit_id for r in index.best(["spin"], 2)[0].collect()] == [r.unit_id for r in index.bm25([["spin"]]).orderBy("rank", "unit_id").limit(2).collect()]
+
+
 def test_hard_units(spark):
     """Nulls, empty contents, repeated ids, and an index without units."""
     index = segments.Segments(spark, new_path(spark))
