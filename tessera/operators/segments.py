@@ -39,6 +39,8 @@ from tessera.operators.search import K1, LEAST_IDF, B, _phrase_counts
 RANGE, TOKENS = 16384, 1 << 20
 #: The folder of the blocks without a term.
 UNITS = -1
+#: Ids that rise and small numbers are written as differences, for which no dictionary is tried.
+DELTAS = {"parquet.writer.version": "v2", "parquet.enable.dictionary": "false"}
 #: n: postings; most_f, least_size: the pairs that bound the block's scores; the other lists go by posting, in the order of unit ids.
 BLOCKS = "part int, term string, range long, n int, most_f array<int>, least_size array<int>, unit_ids array<long>, paper_ids array<long>, sizes array<int>, positions array<array<int>>"
 
@@ -205,7 +207,7 @@ class Segments:
 
     def _write(self, name: str, at: int, blocks: DataFrame) -> dict:
         """Writes a segment's blocks to the folders of their terms."""
-        blocks.sortWithinPartitions("part", "term", "range").write.partitionBy("part").parquet(f"{self.root}/postings/{name}")
+        blocks.sortWithinPartitions("part", "term", "range").write.partitionBy("part").options(**DELTAS).parquet(f"{self.root}/postings/{name}")
         one = {"name": name, "at": at}
         return one | self._totals(self._sizes({"segments": [one]}))
 

@@ -107,6 +107,17 @@ def test_postings_are_not_shuffled(spark):
     assert index.figures() == (2000, 30.0)
 
 
+def test_bounds_are_met_at_any_mean_size(spark, monkeypatch):
+    """Before, once the mean had grown, a block was bounded as if its most occurrences were in its shortest unit, and all were opened."""
+    monkeypatch.setattr(segments, "RANGE", 16)
+    index = segments.Segments(spark, new_path(spark))
+    index.refresh(spark.createDataFrame([(u, u, "spin " * 3 if u < 64 else "spin " * 5 + "of " * 200 if u % 2 else "spin") for u in range(400)], UNIT))
+    index.refresh(spark.createDataFrame([(u, u, "of " * 200) for u in range(400, 1900)], UNIT))
+    best, read = index.best(["spin"], 10)
+    assert [r.unit_id for r in best.collect()] == list(range(10))
+    assert read["postings"] == 400 and read["opened"] < 120
+
+
 def test_a_long_unit_is_a_range_of_its_own(spark):
     """Ranges are bounded by their tokens, too; bounds and ranks hold."""
     index = segments.Segments(spark, new_path(spark))
